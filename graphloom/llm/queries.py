@@ -65,7 +65,7 @@ ln AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
 st AS (
   SELECT w.rid, doc_id, source, CAST(len(ws) AS BIGINT) AS n_words,
-    CAST(coalesce(list_sum(list_transform(ws, x -> length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN dup ON dup.rid = w.rid LEFT JOIN rep ON rep.rid = w.rid),
