@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import bpe, line_dedup, quality_rules
+from graphloom.llm import bpe, jaccard, line_dedup, quality_rules
 from graphloom.llm.queries import tokenizer
 from pyspark.sql import functions as F
 
@@ -20,12 +20,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs.select(*COLUMNS), k=5, similarity=(80, 100))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer()
     return bpe.encode(docs.select(*COLUMNS), path, pattern, ids=True)
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines), ("tokens", tokens)]
+STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram jaccard join", near_duplicates), ("tokens", tokens)]
 
 #: Tokens, near-duplicate classes and template windows are not expressible in SQL.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, line_dedup, quality_rules, sharding
+from graphloom.llm import bpe, jaccard, line_dedup, quality_rules, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -98,3 +98,27 @@ SELECT any_value(d.doc_id) AS doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN dr
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT drop_it), '')) AS kept_sha256
 FROM j JOIN d ON d.rid = j.rid GROUP BY j.rid
 """
+
+
+@query
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.components(table(spark, sf_dir, "documents"), k=4, similarity=(85, 100))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+SQL["op5_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+g AS (SELECT rid, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w),
+s AS (SELECT DISTINCT rid, s FROM g),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.rid <> b.rid GROUP BY a.rid, b.rid),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.rid = x JOIN n ny ON ny.rid = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+r AS (SELECT rid AS x, rid AS y FROM w UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
+c AS (SELECT r.x, min(w.doc_id) AS component_id FROM r JOIN w ON w.rid = r.y GROUP BY r.x)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM w JOIN c ON c.x = w.rid LEFT JOIN n ON n.rid = w.rid
+"""
