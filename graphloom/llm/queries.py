@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, jaccard, line_dedup, quality_rules, sharding
+from graphloom.llm import bpe, jaccard, license_scan, line_dedup, quality_rules, sharding, substring_dedup, token_counts
+from graphloom.llm.shared import reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -16,8 +18,13 @@ SHARDS = 40
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
-    return f
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        reachable(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,3 +129,38 @@ c AS (SELECT r.x, min(w.doc_id) AS component_id FROM r JOIN w ON w.rid = r.y GRO
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM w JOIN c ON c.x = w.rid LEFT JOIN n ON n.rid = w.rid
 """
+
+
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+SQL["op4_license_scan"] = r"""
+WITH tpl(t, label, base, pairs, q, pair) AS (VALUES {templates}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT rid, w, unnest(range(1, len(w))) AS p FROM d),
+hit AS (SELECT rid, t, label, base, pairs, q, p - 1 - q AS dg FROM g JOIN tpl ON tpl.pair = w[p] || ' ' || w[p + 1]),
+votes AS (SELECT rid, t, label, base, pairs, dg, list(DISTINCT q) AS qs FROM hit GROUP BY ALL),
+steps AS (SELECT *, CASE WHEN base OR lag(dg) OVER (PARTITION BY rid, t ORDER BY dg) IS NULL OR dg - lag(dg) OVER (PARTITION BY rid, t ORDER BY dg) > 3 THEN 1 ELSE 0 END AS n FROM votes),
+merged AS (SELECT *, sum(n) OVER (PARTITION BY rid, t ORDER BY dg ROWS UNBOUNDED PRECEDING) AS passage FROM steps),
+pas AS (SELECT rid, t, label, base, pairs, passage, min(dg) AS start, len(list_distinct(flatten(list(qs)))) AS covered FROM merged GROUP BY ALL),
+ok AS (SELECT *, base AND covered = pairs AS place, CASE WHEN base THEN covered = pairs ELSE covered / CAST(pairs AS DOUBLE) >= 0.8 END AS found FROM pas),
+r AS (SELECT rid, count(*) FILTER (place) AS n_base, min(start) FILTER (place) AS first_word, max(start) FILTER (place) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (place) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (found) AS labels,
+  max(covered / CAST(pairs AS DOUBLE)) FILTER (found) AS score FROM ok GROUP BY rid)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN r ON r.rid = d.rid
+""".replace("{templates}", ", ".join(f"({t}, '{label}', {base}, {pairs}, {q}, '{pair}')" for t, label, base, pairs, q, pair in license_scan.template_rows(license_scan.PHRASES, license_scan.NOTICES)))
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = tokenizer()
+    return token_counts.count(table(spark, sf_dir, "documents"), path, pattern)
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(table(spark, sf_dir, "documents"), min_words=16)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 1 << 20
 
 
+def reachable(spark: SparkSession) -> None:
+    """Tells Python workers where this package lies, for drivers that have it on sys.path but not in PYTHONPATH."""
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{paths}".rstrip(":")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster (spark.checkpoint.dir); where it is unset, as in tests, a new local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
