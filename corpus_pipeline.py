@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, jaccard, line_dedup, quality_rules
+from graphloom.llm import bpe, decontamination, jaccard, line_dedup, quality_rules
 from graphloom.llm.queries import tokenizer
-from pyspark.sql import functions as F
+from graphloom.llm.shared import reachable
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,18 +25,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return jaccard.keep_one(docs.select(*COLUMNS), k=5, similarity=(80, 100))
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.drop_leaks(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer()
     return bpe.encode(docs.select(*COLUMNS), path, pattern, ids=True)
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram jaccard join", near_duplicates), ("tokens", tokens)]
+STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram jaccard join", near_duplicates), ("benchmark decontamination", decontaminate), ("byte-level bpe", tokens)]
 
 #: Tokens, near-duplicate classes and template windows are not expressible in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reachable(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -50,6 +51,12 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of plans that nothing refers to any more; Spark drops them when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that df does not have, compared as Spark does, without case."""
     taken = {c.lower() for c in df.columns}
