@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from graphloom.llm.shared import fresh, text_column
 
 #: Text bytes of one batch row (a longer document is a row by itself).
-BATCH_BYTES = 16 << 20
-#: Buckets of the rank literal; a pair of ids has the key first * SHIFT + second; PAD is no id; NONE is above all ranks.
-BUCKETS, SHIFT, PAD, NONE = 131_071, 1 << 16, 65_535, 1 << 30
+BATCH_BYTES = 40 << 20
+#: Buckets of the rank literal; a pair of ids has the key first * SHIFT + second; NONE is above all ranks.
+BUCKETS, SHIFT, NONE = 131_071, 1 << 16, 1 << 30
 #: Words above this many bytes merge all places of the best pair in one step.
 LONG_WORD = 48
 
@@ -47,8 +47,8 @@ def merge_table(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
 
 def rank_literal(ranks: dict[bytes, int]) -> Column:
     """One constant struct: `bytes` has the id of each byte, `merges` the ranks of pairs of ids, in buckets of small maps."""
-    if max(ranks.values(), default=0) >= PAD:
-        raise ValueError(f"ids must be below {PAD}")
+    if max(ranks.values(), default=0) >= SHIFT:
+        raise ValueError(f"ids must be below {SHIFT}")
     merges: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for (a, b), rank in merge_table(ranks).items():
         merges[(a * SHIFT + b) % BUCKETS][str(a * SHIFT + b)] = rank
@@ -69,49 +69,65 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def encode_bytes(table: Column, word: Column) -> Column:
-    """The ids of one word, given as the array of its bytes' values: array<int>.
+def _merged(table: Column, a: Column, b: Column) -> Column:
+    """The rank that pieces a and b merge to, else NONE."""
+    key = a.cast("long") * SHIFT + b
+    return F.coalesce(F.try_element_at(F.get(table.merges, (key % BUCKETS).cast("int")), key.cast("string")), F.lit(NONE)).cast("long")
 
-    The state is p, the ids of the word's pieces between two pads, and r, the rank that each neighbouring pair of them
-    merges to, NONE for no merge. A step merges the pair of the least rank, the first such from the left.
-    """
-    none = F.lit(NONE)
 
-    def rank(a: Column, b: Column) -> Column:
-        return _let(a.cast("long") * SHIFT + b, lambda key: F.coalesce(F.try_element_at(F.element_at(table.merges, (key % BUCKETS + 1).cast("int")), key.cast("string")), none))
+def _encode_short(table: Column, word: Column) -> Column:
+    """Merges one place at a time: the least rank, the first such from the left.
 
-    def state(p: Column) -> Column:
-        return F.struct(p.alias("p"), F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), rank).alias("r"))
-
-    def first_place(s: Column, low: Column) -> Column:
-        """Only the two ranks beside the merged piece change."""
-        kept = lambda values: F.filter(values, lambda x: x.isNotNull())
-        return _let(
-            F.array_position(s.r, low).cast("int"),
-            lambda at: F.struct(
-                kept(F.transform(s.p, lambda x, i: F.when(i == at - 1, low).when(i == at, F.lit(None)).otherwise(x))).alias("p"),
-                kept(F.transform(s.r, lambda x, i: F.when(i == at - 1, F.lit(None)).when(i == at - 2, rank(F.get(s.p, at - 2), low)).when(i == at, rank(low, F.get(s.p, at + 1))).otherwise(x))).alias("r"),
-            ),
+    The state is an array of numbers, one for each piece: the rank that it merges to with the next piece, its place, its id, from the upper
+    bits down. Its minimum is thus the piece to merge, and carries all that the step needs.
+    """
+    pack = lambda rank, rest: F.shiftleft(rank, 32) + rest
+    rest = lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))
+    id_ = lambda x: x.bitwiseAND(F.lit(SHIFT - 1))
+    byte = lambda i: F.get(table.bytes, F.get(word, i))
+    start = F.transform(word, lambda b, i: pack(_merged(table, F.get(table.bytes, b), byte(i + 1)), i.cast("long") * SHIFT + F.get(table.bytes, b)))
+
+    def step(s: Column, least: Column) -> Column:
+        low = F.shiftright(least, 32)
+        changed = F.transform(
+            s,
+            lambda x, i: F.when(x == least, pack(_merged(table, low, id_(F.get(s, i + 2))), rest(least) - id_(least) + low))
+            .when(F.get(s, i + 1) == least, pack(_merged(table, id_(x), low), rest(x)))
+            .when(F.get(s, i - 1) == least, F.lit(-1).cast("long"))
+            .otherwise(x),
         )
+        return F.filter(changed, lambda x: x >= 0)
+
+    ended = F.lit(NONE << 32)
+    return F.aggregate(F.sequence(F.lit(2), F.size(word)), start, lambda s, _: _let(F.array_min(s), lambda least: F.when(least >= ended, s).otherwise(step(s, least))), lambda s: F.transform(s, lambda x: id_(x).cast("int")))
+
 
-    def all_places(s: Column, low: Column) -> Column:
-        """Every place of the best pair at once, from the left, without overlaps; equal to one by one as no merge makes a pair of lower rank."""
+def _encode_long(table: Column, word: Column) -> Column:
+    """Merges all places of the best pair in a step, from the left, without overlaps: as one by one, since no merge of the ranks makes a pair of lower rank.
 
+    The state is p, the ids of the pieces, and r, the rank of each neighbouring pair.
+    """
+
+    def state(p: Column) -> Column:
+        return F.struct(p.alias("p"), F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: _merged(table, a, b)).alias("r"))
+
+    def step(s: Column, low: Column) -> Column:
         def merged(hit: Column) -> Column:
-            was = lambda i: F.coalesce(F.try_element_at(hit, i), F.lit("0")) == "1"
-            joined = F.transform(s.p, lambda x, i: F.when((i > 0) & was(F.greatest(i, F.lit(1))), F.lit(None)).when(was(i + 1), low).otherwise(x))
+            was = lambda i: F.coalesce(F.get(hit, i), F.lit("0")) == "1"
+            joined = F.transform(s.p, lambda x, i: F.when((i > 0) & was(i - 1), F.lit(None)).when(was(i), low.cast("int")).otherwise(x))
             return _let(F.filter(joined, lambda x: x.isNotNull()), state)
 
         flags = F.array_join(F.transform(s.r, lambda r: F.when(r == low, "1").otherwise("0")), "")
         return _let(F.split(F.regexp_replace(flags, "11", "10"), ""), merged)
 
-    def fold(step) -> Column:
-        size = F.size(word)
-        start = state(F.transform(F.sequence(F.lit(0), size + 1), lambda i: F.when((i == 0) | (i > size), F.lit(PAD)).otherwise(F.get(table.bytes, F.get(word, i - 1)))))
-        last = lambda s: F.slice(s.p, 2, F.size(s.p) - 2)
-        return F.aggregate(F.sequence(F.lit(1), F.size(word)), start, lambda s, _: _let(F.array_min(s.r), lambda low: F.when(low == none, s).otherwise(step(s, low))), last)
+    start = _let(F.transform(word, lambda b: F.get(table.bytes, b)), state)
+    none = F.lit(NONE).cast("long")
+    return F.aggregate(F.sequence(F.lit(2), F.size(word)), start, lambda s, _: _let(F.coalesce(F.array_min(s.r), none), lambda low: F.when(low == none, s).otherwise(step(s, low))), lambda s: s.p)
+
 
-    return F.when(F.size(word) == 0, F.array().cast("array<int>")).when(F.size(word) <= LONG_WORD, fold(first_place)).otherwise(fold(all_places))
+def encode_bytes(table: Column, word: Column) -> Column:
+    """The ids of one word, given as the array of its bytes' values: array<int>."""
+    return F.when(F.size(word) < 2, F.transform(word, lambda b: F.get(table.bytes, b))).when(F.size(word) <= LONG_WORD, _encode_short(table, word)).otherwise(_encode_long(table, word))
 
 
 def decode_ids(pieces: Column, ids: Column) -> Column:
