@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.shared import fresh, text_column
 
 #: Text bytes of one batch row (a longer document is a row by itself).
-BATCH_BYTES = 40 << 20
+BATCH_BYTES = 10 << 20
 #: Buckets of the rank literal; a pair of ids has the key first * SHIFT + second; NONE is above all ranks.
 BUCKETS, SHIFT, NONE = 131_071, 1 << 16, 1 << 30
 #: Words above this many bytes merge all places of the best pair in one step.
@@ -46,14 +47,13 @@ def merge_table(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
 
 
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """One constant struct: `bytes` has the id of each byte, `merges` the ranks of pairs of ids, in buckets of small maps."""
+    """The merges as one constant: the ranks of pairs of ids, in buckets of small maps."""
     if max(ranks.values(), default=0) >= SHIFT:
         raise ValueError(f"ids must be below {SHIFT}")
     merges: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for (a, b), rank in merge_table(ranks).items():
         merges[(a * SHIFT + b) % BUCKETS][str(a * SHIFT + b)] = rank
-    found = {"bytes": [ranks[bytes([i])] for i in range(256)], "merges": merges}
-    return F.from_json(F.lit(json.dumps(found, separators=(",", ":"))), "struct<bytes:array<int>,merges:array<map<string,int>>>")
+    return F.from_json(F.lit(json.dumps(merges, separators=(",", ":"))), "array<map<string,int>>")
 
 
 def piece_literal(ranks: dict[bytes, int]) -> Column:
@@ -72,7 +72,7 @@ def _let(value: Column, body) -> Column:
 def _merged(table: Column, a: Column, b: Column) -> Column:
     """The rank that pieces a and b merge to, else NONE."""
     key = a.cast("long") * SHIFT + b
-    return F.coalesce(F.try_element_at(F.get(table.merges, (key % BUCKETS).cast("int")), key.cast("string")), F.lit(NONE)).cast("long")
+    return F.coalesce(F.try_element_at(F.get(table, (key % BUCKETS).cast("int")), key.cast("string")), F.lit(NONE)).cast("long")
 
 
 def _encode_short(table: Column, word: Column) -> Column:
@@ -84,19 +84,22 @@ def _encode_short(table: Column, word: Column) -> Column:
     pack = lambda rank, rest: F.shiftleft(rank, 32) + rest
     rest = lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))
     id_ = lambda x: x.bitwiseAND(F.lit(SHIFT - 1))
-    byte = lambda i: F.get(table.bytes, F.get(word, i))
-    start = F.transform(word, lambda b, i: pack(_merged(table, F.get(table.bytes, b), byte(i + 1)), i.cast("long") * SHIFT + F.get(table.bytes, b)))
+    start = F.transform(word, lambda b, i: pack(_merged(table, b, F.get(word, i + 1)), i.cast("long") * SHIFT + b))
 
     def step(s: Column, least: Column) -> Column:
         low = F.shiftright(least, 32)
-        changed = F.transform(
-            s,
-            lambda x, i: F.when(x == least, pack(_merged(table, low, id_(F.get(s, i + 2))), rest(least) - id_(least) + low))
-            .when(F.get(s, i + 1) == least, pack(_merged(table, id_(x), low), rest(x)))
-            .when(F.get(s, i - 1) == least, F.lit(-1).cast("long"))
-            .otherwise(x),
-        )
-        return F.filter(changed, lambda x: x >= 0)
+
+        def around(at: Column) -> Column:
+            """Only the pieces at at - 1, at, at + 1 (from 0) change; the last of them goes."""
+            return F.transform(
+                s,
+                lambda x, i: F.when(F.abs(i - at) > 1, x)
+                .when(i == at, pack(_merged(table, low, id_(F.get(s, i + 2))), rest(least) - id_(least) + low))
+                .when(i < at, pack(_merged(table, id_(x), low), rest(x)))
+                .otherwise(-1),
+            )
+
+        return F.filter(_let(F.array_position(s, least).cast("int") - 1, around), lambda x: x >= 0)
 
     ended = F.lit(NONE << 32)
     return F.aggregate(F.sequence(F.lit(2), F.size(word)), start, lambda s, _: _let(F.array_min(s), lambda least: F.when(least >= ended, s).otherwise(step(s, least))), lambda s: F.transform(s, lambda x: id_(x).cast("int")))
@@ -120,14 +123,14 @@ def _encode_long(table: Column, word: Column) -> Column:
         flags = F.array_join(F.transform(s.r, lambda r: F.when(r == low, "1").otherwise("0")), "")
         return _let(F.split(F.regexp_replace(flags, "11", "10"), ""), merged)
 
-    start = _let(F.transform(word, lambda b: F.get(table.bytes, b)), state)
+    start = state(word)
     none = F.lit(NONE).cast("long")
     return F.aggregate(F.sequence(F.lit(2), F.size(word)), start, lambda s, _: _let(F.coalesce(F.array_min(s.r), none), lambda low: F.when(low == none, s).otherwise(step(s, low))), lambda s: s.p)
 
 
 def encode_bytes(table: Column, word: Column) -> Column:
-    """The ids of one word, given as the array of its bytes' values: array<int>."""
-    return F.when(F.size(word) < 2, F.transform(word, lambda b: F.get(table.bytes, b))).when(F.size(word) <= LONG_WORD, _encode_short(table, word)).otherwise(_encode_long(table, word))
+    """The ids of one word, given as the array of its bytes, each as its id: array<int>."""
+    return F.when(F.size(word) < 2, word).when(F.size(word) <= LONG_WORD, _encode_short(table, word)).otherwise(_encode_long(table, word))
 
 
 def decode_ids(pieces: Column, ids: Column) -> Column:
@@ -135,27 +138,50 @@ def decode_ids(pieces: Column, ids: Column) -> Column:
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(pieces, i + 1)), ""))
 
 
-def _split(batches: Iterator[pa.RecordBatch], text: str, carry: list[str], pattern: str) -> Iterator[pa.RecordBatch]:
-    """Batch rows: the byte arrays of the distinct words, and each document's columns with its words' positions among them."""
+def splitter(pattern: str):
+    """text -> its matches of pattern. Texts of Latin-1 characters only go through the faster standard module, with classes spelled out."""
+    import re
+
     import regex
 
-    find = regex.compile(pattern).findall
+    whole = regex.compile(pattern).findall
+    # The letters, numbers and white space of Latin-1.
+    letter, number, blank = r"A-Za-zªµºÀ-ÖØ-öø-ÿ", r"0-9²³¹¼½¾", r"\t-\r \x85\xa0"
+    plain = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{blank}{letter}{number}]").replace(r"\p{L}", f"[{letter}]").replace(r"\p{N}", f"[{number}]").replace(r"\s", f"[{blank}]").replace(r"\S", f"[^{blank}]")
+    if r"\p" in plain:
+        return whole
+    latin = re.compile(plain).findall
+
+    def split(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return whole(text)
+        return latin(text)
+
+    return split
+
+
+def _split(batches: Iterator[pa.RecordBatch], text: str, carry: list[str], pattern: str, byte_ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Batch rows: the byte arrays of the distinct words, and each document's columns with its words' positions among them."""
+    find = splitter(pattern)
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(text))
         kept = batch.select(carry)
         lo = 0
         while lo < batch.num_rows:
-            seen: dict[str, int] = {}
+            seen: defaultdict[str, int] = defaultdict()
+            seen.default_factory = seen.__len__
             positions: list[bytes] = []
             held, hi = 0, lo
             while hi < batch.num_rows and (hi == lo or held < BATCH_BYTES):
                 found = find(texts[hi].as_py() or "")
-                positions.append(np.array([seen.setdefault(w, len(seen)) for w in found], np.int32).tobytes())
+                positions.append(np.fromiter(map(seen.__getitem__, found), np.int32, len(found)).tobytes())
                 held += 4 * len(found)
                 hi += 1
             coded = [w.encode() for w in seen]
             lengths = np.fromiter(map(len, coded), np.int32, len(coded))
-            flat = pa.array(np.frombuffer(b"".join(coded), np.uint8).astype(np.int32))
+            flat = pa.array(byte_ids[np.frombuffer(b"".join(coded), np.uint8)])
             words = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), flat)
             rows = pa.StructArray.from_arrays([*kept.slice(lo, hi - lo).columns, pa.array(positions, pa.binary())], [*carry, "_positions"])
             one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
@@ -175,8 +201,8 @@ def _join(batches: Iterator[pa.RecordBatch], carry: list[str], ids: bool, schema
             out: list[tuple] = []
             for p in rows.field("_positions").to_pylist():
                 at = np.frombuffer(p, np.int32).tolist()
-                whole = b"".join([of_word[i] for i in at])
-                text = b"".join([back[i] for i in at])
+                whole = b"".join(map(of_word.__getitem__, at))
+                text = b"".join(map(back.__getitem__, at))
                 row = (len(whole) // 4, hashlib.sha256(whole).hexdigest(), hashlib.sha256(text).hexdigest())
                 out.append((*row, np.frombuffer(whole, "<u4").astype(np.int32)) if ids else row)
             made = [pa.array(c, t.type) for c, t in zip(zip(*out), list(schema)[len(carry) :])] if out else []
@@ -204,7 +230,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", carry:
     body = source.columns[-1]
     fields = [source.schema[c] for c in carry]
     rows = StructType([StructField("words", ArrayType(ArrayType(IntegerType()))), StructField("rows", ArrayType(StructType([*fields, StructField("_positions", docs.sparkSession.range(0).select(F.lit(b"")).schema[0].dataType)])))])
-    split = source.mapInArrow(lambda it: _split(it, body, carry, pattern), rows)
+    byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+    split = source.mapInArrow(lambda it: _split(it, body, carry, pattern, byte_ids), rows)
     coded = split.select(_let(rank_literal(ranks), lambda table: F.transform("words", lambda w: encode_bytes(table, w))).alias("ids"), "rows")
     both = coded.select("ids", _let(piece_literal(ranks), lambda pieces: F.transform("ids", lambda x: decode_ids(pieces, x))).alias("decoded"), "rows")
     out = StructType([*fields, *(StructField(n, t) for n, t in made)])
