@@ -19,7 +19,19 @@ def part_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select("p_partkey", "p_name", F.sha2(content, 256).alias("content_hash"))
 
 
+_VIEWS: dict[tuple[str, str], Graph] = {}
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The materialized view of the graph: built once in an application and kept by Spark (in memory, else on disk), as its queries share it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _VIEWS:
+        built = build(spark, sf_dir)
+        _VIEWS[key] = Graph(built.nodes.persist(), built.edges.persist(), built.dangling.persist())
+    return _VIEWS[key]
+
+
+def build(spark: SparkSession, sf_dir: str) -> Graph:
     t = lambda name: read(spark, sf_dir, name)
     key = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
     none = F.lit(None).cast("string")
