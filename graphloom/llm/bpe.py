@@ -106,7 +106,8 @@ def _encode_short(table: Column, word: Column) -> Column:
 
 
 def _encode_long(table: Column, word: Column) -> Column:
-    """Merges all places of the best pair in a step, from the left, without overlaps: as one by one, since no merge of the ranks makes a pair of lower rank.
+    """Merges all places of the best pair in a step, from the left, without overlaps. That equals one by one as long as no piece so made
+    merges with a neighbour at a lower rank; where one does, only the first place is merged in this step.
 
     The state is p, the ids of the pieces, and r, the rank of each neighbouring pair.
     """
@@ -121,7 +122,11 @@ def _encode_long(table: Column, word: Column) -> Column:
             return _let(F.filter(joined, lambda x: x.isNotNull()), state)
 
         flags = F.array_join(F.transform(s.r, lambda r: F.when(r == low, "1").otherwise("0")), "")
-        return _let(F.split(F.regexp_replace(flags, "11", "10"), ""), merged)
+        lower = lambda i: (_merged(table, low, F.get(s.p, i + 2)) < low) | ((i > 0) & (_merged(table, F.get(s.p, i - 1), low) < low))
+        unsafe = lambda hit: (_merged(table, low, low) < low) | F.exists(F.transform(hit, lambda h, i: (h == "1") & lower(i)), lambda x: x)
+        first = lambda hit: F.transform(hit, lambda h, i: F.when(i == F.array_position(hit, F.lit("1")) - 1, "1").otherwise("0"))
+        places = _let(F.split(F.regexp_replace(flags, "11", "10"), ""), lambda hit: F.when(unsafe(hit), first(hit)).otherwise(hit))
+        return _let(places, merged)
 
     start = state(word)
     none = F.lit(NONE).cast("long")
