@@ -34,6 +34,6 @@ def connected(edges: DataFrame) -> DataFrame:
         if mark == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         seen = mark
-        after = materialize(_small_star(_large_star(now).distinct()))
+        after = materialize(_small_star(_large_star(now)))
         discard(now)
         now = after

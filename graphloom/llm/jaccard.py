@@ -5,8 +5,8 @@ sets are at distance 1 of each other, so a set that is a pivot tells nothing abo
 therefore points with a single shingle: the cell of pivot s holds the sets nearest to s, those that have s as their
 rarest shingle. By the triangle inequality a set within the radius of x misses at most n - ceil(t n) of x's n
 shingles; this is the window in which x is copied into the cells of its next pivots, so every linked pair meets in some
-cell. In a cell the smallest set is the pivot of the second level. All others are compared with it, which joins groups of
-near copies with one comparison per member. Only cells that still hold sets of different components go on: small
+cell. In a cell the set with the fewest rarer shingles is the pivot of the second level: all others are compared
+with it, which joins groups of near copies with one comparison per member. Only cells that still hold sets of different components go on: small
 ones compare the pairs across components, large ones are split again by the next pivot of each set.
 
 Rarity comes from a sketch of counts over all texts (2**20 cells); it orders pivots only and cannot change the result.
@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import kernel
 from graphloom.llm.components import connected
-from graphloom.llm.shared import discard, materialize, text_column
+from graphloom.llm.shared import discard, materialize, release, text_column
 
 SKETCH_BITS, BLOCK_BITS = 20, 12
 #: Levels of splitting at most; what is left then compares all pairs across components.
 DEPTH = 4
 #: A cell of m sets compares pairs while they are at most so many in all, and so many for each set.
-LEAF_PAIRS, LEAF_EACH = 4096, 16
+LEAF_PAIRS, LEAF_EACH = 4096, 1024
 #: Cells of the filter that picks the texts whose sets are needed.
 NEED_BITS = 21
 
@@ -90,7 +90,10 @@ def _min_overlap(n, num: int, den: int):
 
 
 def _profiles(docs: DataFrame, levels: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """id, n, digest of the set (null for none), prefix: the rarest shingles, in order, that the window needs."""
+    """id, n, digest of the set (null for none), prefix: the rarest shingles, in order, that the window needs.
+
+    A shingle stands in prefix as its level in the upper bits over 57 bits of its hash, so numbers compare as rarities do.
+    """
     held = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,8 +105,9 @@ def _profiles(docs: DataFrame, levels: np.ndarray, k: int, num: int, den: int) -
                     sizes.append(n)
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
                     if n:
-                        order = np.lexsort((s, held.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
-                        prefixes.append(s[order[: n - _min_overlap(n, num, den) + 1 + DEPTH]].view(np.int64))
+                        level = held.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+                        ranked = np.sort((level << np.uint64(57)) | (s >> np.uint64(7)))
+                        prefixes.append(ranked[: n - _min_overlap(n, num, den) + 1 + DEPTH].view(np.int64))
                     else:
                         prefixes.append(np.zeros(0, np.int64))
                 flat = pa.array(np.concatenate(prefixes))
@@ -129,22 +133,29 @@ def _needed_sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(marks)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # of this task
         for batch in it:
             for lo, hi, data, offsets in kernel.slices(text_column(batch, "text")):
                 ids = batch.column(0).slice(lo, hi - lo).to_pylist()
-                made = [(d, s) for s, i in zip(sets_of(data, offsets, k), ids) if len(s) and held.value[_need_cell(d := xxhash.xxh3_128_digest(s.tobytes()), i)]]
+                made = []
+                for s, i in zip(sets_of(data, offsets, k), ids):
+                    digest = xxhash.xxh3_128_digest(s.tobytes())
+                    if len(s) and digest not in seen and held.value[_need_cell(digest, i)]:
+                        seen.add(digest)
+                        made.append((digest, s))
                 if made:
                     ends = np.append(0, np.cumsum([len(s) for _, s in made])).astype(np.int32)
                     flat = pa.array(np.concatenate([s for _, s in made]).view(np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in made], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["digest", "shingles"])
 
-    return docs.mapInArrow(run, "digest binary, shingles array<long>")
+    return docs.mapInArrow(run, "digest binary, shingles array<long>").dropDuplicates(["digest"])
 
 
 class _Join:
     def __init__(self, docs: DataFrame, k: int, num: int, den: int):
         self.docs, self.k, self.num, self.den = docs, k, num, den
-        self.links: DataFrame | None = None
+        self.new: DataFrame | None = None
+        self.known = docs.sparkSession.createDataFrame([], "node long, root long")
         self.tested: DataFrame | None = None
 
     def can_link(self, level: int):
@@ -160,31 +171,50 @@ class _Join:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
         self.tested = pairs if self.tested is None else self.tested.union(pairs)
-        if pairs.isEmpty():
+        near = materialize(self.bounded(pairs))
+        release(self.docs.sparkSession)
+        if near.isEmpty():
             return
+        wanted = near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "cid")
+        found = materialize(_needed_sets(self.docs, self.classes.join(wanted, "cid"), self.k))
         key = lambda side: self.classes.select(F.col("cid").alias(side), F.col("digest").alias(side + "d"))
-        sets = lambda side: self.sets.select(F.col("digest").alias(side + "d"), F.col("shingles").alias(side + "s"))
-        joined = pairs.join(key("a"), "a").join(key("b"), "b").join(sets("a"), "ad").select("a", "b", "bd", "as").join(sets("b"), "bd")
+        sets = lambda side: found.select(F.col("digest").alias(side + "d"), F.col("shingles").alias(side + "s"))
+        joined = near.join(key("a"), "a").join(key("b"), "b").join(sets("a"), "ad").select("a", "b", "bd", "as").join(sets("b"), "bd")
         common = F.size(F.array_intersect("as", "bs")).cast("long")
         linked = joined.filter((self.num + self.den) * common >= self.num * (F.size("as") + F.size("bs"))).select("a", "b").distinct()
         linked = materialize(linked)
-        self.links = linked if self.links is None else self.links.union(linked)
+        discard(found)
+        release(self.docs.sparkSession)
+        if not linked.isEmpty():
+            self.new = linked if self.new is None else self.new.union(linked)
+
+    def bounded(self, pairs: DataFrame) -> DataFrame:
+        """Pairs that can still link by their prefixes alone: up to the rarity where the shorter prefix ends all common shingles are known, and
+        beyond it there are at most as many as the set with fewer left."""
+        side = lambda k: self.classes.select(F.col("cid").alias(k), F.col("n").alias("n" + k), F.col("prefix").alias("p" + k))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("cut", F.least(F.element_at("pa", -1), F.element_at("pb", -1)))
+        beyond = lambda k: F.col("n" + k) - F.size(F.filter("p" + k, lambda x: x <= F.col("cut")))
+        most = F.size(F.array_intersect("pa", "pb")) + F.least(beyond("a"), beyond("b"))
+        return both.filter((self.num + self.den) * most >= self.num * (F.col("na") + F.col("nb"))).select("a", "b")
 
     def region_pivots(self, entries: DataFrame, level: int) -> DataFrame:
-        """Entries (region, cid, n, pos) with the pivot of their region (cid2, n2, pos2), its smallest set; lone sets go."""
+        """Entries (region, cid, n, pos) with the pivot of their region (cid2, n2, pos2); lone sets go.
+
+        The pivot is the set that has the fewest rarer shingles: what near copies were made from has none of its own, so most of them link with it.
+        """
         same = F.ceil(F.col("n") * 2 * self.num / (self.num + self.den) - 1e-9)
         early = entries.filter(F.col("n") - F.col("pos") + level >= same)
-        pivot = early.groupBy("region").agg(F.min(F.struct("n", "cid", "pos")).alias("p"))
-        pivot = pivot.select("region", F.col("p.cid").alias("cid2"), F.col("p.n").alias("n2"), F.col("p.pos").alias("pos2"))
-        return entries.join(pivot, "region").filter("cid != cid2")
+        # place and size go as one number through the shuffle
+        packed = F.shiftleft("pos", 32) + F.col("n")
+        pivot = early.groupBy("region").agg(F.min(F.struct(packed.alias("np"), "cid")).alias("p")).select("region", F.col("p.np").alias("np2"), F.col("p.cid").alias("cid2"))
+        both = entries.select("region", "cid", packed.alias("np")).join(pivot, "region").filter("cid != cid2")
+        place, size = (lambda c: F.shiftright(c, 32)), (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)))
+        return both.select("region", "cid", size("np").alias("n"), place("np").alias("pos"), "cid2", size("np2").alias("n2"), place("np2").alias("pos2"))
 
     def level(self, entries: DataFrame, level: int) -> DataFrame | None:
         """Joins the regions; returns the entries of the next level, or None."""
         members = materialize(self.region_pivots(entries, level))
-        if level == 0:
-            wanted = members.select("cid").union(members.select(F.col("cid2").alias("cid"))).distinct()
-            needed = self.classes.join(wanted, "cid").select("digest", "id")
-            self.sets = materialize(_needed_sets(self.docs, needed, self.k).dropDuplicates(["digest"]))
+        release(self.docs.sparkSession)
         self.verify(members.filter(self.can_link(level)).select(F.col("cid").alias("a"), F.col("cid2").alias("b")))
         roots = self.roots()
         home = lambda side, to: roots.select(F.col("node").alias(side), F.col("root").alias(to))
@@ -194,6 +224,8 @@ class _Join:
         # all non-pivot members of one component, or only one: nothing to compare
         open_ = counts.filter(F.col("m") * F.col("m") > F.col("same")).select("region", ((F.col("m") * F.col("m") - F.col("same")) / 2 > LEAF_PAIRS + LEAF_EACH * F.col("m")).alias("large"))
         rest = materialize(labelled.drop("root2").join(open_, "region"))
+        if rest.isEmpty():
+            return None
         discard(members)
         last = level + 1 >= DEPTH
         small = rest if last else rest.filter(~F.col("large"))
@@ -212,13 +244,25 @@ class _Join:
         return materialize(spread.select(F.xxhash64("region", "s").alias("region"), "cid", "n", (F.col("was") + F.col("step") + 1).alias("pos")))
 
     def roots(self) -> DataFrame:
-        return materialize(connected(self.links)) if self.links is not None else self.docs.sparkSession.createDataFrame([], "node long, root long")
+        """node, root of all linked classes. Links that came since the last call are first drawn between the roots known then."""
+        if self.new is None:
+            return self.known
+        of = lambda side: self.known.select(F.col("node").alias(side), F.col("root").alias(side + "r"))
+        drawn = self.new.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ar", "a").alias("a"), F.coalesce("br", "b").alias("b")).filter("a <> b").distinct()
+        found = materialize(connected(drawn))
+        moved = self.known.join(found.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        added = found.join(self.known.select("node"), "node", "left_anti").select("node", "root")
+        self.known, self.new = materialize(moved.unionByName(added)), None
+        return self.known
 
     def run(self) -> DataFrame:
         levels = _sketch(self.docs, self.k)
         rows = materialize(_profiles(self.docs, levels, self.k, self.num, self.den))
         grouped = rows.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
         self.classes = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()))
+        narrow = materialize(rows.select("id", "n", "digest"))
+        discard(rows)
+        release(self.docs.sparkSession)
         window = (F.col("n") - F.ceil(F.col("n") * self.num / self.den - 1e-9) + 1).cast("int")
         entries: DataFrame | None = self.classes.select("cid", "n", F.posexplode(F.slice("prefix", 1, window)).alias("pos", "region")).select("region", "cid", "n", F.col("pos").cast("long").alias("pos"))
         level = 0
@@ -230,7 +274,7 @@ class _Join:
         least = of_class.groupBy("root").agg(F.min("id").alias("component"))
         merged = of_class.join(least, "root").select("digest", "component")
         alone = self.classes.select("digest", "id").join(merged, "digest", "left").select("digest", F.coalesce("component", "id").alias("component"))
-        out = rows.select("id", "n", "digest").join(alone, "digest", "left")
+        out = narrow.join(alone, "digest", "left")
         return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
