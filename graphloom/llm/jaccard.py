@@ -31,6 +31,9 @@ SKETCH_BITS, BLOCK_BITS = 20, 12
 DEPTH = 4
 #: A cell of m sets compares pairs while they are at most so many in all, and so many for each set.
 LEAF_PAIRS, LEAF_EACH = 4096, 1024
+#: 64-bit numbers of a set's parity bits. A bit says whether an odd number of the set's shingles falls on it, so two sets differ in
+#: at least as many shingles as their bits differ: a bound that keeps most pairs of a leaf cell from leaving its join.
+PARITY = 8
 #: Cells of the filter that picks the texts whose sets are needed.
 NEED_BITS = 21
 
@@ -52,6 +55,12 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """PARITY numbers: bit b is set where an odd number of the hashes in s fall on b."""
+    odd = np.bincount((s % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     """Level of each cell: how many doublings its count is above the mean. 2**20 bytes."""
 
@@ -90,7 +99,7 @@ def _min_overlap(n, num: int, den: int):
 
 
 def _profiles(docs: DataFrame, levels: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """id, n, digest of the set (null for none), prefix: the rarest shingles, in order, that the window needs.
+    """id, n, digest of the set (null for none), bits: its parity, prefix: the rarest shingles, in order, that the window needs.
 
     A shingle stands in prefix as its level in the upper bits over 57 bits of its hash, so numbers compare as rarities do.
     """
@@ -99,11 +108,12 @@ def _profiles(docs: DataFrame, levels: np.ndarray, k: int, num: int, den: int) -
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for lo, hi, data, offsets in kernel.slices(text_column(batch, "text")):
-                sizes, digests, prefixes = [], [], []
+                sizes, digests, bits, prefixes = [], [], [], []
                 for s in sets_of(data, offsets, k):
                     n = len(s)
                     sizes.append(n)
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
+                    bits.append(parity(s))
                     if n:
                         level = held.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
                         ranked = np.sort((level << np.uint64(57)) | (s >> np.uint64(7)))
@@ -112,9 +122,9 @@ def _profiles(docs: DataFrame, levels: np.ndarray, k: int, num: int, den: int) -
                         prefixes.append(np.zeros(0, np.int64))
                 flat = pa.array(np.concatenate(prefixes))
                 ends = np.append(0, np.cumsum([len(p) for p in prefixes])).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["id", "n", "digest", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(PARITY * np.arange(len(sizes) + 1, dtype=np.int32)), pa.array(np.concatenate(bits))), pa.ListArray.from_arrays(pa.array(ends), flat)], ["id", "n", "digest", "bits", "prefix"])
 
-    return docs.mapInArrow(run, "id long, n long, digest binary, prefix array<long>")
+    return docs.mapInArrow(run, "id long, n long, digest binary, bits array<long>, prefix array<long>")
 
 
 def _need_cell(digest: bytes, doc: int | None) -> int:
@@ -164,6 +174,11 @@ class _Join:
         sizes = self.den * F.least("n", "n2") >= self.num * F.greatest("n", "n2")
         return sizes & (F.col("n") - F.col("pos") + level >= least) & (F.col("n2") - F.col("pos2") + level >= least)
 
+    def differ_little(self):
+        """On (n, bits) and (n2, bits2): linked sets differ in n + n2 - 2 * common shingles at most, and their bits in no more."""
+        apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(PARITY)), F.lit(0))
+        return apart * (self.num + self.den) <= (self.den - self.num) * (F.col("n") + F.col("n2"))
+
     def verify(self, pairs: DataFrame) -> None:
         """Compares pairs (a, b) exactly and adds the linked ones to links."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -228,9 +243,9 @@ class _Join:
             return None
         discard(members)
         last = level + 1 >= DEPTH
-        small = rest if last else rest.filter(~F.col("large"))
-        other = small.select("region", F.col("cid").alias("cid2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("root2"))
-        pairs = small.join(other, "region").filter((F.col("cid") < F.col("cid2")) & (F.col("root") != F.col("root2")) & self.can_link(level))
+        small = (rest if last else rest.filter(~F.col("large"))).join(self.classes.select("cid", "bits"), "cid")
+        other = small.select("region", F.col("cid").alias("cid2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("root2"), F.col("bits").alias("bits2"))
+        pairs = small.join(other, "region").filter((F.col("cid") < F.col("cid2")) & (F.col("root") != F.col("root2")) & self.can_link(level) & self.differ_little())
         self.verify(pairs.select(F.col("cid").alias("a"), F.col("cid2").alias("b")))
         if last:
             return None
@@ -258,7 +273,7 @@ class _Join:
     def run(self) -> DataFrame:
         levels = _sketch(self.docs, self.k)
         rows = materialize(_profiles(self.docs, levels, self.k, self.num, self.den))
-        grouped = rows.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+        grouped = rows.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
         self.classes = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()))
         narrow = materialize(rows.select("id", "n", "digest"))
         discard(rows)
