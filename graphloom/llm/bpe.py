@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.shared import fresh, text_column
 
-#: Text bytes of one batch row (a longer document is a row by itself).
+#: Bytes of positions, and of texts where text columns are carried, in one batch row (a longer document is a row by itself).
 BATCH_BYTES = 10 << 20
 #: Buckets of the rank literal; a pair of ids has the key first * SHIFT + second; NONE is above all ranks.
 BUCKETS, SHIFT, NONE = 131_071, 1 << 16, 1 << 30
@@ -173,6 +173,7 @@ def _split(batches: Iterator[pa.RecordBatch], text: str, carry: list[str], patte
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(text))
         kept = batch.select(carry)
+        wide = any(pa.types.is_string(c.type) or pa.types.is_large_string(c.type) for c in kept.columns)  # such rows take the texts along
         lo = 0
         while lo < batch.num_rows:
             seen: defaultdict[str, int] = defaultdict()
@@ -182,7 +183,7 @@ def _split(batches: Iterator[pa.RecordBatch], text: str, carry: list[str], patte
             while hi < batch.num_rows and (hi == lo or held < BATCH_BYTES):
                 found = find(texts[hi].as_py() or "")
                 positions.append(np.fromiter(map(seen.__getitem__, found), np.int32, len(found)).tobytes())
-                held += 4 * len(found)
+                held += 4 * len(found) + (len(texts[hi].as_py() or "") if wide else 0)
                 hi += 1
             coded = [w.encode() for w in seen]
             lengths = np.fromiter(map(len, coded), np.int32, len(coded))
