@@ -2,8 +2,9 @@
 
 Tokens of texts and items are made canonical: numbers become <number>, units after a number <unit>, capitalised words inside a sentence
 <name>; other words are lower-cased. Windows of k canonical tokens are hashed and joined to the items' windows, so a question
-with other numbers or names still matches its template. Each matched window is then checked: its words must be equal, and along a passage
-every placeholder value of the item must stand for one value of the text (and the other way round), or the slots are inconsistent.
+with other numbers or names still matches its template. A second reading keeps names as lower-cased words, so letter case alone does not part
+a text from an item; a third one has an item's capitalised first word as <name>, as texts that embed the item in a sentence have it. Each
+matched window is then checked: its tokens must be equal in lower case or be placeholders of one kind, and along a passage every placeholder value of the item must stand for one value of the text (and the other way round), or the slots are inconsistent.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,14 +46,27 @@ _UNIT_CODES = np.sort(np.array([_code(u) for u in UNITS], np.uint64))
 _NUMBER, _UNIT, _NAME = (_code(x) for x in (NUMBER, UNIT, NAME))
 
 
+def _lowered(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of the texts in lower case; where the bytes are no UTF-8, only A-Z are lowered."""
+    texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+    try:
+        low = pc.utf8_lower(texts)
+    except pa.ArrowInvalid:
+        return kernel.LOWER[data], offsets
+    return next((d, o) for _, _, d, o in kernel.slices(low.cast(pa.large_binary()), 1 << 62))
+
+
 class Tokens:
-    """Canonical tokens of a slice: found (words), codes (hash of each canonical token), slot (0 word, 1 number, 2 unit, 3 name)."""
+    """Canonical tokens of a slice: found (words in lower case), codes (hash of each canonical token), slot (0 word, 1 number, 2 unit, 3 name)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        low = kernel.LOWER[data]
-        self.low, self.found = low, kernel.words(low, offsets, kernel.PUNCTUATION)
-        f = self.found
+        self.low, places = _lowered(data, offsets)
+        self.found = kernel.words(self.low, places, kernel.PUNCTUATION)
+        # lower case turns letters into letters, so the words of the text as it stands are the same ones, if at other bytes
+        f = self.found if np.array_equal(places, offsets) else kernel.words(data, offsets, kernel.PUNCTUATION)
+        hashes = self.found.hashes
         n = len(f.starts)
+        self.capital = np.zeros(n, bool)
         self.slot = np.zeros(n, np.int8)
         if n:
             digits = np.append(0, np.cumsum(_DIGIT[data]))
@@ -61,20 +76,35 @@ class Tokens:
             opens[1:] = (f.rows[1:] != f.rows[:-1]) | (stops[f.starts[1:]] > stops[f.ends[:-1]])
             head = data[f.starts]
             second = data[np.minimum(f.starts + 1, len(data) - 1)]
-            capital = ((head >= 0x41) & (head <= 0x5A)) | ((head == 0xC3) & (second >= 0x80) & (second <= 0x9E))
+            self.capital = capital = ((head >= 0x41) & (head <= 0x5A)) | ((head == 0xC3) & (second >= 0x80) & (second <= 0x9E))
             after = np.zeros(n, bool)
             after[1:] = number[:-1] & (f.rows[1:] == f.rows[:-1])
-            at = np.minimum(np.searchsorted(_UNIT_CODES, f.hashes), len(_UNIT_CODES) - 1)
-            unit = after & (_UNIT_CODES[at] == f.hashes)
+            at = np.minimum(np.searchsorted(_UNIT_CODES, hashes), len(_UNIT_CODES) - 1)
+            unit = after & (_UNIT_CODES[at] == hashes)
             self.slot = np.select([number, unit, capital & ~opens], [1, 2, 3], 0).astype(np.int8)
-        self.codes = np.select([self.slot == 1, self.slot == 2, self.slot == 3], [_NUMBER, _UNIT, _NAME], f.hashes).astype(np.uint64)
-
-    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of windows of k tokens and which of them count: within one text, with words in at least half of it."""
-        hashes, whole = kernel.windows(self.found, k, self.codes)
-        literal = np.append(0, np.cumsum(self.slot == 0))
-        n = len(hashes)
-        return hashes, whole & (2 * (literal[k : k + n] - literal[:n]) >= k)
+        self.plain = np.select([self.slot == 1, self.slot == 2], [_NUMBER, _UNIT], hashes).astype(np.uint64)
+        self.codes = np.where(self.slot == 3, _NAME, self.plain)
+
+    def windows(self, k: int, item: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Hashes of windows of k tokens and which of them count, for each reading: within one text, in items with words in at least half of it."""
+        for codes, words, opening in self._readings(item):
+            hashes, good = kernel.windows(self.found, k, codes)
+            n = len(hashes)
+            if item:
+                literal = np.append(0, np.cumsum(words))
+                good = good & (2 * (literal[k : k + n] - literal[:n]) >= k)
+            yield hashes, good if opening is None else good & opening[:n]
+
+    def _readings(self, item: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+        """Codes, which tokens are words, and which windows are read so (None for all)."""
+        yield self.codes, self.slot == 0, None
+        yield self.plain, (self.slot == 0) | (self.slot == 3), None
+        if item:
+            opening = np.zeros(len(self.codes), bool)
+            first = self.found.first[:-1]
+            opening[first[first < len(opening)]] = True
+            opening &= self.capital
+            yield np.where(opening, _NAME, self.codes), self.slot == 0, opening
 
     def strings(self, at: int, k: int) -> list[str]:
         """k tokens from at: words as they are, slots as their sign and value."""
@@ -92,17 +122,21 @@ def _rows(texts: pa.Array, ids: list, k: int, wanted: dict[int, np.ndarray] | No
         first = tokens.found.first
         sizes = np.diff(first)
         for size in sorted(wanted) if wanted is not None else range(1, k + 1):
-            hashes, good = tokens.windows(size)
-            if wanted is None:
-                # a short item is one window of its own
-                good &= (sizes[tokens.found.rows[: len(good)]] == size) if size < k else (sizes[tokens.found.rows[: len(good)]] >= k)
-            else:
-                at = np.minimum(np.searchsorted(wanted[size], hashes), len(wanted[size]) - 1)
-                good &= wanted[size][at] == hashes
-            for p in np.flatnonzero(good).tolist():
-                row = int(tokens.found.rows[p])
-                key = xxhash.xxh3_128_digest(data[offsets[row] : offsets[row + 1]].tobytes())
-                yield ids[lo + row], key, int(sizes[row]), size, p - int(first[row]), int(hashes[p].view(np.int64)), tokens.strings(p, size)
+            read: list[np.ndarray] = []
+            for hashes, good in tokens.windows(size, wanted is None):
+                for other in read:  # a window without names is the same in two readings
+                    good = good & (hashes != other)
+                read.append(hashes)
+                if wanted is None:
+                    # a short item is one window of its own
+                    good &= (sizes[tokens.found.rows[: len(good)]] == size) if size < k else (sizes[tokens.found.rows[: len(good)]] >= k)
+                else:
+                    at = np.minimum(np.searchsorted(wanted[size], hashes), len(wanted[size]) - 1)
+                    good &= wanted[size][at] == hashes
+                for p in np.flatnonzero(good).tolist():
+                    row = int(tokens.found.rows[p])
+                    key = xxhash.xxh3_128_digest(data[offsets[row] : offsets[row + 1]].tobytes())
+                    yield ids[lo + row], key, int(sizes[row]), size, p - int(first[row]), int(hashes[p].view(np.int64)), tokens.strings(p, size)
 
 
 _KIND = "id long, key binary, n long, size int, pos long, h long, tokens array<string>"
@@ -143,13 +177,14 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
         hits = spark.createDataFrame([], _KIND)
     other = templates.select("size", "h", F.col("id").alias("item"), F.col("n").alias("item_n"), F.col("pos").alias("item_pos"), F.col("tokens").alias("item_tokens"))
     slot = lambda t: t.startswith("<")
-    word = lambda t: F.when(slot(t), F.substring_index(t, ">", 1)).otherwise(t)
-    same = F.forall(F.zip_with("tokens", "item_tokens", lambda a, b: word(a) == word(b)), lambda x: x)
+    sign = lambda t: F.substring_index(t, ">", 1)
+    value = lambda t: F.substring_index(t, ">", -1)
+    same = F.forall(F.zip_with("tokens", "item_tokens", lambda a, b: (value(a) == value(b)) | (slot(a) & slot(b) & (sign(a) == sign(b)))), lambda x: x)
     matched = hits.join(other, ["size", "h"]).filter(same).withColumn("d", F.col("pos") - F.col("item_pos"))
     # (item position, item value, text value) of each matched token on the diagonal
     pairs = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.struct((F.col("item_pos") + i).alias("q"), F.get("item_tokens", i).alias("v"), F.get("tokens", i).alias("u")))
     per = matched.groupBy("id", "key", "item", "item_n", "d").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(pairs)))).alias("m"))
-    slots = F.array_distinct(F.transform(F.filter("m", lambda x: slot(x.v)), lambda x: F.struct(x.v.alias("v"), x.u.alias("u"))))
+    slots = F.array_distinct(F.transform(F.filter("m", lambda x: slot(x.v)), lambda x: F.struct(x.v.alias("v"), F.concat_ws(">", sign(x.v), value(x.u)).alias("u"))))
     count = lambda field: F.size(F.array_distinct(F.transform(slots, lambda x: x[field])))
     consistent = (count("v") == F.size(slots)) & (count("u") == F.size(slots))
     found = per.filter(consistent).withColumn("n_tokens", F.size("m").cast("long")).filter(F.col("n_tokens") >= F.least(F.lit(min_tokens), F.col("item_n")))

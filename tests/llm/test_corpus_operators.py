@@ -148,6 +148,19 @@ def test_reparameterised_questions(spark, docs, empty):
     assert decontamination.leaks(empty, items).count() == 0 and decontamination.leaks(frame, items.limit(0)).count() == 0
 
 
+def test_letter_case_does_not_hide_an_item(spark):
+    items = spark.createDataFrame([(1, "Yesterday Élodie bought 12 apples and gave 5 of them to Robert, so how many does she keep"), (2, "Kim has seven red balls and Alice takes 3 away"), (3, "Who wrote the old song")], "item_id long, text string")
+    rows = [
+        (1, "NOTE. YESTERDAY ÉLODIE BOUGHT 12 APPLES AND GAVE 5 OF THEM TO ROBERT, SO HOW MANY DOES SHE KEEP"),
+        (2, "note. yesterday élodie bought 40 apples and gave 7 of them to robert, so how many does she keep"),
+        (3, "They ask (Kim has seven red balls and Mary takes 4 away) in class"),
+        (4, "We hear: who sang, Who wrote the old song, and why"),
+        (5, "they ask kim had seven red balls and mary takes 4 away in class"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(frame, items).collect()} == {(1, 1), (2, 1), (3, 2), (4, 3)}
+
+
 def test_benchmark_blocks(spark, monkeypatch):
     rng = random.Random(8)
     items = [(i, " ".join(word(rng) for _ in range(30))) for i in range(20)]
