@@ -4,7 +4,8 @@ Tokens of texts and items are made canonical: numbers become <number>, units aft
 <name>; other words are lower-cased. Windows of k canonical tokens are hashed and joined to the items' windows, so a question
 with other numbers or names still matches its template. A second reading keeps names as lower-cased words, so letter case alone does not part
 a text from an item; a third one has an item's capitalised first word as <name>, as texts that embed the item in a sentence have it. Each
-matched window is then checked: its tokens must be equal in lower case or be placeholders of one kind, and along a passage every placeholder value of the item must stand for one value of the text (and the other way round), or the slots are inconsistent.
+matched window is then checked: its tokens must be equal in lower case or be placeholders of one kind. Along a passage every placeholder value
+of the item must stand for one value of the text; two values of the item may become the same.
 """
 
 from __future__ import annotations
@@ -142,12 +143,43 @@ def _rows(texts: pa.Array, ids: list, k: int, wanted: dict[int, np.ndarray] | No
 _KIND = "id long, key binary, n long, size int, pos long, h long, tokens array<string>"
 _ARROW = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("n", pa.int64()), ("size", pa.int32()), ("pos", pa.int64()), ("h", pa.int64()), ("tokens", pa.list_(pa.string()))])
 
+_FOUND = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("item", pa.int64()), ("item_n", pa.int64()), ("d", pa.int64()), ("n_tokens", pa.int64()), ("q", pa.int64()), ("slots", pa.int32())])
+
+
+def _passage(matched: list[tuple[int, str, str]]) -> Iterator[tuple[int, int, int]]:
+    """(tokens, first item position, slots) of passages among the matched (item position, item token, text token) of a diagonal, in order.
+
+    All of it if its slots are consistent; else each run of neighbouring tokens whose slots are, and in the other runs each stretch of equal tokens.
+    """
+
+    def slots(part: list[tuple[int, str, str]]) -> set[tuple[str, str]]:
+        return {(v, u.rpartition(">")[2]) for _, v, u in part if v.startswith("<")}
+
+    def split(part: list[tuple[int, str, str]]) -> Iterator[list[tuple[int, str, str]]]:
+        first = 0
+        for j in range(1, len(part) + 1):
+            if j == len(part) or part[j][0] != part[j - 1][0] + 1:
+                yield part[first:j]
+                first = j
+
+    def whole(part: list[tuple[int, str, str]]) -> bool:
+        pairs = slots(part)
+        return len({v for v, _ in pairs}) == len(pairs)
+
+    if whole(matched):
+        yield len(matched), matched[0][0], len(slots(matched))
+        return
+    for run in split(matched):
+        equal = [m for m in run if m[1].rpartition(">")[2] == m[2].rpartition(">")[2]]
+        for part in [run] if whole(run) else split(equal) if equal else []:
+            yield len(part), part[0][0], len(slots(part))
+
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", k: int = 8, min_tokens: int = 13) -> DataFrame:
     """doc_id, item_id, n_tokens, item_tokens, n_slots, first_token of every text that holds a passage of an item.
 
-    A passage is a run of matched windows on one diagonal (text position less item position) with consistent slots; it counts when it has at
-    least min_tokens tokens of the item, or all of a shorter item. Items of fewer than k tokens are one window; items of fewer than 3 tokens
+    A passage is the matched windows of one diagonal (text position less item position) if their slots are consistent, or else a run of them with
+    consistent slots, or a stretch of equal tokens; it counts when it has at least min_tokens tokens of the item, or all of a shorter item. Items of fewer than k tokens are one window; items of fewer than 3 tokens
     or of more placeholders than words are not looked for. For a text and item the longest passage is returned. Rows of one id and text are
     one document. Null and empty texts and empty tables have no leaks; a null id is an id.
     """
@@ -175,20 +207,23 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
         hits = more if hits is None else hits.unionByName(more)
     if hits is None:
         hits = spark.createDataFrame([], _KIND)
-    other = templates.select("size", "h", F.col("id").alias("item"), F.col("n").alias("item_n"), F.col("pos").alias("item_pos"), F.col("tokens").alias("item_tokens"))
+    other = templates.select("size", "h", F.col("id").alias("item"), F.col("key").alias("item_key"), F.col("n").alias("item_n"), F.col("pos").alias("item_pos"), F.col("tokens").alias("item_tokens"))
     slot = lambda t: t.startswith("<")
     sign = lambda t: F.substring_index(t, ">", 1)
     value = lambda t: F.substring_index(t, ">", -1)
     same = F.forall(F.zip_with("tokens", "item_tokens", lambda a, b: (value(a) == value(b)) | (slot(a) & slot(b) & (sign(a) == sign(b)))), lambda x: x)
     matched = hits.join(other, ["size", "h"]).filter(same).withColumn("d", F.col("pos") - F.col("item_pos"))
-    # (item position, item value, text value) of each matched token on the diagonal
+    # (item position, item token, text token) of each matched token on the diagonal
     pairs = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.struct((F.col("item_pos") + i).alias("q"), F.get("item_tokens", i).alias("v"), F.get("tokens", i).alias("u")))
-    per = matched.groupBy("id", "key", "item", "item_n", "d").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(pairs)))).alias("m"))
-    slots = F.array_distinct(F.transform(F.filter("m", lambda x: slot(x.v)), lambda x: F.struct(x.v.alias("v"), F.concat_ws(">", sign(x.v), value(x.u)).alias("u"))))
-    count = lambda field: F.size(F.array_distinct(F.transform(slots, lambda x: x[field])))
-    consistent = (count("v") == F.size(slots)) & (count("u") == F.size(slots))
-    found = per.filter(consistent).withColumn("n_tokens", F.size("m").cast("long")).filter(F.col("n_tokens") >= F.least(F.lit(min_tokens), F.col("item_n")))
-    best = found.groupBy("id", "key", "item", "item_n").agg(F.max(F.struct("n_tokens", (-(F.col("d") + F.col("m")[0].q)).alias("at"), F.size(slots).alias("slots"))).alias("b"))
+    per = matched.groupBy("id", "key", "item", "item_key", "item_n", "d").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(pairs)))).alias("m"))
+
+    def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows = batch.to_pylist()
+            yield from batches(((r["id"], r["key"], r["item"], r["item_n"], r["d"], *p) for r in rows for p in _passage([(x["q"], x["v"], x["u"]) for x in r["m"]])), _FOUND)
+
+    found = per.mapInArrow(judge, "id long, key binary, item long, item_n long, d long, n_tokens long, q long, slots int").filter(F.col("n_tokens") >= F.least(F.lit(min_tokens), F.col("item_n")))
+    best = found.groupBy("id", "key", "item", "item_n").agg(F.max(F.struct("n_tokens", (-(F.col("d") + F.col("q"))).alias("at"), "slots")).alias("b"))
     return best.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "b.n_tokens", F.col("item_n").alias("item_tokens"), F.col("b.slots").alias("n_slots"), (-F.col("b.at")).alias("first_token"), "key")
 
 

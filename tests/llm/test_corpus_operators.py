@@ -161,6 +161,19 @@ def test_letter_case_does_not_hide_an_item(spark):
     assert {(r.doc_id, r.item_id) for r in decontamination.leaks(frame, items).collect()} == {(1, 1), (2, 1), (3, 2), (4, 3)}
 
 
+def test_one_altered_value_does_not_hide_the_rest(spark):
+    rng = random.Random(9)
+    words = [word(rng) for _ in range(56)]
+    verbatim = [*words[:20], "10", *words[20:36], "10", *words[36:]]
+    altered = [*verbatim[:37], "12", *verbatim[38:]]
+    parted = [*altered[:29], "other", *altered[30:]]  # two runs, each consistent
+    items = spark.createDataFrame([(1, " ".join(verbatim)), (2, "we bought 12 red apples and then 5 green apples at the old market")], "item_id long, text string")
+    rows = [(1, " ".join(altered)), (2, "Now we bought 7 red apples and then 7 green apples at the old market"), (3, " ".join(parted))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_tokens, r.n_slots, r.first_token) for r in decontamination.leaks(frame, items).collect()}
+    assert got == {(1, 1): (37, 1, 0), (2, 2): (14, 2, 1), (3, 1): (29, 1, 0)}
+
+
 def test_benchmark_blocks(spark, monkeypatch):
     rng = random.Random(8)
     items = [(i, " ".join(word(rng) for _ in range(30))) for i in range(20)]
