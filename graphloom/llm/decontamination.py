@@ -3,7 +3,8 @@
 Tokens of texts and items are made canonical: numbers become <number>, units after a number <unit>, capitalised words inside a sentence
 <name>; other words are lower-cased. Windows of k canonical tokens are hashed and joined to the items' windows, so a question
 with other numbers or names still matches its template. A second reading keeps names as lower-cased words, so letter case alone does not part
-a text from an item; a third one has an item's capitalised first word as <name>, as texts that embed the item in a sentence have it. Each
+a text from an item; a third one has an item's capitalised first word as <name>, as texts that embed the item in a sentence have it. The
+last reading keeps all tokens as they are, so windows and items made mostly of placeholders are found where they stand word for word. Each
 matched window is then checked: its tokens must be equal in lower case or be placeholders of one kind. Along a passage every placeholder value
 of the item must stand for one value of the text; two values of the item may become the same.
 """
@@ -87,7 +88,7 @@ class Tokens:
         self.codes = np.where(self.slot == 3, _NAME, self.plain)
 
     def windows(self, k: int, item: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Hashes of windows of k tokens and which of them count, for each reading: within one text, in items with words in at least half of it."""
+        """Hashes of windows of k tokens and which of them count, for each reading: within one text, in items with words in at least half of it or read as they are."""
         for codes, words, opening in self._readings(item):
             hashes, good = kernel.windows(self.found, k, codes)
             n = len(hashes)
@@ -100,6 +101,7 @@ class Tokens:
         """Codes, which tokens are words, and which windows are read so (None for all)."""
         yield self.codes, self.slot == 0, None
         yield self.plain, (self.slot == 0) | (self.slot == 3), None
+        yield self.found.hashes, np.ones(len(self.codes), bool), None
         if item:
             opening = np.zeros(len(self.codes), bool)
             first = self.found.first[:-1]
@@ -180,7 +182,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
 
     A passage is the matched windows of one diagonal (text position less item position) if their slots are consistent, or else a run of them with
     consistent slots, or a stretch of equal tokens; it counts when it has at least min_tokens tokens of the item, or all of a shorter item. Items of fewer than k tokens are one window; items of fewer than 3 tokens
-    or of more placeholders than words are not looked for. For a text and item the longest passage is returned. Rows of one id and text are
+    are not looked for, those of more placeholders than words only word for word. For a text and item the longest passage is returned. Rows of one id and text are
     one document. Null and empty texts and empty tables have no leaks; a null id is an id.
     """
     spark = docs.sparkSession

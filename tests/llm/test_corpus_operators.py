@@ -174,6 +174,19 @@ def test_one_altered_value_does_not_hide_the_rest(spark):
     assert got == {(1, 1): (37, 1, 0), (2, 2): (14, 2, 1), (3, 1): (29, 1, 0)}
 
 
+def test_items_of_placeholders_are_found_word_for_word(spark):
+    items = spark.createDataFrame([(1, "Compute 12 45 78 plus 33 9"), (2, "1 2 3 4 5 6 7 8 9 10 11 12 13 14"), (3, "Present were Ann Bob Carl Dora Emil Fritz Gerd Hans Ida Jan Karl Lea")], "item_id long, text string")
+    rows = [
+        (1, "Please compute 12 45 78 plus 33 9 now"),
+        (2, "Please compute 12 45 78 plus 33 8 now"),
+        (3, "so 1 2 3 4 5 6 7 8 9 10 11 12 13 14 it goes"),
+        (4, "so 2 4 6 8 10 12 14 16 18 20 22 24 26 28 it goes"),
+        (5, "it says present were ann bob carl dora emil fritz gerd hans ida jan karl lea there"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(frame, items).collect()} == {(1, 1), (3, 2), (5, 3)}
+
+
 def test_benchmark_blocks(spark, monkeypatch):
     rng = random.Random(8)
     items = [(i, " ".join(word(rng) for _ in range(30))) for i in range(20)]
