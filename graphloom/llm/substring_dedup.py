@@ -1,7 +1,9 @@
 """Substring dedup by content-defined chunks.
 
 A gear hash over the last 32 bytes rolls over each text; a cut follows a byte where its top bits are zero and no other such byte
-stands shortly before. Cuts depend on nearby bytes only, so an insertion moves no cut but those beside it. Chunks are
+stands shortly before. Cuts depend on nearby bytes only, so an insertion moves no cut but those beside it. A stretch
+that repeats a short unit has no such cuts of its own: it is cut from the unit's least rotation at fixed steps, and a chunk's number in the stretch
+is part of its digest, so two stretches of one unit share as many chunks as the shorter one has. Chunks are
 grouped by digest over all texts; a chunk repeats where its digest first stands in another document. Neighbouring repeated chunks that
 stand in the same first document at the same distance join to passages, and passages of enough words are the result.
 The first pass only counts digests. The second keeps the chunks whose digests may repeat, by a filter of bounded size, and
@@ -21,40 +23,103 @@ from graphloom.llm import kernel
 from graphloom.llm.shared import materialize, text_column
 
 _GEAR = np.random.default_rng(77).integers(0, 2**32, 256, dtype=np.uint32)
+_NUMBERED = np.uint64(0x9E3779B97F4A7C15)
 #: Bits that must be zero at a cut (one byte in 32), bytes without another cut before it, and the longest chunk.
 CUT_BITS, QUIET, LONGEST = 5, 12, 256
+#: Longest unit of a stretch that counts as periodic, shortest such stretch, and least bytes of its chunks.
+PERIOD, STRETCH, STEP = 64, 72, 32
+#: In a stretch longer than LONGEST a cut follows a byte whose hash is the least among so many bytes to each side.
+AROUND = 32
 #: Cells of the filter of repeated digests (8 MiB).
 FILTER_BITS = 26
 
 
-def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all chunks of a slice in order, and each one's row; chunks do not cross rows."""
+def periodic(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, end, period) of the stretches of a slice that repeat a unit of at most PERIOD bytes, in order; the shortest period wins."""
+    out: list[tuple[int, int, int]] = []
+    taken = np.zeros(len(data), bool)
+    for p in range(1, PERIOD + 1):
+        n = (len(data) - p) // 8 * 8
+        if n <= 0:
+            break
+        # eight bytes at a time; only places with enough equal ones in a row are looked at closely
+        equal = np.flatnonzero(data[:n].view(np.uint64) == data[p : p + n].view(np.uint64))
+        edges = np.flatnonzero(np.diff(equal, prepend=-2, append=len(data)) > 1)
+        low, high = equal[edges[:-1]], equal[edges[1:] - 1] + 1
+        enough = high - low >= max(1, (max(STRETCH - p, p) - 7) // 8)
+        for lo, hi in zip(low[enough].tolist(), high[enough].tolist()):
+            x, y = max(0, lo * 8 - 8), min(len(data), hi * 8 + p + 8)
+            # rows part stretches
+            rows = offsets[np.searchsorted(offsets, x, "right") : np.searchsorted(offsets, y, "left")].tolist()
+            for left, right in zip([x, *rows], [*rows, y]):
+                same = np.flatnonzero(np.diff(np.concatenate([[0], data[left : right - p] == data[left + p : right], [0]]))) if right - left > p else []
+                for a, e in zip(same[::2], same[1::2]):
+                    a, e = left + int(a), left + int(e) + p
+                    if e - a >= max(STRETCH, 2 * p) and not taken[a + p : e - p].any():
+                        taken[a:e] = True
+                        out.append((a, e, p))
+    return sorted(out)
+
+
+def _gear(data: np.ndarray) -> np.ndarray:
     rolled = _GEAR[data]
     for step in (1, 2, 4, 8, 16):
         moved = np.zeros_like(rolled)
         moved[step:] = rolled[:-step] << np.uint32(step)
         rolled = rolled + moved
+    return rolled
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of all chunks of a slice in order, each one's row and its number in a periodic stretch (from 1; 0 elsewhere); chunks do not cross rows."""
+    rolled = _gear(data)
     zero = np.flatnonzero(rolled >> np.uint32(32 - CUT_BITS) == 0)
     quiet = np.ones(len(zero), bool)
     quiet[1:] = np.diff(zero) > QUIET
     # a text's first bytes see the text before it in the slice: they cut nothing
     row = np.searchsorted(offsets, zero, "right") - 1
     inner = zero[quiet & (zero - offsets[row] >= 32)] + 1
-    starts = np.unique(np.concatenate([inner[inner < len(data)], offsets[:-1][np.diff(offsets) > 0]]))
+    inside = np.zeros(len(data) + 1, bool)
+    begins, numbers = [], []
+    for a, e, p in periodic(data, offsets):
+        inside[a:e] = True
+        unit = data[a : a + 2 * p].tobytes()
+        step = p * -(-STEP // p)
+        # what is left of the stretch after the last whole step is no chunk of it
+        at = np.arange(a + min(range(p), key=lambda r: unit[r : r + p]), e + 1, step)
+        begins.append(at)
+        numbers.append(np.append(np.arange(1, len(at)), 0))
+    inner = inner[~inside[inner]]
+    starts = np.concatenate([inner, *begins, offsets[:-1][np.diff(offsets) > 0]])
+    starts = np.unique(starts[starts < len(data)])
+    lengths = np.diff(np.append(starts, len(data)))
+    more = []
+    for at, end in zip(starts[lengths > LONGEST].tolist(), (starts + lengths)[lengths > LONGEST].tolist()):
+        # a text's first hashes see the text before it
+        at = max(at, int(offsets[np.searchsorted(offsets, at, "right") - 1]) + 32)
+        if end - at > 2 * AROUND:
+            least = np.lib.stride_tricks.sliding_window_view(rolled[at:end], 2 * AROUND + 1).argmin(1) == AROUND
+            more.append(at + AROUND + 1 + np.flatnonzero(least))
+    starts = np.unique(np.concatenate([starts, *more]))
     lengths = np.diff(np.append(starts, len(data)))
     parts = -(-lengths // LONGEST)
     if len(starts) and parts.max() > 1:
         first = np.cumsum(parts) - parts
         within = np.arange(parts.sum()) - np.repeat(first, parts)
         starts = np.repeat(starts, parts) + within * LONGEST
-    return starts, np.searchsorted(offsets, starts, "right") - 1
+    number = np.zeros(len(starts) + 1, np.int64)
+    if begins:
+        number[np.searchsorted(starts, np.concatenate(begins))] = np.concatenate(numbers)
+    return starts, np.searchsorted(offsets, starts, "right") - 1, number[:-1]
 
 
 def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """row, start in the row, length, digest of each chunk."""
-    starts, rows = cuts(data, offsets)
+    starts, rows, number = cuts(data, offsets)
     ends = np.append(starts[1:], len(data))
-    return rows, starts - offsets[rows], ends - starts, kernel.Hasher(data).of(starts, ends).view(np.int64)
+    digests = kernel.Hasher(data).of(starts, ends)
+    digests = np.where(number > 0, kernel.mix(digests + number.astype(np.uint64) * _NUMBERED), digests)
+    return rows, starts - offsets[rows], ends - starts, digests.view(np.int64)
 
 
 def _counts(docs: DataFrame) -> DataFrame:

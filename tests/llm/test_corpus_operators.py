@@ -120,6 +120,23 @@ def test_passages_are_found_and_clean_texts_left(spark, empty):
     assert substring_dedup.passages(empty).count() == 0
 
 
+def test_repeated_units_are_found(spark):
+    rng = random.Random(12)
+    around = lambda: " ".join(word(rng) for _ in range(rng.randrange(40, 90)))
+    units = ["and", "be", "x", "of the", "sia lo", "one two three four five six"]
+    rows = []
+    for u, unit in enumerate(units):
+        for i in range(4):
+            rows.append((10 * u + i, f"{around()} {' '.join([unit] * (70 + 9 * i))} {around()}"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = substring_dedup.passages(frame).collect()
+    texts = {i: t.encode() for i, t in rows}
+    assert all(texts[s.doc_id][s.start : s.end] == texts[s.first_doc_id][s.first_start : s.first_start + s.end - s.start] for s in spans)
+    assert {s.doc_id for s in spans} == {i for i, _ in rows if i % 10}
+    few = spark.createDataFrame([(1, "and " * 5), (2, around() + " and" * 80)], "doc_id long, text string")
+    assert substring_dedup.passages(few).count() == 0
+
+
 def test_an_insertion_moves_few_cuts():
     import numpy as np
 
