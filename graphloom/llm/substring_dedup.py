@@ -4,8 +4,9 @@ A gear hash over the last 32 bytes rolls over each text; a cut follows a byte wh
 stands shortly before. Cuts depend on nearby bytes only, so an insertion moves no cut but those beside it. A stretch
 that repeats a short unit has no such cuts of its own: it is cut from the unit's least rotation at fixed steps, and a chunk's number in the stretch
 is part of its digest, so two stretches of one unit share as many chunks as the shorter one has. Chunks are
-grouped by digest over all texts; a chunk repeats where its digest first stands in another document. Neighbouring repeated chunks that
-stand in the same first document at the same distance join to passages, and passages of enough words are the result.
+grouped by digest over all texts; a chunk repeats where its digest first stands in another document. Neighbouring repeated chunks join to
+passages where the pair of them stands in an earlier document too, whatever documents their first places are in: pairs are counted like chunks.
+Passages of enough words are the result, in pieces whose chunks stand in the same first document at the same distance.
 The first pass only counts digests. The second keeps the chunks whose digests may repeat, by a filter of bounded size, and
 joins them to the exact counts.
 """
@@ -122,8 +123,15 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rows, starts - offsets[rows], ends - starts, digests.view(np.int64)
 
 
+def pairs(rows: np.ndarray, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which chunks follow another one in their row, and the digest of each such pair."""
+    second = np.flatnonzero(rows[1:] == rows[:-1]) + 1
+    d = digests.view(np.uint64)
+    return second, kernel.mix(kernel.mix(d[second - 1]) * _NUMBERED + d[second]).view(np.int64)
+
+
 def _counts(docs: DataFrame) -> DataFrame:
-    """digest, size, first (the least id and start) of the chunks that stand twice or more; equal chunks of a batch go as one row."""
+    """digest, size, first (the least id and start) of the chunks and pairs of chunks that stand twice or more; equal ones of a batch go as one row."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -131,8 +139,10 @@ def _counts(docs: DataFrame) -> DataFrame:
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             value = ids.fill_null(0).to_numpy()
             for lo, _, data, offsets in kernel.slices(text_column(batch, "text")):
-                rows, starts, sizes, digests = chunks(data, offsets)
-                order = np.lexsort((starts, value[lo + rows], known[lo + rows], sizes, digests))
+                rows, starts, _, digests = chunks(data, offsets)
+                second, both = pairs(rows, digests)
+                rows, starts, digests = np.append(rows, rows[second]), np.append(starts, starts[second]), np.append(digests, both)
+                order = np.lexsort((starts, value[lo + rows], known[lo + rows], digests))
                 new = np.ones(len(order), bool)
                 new[1:] = np.diff(digests[order]) != 0
                 pick = order[new]
@@ -144,10 +154,10 @@ def _counts(docs: DataFrame) -> DataFrame:
 
 
 def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 16) -> DataFrame:
-    """doc_id, start, end (bytes), n_words, first_doc_id, first_start of every passage that another document has before.
+    """doc_id, start, end (bytes), n_words, first_doc_id, first_start of every passage that another document has before, a row for each of its pieces.
 
     Before means with a smaller id (null is smallest). A chunk's first place keeps its text; rows of one id are one document, so repeats within it
-    (and repeated rows) are no passages. min_words counts words that begin in whole repeated chunks: the chunks at a passage's ends are only
+    (and repeated rows) are no passages. min_words counts the words of all pieces that begin in whole repeated chunks: the chunks at a passage's ends are only
     partly its own, so 16 finds passages of over 50 words. Digests are 64-bit hashes: a false repeat would need several equal by chance in a row.
     Null and empty texts and empty tables have none.
     """
@@ -172,21 +182,33 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
         for batch in it:
             for lo, _, data, offsets in kernel.slices(text_column(batch, "text")):
                 rows, starts, sizes, digests = chunks(data, offsets)
-                cell = digests.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-                keep = (held.value[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                second, both = pairs(rows, digests)
                 found = kernel.words(data, offsets, kernel.BLANK)
                 at = starts + offsets[rows]
                 n = np.searchsorted(found.starts, at + sizes) - np.searchsorted(found.starts, at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + rows[keep])), *(pa.array(x[keep].astype(np.int64)) for x in (starts, sizes, n, digests))], ["id", "start", "size", "n", "digest"])
-
-    maybe = source.mapInArrow(ask, "id long, start long, size long, n long, digest long")
-    joined = maybe.join(repeated, "digest").filter(~F.col("id").eqNullSafe(F.col("first_id"))).dropDuplicates(["id", "start", "size", "digest"])
-    shift = F.col("start") - F.col("first_start")
-    inside = Window.partitionBy("id", "first_id", "shift").orderBy("start")
-    marked = joined.withColumn("shift", shift).withColumn("new", F.when(F.lag(F.col("start") + F.col("size")).over(inside) == F.col("start"), 0).otherwise(1))
-    runs = marked.withColumn("run", F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    spans = runs.groupBy("id", "first_id", "shift", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum("n").alias("n_words"))
-    return spans.filter(F.col("n_words") >= min_words).select(F.col("id").alias("doc_id"), "start", "end", "n_words", F.col("first_id").alias("first_doc_id"), (F.col("start") - F.col("shift")).alias("first_start"))
+                body = kernel.Hasher(data).of(offsets[:-1], offsets[1:]).view(np.int64)
+                # a pair goes as a row of its second chunk
+                of = np.append(np.arange(len(rows)), second)
+                asked = np.append(digests, both)
+                cell = asked.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+                keep = (held.value[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                of, pair = of[keep], np.arange(len(asked))[keep] >= len(rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + rows[of])), *(pa.array(x[of].astype(np.int64)) for x in (body[rows], starts, sizes, n)), pa.array(pair), pa.array(asked[keep])], ["id", "body", "start", "size", "n", "pair", "digest"])
+
+    maybe = source.mapInArrow(ask, "id long, body long, start long, size long, n long, pair boolean, digest long")
+    joined = maybe.join(repeated, "digest").filter(~F.col("id").eqNullSafe(F.col("first_id")))
+    # one row of each chunk, also of repeated rows of one id and text
+    place = F.when(~F.col("pair"), F.struct("first_id", (F.col("start") - F.col("first_start")).alias("shift")))
+    found = joined.groupBy("id", "body", "start", "size", "n").agg(F.min(place).alias("first"), F.bool_or("pair").alias("linked")).filter("first is not null").select("id", "body", "start", "size", "n", "first.*", "linked")
+    inside = Window.partitionBy("id", "body").orderBy("start")
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    beside = F.coalesce(F.lag(F.col("start") + F.col("size")).over(inside) == F.col("start"), F.lit(False))
+    alike = beside & F.lag("first_id").over(inside).eqNullSafe(F.col("first_id")) & (F.lag("shift").over(inside) == F.col("shift"))
+    marked = found.withColumn("apart", (~(alike | beside & F.col("linked"))).cast("int")).withColumn("new", (~alike).cast("int"))
+    runs = marked.withColumn("passage", F.sum("apart").over(so_far)).withColumn("piece", F.sum("new").over(so_far))
+    spans = runs.groupBy("id", "body", "passage", "piece", "first_id", "shift").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum("n").alias("n_words"))
+    long = spans.withColumn("all_words", F.sum("n_words").over(Window.partitionBy("id", "body", "passage"))).filter(F.col("all_words") >= min_words)
+    return long.select(F.col("id").alias("doc_id"), "start", "end", "n_words", F.col("first_id").alias("first_doc_id"), (F.col("start") - F.col("shift")).alias("first_start")).distinct()
 
 
 def remove(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

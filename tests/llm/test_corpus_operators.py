@@ -137,6 +137,22 @@ def test_repeated_units_are_found(spark):
     assert substring_dedup.passages(few).count() == 0
 
 
+def test_an_earlier_sentence_does_not_break_a_passage(spark):
+    rng = random.Random(13)
+    words = lambda n: [word(rng) for _ in range(n)]
+    rows, later = [], set()
+    for i in range(0, 300, 3):
+        passage = words(55)
+        rows.append((i, " ".join([*words(60), *passage[15:40], *words(60)])))
+        rows += [(i + j, " ".join([*words(60), *passage, *words(60)])) for j in (1, 2)]
+        later.add(i + 2)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = substring_dedup.passages(frame).collect()
+    texts = {i: t.encode() for i, t in rows}
+    assert all(texts[s.doc_id][s.start : s.end] == texts[s.first_doc_id][s.first_start : s.first_start + s.end - s.start] for s in spans)
+    assert len(later - {s.doc_id for s in spans}) <= 0.05 * len(later)
+
+
 def test_an_insertion_moves_few_cuts():
     import numpy as np
 
