@@ -46,7 +46,7 @@ class Cuckoo:
     def __init__(self, keys: list[bytes] = (), buckets: int = 0):
         self.size = buckets or max(1, 1 << max(0, (max(1, len(keys)) * 10 // (SLOTS * 8)).bit_length()))
         self.cells = np.zeros((self.size, SLOTS), np.uint16)
-        self.keys: list[bytes] = []
+        self.keys: list[bytes] | None = []
         for key in keys:
             self.insert(key)
 
@@ -63,6 +63,7 @@ class Cuckoo:
         return print_ in self.cells[a] or print_ in self.cells[b]
 
     def insert(self, key: bytes) -> None:
+        self._known()
         self.keys.append(key)
         if not self._put(key):
             held, self.size = self.keys, self.size * 2
@@ -72,6 +73,10 @@ class Cuckoo:
                     break
                 self.size *= 2
 
+    def _known(self) -> None:
+        if self.keys is None:
+            raise ValueError("a filter restored without its keys can only be asked")
+
     def _put(self, key: bytes) -> bool:
         print_, a, b = self._places(key)
         at = a
@@ -92,6 +97,7 @@ class Cuckoo:
 
     def remove(self, key: bytes) -> bool:
         """Deletes one insertion of key; only keys that were inserted may be deleted."""
+        self._known()
         print_, a, b = self._places(key)
         for bucket in (a, b):
             held = np.flatnonzero(self.cells[bucket] == print_)
@@ -113,9 +119,11 @@ class Cuckoo:
         return self.cells.tobytes()
 
     @classmethod
-    def from_bytes(cls, raw: bytes) -> Cuckoo:
+    def from_bytes(cls, raw: bytes, keys: list[bytes] | None = None) -> Cuckoo:
+        """A filter of to_bytes; it takes insertions and deletions if the keys it holds are given, as the counts table has them."""
         out = cls(buckets=max(1, len(raw) // (2 * SLOTS)))
         out.cells = np.frombuffer(raw, np.uint16).reshape(-1, SLOTS).copy()
+        out.keys = None if keys is None else list(keys)
         return out
 
 
@@ -187,6 +195,7 @@ def drop_lines(
     spark = docs.sparkSession
     made = {"n_lines", "n_dropped", "kept_sha256"}
     docs = docs.select(*(c for c in docs.columns if c.lower() not in made))
+    given = counts is not None
     counts = materialize(counts if counts is not None else reference_counts(docs, text, min_chars))
     frequent = counts.filter(F.col("documents") >= min_documents)
     #: A filter takes at most about 8 bytes a key: 2 bytes, at least 3/8 full after rounding up, and a doubling.
@@ -201,7 +210,10 @@ def drop_lines(
                 keys = batch.column(0).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, hit in zip(keys, _ask(held.value, keys, shards)) if hit], pa.binary())], ["key"])
 
-    wrong = counts.filter(F.col("documents") < min_documents).select("key").mapInArrow(errors, "key binary") if built else counts.limit(0).select("key")
+    rare = counts.filter(F.col("documents") < min_documents).select("key")
+    if given:  # the lines of docs may be missing from these counts
+        rare = rare.unionByName(reference_counts(docs, text, 1).select("key").join(frequent.select("key"), "key", "left_anti")).distinct()
+    wrong = rare.mapInArrow(errors, "key binary") if built else counts.limit(0).select("key")
     wrong = materialize(wrong)
     if wrong.count() * 64 > broadcast_bytes:
         return _joined(docs, frequent, text)

@@ -118,6 +118,28 @@ def test_insertions_can_be_undone(spark, docs):
     assert sorted(map(tuple, after.collect())) == sorted(map(tuple, before.collect()))
 
 
+def test_lines_that_given_counts_do_not_have_stay(spark):
+    held = line_dedup.digest(b"common")
+    made = line_dedup.Cuckoo([held])
+    chance = next(x for x in (f"line {i}" for i in range(10**6)) if line_dedup.digest(x.encode()) in made)
+    counts = spark.createDataFrame([(bytearray(held), 10)], "key binary, documents long")
+    new = spark.createDataFrame([(1, f"common\n{chance}\nend")], "doc_id long, text string")
+    for limit in (64 << 20, 0):
+        assert line_dedup.drop_lines(new, counts, shards=1, broadcast_bytes=limit).first().text == f"{chance}\nend"
+
+
+def test_restored_filter_keeps_its_keys():
+    keys = [hashlib.md5(str(i).encode()).digest() for i in range(100)]
+    more = [hashlib.md5(f"y{i}".encode()).digest() for i in range(1000)]
+    raw = line_dedup.Cuckoo(keys).to_bytes()
+    again = line_dedup.Cuckoo.from_bytes(raw, keys)
+    for k in more:
+        again.insert(k)
+    assert all(k in again for k in [*keys, *more]) and again.remove(keys[0])
+    with pytest.raises(ValueError):
+        line_dedup.Cuckoo.from_bytes(raw).insert(more[0])
+
+
 def test_cuckoo_filter():
     keys = [hashlib.md5(str(i).encode()).digest() for i in range(5000)]
     made = line_dedup.Cuckoo(keys)
