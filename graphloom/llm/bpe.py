@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding.
 
 A batch of documents is split by the tokenizer's pattern into its distinct words. Spark higher-order functions fold the
-ranked merges over each word's byte pieces; ranks come from a literal, an array of small maps. No
-shuffle takes part: a batch row holds its distinct words once and each document as positions in them.
+ranked merges over each word's bytes; ranks come from a literal, a table of rows laid into one flat array. Documents are put together
+again from their words by higher-order functions too, so nothing goes back to Python. No shuffle takes part: a batch row holds
+its distinct words once and each document as positions in them.
 
 Ranks are a file of lines "base64 rank" (tiktoken's form); its path is a parameter.
 """
@@ -10,24 +11,26 @@ Ranks are a file of lines "base64 rank" (tiktoken's form); its path is a paramet
 from __future__ import annotations
 
 import base64
-import hashlib
 import json
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import fresh, text_column
+from graphloom.llm.shared import fresh
 
-#: Bytes of positions, and of texts where text columns are carried, in one batch row (a longer document is a row by itself).
-BATCH_BYTES = 10 << 20
-#: Buckets of the rank literal; a pair of ids has the key first * SHIFT + second; NONE is above all ranks.
-BUCKETS, SHIFT, NONE = 131_071, 1 << 16, 1 << 30
+#: A batch row ends at so many distinct words, or at so many bytes of texts (a longer document is a row by itself).
+BATCH_WORDS, BATCH_BYTES = 1 << 17, 8 << 20
+#: Ids are below NONE; a rank of NONE or above means no merge. END stands before the first and after the last byte of a word.
+NONE, END = 1 << 16, 256
+#: A piece is one number: the rank of its merge with the next piece, its place in the word (14 bits), its id (16 bits).
+REST = (1 << 30) - 1
 #: Words above this many bytes merge all places of the best pair in one step.
-LONG_WORD = 48
+LONG_WORD = 1024
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,101 +49,150 @@ def merge_table(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return out
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The merges as one constant: the ranks of pairs of ids, in buckets of small maps."""
-    if max(ranks.values(), default=0) >= SHIFT:
-        raise ValueError(f"ids must be below {SHIFT}")
-    merges: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for (a, b), rank in merge_table(ranks).items():
-        merges[(a * SHIFT + b) % BUCKETS][str(a * SHIFT + b)] = rank
-    return F.from_json(F.lit(json.dumps(merges, separators=(",", ":"))), "array<map<string,int>>")
+def flat_table(merges: dict[tuple[int, int], int], top: int) -> tuple[np.ndarray, np.ndarray]:
+    """The merges as (offsets, cells): cells[offsets[a] + b] is a * NONE + rank for a pair (a, b), and begins with another id for any other pair.
 
-
-def piece_literal(ranks: dict[bytes, int]) -> Column:
-    """Hex of each id's bytes, by id + 1; ids that the ranks leave out are null."""
-    pieces: list[str | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    Each first id is a row of ranks; rows are laid over each other, longest first, each at the first of a series of offsets where no two ranks meet.
+    Ids are 0 to top; top + 1 is an id without merges.
+    """
+    rows: dict[int, list[tuple[int, int]]] = {}
+    for (a, b), rank in merges.items():
+        rows.setdefault(a, []).append((b, rank))
+    width = max(1 << 14, 1 << (3 * len(merges)).bit_length() - 1)
+    cells = np.full(width + top + 2, NONE - 1, np.int64) * NONE
+    free = np.ones(len(cells), bool)
+    offsets = np.zeros(top + 2, np.int64)
+    block = 1 << 12
+    rng = np.random.default_rng(1)
+    for a in sorted(rows, key=lambda a: (-len(rows[a]), a)):
+        columns = np.array([b for b, _ in rows[a]])
+        at = None
+        for base in (rng.permutation(width // block) * block).tolist():
+            fits = np.arange(base, base + block)
+            for b in columns.tolist():
+                fits = fits[free[fits + b]]
+            if len(fits):
+                at = int(fits[0])
+                break
+        if at is None:
+            raise ValueError("the merges do not fit into the table")
+        offsets[a] = at
+        free[columns + at] = False
+        cells[columns + at] = a * NONE + np.array([r for _, r in rows[a]])
+    return offsets, cells
+
+
+def pair_table(merges: dict[tuple[int, int], int], byte_ids: np.ndarray, end: int) -> np.ndarray:
+    """The piece of a byte before another one, by byte * 257 + next byte (END for the end of the word); its place is left 0."""
+    out = np.zeros((257, 257), np.int64)
+    for x in range(257):
+        for y in range(257):
+            rank = merges.get((int(byte_ids[x]), int(byte_ids[y])), NONE) if END not in (x, y) else NONE
+            out[x, y] = (rank << 30) + (end if x == END else int(byte_ids[x]))
+    return out.ravel()
+
+
+@lru_cache(4)
+def tables(path: str) -> dict[str, list]:
+    """The literals of a rank file: offsets, cells, pairs, the hex of each id's bytes and of the id as little-endian unsigned 32-bit integer."""
+    ranks = read_ranks(path)
+    top = max(ranks.values())
+    if top + 2 >= NONE:
+        raise ValueError(f"ids must be below {NONE - 2}")
+    merges = merge_table(ranks)
+    offsets, cells = flat_table(merges, top)
+    byte_ids = np.array([ranks[bytes([i])] for i in range(256)])
+    pieces: list[str | None] = [None] * (top + 1)
     for token, rank in ranks.items():
         pieces[rank] = token.hex()
-    return F.from_json(F.lit(json.dumps(pieces)), "array<string>")
+    return {"offsets": offsets.tolist(), "cells": cells.tolist(), "pairs": pair_table(merges, byte_ids, top + 1).tolist(), "pieces": pieces, "codes": [i.to_bytes(4, "little").hex() for i in range(top + 1)]}
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), where value is worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def _literal(values: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), f"array<{kind}>")
 
 
-def _merged(table: Column, a: Column, b: Column) -> Column:
-    """The rank that pieces a and b merge to, else NONE."""
-    key = a.cast("long") * SHIFT + b
-    return F.coalesce(F.try_element_at(F.get(table, (key % BUCKETS).cast("int")), key.cast("string")), F.lit(NONE)).cast("long")
+def _let(*values: Column, body: Callable[..., Column]) -> Column:
+    """body(values), where each value is worked out once: the accumulator of a fold over nothing."""
+    if not values:
+        return body()
+    nothing = F.array().cast("array<int>")
+    return F.aggregate(nothing, values[0], lambda a, _: a, lambda first: _let(*values[1:], body=lambda *rest: body(first, *rest)))
 
 
-def _encode_short(table: Column, word: Column) -> Column:
-    """Merges one place at a time: the least rank, the first such from the left.
+def _id(piece: Column) -> Column:
+    return piece.bitwiseAND(F.lit(NONE - 1))
 
-    The state is an array of numbers, one for each piece: the rank that it merges to with the next piece, its place, its id, from the upper
-    bits down. Its minimum is thus the piece to merge, and carries all that the step needs.
-    """
-    pack = lambda rank, rest: F.shiftleft(rank, 32) + rest
-    rest = lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))
-    id_ = lambda x: x.bitwiseAND(F.lit(SHIFT - 1))
-    start = F.transform(word, lambda b, i: pack(_merged(table, b, F.get(word, i + 1)), i.cast("long") * SHIFT + b))
-
-    def step(s: Column, least: Column) -> Column:
-        low = F.shiftright(least, 32)
-
-        def around(at: Column) -> Column:
-            """Only the pieces at at - 1, at, at + 1 (from 0) change; the last of them goes."""
-            return F.transform(
-                s,
-                lambda x, i: F.when(F.abs(i - at) > 1, x)
-                .when(i == at, pack(_merged(table, low, id_(F.get(s, i + 2))), rest(least) - id_(least) + low))
-                .when(i < at, pack(_merged(table, id_(x), low), rest(x)))
-                .otherwise(-1),
-            )
 
-        return F.filter(_let(F.array_position(s, least).cast("int") - 1, around), lambda x: x >= 0)
+class Merges:
+    """Column expressions of the merges, over the columns of the literals."""
 
-    ended = F.lit(NONE << 32)
-    return F.aggregate(F.sequence(F.lit(2), F.size(word)), start, lambda s, _: _let(F.array_min(s), lambda least: F.when(least >= ended, s).otherwise(step(s, least))), lambda s: F.transform(s, lambda x: id_(x).cast("int")))
+    def __init__(self, offsets: Column, cells: Column, pairs: Column):
+        self.offsets, self.cells, self.pairs = offsets, cells, pairs
 
+    def rank(self, a: Column, b: Column) -> Column:
+        """The rank that ids a and b merge to, else NONE or more."""
+        return F.get(self.cells, (F.get(self.offsets, a) + b).cast("int")).bitwiseXOR(F.shiftleft(a, 16))
 
-def _encode_long(table: Column, word: Column) -> Column:
-    """Merges all places of the best pair in a step, from the left, without overlaps. That equals one by one as long as no piece so made
-    merges with a neighbour at a lower rank; where one does, only the first place is merged in this step.
+    def start(self, word: Column) -> Column:
+        """The pieces of a word's bytes."""
+        return F.transform(word, lambda b, i: F.get(self.pairs, b * 257 + F.coalesce(F.get(word, i + 1), F.lit(END))) + F.shiftleft(i.cast("long"), 16))
 
-    The state is p, the ids of the pieces, and r, the rank of each neighbouring pair.
-    """
+    def short(self, word: Column) -> Column:
+        """Merges one place at a time: the least rank, the first such from the left. The least piece is thus the one to merge, and carries all that the step needs."""
+
+        def step(s: Column, least: Column) -> Column:
+            low = F.shiftright(least, 30)
+
+            def around(at: Column) -> Column:
+                """Only the pieces at at - 1 and at change; the one after goes."""
+                before = F.get(s, at - 2)
+                changed = F.array(
+                    F.shiftleft(self.rank(_id(before), low), 30) + before.bitwiseAND(F.lit(REST)),
+                    F.shiftleft(self.rank(low, _id(F.get(s, at + 1))), 30) + least.bitwiseAND(F.lit(REST - NONE + 1)) + low,
+                )
+                return F.flatten(F.array(F.slice(s, F.lit(1), at - 2), changed, F.slice(s, at + 2, F.lit(NONE))))
+
+            return _let(F.array_position(s, least).cast("int"), body=around)
+
+        turn = lambda s, _: _let(F.array_min(s), body=lambda least: F.when(least >= F.lit(NONE << 30), s).otherwise(step(s, least)))
+        return F.aggregate(word, self.start(word), turn, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: _id(x).cast("int")))
 
-    def state(p: Column) -> Column:
-        return F.struct(p.alias("p"), F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: _merged(table, a, b)).alias("r"))
+    def long(self, word: Column) -> Column:
+        """Merges all places of the best pair in a step, from the left, without overlaps. That equals one by one as long as no piece so made
+        merges with a neighbour at a lower rank; where one does, only the first place is merged in this step.
 
-    def step(s: Column, low: Column) -> Column:
-        def merged(hit: Column) -> Column:
-            was = lambda i: F.coalesce(F.get(hit, i), F.lit("0")) == "1"
-            joined = F.transform(s.p, lambda x, i: F.when((i > 0) & was(i - 1), F.lit(None)).when(was(i), low.cast("int")).otherwise(x))
-            return _let(F.filter(joined, lambda x: x.isNotNull()), state)
+        The state is p, the ids of the pieces, and r, the rank of each neighbouring pair (NONE or more where they do not merge).
+        """
 
-        flags = F.array_join(F.transform(s.r, lambda r: F.when(r == low, "1").otherwise("0")), "")
-        lower = lambda i: (_merged(table, low, F.get(s.p, i + 2)) < low) | ((i > 0) & (_merged(table, F.get(s.p, i - 1), low) < low))
-        unsafe = lambda hit: (_merged(table, low, low) < low) | F.exists(F.transform(hit, lambda h, i: (h == "1") & lower(i)), lambda x: x)
-        first = lambda hit: F.transform(hit, lambda h, i: F.when(i == F.array_position(hit, F.lit("1")) - 1, "1").otherwise("0"))
-        places = _let(F.split(F.regexp_replace(flags, "11", "10"), ""), lambda hit: F.when(unsafe(hit), first(hit)).otherwise(hit))
-        return _let(places, merged)
+        def state(p: Column) -> Column:
+            return F.struct(p.alias("p"), F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), self.rank).alias("r"))
 
-    start = state(word)
-    none = F.lit(NONE).cast("long")
-    return F.aggregate(F.sequence(F.lit(2), F.size(word)), start, lambda s, _: _let(F.coalesce(F.array_min(s.r), none), lambda low: F.when(low == none, s).otherwise(step(s, low))), lambda s: s.p)
+        def step(s: Column, low: Column) -> Column:
+            def merged(hit: Column) -> Column:
+                was = lambda i: F.coalesce(F.get(hit, i), F.lit("0")) == "1"
+                joined = F.transform(s.p, lambda x, i: F.when((i > 0) & was(i - 1), F.lit(None)).when(was(i), low).otherwise(x))
+                return _let(F.filter(joined, lambda x: x.isNotNull()), body=state)
 
+            flags = F.array_join(F.transform(s.r, lambda r: F.when(r == low, "1").otherwise("0")), "")
+            lower = lambda i: (self.rank(low, F.get(s.p, i + 2)) < low) | ((i > 0) & (self.rank(F.get(s.p, i - 1), low) < low))
+            unsafe = lambda hit: (self.rank(low, low) < low) | F.exists(F.transform(hit, lambda h, i: (h == "1") & lower(i)), lambda x: x)
+            first = lambda hit: F.transform(hit, lambda h, i: F.when(i == F.array_position(hit, F.lit("1")) - 1, "1").otherwise("0"))
+            places = _let(F.split(F.regexp_replace(flags, "11", "10"), ""), body=lambda hit: F.when(unsafe(hit), first(hit)).otherwise(hit))
+            return _let(places, body=merged)
 
-def encode_bytes(table: Column, word: Column) -> Column:
-    """The ids of one word, given as the array of its bytes, each as its id: array<int>."""
-    return F.when(F.size(word) < 2, word).when(F.size(word) <= LONG_WORD, _encode_short(table, word)).otherwise(_encode_long(table, word))
+        start = _let(F.transform(word, lambda b: _id(F.get(self.pairs, b * 257))), body=state)
+        turn = lambda s, _: _let(F.array_min(s.r), body=lambda low: F.when(low >= NONE, s).otherwise(step(s, low)))
+        return F.aggregate(word, start, turn, lambda s: F.transform(F.slice(s.p, F.lit(2), F.size(s.p) - 2), lambda x: x.cast("int")))
 
+    def encode(self, word: Column) -> Column:
+        """The ids of one word, given as the array of its bytes between two ENDs: array<int>."""
+        return F.when(F.size(word) <= LONG_WORD + 2, self.short(word)).otherwise(self.long(word))
 
-def decode_ids(pieces: Column, ids: Column) -> Column:
-    """The bytes of ids: the concatenation of their binary pieces."""
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(pieces, i + 1)), ""))
+
+def joined(pieces: Column, ids: Column) -> Column:
+    """The concatenation of the binary pieces of ids, from their hex. As a string of raw bytes, so that array_join takes it."""
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")).cast("string")
 
 
 def splitter(pattern: str):
@@ -167,55 +219,45 @@ def splitter(pattern: str):
     return split
 
 
-def _split(batches: Iterator[pa.RecordBatch], text: str, carry: list[str], pattern: str, byte_ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Batch rows: the byte arrays of the distinct words, and each document's columns with its words' positions among them."""
+def _split(batches: Iterator[pa.RecordBatch], text: int, carry: list[int], pattern: str, rows: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Batch rows: the byte arrays of the distinct words between two ENDs, and each document's columns with its words' positions among them."""
     find = splitter(pattern)
+
+    def row(kept: pa.RecordBatch, seen: dict[str, int], positions: list[np.ndarray]) -> pa.RecordBatch:
+        coded = b"".join(w.encode() + b"\xff" for w in seen)  # no byte of UTF-8 is 255
+        flat = np.frombuffer(coded, np.uint8)
+        ends = np.flatnonzero(flat == 255)
+        # an END after each word is one before the next: each word needs both
+        lengths = np.diff(ends, prepend=-1) - 1
+        starts = np.append(0, np.cumsum(lengths + 2))
+        values = np.full(starts[-1], END, np.int32)
+        inner = flat != 255
+        values[np.flatnonzero(inner) + np.repeat(np.arange(len(ends)), lengths) + 1] = flat[inner]
+        words = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values))
+        sizes = np.append(0, np.cumsum([len(p) for p in positions])).astype(np.int32)
+        places = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(positions)))
+        documents = pa.StructArray.from_arrays([*(c.cast(t.type) for c, t in zip(kept.columns, rows.value_type)), places], fields=list(rows.value_type))
+        one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+        return pa.RecordBatch.from_arrays([one(words), one(documents).cast(rows)], ["words", "rows"])
+
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(text))
         kept = batch.select(carry)
-        wide = any(pa.types.is_string(c.type) or pa.types.is_large_string(c.type) for c in kept.columns)  # such rows take the texts along
-        lo = 0
-        while lo < batch.num_rows:
-            seen: defaultdict[str, int] = defaultdict()
-            seen.default_factory = seen.__len__
-            positions: list[bytes] = []
-            held, hi = 0, lo
-            while hi < batch.num_rows and (hi == lo or held < BATCH_BYTES):
-                found = find(texts[hi].as_py() or "")
-                positions.append(np.fromiter(map(seen.__getitem__, found), np.int32, len(found)).tobytes())
-                held += 4 * len(found) + (len(texts[hi].as_py() or "") if wide else 0)
-                hi += 1
-            coded = [w.encode() for w in seen]
-            lengths = np.fromiter(map(len, coded), np.int32, len(coded))
-            flat = pa.array(byte_ids[np.frombuffer(b"".join(coded), np.uint8)])
-            words = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), flat)
-            rows = pa.StructArray.from_arrays([*kept.slice(lo, hi - lo).columns, pa.array(positions, pa.binary())], [*carry, "_positions"])
-            one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-            yield pa.RecordBatch.from_arrays([one(words), one(rows)], ["words", "rows"])
-            lo = hi
-
-
-def _join(batches: Iterator[pa.RecordBatch], carry: list[str], ids: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Documents again, from their words' ids and decoded bytes."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            coded, decoded, rows = (batch.column(c)[k].values for c in (0, 1, 2))
-            raw = coded.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-            ends = np.append(0, np.cumsum(coded.value_lengths().to_numpy(zero_copy_only=False))) * 4
-            of_word = [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            back = decoded.to_pylist()
-            out: list[tuple] = []
-            for p in rows.field("_positions").to_pylist():
-                at = np.frombuffer(p, np.int32).tolist()
-                whole = b"".join(map(of_word.__getitem__, at))
-                text = b"".join(map(back.__getitem__, at))
-                row = (len(whole) // 4, hashlib.sha256(whole).hexdigest(), hashlib.sha256(text).hexdigest())
-                out.append((*row, np.frombuffer(whole, "<u4").astype(np.int32)) if ids else row)
-            made = [pa.array(c, t.type) for c, t in zip(zip(*out), list(schema)[len(carry) :])] if out else []
-            step = 2048
-            full = pa.RecordBatch.from_arrays([*(rows.field(c) for c in carry), *made], schema=schema)
-            for lo in range(0, full.num_rows, step):
-                yield full.slice(lo, step)
+        texts = batch.column(text)
+        lo, held = 0, 0
+        seen: defaultdict[str, int] = defaultdict()
+        seen.default_factory = seen.__len__
+        positions: list[np.ndarray] = []
+        for hi, value in enumerate(texts):
+            body = value.as_py() or ""
+            if hi > lo and (held + len(body) > BATCH_BYTES or len(seen) >= BATCH_WORDS):
+                yield row(kept.slice(lo, hi - lo), seen, positions)
+                lo, held, positions = hi, 0, []
+                seen.clear()
+            found = find(body)
+            positions.append(np.fromiter(map(seen.__getitem__, found), np.int32, len(found)))
+            held += len(body)
+        if positions:
+            yield row(kept.slice(lo), seen, positions)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", carry: list[str] | None = None, ids: bool = False) -> DataFrame:
@@ -224,22 +266,51 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", carry:
     Returns the columns named by carry (all by default) and n_tokens, ids_sha256 (of ids as little-endian unsigned
     32-bit integers), decoded_sha256 (of the bytes that the ids decode to) and, if asked for, ids; input columns of
     these names are replaced. A null text is an empty one and has no ids. Rows are independent: repeated rows give
-    repeated results, an empty table gives an empty one. A batch holds about BATCH_BYTES of positions or one document.
+    repeated results, an empty table gives an empty one; other columns may have any names. A batch row holds at most about BATCH_WORDS
+    distinct words and BATCH_BYTES of texts, or one document.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-    made = [("n_tokens", LongType()), ("ids_sha256", StringType()), ("decoded_sha256", StringType()), *([("ids", ArrayType(IntegerType()))] if ids else [])]
-    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in {n for n, _ in made}]
-    ranks = read_ranks(path)
+    made = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])]
+    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in made]
     source = docs.select(*carry, F.col(text).alias(fresh(docs, "_text")))
-    body = source.columns[-1]
-    fields = [source.schema[c] for c in carry]
-    rows = StructType([StructField("words", ArrayType(ArrayType(IntegerType()))), StructField("rows", ArrayType(StructType([*fields, StructField("_positions", docs.sparkSession.range(0).select(F.lit(b"")).schema[0].dataType)])))])
-    byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-    split = source.mapInArrow(lambda it: _split(it, body, carry, pattern, byte_ids), rows)
-    coded = split.select(_let(rank_literal(ranks), lambda table: F.transform("words", lambda w: encode_bytes(table, w))).alias("ids"), "rows")
-    both = coded.select("ids", _let(piece_literal(ranks), lambda pieces: F.transform("ids", lambda x: decode_ids(pieces, x))).alias("decoded"), "rows")
-    out = StructType([*fields, *(StructField(n, t) for n, t in made)])
-    arrow = to_arrow_schema(out)
-    return both.mapInArrow(lambda it: _join(it, carry, ids, arrow), out)
+    fields = [StructField(f"c{i}", source.schema[i].dataType) for i in range(len(carry))]
+    document = ArrayType(StructType([*fields, StructField("p", ArrayType(IntegerType()))]))
+    arrow = to_arrow_type(document)
+    split = source.mapInArrow(
+        lambda it: _split(it, len(carry), list(range(len(carry))), pattern, arrow),
+        StructType([StructField("words", ArrayType(ArrayType(IntegerType()))), StructField("rows", document)]),
+    )
+    t = tables(path)
+
+    def documents(coded: Column, codes: Column, decoded: Column) -> Column:
+        """One row for each document, from its words' ids, codes and decoded bytes."""
+
+        def one(r: Column) -> Column:
+            whole = lambda parts: F.array_join(F.transform(r.p, lambda i: F.get(parts, i)), "")
+            digest = lambda x: F.sha2(x.cast("binary"), 256)
+            return _let(
+                whole(codes),
+                body=lambda code: F.struct(
+                    *(r[f.name].alias(f.name) for f in fields),
+                    F.floor(F.octet_length(code) / 4).cast("long").alias("n_tokens"),
+                    digest(code).alias("ids_sha256"),
+                    digest(whole(decoded)).alias("decoded_sha256"),
+                    *([F.flatten(F.transform(r.p, lambda i: F.get(coded, i))).alias("ids")] if ids else []),
+                ),
+            )
+
+        return F.transform("rows", one)
+
+    literals = [_literal(t[n], k) for n, k in (("offsets", "bigint"), ("cells", "bigint"), ("pairs", "bigint"), ("pieces", "string"), ("codes", "string"))]
+
+    def coded(offsets: Column, cells: Column, pairs: Column, pieces: Column, codes: Column) -> Column:
+        merges = Merges(offsets, cells, pairs)
+        return _let(
+            F.transform("words", merges.encode),
+            body=lambda c: _let(F.transform(c, lambda x: joined(codes, x)), F.transform(c, lambda x: joined(pieces, x)), body=lambda code, decoded: documents(c, code, decoded)),
+        )
+
+    out = split.select(F.inline(_let(*literals, body=coded)))
+    return out.select(*(F.col(f.name).alias(c) for f, c in zip(fields, carry)), *made)
