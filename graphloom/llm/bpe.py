@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding.
 
 A batch of documents is split by the tokenizer's pattern into its distinct words. Spark higher-order functions fold the
-ranked merges over each word's bytes; ranks come from a literal, a table of rows laid into one flat array. Documents are put together
+ranked merges over each word's bytes; ranks come from a literal of one row, a table of rows laid into one flat array. Documents are put together
 again from their words by higher-order functions too, so nothing goes back to Python. No shuffle takes part: a batch row holds
 its distinct words once and each document as positions in them.
 
@@ -11,22 +11,23 @@ Ranks are a file of lines "base64 rank" (tiktoken's form); its path is a paramet
 from __future__ import annotations
 
 import base64
-import json
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.shared import fresh
 
-#: A batch row ends at so many distinct words, or at so many bytes of texts (a longer document is a row by itself).
-BATCH_WORDS, BATCH_BYTES = 1 << 17, 8 << 20
+#: A batch row ends at so many distinct words, or at so many bytes of texts, half as many where it carries text columns (a longer document is a row by itself).
+BATCH_WORDS, BATCH_BYTES = 1 << 18, 16 << 20
 #: Ids are below NONE; a rank of NONE or above means no merge. END stands before the first and after the last byte of a word.
 NONE, END = 1 << 16, 256
+#: A word is an array with a number for each byte: the byte times WIDE, and the next one.
+WIDE = 257
 #: A piece is one number: the rank of its merge with the next piece, its place in the word (14 bits), its id (16 bits).
 REST = (1 << 30) - 1
 #: Words above this many bytes merge all places of the best pair in one step.
@@ -83,10 +84,10 @@ def flat_table(merges: dict[tuple[int, int], int], top: int) -> tuple[np.ndarray
 
 
 def pair_table(merges: dict[tuple[int, int], int], byte_ids: np.ndarray, end: int) -> np.ndarray:
-    """The piece of a byte before another one, by byte * 257 + next byte (END for the end of the word); its place is left 0."""
-    out = np.zeros((257, 257), np.int64)
-    for x in range(257):
-        for y in range(257):
+    """The piece of a byte before another one, by byte * WIDE + next byte (END for the end of the word); its place is left 0."""
+    out = np.zeros((WIDE, WIDE), np.int64)
+    for x in range(WIDE):
+        for y in range(WIDE):
             rank = merges.get((int(byte_ids[x]), int(byte_ids[y])), NONE) if END not in (x, y) else NONE
             out[x, y] = (rank << 30) + (end if x == END else int(byte_ids[x]))
     return out.ravel()
@@ -94,7 +95,7 @@ def pair_table(merges: dict[tuple[int, int], int], byte_ids: np.ndarray, end: in
 
 @lru_cache(4)
 def tables(path: str) -> dict[str, list]:
-    """The literals of a rank file: offsets, cells, pairs, the hex of each id's bytes and of the id as little-endian unsigned 32-bit integer."""
+    """The tables of a rank file: offsets, cells, pairs, the hex of each id's bytes and of the id as little-endian unsigned 32-bit integer."""
     ranks = read_ranks(path)
     top = max(ranks.values())
     if top + 2 >= NONE:
@@ -108,8 +109,11 @@ def tables(path: str) -> dict[str, list]:
     return {"offsets": offsets.tolist(), "cells": cells.tolist(), "pairs": pair_table(merges, byte_ids, top + 1).tolist(), "pieces": pieces, "codes": [i.to_bytes(4, "little").hex() for i in range(top + 1)]}
 
 
-def _literal(values: list, kind: str) -> Column:
-    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), f"array<{kind}>")
+def literal(spark: SparkSession, path: str) -> Column:
+    """The tables of a rank file as one literal row. As a scalar subquery over that row it stays a few megabytes of flat numbers in every task;
+    an array literal would be millions of objects."""
+    arrays = {name: pa.array([values], pa.list_(pa.string() if isinstance(values[-1], str) else pa.int64())) for name, values in tables(path).items()}
+    return spark.createDataFrame(pa.table(arrays)).select(F.struct(*arrays)).scalar()
 
 
 def _let(*values: Column, body: Callable[..., Column]) -> Column:
@@ -125,7 +129,7 @@ def _id(piece: Column) -> Column:
 
 
 class Merges:
-    """Column expressions of the merges, over the columns of the literals."""
+    """Column expressions of the merges, over the arrays of the literal."""
 
     def __init__(self, offsets: Column, cells: Column, pairs: Column):
         self.offsets, self.cells, self.pairs = offsets, cells, pairs
@@ -136,7 +140,7 @@ class Merges:
 
     def start(self, word: Column) -> Column:
         """The pieces of a word's bytes."""
-        return F.transform(word, lambda b, i: F.get(self.pairs, b * 257 + F.coalesce(F.get(word, i + 1), F.lit(END))) + F.shiftleft(i.cast("long"), 16))
+        return F.transform(word, lambda b, i: F.get(self.pairs, b) + F.shiftleft(i.cast("long"), 16))
 
     def short(self, word: Column) -> Column:
         """Merges one place at a time: the least rank, the first such from the left. The least piece is thus the one to merge, and carries all that the step needs."""
@@ -156,7 +160,8 @@ class Merges:
             return _let(F.array_position(s, least).cast("int"), body=around)
 
         turn = lambda s, _: _let(F.array_min(s), body=lambda least: F.when(least >= F.lit(NONE << 30), s).otherwise(step(s, least)))
-        return F.aggregate(word, self.start(word), turn, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: _id(x).cast("int")))
+        # n bytes merge n - 1 times at most
+        return F.aggregate(F.slice(word, 4, NONE), self.start(word), turn, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: _id(x).cast("int")))
 
     def long(self, word: Column) -> Column:
         """Merges all places of the best pair in a step, from the left, without overlaps. That equals one by one as long as no piece so made
@@ -181,12 +186,12 @@ class Merges:
             places = _let(F.split(F.regexp_replace(flags, "11", "10"), ""), body=lambda hit: F.when(unsafe(hit), first(hit)).otherwise(hit))
             return _let(places, body=merged)
 
-        start = _let(F.transform(word, lambda b: _id(F.get(self.pairs, b * 257))), body=state)
+        start = _let(F.transform(word, lambda b: _id(F.get(self.pairs, b))), body=state)
         turn = lambda s, _: _let(F.array_min(s.r), body=lambda low: F.when(low >= NONE, s).otherwise(step(s, low)))
         return F.aggregate(word, start, turn, lambda s: F.transform(F.slice(s.p, F.lit(2), F.size(s.p) - 2), lambda x: x.cast("int")))
 
     def encode(self, word: Column) -> Column:
-        """The ids of one word, given as the array of its bytes between two ENDs: array<int>."""
+        """The ids of one word: array<int>."""
         return F.when(F.size(word) <= LONG_WORD + 2, self.short(word)).otherwise(self.long(word))
 
 
@@ -222,6 +227,8 @@ def splitter(pattern: str):
 def _split(batches: Iterator[pa.RecordBatch], text: int, carry: list[int], pattern: str, rows: pa.DataType) -> Iterator[pa.RecordBatch]:
     """Batch rows: the byte arrays of the distinct words between two ENDs, and each document's columns with its words' positions among them."""
     find = splitter(pattern)
+    wide = any(pa.types.is_string(f.type) or pa.types.is_large_string(f.type) for f in list(rows.value_type)[:-1])
+    most = BATCH_BYTES // 2 if wide else BATCH_BYTES
 
     def row(kept: pa.RecordBatch, seen: dict[str, int], positions: list[np.ndarray]) -> pa.RecordBatch:
         coded = b"".join(w.encode() + b"\xff" for w in seen)  # no byte of UTF-8 is 255
@@ -233,10 +240,12 @@ def _split(batches: Iterator[pa.RecordBatch], text: int, carry: list[int], patte
         values = np.full(starts[-1], END, np.int32)
         inner = flat != 255
         values[np.flatnonzero(inner) + np.repeat(np.arange(len(ends)), lengths) + 1] = flat[inner]
-        words = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values))
         sizes = np.append(0, np.cumsum([len(p) for p in positions])).astype(np.int32)
         places = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(positions)))
         documents = pa.StructArray.from_arrays([*(c.cast(t.type) for c, t in zip(kept.columns, rows.value_type)), places], fields=list(rows.value_type))
+        values[:-1] = values[:-1] * WIDE + values[1:]
+        values[-1:] = END * WIDE + END
+        words = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values))
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
         return pa.RecordBatch.from_arrays([one(words), one(documents).cast(rows)], ["words", "rows"])
 
@@ -249,7 +258,7 @@ def _split(batches: Iterator[pa.RecordBatch], text: int, carry: list[int], patte
         positions: list[np.ndarray] = []
         for hi, value in enumerate(texts):
             body = value.as_py() or ""
-            if hi > lo and (held + len(body) > BATCH_BYTES or len(seen) >= BATCH_WORDS):
+            if hi > lo and (held + len(body) > most or len(seen) >= BATCH_WORDS):
                 yield row(kept.slice(lo, hi - lo), seen, positions)
                 lo, held, positions = hi, 0, []
                 seen.clear()
@@ -282,7 +291,6 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", carry:
         lambda it: _split(it, len(carry), list(range(len(carry))), pattern, arrow),
         StructType([StructField("words", ArrayType(ArrayType(IntegerType()))), StructField("rows", document)]),
     )
-    t = tables(path)
 
     def documents(coded: Column, codes: Column, decoded: Column) -> Column:
         """One row for each document, from its words' ids, codes and decoded bytes."""
@@ -303,8 +311,6 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", carry:
 
         return F.transform("rows", one)
 
-    literals = [_literal(t[n], k) for n, k in (("offsets", "bigint"), ("cells", "bigint"), ("pairs", "bigint"), ("pieces", "string"), ("codes", "string"))]
-
     def coded(offsets: Column, cells: Column, pairs: Column, pieces: Column, codes: Column) -> Column:
         merges = Merges(offsets, cells, pairs)
         return _let(
@@ -312,5 +318,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", carry:
             body=lambda c: _let(F.transform(c, lambda x: joined(codes, x)), F.transform(c, lambda x: joined(pieces, x)), body=lambda code, decoded: documents(c, code, decoded)),
         )
 
-    out = split.select(F.inline(_let(*literals, body=coded)))
+    names = ("offsets", "cells", "pairs", "pieces", "codes")
+    both = split.select("words", "rows", literal(docs.sparkSession, path).alias("tables"))
+    out = both.select(F.inline(_let(*(F.col("tables")[n] for n in names), body=coded)))
     return out.select(*(F.col(f.name).alias(c) for f, c in zip(fields, carry)), *made)
