@@ -23,15 +23,15 @@ from pyspark.sql import functions as F
 from graphloom.llm.shared import fresh
 
 #: A batch row ends at so many distinct words, or at so many bytes of texts, half as many where it carries text columns (a longer document is a row by itself).
-BATCH_WORDS, BATCH_BYTES = 1 << 18, 16 << 20
+BATCH_WORDS, BATCH_BYTES = 1 << 19, 24 << 20
 #: Ids are below NONE; a rank of NONE or above means no merge. END stands before the first and after the last byte of a word.
 NONE, END = 1 << 16, 256
 #: A word is an array with a number for each byte: the byte times WIDE, and the next one.
 WIDE = 257
 #: A piece is one number: the rank of its merge with the next piece, its place in the word (14 bits), its id (16 bits).
 REST = (1 << 30) - 1
-#: Words above this many bytes merge all places of the best pair in one step.
-LONG_WORD = 1024
+#: Words above this many bytes merge all places of the best pair in one step; shorter ones mark the places merged away as bits of one number, which has GONE set.
+LONG_WORD, GONE = 60, 1 << 62
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -143,25 +143,35 @@ class Merges:
         return F.transform(word, lambda b, i: F.get(self.pairs, b) + F.shiftleft(i.cast("long"), 16))
 
     def short(self, word: Column) -> Column:
-        """Merges one place at a time: the least rank, the first such from the left. The least piece is thus the one to merge, and carries all that the step needs."""
+        """Merges one place at a time: the least rank, the first such from the left. The least piece is thus the one to merge, and carries all that the step needs.
+
+        The last number of the state has a bit for each place that is gone, so a piece's index follows from its place without a search.
+        """
+        bit = lambda place: F.call_function("shiftleft", F.lit(1).cast("long"), place)
+        place = lambda piece: F.shiftright(piece, 16).bitwiseAND(F.lit((1 << 14) - 1)).cast("int")
 
         def step(s: Column, least: Column) -> Column:
-            low = F.shiftright(least, 30)
-
-            def around(at: Column) -> Column:
-                """Only the pieces at at - 1 and at change; the one after goes."""
-                before = F.get(s, at - 2)
-                changed = F.array(
-                    F.shiftleft(self.rank(_id(before), low), 30) + before.bitwiseAND(F.lit(REST)),
-                    F.shiftleft(self.rank(low, _id(F.get(s, at + 1))), 30) + least.bitwiseAND(F.lit(REST - NONE + 1)) + low,
+            low, gone = F.shiftright(least, 30), F.element_at(s, -1)
+
+            def around(here: Column, left: Column, after: Column) -> Column:
+                """Only the pieces at index left and beside it and the last number change; the piece after them goes."""
+                before, at = F.get(s, left), left + 1
+                changed = F.transform(
+                    s,
+                    lambda x, i: F.when(i < left, x)
+                    .when(i == at, F.shiftleft(self.rank(low, _id(F.get(s, at + 2))), 30) + F.shiftleft(here.cast("long"), 16) + low)
+                    .when(i == left, F.shiftleft(self.rank(_id(before), low), 30) + before.bitwiseAND(F.lit(REST)))
+                    .when(x >= F.lit(GONE), gone.bitwiseOR(bit(place(after))))
+                    .otherwise(x),
                 )
-                return F.flatten(F.array(F.slice(s, F.lit(1), at - 2), changed, F.slice(s, at + 2, F.lit(NONE))))
+                return F.array_remove(changed, after)
 
-            return _let(F.array_position(s, least).cast("int"), body=around)
+            return _let(place(least), body=lambda here: _let(here - F.bit_count(gone.bitwiseAND(bit(here) - 1)) - 1, body=lambda left: _let(F.get(s, left + 2), body=lambda after: around(here, left, after))))
 
         turn = lambda s, _: _let(F.array_min(s), body=lambda least: F.when(least >= F.lit(NONE << 30), s).otherwise(step(s, least)))
         # n bytes merge n - 1 times at most
-        return F.aggregate(F.slice(word, 4, NONE), self.start(word), turn, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: _id(x).cast("int")))
+        start = F.array_append(self.start(word), F.lit(GONE))
+        return F.aggregate(F.slice(word, 4, NONE), start, turn, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 3), lambda x: _id(x).cast("int")))
 
     def long(self, word: Column) -> Column:
         """Merges all places of the best pair in a step, from the left, without overlaps. That equals one by one as long as no piece so made
@@ -196,8 +206,8 @@ class Merges:
 
 
 def joined(pieces: Column, ids: Column) -> Column:
-    """The concatenation of the binary pieces of ids, from their hex. As a string of raw bytes, so that array_join takes it."""
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")).cast("string")
+    """The concatenation of the binary pieces of ids, from their hex."""
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
 
 
 def splitter(pattern: str):
@@ -296,7 +306,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", carry:
         """One row for each document, from its words' ids, codes and decoded bytes."""
 
         def one(r: Column) -> Column:
-            whole = lambda parts: F.array_join(F.transform(r.p, lambda i: F.get(parts, i)), "")
+            # array_join takes strings of raw bytes; as binary until then they are not copied
+            whole = lambda parts: F.array_join(F.transform(r.p, lambda i: F.get(parts, i)).cast("array<string>"), "")
             digest = lambda x: F.sha2(x.cast("binary"), 256)
             return _let(
                 whole(codes),
