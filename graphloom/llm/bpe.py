@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.shared import fresh
 
 #: A batch row ends at so many distinct words, or at so many bytes of texts, half as many where it carries text columns (a longer document is a row by itself).
-BATCH_WORDS, BATCH_BYTES = 1 << 19, 24 << 20
+BATCH_WORDS, BATCH_BYTES = 1 << 19, 32 << 20
 #: Ids are below NONE; a rank of NONE or above means no merge. END stands before the first and after the last byte of a word.
 NONE, END = 1 << 16, 256
 #: A word is an array with a number for each byte: the byte times WIDE, and the next one.
@@ -32,6 +32,8 @@ WIDE = 257
 REST = (1 << 30) - 1
 #: Words above this many bytes merge all places of the best pair in one step; shorter ones mark the places merged away as bits of one number, which has GONE set.
 LONG_WORD, GONE = 60, 1 << 62
+#: Steps of a turn of the fold.
+STEPS = 3
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -95,7 +97,7 @@ def pair_table(merges: dict[tuple[int, int], int], byte_ids: np.ndarray, end: in
 
 @lru_cache(4)
 def tables(path: str) -> dict[str, list]:
-    """The tables of a rank file: offsets, cells, pairs, the hex of each id's bytes and of the id as little-endian unsigned 32-bit integer."""
+    """The tables of a rank file: offsets, cells, pairs, each id's bytes and the id as little-endian unsigned 32-bit integer."""
     ranks = read_ranks(path)
     top = max(ranks.values())
     if top + 2 >= NONE:
@@ -103,16 +105,16 @@ def tables(path: str) -> dict[str, list]:
     merges = merge_table(ranks)
     offsets, cells = flat_table(merges, top)
     byte_ids = np.array([ranks[bytes([i])] for i in range(256)])
-    pieces: list[str | None] = [None] * (top + 1)
+    pieces: list[bytes | None] = [None] * (top + 1)
     for token, rank in ranks.items():
-        pieces[rank] = token.hex()
-    return {"offsets": offsets.tolist(), "cells": cells.tolist(), "pairs": pair_table(merges, byte_ids, top + 1).tolist(), "pieces": pieces, "codes": [i.to_bytes(4, "little").hex() for i in range(top + 1)]}
+        pieces[rank] = token
+    return {"offsets": offsets.tolist(), "cells": cells.tolist(), "pairs": pair_table(merges, byte_ids, top + 1).tolist(), "pieces": pieces, "codes": [i.to_bytes(4, "little") for i in range(top + 1)]}
 
 
 def literal(spark: SparkSession, path: str) -> Column:
     """The tables of a rank file as one literal row. As a scalar subquery over that row it stays a few megabytes of flat numbers in every task;
     an array literal would be millions of objects."""
-    arrays = {name: pa.array([values], pa.list_(pa.string() if isinstance(values[-1], str) else pa.int64())) for name, values in tables(path).items()}
+    arrays = {name: pa.array([values], pa.list_(pa.binary() if isinstance(values[-1], bytes) else pa.int64())) for name, values in tables(path).items()}
     return spark.createDataFrame(pa.table(arrays)).select(F.struct(*arrays)).scalar()
 
 
@@ -136,42 +138,49 @@ class Merges:
 
     def rank(self, a: Column, b: Column) -> Column:
         """The rank that ids a and b merge to, else NONE or more."""
-        return F.get(self.cells, (F.get(self.offsets, a) + b).cast("int")).bitwiseXOR(F.shiftleft(a, 16))
+        return F.get(self.cells, F.get(self.offsets, a) + b).bitwiseXOR(F.shiftleft(a, 16))
 
     def start(self, word: Column) -> Column:
         """The pieces of a word's bytes."""
-        return F.transform(word, lambda b, i: F.get(self.pairs, b) + F.shiftleft(i.cast("long"), 16))
+        return F.transform(word, lambda b, i: F.get(self.pairs, b).bitwiseOR(F.shiftleft(i.cast("long"), 16)))
 
     def short(self, word: Column) -> Column:
         """Merges one place at a time: the least rank, the first such from the left. The least piece is thus the one to merge, and carries all that the step needs.
 
-        The last number of the state has a bit for each place that is gone, so a piece's index follows from its place without a search.
+        The first number of the state has a bit for each place that is gone, so a piece's index follows from its place without a search.
         """
         bit = lambda place: F.call_function("shiftleft", F.lit(1).cast("long"), place)
         place = lambda piece: F.shiftright(piece, 16).bitwiseAND(F.lit((1 << 14) - 1)).cast("int")
 
         def step(s: Column, least: Column) -> Column:
-            low, gone = F.shiftright(least, 30), F.element_at(s, -1)
+            low, gone = F.shiftright(least, 30), F.get(s, F.lit(0))
 
-            def around(here: Column, left: Column, after: Column) -> Column:
-                """Only the pieces at index left and beside it and the last number change; the piece after them goes."""
-                before, at = F.get(s, left), left + 1
+            here = place(least)
+
+            def around(left: Column) -> Column:
+                """Only the pieces at index left and beside it and the first number change; the piece after them goes."""
+                before, at, after = F.get(s, left), left + 1, F.get(s, left + 2)
                 changed = F.transform(
                     s,
-                    lambda x, i: F.when(i < left, x)
-                    .when(i == at, F.shiftleft(self.rank(low, _id(F.get(s, at + 2))), 30) + F.shiftleft(here.cast("long"), 16) + low)
-                    .when(i == left, F.shiftleft(self.rank(_id(before), low), 30) + before.bitwiseAND(F.lit(REST)))
-                    .when(x >= F.lit(GONE), gone.bitwiseOR(bit(place(after))))
-                    .otherwise(x),
+                    lambda x, i: F.when((i < left) & (i > 0), x)
+                    .when(i > at, x)
+                    .when(i == at, F.shiftleft(self.rank(low, _id(F.get(s, left + 3))), 30).bitwiseOR(least.bitwiseAND(F.lit(REST - NONE + 1))).bitwiseOR(low))
+                    .when(i == left, F.shiftleft(self.rank(_id(before), low), 30).bitwiseOR(before.bitwiseAND(F.lit(REST))))
+                    .otherwise(gone.bitwiseOR(bit(place(after)))),
                 )
                 return F.array_remove(changed, after)
 
-            return _let(place(least), body=lambda here: _let(here - F.bit_count(gone.bitwiseAND(bit(here) - 1)) - 1, body=lambda left: _let(F.get(s, left + 2), body=lambda after: around(here, left, after))))
+            return _let(here - F.bit_count(gone.bitwiseAND(bit(here) - 1)), body=around)
+
+        def turn(s: Column, times: int) -> Column:
+            """So many steps, or as many as there are: several at once leave fewer turns that find nothing."""
+            again = lambda t: turn(t, times - 1) if times > 1 else t
+            return _let(F.array_min(s), body=lambda least: F.when(least >= F.lit(NONE << 30), s).otherwise(_let(step(s, least), body=again)))
 
-        turn = lambda s, _: _let(F.array_min(s), body=lambda least: F.when(least >= F.lit(NONE << 30), s).otherwise(step(s, least)))
-        # n bytes merge n - 1 times at most
-        start = F.array_append(self.start(word), F.lit(GONE))
-        return F.aggregate(F.slice(word, 4, NONE), start, turn, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 3), lambda x: _id(x).cast("int")))
+        # n bytes, n + 2 numbers, merge n - 1 times at most
+        turns = F.sequence(F.lit(1), F.greatest(F.lit(1), ((F.size(word) + STEPS - 4) / STEPS).cast("int")))
+        start = F.array_prepend(self.start(word), F.lit(GONE))
+        return F.aggregate(turns, start, lambda s, _: turn(s, STEPS), lambda s: F.transform(F.slice(s, F.lit(3), F.size(s) - 3), _id))
 
     def long(self, word: Column) -> Column:
         """Merges all places of the best pair in a step, from the left, without overlaps. That equals one by one as long as no piece so made
@@ -198,16 +207,16 @@ class Merges:
 
         start = _let(F.transform(word, lambda b: _id(F.get(self.pairs, b))), body=state)
         turn = lambda s, _: _let(F.array_min(s.r), body=lambda low: F.when(low >= NONE, s).otherwise(step(s, low)))
-        return F.aggregate(word, start, turn, lambda s: F.transform(F.slice(s.p, F.lit(2), F.size(s.p) - 2), lambda x: x.cast("int")))
+        return F.aggregate(word, start, turn, lambda s: F.slice(s.p, F.lit(2), F.size(s.p) - 2))
 
     def encode(self, word: Column) -> Column:
-        """The ids of one word: array<int>."""
+        """The ids of one word: array<long>."""
         return F.when(F.size(word) <= LONG_WORD + 2, self.short(word)).otherwise(self.long(word))
 
 
 def joined(pieces: Column, ids: Column) -> Column:
-    """The concatenation of the binary pieces of ids, from their hex."""
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
+    """The concatenation of the binary pieces of ids. array_join takes strings of raw bytes; as binary until then they are not copied."""
+    return F.array_join(F.transform(ids, lambda i: F.get(pieces, i)).cast("array<string>"), "").cast("binary")
 
 
 def splitter(pattern: str):
@@ -306,17 +315,15 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", carry:
         """One row for each document, from its words' ids, codes and decoded bytes."""
 
         def one(r: Column) -> Column:
-            # array_join takes strings of raw bytes; as binary until then they are not copied
-            whole = lambda parts: F.array_join(F.transform(r.p, lambda i: F.get(parts, i)).cast("array<string>"), "")
-            digest = lambda x: F.sha2(x.cast("binary"), 256)
+            digest = lambda x: F.sha2(x, 256)
             return _let(
-                whole(codes),
+                joined(codes, r.p),
                 body=lambda code: F.struct(
                     *(r[f.name].alias(f.name) for f in fields),
                     F.floor(F.octet_length(code) / 4).cast("long").alias("n_tokens"),
                     digest(code).alias("ids_sha256"),
-                    digest(whole(decoded)).alias("decoded_sha256"),
-                    *([F.flatten(F.transform(r.p, lambda i: F.get(coded, i))).alias("ids")] if ids else []),
+                    digest(joined(decoded, r.p)).alias("decoded_sha256"),
+                    *([F.flatten(F.transform(r.p, lambda i: F.get(coded, i))).cast("array<int>").alias("ids")] if ids else []),
                 ),
             )
 
