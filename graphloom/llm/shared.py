@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.tables import discard, materialize, scratch, settled, small
+
+__all__ = ["batches", "discard", "fresh", "materialize", "reachable", "release", "scratch", "settled", "small", "text_column"]
+
 #: Text bytes that one pass of a NumPy kernel holds.
 SLICE_BYTES = 1 << 20
 
@@ -23,34 +25,6 @@ def reachable(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{paths}".rstrip(":")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); where it is unset, as in tests, a new local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it again: lineage ends at files that outlive executors."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/graphloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._graphloom_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Removes the files of a materialized table that no later plan reads."""
-    path = getattr(df, "_graphloom_path", None)
-    if path:
-        sc = df.sparkSession.sparkContext
-        where = sc._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def release(spark: SparkSession) -> None:
     """Lets go of the shuffle files of plans that nothing refers to any more; Spark drops them when the driver's garbage is collected."""
     gc.collect()
