@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.llm.shared import fresh
+
 #: Buckets of the numbering: rows meet in a task by bucket, and only buckets' counts meet in one.
 BUCKETS = 4096
 ROUNDS = 6
@@ -42,34 +44,35 @@ def number_rows(rows: DataFrame, number: str, total: str) -> DataFrame:
     """Adds a gapless row number from 0 and the row count.
 
     The order is by a hash bucket of all columns, then by the columns. Equal rows are counted before any shuffle and spread
-    again at the end, so copies, however many, never meet in one task. Map columns cannot be compared and must be cast before.
+    again at the end, so copies, however many, never meet in one task. Map columns cannot be compared and must be cast before. number and total must be new names.
     """
     columns = rows.columns
-    distinct = rows.groupBy(*columns).agg(F.count("*").alias("_copies")).withColumn("_bucket", F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)))
-    per = distinct.groupBy("_bucket").agg(F.sum("_copies").alias("_n"))
+    copies, bucket, n, before, within, copy = (fresh(rows, c) for c in ("_copies", "_bucket", "_n", "_before", "_within", "_copy"))
+    distinct = rows.groupBy(*columns).agg(F.count("*").alias(copies)).withColumn(bucket, F.pmod(F.xxhash64(*columns), F.lit(BUCKETS)))
+    per = distinct.groupBy(bucket).agg(F.sum(copies).alias(n))
     # at most BUCKETS rows
-    ordered = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     everything = Window.partitionBy(F.lit(0))
-    offsets = per.select("_bucket", (F.sum("_n").over(ordered) - F.col("_n")).alias("_before"), F.sum("_n").over(everything).alias(total))
-    inside = Window.partitionBy("_bucket").orderBy(*columns).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = distinct.withColumn("_within", F.sum("_copies").over(inside) - F.col("_copies")).join(F.broadcast(offsets), "_bucket")
-    spread = F.explode(F.sequence(F.lit(0), F.col("_copies") - 1).cast("array<long>"))
-    return placed.withColumn("_copy", spread).select(*columns, total, (F.col("_before") + F.col("_within") + F.col("_copy")).alias(number))
+    offsets = per.select(bucket, (F.sum(n).over(ordered) - F.col(n)).alias(before), F.sum(n).over(everything).alias(total))
+    inside = Window.partitionBy(bucket).orderBy(*columns).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = distinct.withColumn(within, F.sum(copies).over(inside) - F.col(copies)).join(F.broadcast(offsets), bucket)
+    spread = F.explode(F.sequence(F.lit(0), F.col(copies) - 1).cast("array<long>"))
+    return placed.withColumn(copy, spread).select(*columns, total, (F.col(before) + F.col(within) + F.col(copy)).alias(number))
 
 
 def shard(rows: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """Adds shard and slot to all rows: shard sizes differ by at most one row, slots of a shard run from 0 without gaps.
 
     Nulls are values like others; repeated rows get places of their own; an empty table stays empty; input columns named
-    shard or slot are replaced (names that start with _ are kept for the work).
+    shard or slot are replaced, all other names are free.
     """
     rows = rows.select(*(c for c in rows.columns if c.lower() not in ("shard", "slot")))
-    numbered = number_rows(rows, "_number", "_total")
-    placed = numbered.withColumn("_place", permute(F.col("_number"), F.col("_total"), seed))
-    return placed.select(*rows.columns, (F.col("_place") % shards).cast("int").alias("shard"), F.floor(F.col("_place") / shards).cast("long").alias("slot"))
+    number, total, place = (fresh(rows, c) for c in ("_number", "_total", "_place"))
+    placed = number_rows(rows, number, total).withColumn(place, permute(F.col(number), F.col(total), seed))
+    return placed.select(*rows.columns, (F.col(place) % shards).cast("int").alias("shard"), F.floor(F.col(place) / shards).cast("long").alias("slot"))
 
 
 def write_shards(rows: DataFrame, path: str, shards: int, seed: int = 0) -> None:
-    """Writes the rows as Parquet folders shard=k, each sorted by slot."""
+    """Writes the rows as Parquet folders shard=k. A shard is written by as many tasks as its size asks for, in files of adjoining slots, each sorted by slot."""
     placed = shard(rows, shards, seed)
-    placed.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
