@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
 from graphloom.llm import kernel
-from graphloom.llm.shared import discard, fresh, materialize, text_column
+from graphloom.llm.shared import discard, fresh, materialize, small, text_column
 
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: The characters that count as symbols.
@@ -76,17 +76,17 @@ def statistics_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [np.diff(found.first), chars, _per_row(_SYMBOL[data], offsets), dup_lines, repeated]
 
 
-def statistics(docs: DataFrame, text: str = "text", names: dict[str, str] | None = None) -> DataFrame:
-    """docs with its STATISTICS (by other names where names has them) as long columns; a null text has none of anything."""
-    names = names or {}
-    out = StructType([*docs.schema, *(StructField(names.get(c, c), LongType()) for c in STATISTICS)])
+def statistics(docs: DataFrame, text: str = "text", names: dict[str, str] | None = None, carry: list[str] | None = None) -> DataFrame:
+    """The columns carry of docs (all by default) and its STATISTICS (by other names where names has them) as long columns; a null text has none of anything."""
+    names, carry = names or {}, docs.columns if carry is None else carry
+    out = StructType([*(docs.schema[c] for c in carry), *(StructField(names.get(c, c), LongType()) for c in STATISTICS)])
     arrow = to_arrow_schema(out)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for lo, hi, data, offsets in kernel.slices(text_column(batch, text)):
                 made = [pa.array(x.astype(np.int64)) for x in statistics_of(data, offsets)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *made], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).select(carry).columns, *made], schema=arrow)
 
     return docs.mapInArrow(run, out)
 
@@ -126,24 +126,28 @@ def judge(
     max_host_rate: float = 0.5,
     broadcast_hosts: int = 100_000,
     prefix: str = "",
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """Adds the STATISTICS, base_failed and kept (each name after prefix) to docs.
+    """Adds the STATISTICS, base_failed and kept (each name after prefix) to docs, or to its columns carry only.
 
     kept is false where base_failed, and where the host's shrunk failure rate is above max_host_rate. Documents of a null
     host share one host. A null or empty text has no words and fails. Input columns of the new names are replaced.
-    Only the hosts above the limit are joined back: by broadcast up to broadcast_hosts of them, else by a shuffle.
+    Only the hosts above the limit are joined back: by broadcast up to broadcast_hosts of them, else by a shuffle. The texts are read
+    once: the carried columns with the statistics are written, and both the hosts' sums and the result read them.
     """
     names = {c: prefix + c for c in STATISTICS}
     failed, kept = prefix + "base_failed", prefix + "kept"
     docs = docs.select(*(c for c in docs.columns if c.lower() not in {*names.values(), failed, kept}))
     verdict = base_failed(F.col(names["n_words"]), F.col(names["n_repeat_words"]), min_words, max_repeat)
-    narrow = statistics(docs.select(F.col(host).alias("host"), F.col(text).alias("_text")), "_text", names).select("host", verdict.alias("bad"))
-    failures = materialize(narrow.groupBy("host").agg(F.count("*").alias("docs"), F.sum(F.col("bad").cast("long")).alias("failed")))
+    carry = [c for c in docs.columns if carry is None or c in carry]
+    mark, bad = fresh(docs, "_host"), fresh(docs, "_bad")
+    held = docs.withColumn(mark, F.col(host))
+    found = materialize(statistics(held, text, names, [*carry, mark]).withColumn(failed, verdict))
+    failures = materialize(found.groupBy(F.col(mark).alias("host")).agg(F.count("*").alias("docs"), F.sum(F.col(failed).cast("long")).alias("failed")))
     rejected = materialize(host_rates(failures).filter(F.col("rate") > max_host_rate).select("host"))
     discard(failures)
-    mark = fresh(docs, "_host")
-    bad = rejected.select(F.col("host").alias(mark), F.lit(True).alias(mark + "bad"))
-    bad = F.broadcast(bad) if rejected.count() <= broadcast_hosts else bad
-    found = statistics(docs, text, names).withColumn(failed, verdict)
-    out = found.join(bad, F.col(host).eqNullSafe(F.col(mark)), "left")
-    return out.select(*found.columns, (~F.col(failed) & F.col(mark + "bad").isNull()).alias(kept))
+    hosts = rejected.select(F.col("host").alias(bad))
+    hosts = F.broadcast(hosts) if small(hosts, broadcast_hosts) else hosts
+    rest = found.join(hosts, F.col(mark).eqNullSafe(F.col(bad)), "left_semi").select(*carry, *names.values(), failed, F.lit(False).alias(kept))
+    stays = found.join(hosts, F.col(mark).eqNullSafe(F.col(bad)), "left_anti").select(*carry, *names.values(), failed, (~F.col(failed)).alias(kept))
+    return stays if rejected.isEmpty() else stays.unionByName(rest)

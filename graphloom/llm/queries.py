@@ -58,7 +58,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), carry=["doc_id"])
     return judged.select("doc_id", *quality_rules.STATISTICS, "base_failed", "kept")
 
 
