@@ -41,13 +41,15 @@ def histogram(lengths: DataFrame) -> DataFrame:
     """
     per = lengths.groupBy("length").agg(F.sum("docs").alias("docs")).withColumn("block", F.floor(F.col("length") / BLOCK).cast("long"))
     tokens = F.col("docs") * F.col("length")
-    blocks = per.groupBy("block").agg(F.sum("docs").alias("bd"), F.sum(tokens).alias("bt"))
+    # a block's lengths travel with its sums, so the texts are encoded once
+    blocks = per.groupBy("block").agg(F.collect_list(F.struct("length", "docs")).alias("l"), F.sum("docs").alias("bd"), F.sum(tokens).alias("bt"))
     # one row for each 1024 lengths that occur: the longest document bounds them
     later = Window.partitionBy(F.lit(0)).orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(F.lit(0))
-    after = blocks.select("block", F.coalesce(F.sum("bd").over(later), F.lit(0)).alias("ad"), F.coalesce(F.sum("bt").over(later), F.lit(0)).alias("at"), F.sum("bd").over(every).alias("all_docs"), F.sum("bt").over(every).alias("all_tokens"))
+    after = blocks.select("block", "l", F.coalesce(F.sum("bd").over(later), F.lit(0)).alias("ad"), F.coalesce(F.sum("bt").over(later), F.lit(0)).alias("at"), F.sum("bd").over(every).alias("all_docs"), F.sum("bt").over(every).alias("all_tokens"))
+    each = after.select("block", F.inline("l"), "ad", "at", "all_docs", "all_tokens")
     inside = Window.partitionBy("block").orderBy(F.col("length").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = per.select("*", F.sum("docs").over(inside).alias("d"), F.sum(tokens).over(inside).alias("t")).join(after, "block")
+    sums = each.select("*", F.sum("docs").over(inside).alias("d"), F.sum(tokens).over(inside).alias("t"))
     at_least, more = F.col("d") + F.col("ad"), F.col("t") + F.col("at")
     return sums.select(
         "length",
