@@ -2,15 +2,19 @@
 
 A key is the 128-bit hash of a line without blanks at its ends and with A-Z lowered. `reference_counts` counts the
 documents of every key exactly; `add` inserts documents into or deletes them from such a table, so any insertion can be
-undone. Keys found in enough documents go into cuckoo filters, one for each shard of the key space. A second pass over the
-texts drops lines that a filter holds, except keys on the exact list of the filters' false positives, which is read off
-the reference counts. Filters and list are broadcast up to `broadcast_bytes`; beyond, lines join the counts by key.
+undone. Keys found in enough documents go into cuckoo filters, one for each shard of the key space. `Store` holds both: it takes documents in and
+out, and only the keys that thereby cross the limit are inserted into or deleted from the stored filter of their shard, which grows from the keys of its shard's counts.
+A second pass over the texts drops lines that a filter holds, except keys on the exact list of the filters' false positives, which is read off
+the reference counts. Filters and list are broadcast up to `broadcast_bytes`; beyond, the lines' keys go to the filters of their shards, and
+only the keys that a filter holds are joined with the counts.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +50,7 @@ class Cuckoo:
     def __init__(self, keys: list[bytes] = (), buckets: int = 0):
         self.size = buckets or max(1, 1 << max(0, (max(1, len(keys)) * 10 // (SLOTS * 8)).bit_length()))
         self.cells = np.zeros((self.size, SLOTS), np.uint16)
-        self.keys: list[bytes] | None = []
+        self.keys: Counter[bytes] | None = Counter()
         for key in keys:
             self.insert(key)
 
@@ -64,9 +68,9 @@ class Cuckoo:
 
     def insert(self, key: bytes) -> None:
         self._known()
-        self.keys.append(key)
+        self.keys[key] += 1
         if not self._put(key):
-            held, self.size = self.keys, self.size * 2
+            held, self.size = list(self.keys.elements()), self.size * 2
             while True:
                 self.cells = np.zeros((self.size, SLOTS), np.uint16)
                 if all(self._put(k) for k in held):
@@ -103,7 +107,9 @@ class Cuckoo:
             held = np.flatnonzero(self.cells[bucket] == print_)
             if len(held):
                 self.cells[bucket, held[0]] = 0
-                self.keys.remove(key)
+                self.keys[key] -= 1
+                if self.keys[key] <= 0:
+                    del self.keys[key]
                 return True
         return False
 
@@ -123,7 +129,7 @@ class Cuckoo:
         """A filter of to_bytes; it takes insertions and deletions if the keys it holds are given, as the counts table has them."""
         out = cls(buckets=max(1, len(raw) // (2 * SLOTS)))
         out.cells = np.frombuffer(raw, np.uint16).reshape(-1, SLOTS).copy()
-        out.keys = None if keys is None else list(keys)
+        out.keys = None if keys is None else Counter(keys)
         return out
 
 
@@ -163,6 +169,51 @@ def filters(counts: DataFrame, min_documents: int, shards: int) -> DataFrame:
     return frequent.groupBy("shard").applyInArrow(build, "shard int, cells binary")
 
 
+@dataclass(frozen=True)
+class Store:
+    """counts (key, documents) of all line keys, and filters (shard, cells) of those that at least min_documents documents have, both written."""
+
+    counts: DataFrame
+    filters: DataFrame
+    min_documents: int = 10
+    min_chars: int = 1
+    shards: int = 16
+
+    @classmethod
+    def of(cls, docs: DataFrame, text: str = "text", min_documents: int = 10, min_chars: int = 1, shards: int = 16) -> Store:
+        counts = materialize(reference_counts(docs, text, min_chars))
+        return cls(counts, materialize(filters(counts, min_documents, shards)), min_documents, min_chars, shards)
+
+    def insert(self, docs: DataFrame, text: str = "text") -> Store:
+        return self._apply(docs, text, 1)
+
+    def delete(self, docs: DataFrame, text: str = "text") -> Store:
+        """Takes documents out that were inserted before."""
+        return self._apply(docs, text, -1)
+
+    def _apply(self, docs: DataFrame, text: str, sign: int) -> Store:
+        """The store after a batch of documents; this one stays as it was. A shard's filter, its keys and the changes meet in one task: a filter's share of the keys."""
+        delta = reference_counts(docs, text, self.min_chars).select("key", (F.col("documents") * sign).alias("change"))
+        both = self.counts.join(delta, "key", "full_outer").select("key", F.coalesce("documents", F.lit(0)).alias("was"), (F.coalesce("documents", F.lit(0)) + F.coalesce("change", F.lit(0))).alias("documents"))
+        after = materialize(both)
+        was, now = F.col("was") >= self.min_documents, F.col("documents") >= self.min_documents
+        keys = after.filter(was | now).select(_shard("key", self.shards).alias("shard"), "key", was.alias("was"), now.alias("now"))
+        changed = keys.join(keys.filter("was <> now").select("shard").distinct(), "shard", "left_semi")
+
+        def turn(key: tuple[pa.Scalar, ...], stored: pa.Table, held: pa.Table) -> pa.Table:
+            names, was, now = (held.column(c).to_pylist() for c in ("key", "was", "now"))
+            if not held.num_rows:
+                return stored.select(["shard", "cells"])
+            one = Cuckoo.from_bytes(stored.column("cells")[0].as_py(), [k for k, x in zip(names, was) if x]) if stored.num_rows else Cuckoo()
+            for k, x, y in zip(names, was, now):
+                if x != y:
+                    one.insert(k) if y else one.remove(k)
+            return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([one.to_bytes()], pa.binary())})
+
+        stored = self.filters.groupBy("shard").cogroup(changed.groupBy("shard")).applyInArrow(turn, "shard int, cells binary")
+        return replace(self, counts=after.filter("documents > 0").select("key", "documents"), filters=materialize(stored))
+
+
 def _ask(held: dict[int, Cuckoo], keys: list[bytes], shards: int) -> np.ndarray:
     """Which keys the filters of their shards hold."""
     raw = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, 16)
@@ -185,23 +236,29 @@ def drop_lines(
     text: str = "text",
     shards: int = 16,
     broadcast_bytes: int = 64 << 20,
+    store: Store | None = None,
 ) -> DataFrame:
     """Drops the lines whose keys stand in at least min_documents documents, all of them in every document.
 
+    Documents are counted among docs themselves, or taken as counted in counts, or in a store with its filters and its parameters.
     Returns the columns of docs, with the text of the lines that stay (joined by newlines; null and empty texts are one
-    empty line and become empty), and n_lines, n_dropped, kept_sha256; input columns of these names are replaced.
+    empty line and become empty), and n_lines, n_dropped, kept_sha256; input columns of these names are replaced, all other names are free.
     Documents are rows: repeated rows and null ids count one by one. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     made = {"n_lines", "n_dropped", "kept_sha256"}
     docs = docs.select(*(c for c in docs.columns if c.lower() not in made))
-    given = counts is not None
-    counts = materialize(counts if counts is not None else reference_counts(docs, text, min_chars))
+    given = counts is not None or store is not None
+    if store is not None:
+        counts, min_documents, shards = store.counts, store.min_documents, store.shards
+    else:
+        counts = materialize(counts if given else reference_counts(docs, text, min_chars))
     frequent = counts.filter(F.col("documents") >= min_documents)
+    kept = store.filters if store is not None else filters(counts, min_documents, shards)
     #: A filter takes at most about 8 bytes a key: 2 bytes, at least 3/8 full after rounding up, and a doubling.
     if frequent.count() * 8 > broadcast_bytes:
-        return _joined(docs, frequent, text)
-    built = {r.shard: Cuckoo.from_bytes(bytes(r.cells)) for r in filters(counts, min_documents, shards).collect()}
+        return _sharded(docs, frequent, kept, text, shards)
+    built = {r.shard: Cuckoo.from_bytes(bytes(r.cells)) for r in kept.collect()}
     held = spark.sparkContext.broadcast(built)
 
     def errors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,10 +273,11 @@ def drop_lines(
     wrong = rare.mapInArrow(errors, "key binary") if built else counts.limit(0).select("key")
     wrong = materialize(wrong)
     if wrong.count() * 64 > broadcast_bytes:
-        return _joined(docs, frequent, text)
+        return _sharded(docs, frequent, kept, text, shards)
     excepted = spark.sparkContext.broadcast({bytes(r.key) for r in wrong.collect()})
     discard(wrong)
-    discard(counts)
+    if store is None:
+        discard(counts)
     body = docs.columns.index(next(c for c in docs.columns if c.lower() == text.lower()))
     out = StructType([*docs.schema, StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("kept_sha256", StringType())])
     arrow = to_arrow_schema(out)
@@ -243,18 +301,68 @@ def drop_lines(
     return docs.mapInArrow(rewrite, out)
 
 
-def _joined(docs: DataFrame, frequent: DataFrame, text: str) -> DataFrame:
-    """The same by a join of the lines with the frequent keys, for filters that are too large to broadcast."""
-    row, digest_of = fresh(docs, "_row"), F.udf(lambda x: digest(line_key((x or "").encode())), "binary")
-    #: A row's number must not change between the two uses below, so it is written.
+#: A filter has so many copies, each for a part of the rows, so that a line of very many documents meets several tasks.
+COPIES = 8
+
+
+def _sharded(docs: DataFrame, frequent: DataFrame, stored: DataFrame, text: str, shards: int) -> DataFrame:
+    """The same for filters that are too large to broadcast: each task streams the keys of a shard's lines past that shard's filter."""
+    row = fresh(docs, "_row")
+    # a row's number must not change between the uses below, so it is written
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
-    lines = numbered.select(row, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("_pos", "_line")).withColumn("key", digest_of("_line"))
-    dropped = lines.join(frequent.select("key", F.lit(True).alias("_drop")), "key", "left")
-    drop = F.col("_drop").isNull()
-    per = dropped.groupBy(row).agg(
-        F.count("*").alias("n_lines"),
-        F.count("_drop").alias("n_dropped"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(drop, F.struct("_pos", "_line")))), lambda x: x._line), "\n").alias("_kept"),
-    )
-    kept = numbered.join(per, row).withColumn("kept_sha256", F.sha2(F.encode("_kept", "utf-8"), 256))
-    return kept.select(*(F.col("_kept").alias(c) if c.lower() == text.lower() else F.col(c) for c in docs.columns), "n_lines", "n_dropped", "kept_sha256")
+
+    def keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for n, body in zip(batch.column(0).to_pylist(), _texts(batch, "_text")):
+                found = [digest(k) for k in {line_key(x) for x in body.split(b"\n")} if k]
+                yield pa.RecordBatch.from_arrays([pa.array([n] * len(found), pa.int64()), pa.array(found, pa.binary())], ["row", "key"])
+
+    lines = numbered.select(F.col(row), F.col(text).alias("_text")).mapInArrow(keys, "row long, key binary")
+    copy = F.pmod(F.xxhash64("row"), F.lit(COPIES)).cast("int")
+    asked = lines.select(_shard("key", shards).alias("shard"), copy.alias("copy"), "row", "key", F.lit(None).cast("binary").alias("cells"))
+    copies = stored.select("shard", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("copy"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("binary").alias("key"), "cells")
+
+    def pass_by(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, one = None, None
+        for batch in it:
+            at = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            rows, names, cells = (batch.column(c).to_pylist() for c in (2, 3, 4))
+            lo = 0
+            while lo < len(at):
+                if cells[lo] is not None:
+                    now, one = at[lo], Cuckoo.from_bytes(cells[lo])
+                    lo += 1
+                    continue
+                hi = lo
+                while hi < len(at) and at[hi] == at[lo] and cells[hi] is None:
+                    hi += 1
+                if at[lo] == now:
+                    hit = np.flatnonzero(_ask({at[lo][0]: one}, names[lo:hi], shards))
+                    yield pa.RecordBatch.from_arrays([pa.array([rows[lo + i] for i in hit], pa.int64()), pa.array([names[lo + i] for i in hit], pa.binary())], ["row", "key"])
+                lo = hi
+
+    together = asked.unionByName(copies).repartition("shard", "copy").sortWithinPartitions("shard", "copy", F.desc_nulls_last("cells"))
+    # the filters' false positives go where only the keys they hold are compared
+    hits = together.mapInArrow(pass_by, "row long, key binary").join(frequent.select("key"), "key", "left_semi")
+    dropped = fresh(docs, "_drop")
+    per = hits.groupBy(F.col("row").alias(row)).agg(F.collect_set("key").alias(dropped))
+    joined = numbered.join(per, row, "left").select(*docs.columns, dropped)
+    out = StructType([*docs.schema, StructField("n_lines", LongType()), StructField("n_dropped", LongType()), StructField("kept_sha256", StringType())])
+    arrow = to_arrow_schema(out)
+    body = docs.columns.index(next(c for c in docs.columns if c.lower() == text.lower()))
+
+    def rewrite(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            texts, sizes, gone = [], [], []
+            for value, drop in zip(_texts(batch, batch.schema.names[body]), batch.column(batch.num_columns - 1).to_pylist()):
+                every = value.split(b"\n")
+                drop = set(drop or ())
+                stay = [x for x in every if not drop or digest(line_key(x)) not in drop]
+                texts.append(b"\n".join(stay))
+                sizes.append(len(every))
+                gone.append(len(every) - len(stay))
+            columns = list(batch.columns[:-1])
+            columns[body] = pa.array(texts, pa.binary()).cast(arrow[body].type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts])], schema=arrow)
+
+    return joined.mapInArrow(rewrite, out)
