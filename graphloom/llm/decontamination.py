@@ -19,9 +19,10 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from graphloom.llm import kernel
-from graphloom.llm.shared import batches, materialize, text_column
+from graphloom.llm.shared import batches, fresh, materialize, settled, text_column
 
 # Unit words that may follow a number.
 UNITS = """
@@ -185,14 +186,18 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     are not looked for, those of more placeholders than words only word for word. For a text and item the longest passage is returned. Rows of one id and text are
     one document. Null and empty texts and empty tables have no leaks; a null id is an id.
     """
-    spark = docs.sparkSession
     source = lambda df, key: df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    return settled(lambda: _leaks(source(docs, doc_id), source(items, item_id), k, min_tokens))
+
+
+def _leaks(docs: DataFrame, items: DataFrame, k: int, min_tokens: int) -> DataFrame:
+    spark = docs.sparkSession
 
     def item_windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             yield from batches(_rows(text_column(batch, "text"), batch.column(0).to_pylist(), k, None), _ARROW)
 
-    templates = materialize(source(items, item_id).mapInArrow(item_windows, _KIND).filter(f"size >= {min(3, k)}"))
+    templates = materialize(items.mapInArrow(item_windows, _KIND).filter(f"size >= {min(3, k)}"))
     distinct = templates.select("size", "h").distinct()
     blocks = -(-distinct.count() // BLOCK)
     hits: DataFrame | None = None
@@ -205,7 +210,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
             for batch in it:
                 yield from batches(_rows(text_column(batch, "text"), batch.column(0).to_pylist(), k, held.value), _ARROW)
 
-        more = source(docs, doc_id).mapInArrow(text_windows, _KIND)
+        more = docs.mapInArrow(text_windows, _KIND)
         hits = more if hits is None else hits.unionByName(more)
     if hits is None:
         hits = spark.createDataFrame([], _KIND)
@@ -233,8 +238,18 @@ def drop_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
     """docs without the rows that leak; the leaking (id, text hash) pairs are broadcast up to broadcast_rows, else joined by a shuffle."""
     bad = materialize(leaks(docs, items, doc_id, item_id, text, k, min_tokens).select(F.col("doc_id").alias("_bad"), "key").distinct())
     if bad.count() > broadcast_rows:
-        digest = F.udf(lambda t: xxhash.xxh3_128_digest((t or "").encode()), "binary")
-        return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_bad")) & (digest(F.col(text)) == F.col("key")), "left_anti")
+        key = fresh(docs, "_key")
+        names = [*docs.columns, key]
+        at = next(i for i, c in enumerate(names) if c.lower() == text.lower())
+
+        def with_key(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in it:
+                digests = [xxhash.xxh3_128_digest(t.as_py().encode()) for t in batch.column(at).fill_null("")]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], names=names)
+
+        keyed = docs.mapInArrow(with_key, StructType([*docs.schema, StructField(key, BinaryType())]))
+        other = bad.select(F.col("_bad").alias(fresh(keyed, "_bad")), F.col("key").alias(fresh(keyed, "_other")))
+        return keyed.join(other, F.col(doc_id).eqNullSafe(F.col(other.columns[0])) & (F.col(key) == F.col(other.columns[1])), "left_anti").drop(key)
     held = docs.sparkSession.sparkContext.broadcast({(r[0], bytes(r[1])) for r in bad.collect()})
     names = [c.lower() for c in docs.columns]
     ids, body = names.index(doc_id.lower()), names.index(text.lower())

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import kernel
 from graphloom.llm.components import connected
-from graphloom.llm.shared import discard, materialize, release, text_column
+from graphloom.llm.shared import discard, fresh, materialize, release, settled, text_column
 
 SKETCH_BITS, BLOCK_BITS = 20, 12
 #: Levels of splitting at most; what is left then compares all pairs across components.
@@ -301,13 +301,11 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
     with a null id take part; where a component has no other ids its id is null. An empty table gives an empty one.
     """
     num, den = similarity
-    return _Join(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), k, num, den).run()
+    return settled(lambda: _Join(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), k, num, den).run())
 
 
 def keep_one(docs: DataFrame, text: str = "text", k: int = 5, similarity: tuple[int, int] = (80, 100), first_by: str = "doc_id") -> DataFrame:
     """docs with one row of each component, all columns; texts without words all stay."""
-    from graphloom.llm.shared import fresh
-
     row = fresh(docs, "_row")
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
     found = components(numbered, row, text, k, similarity)

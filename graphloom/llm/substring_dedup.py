@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import kernel
-from graphloom.llm.shared import materialize, text_column
+from graphloom.llm.shared import fresh, materialize, settled, text_column
 
 _GEAR = np.random.default_rng(77).integers(0, 2**32, 256, dtype=np.uint32)
 _NUMBERED = np.uint64(0x9E3779B97F4A7C15)
@@ -161,7 +161,10 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     partly its own, so 16 finds passages of over 50 words. Digests are 64-bit hashes: a false repeat would need several equal by chance in a row.
     Null and empty texts and empty tables have none.
     """
-    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    return settled(lambda: _passages(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), min_words))
+
+
+def _passages(source: DataFrame, min_words: int) -> DataFrame:
     repeated = materialize(_counts(source))
 
     def mark(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +179,7 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
     cells = repeated.select("digest").mapInArrow(mark, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # 2**23 rows at most
     filter_ = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     filter_[cells.column("at").to_numpy()] = cells.column("bits").to_numpy().astype(np.uint8)
-    held = docs.sparkSession.sparkContext.broadcast(filter_)
+    held = source.sparkSession.sparkContext.broadcast(filter_)
 
     def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -212,17 +215,26 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_wo
 
 
 def remove(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the bytes of their passages; a cut inside a character takes the whole character."""
-    per = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-
-    @F.udf("string")
-    def cut(value, found):
-        if value is None or not found:
+    """docs without the bytes of their passages; a cut inside a character takes the whole character. Null texts stay null."""
+    key, found = fresh(docs, "_id"), fresh(docs, "_spans")
+    per = spans.groupBy(F.col("doc_id").alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(found))
+    joined = docs.join(per, F.col(doc_id).eqNullSafe(F.col(key)), "left").select(*docs.columns, found)
+    body = next(i for i, c in enumerate(docs.columns) if c.lower() == text.lower())
+
+    def cut(value: str | None, gone: list[dict] | None) -> str | None:
+        if value is None or not gone:
             return value
         raw, out, at = value.encode(), [], 0
-        for s in found:
-            out.append(raw[at : max(at, s.start)])
-            at = max(at, s.end)
+        for s in gone:
+            out.append(raw[at : max(at, s["start"])])
+            at = max(at, s["end"])
         return b"".join([x.decode(errors="ignore").encode() for x in [*out, raw[at:]]]).decode()
 
-    return docs.join(per, F.col(doc_id).eqNullSafe(F.col("_id")), "left").withColumn(text, cut(F.col(text), F.col("_spans"))).select(*docs.columns)
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            columns = list(batch.columns[:-1])
+            columns[body] = pa.array([cut(v, g) for v, g in zip(columns[body].to_pylist(), batch.columns[-1].to_pylist())], columns[body].type)
+            yield pa.RecordBatch.from_arrays(columns, names=docs_names)
+
+    docs_names = docs.columns
+    return joined.mapInArrow(run, docs.schema)
