@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.shared import fresh
 
-#: A batch row ends at so many distinct words, or at so many bytes of texts, half as many where it carries text columns (a longer document is a row by itself).
-BATCH_WORDS, BATCH_BYTES = 1 << 19, 32 << 20
+#: A batch row ends at so many distinct words, or at so many bytes of texts, fewer where it carries texts or ids (a longer document is a row by itself).
+BATCH_WORDS, BATCH_BYTES, CARRY_BYTES = 1 << 19, 32 << 20, 2 << 20
 #: Ids are below NONE; a rank of NONE or above means no merge. END stands before the first and after the last byte of a word.
 NONE, END = 1 << 16, 256
 #: A word is an array with a number for each byte: the byte times WIDE, and the next one.
@@ -243,11 +243,9 @@ def splitter(pattern: str):
     return split
 
 
-def _split(batches: Iterator[pa.RecordBatch], text: int, carry: list[int], pattern: str, rows: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _split(batches: Iterator[pa.RecordBatch], text: int, carry: list[int], pattern: str, rows: pa.DataType, most: int) -> Iterator[pa.RecordBatch]:
     """Batch rows: the byte arrays of the distinct words between two ENDs, and each document's columns with its words' positions among them."""
     find = splitter(pattern)
-    wide = any(pa.types.is_string(f.type) or pa.types.is_large_string(f.type) for f in list(rows.value_type)[:-1])
-    most = BATCH_BYTES // 2 if wide else BATCH_BYTES
 
     def row(kept: pa.RecordBatch, seen: dict[str, int], positions: list[np.ndarray]) -> pa.RecordBatch:
         coded = b"".join(w.encode() + b"\xff" for w in seen)  # no byte of UTF-8 is 255
@@ -295,10 +293,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", carry:
     32-bit integers), decoded_sha256 (of the bytes that the ids decode to) and, if asked for, ids; input columns of
     these names are replaced. A null text is an empty one and has no ids. Rows are independent: repeated rows give
     repeated results, an empty table gives an empty one; other columns may have any names. A batch row holds at most about BATCH_WORDS
-    distinct words and BATCH_BYTES of texts, or one document.
+    distinct words and BATCH_BYTES of texts (CARRY_BYTES where it takes string columns along or returns ids), or one document.
     """
     from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+    from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
     made = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])]
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in made]
@@ -306,8 +304,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", carry:
     fields = [StructField(f"c{i}", source.schema[i].dataType) for i in range(len(carry))]
     document = ArrayType(StructType([*fields, StructField("p", ArrayType(IntegerType()))]))
     arrow = to_arrow_type(document)
+    wide = ids or any(isinstance(f.dataType, (StringType, BinaryType)) for f in fields)
     split = source.mapInArrow(
-        lambda it: _split(it, len(carry), list(range(len(carry))), pattern, arrow),
+        lambda it: _split(it, len(carry), list(range(len(carry))), pattern, arrow, CARRY_BYTES if wide else BATCH_BYTES),
         StructType([StructField("words", ArrayType(ArrayType(IntegerType()))), StructField("rows", document)]),
     )
 
