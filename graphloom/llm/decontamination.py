@@ -4,7 +4,8 @@ Tokens of texts and items are made canonical: numbers become <number>, units aft
 <name>; other words are lower-cased. Windows of k canonical tokens are hashed and joined to the items' windows, so a question
 with other numbers or names still matches its template. A second reading keeps names as lower-cased words, so letter case alone does not part
 a text from an item; a third one has an item's capitalised first word as <name>, as texts that embed the item in a sentence have it. The
-last reading keeps all tokens as they are, so windows and items made mostly of placeholders are found where they stand word for word. Each
+fourth reading keeps all tokens as they are, so windows and items made mostly of placeholders are found where they stand word for word. A capitalised
+word that opens a sentence may be a name or not: the last reading takes it as a <name> unless it is one of OPENERS. Each
 matched window is then checked: its tokens must be equal in lower case or be placeholders of one kind. Along a passage every placeholder value
 of the item must stand for one value of the text; two values of the item may become the same.
 """
@@ -30,6 +31,15 @@ mm cm m km inch inches foot feet yard yards mile miles g kg mg gram grams kilogr
 ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years
 percent dollar dollars cent cents euro euros degree degrees kph mph
 """.split()
+# Words that open sentences without being names.
+OPENERS = """
+a about above after all also although among an and another any are as at be because before being below between both but by calculate can choose compare
+complete compute consider could define describe determine did discuss do does during each either estimate evaluate every explain express few fill find first
+for from give given had has have he her here his how however i identify if in into is it its let list look make many may might more most must my name neither next no
+nor not now of on one only or other our over place prove read second select several shall she should show simplify since sketch so solve some state such suppose
+that the their then there therefore these they this those through thus to translate true under until use was we were what when where whether which
+while who whom whose why will with would write yes you your
+""".split()
 NUMBER, UNIT, NAME = "<number>", "<unit>", "<name>"
 #: Window hashes of items that one scan of the texts holds; a larger benchmark is scanned for in blocks of this size.
 BLOCK = 1 << 20
@@ -46,6 +56,7 @@ def _code(word: str) -> np.uint64:
 
 
 _UNIT_CODES = np.sort(np.array([_code(u) for u in UNITS], np.uint64))
+_OPENER_CODES = np.sort(np.array([_code(u) for u in OPENERS], np.uint64))
 _NUMBER, _UNIT, _NAME = (_code(x) for x in (NUMBER, UNIT, NAME))
 
 
@@ -60,7 +71,8 @@ def _lowered(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Tokens:
-    """Canonical tokens of a slice: found (words in lower case), codes (hash of each canonical token), slot (0 word, 1 number, 2 unit, 3 name)."""
+    """Canonical tokens of a slice: found (words in lower case), codes (hash of each canonical token), slot (0 word, 1 number, 2 unit, 3 name), open_slot
+    (the same, with capitalised words that open a sentence as names, except OPENERS)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.low, places = _lowered(data, offsets)
@@ -70,7 +82,7 @@ class Tokens:
         hashes = self.found.hashes
         n = len(f.starts)
         self.capital = np.zeros(n, bool)
-        self.slot = np.zeros(n, np.int8)
+        self.slot = self.open_slot = np.zeros(n, np.int8)
         if n:
             digits = np.append(0, np.cumsum(_DIGIT[data]))
             number = digits[f.ends] - digits[f.starts] == f.ends - f.starts
@@ -85,6 +97,9 @@ class Tokens:
             at = np.minimum(np.searchsorted(_UNIT_CODES, hashes), len(_UNIT_CODES) - 1)
             unit = after & (_UNIT_CODES[at] == hashes)
             self.slot = np.select([number, unit, capital & ~opens], [1, 2, 3], 0).astype(np.int8)
+            at = np.minimum(np.searchsorted(_OPENER_CODES, hashes), len(_OPENER_CODES) - 1)
+            name = capital & ~(opens & (_OPENER_CODES[at] == hashes))
+            self.open_slot = np.select([number, unit, name], [1, 2, 3], 0).astype(np.int8)
         self.plain = np.select([self.slot == 1, self.slot == 2], [_NUMBER, _UNIT], hashes).astype(np.uint64)
         self.codes = np.where(self.slot == 3, _NAME, self.plain)
 
@@ -103,6 +118,7 @@ class Tokens:
         yield self.codes, self.slot == 0, None
         yield self.plain, (self.slot == 0) | (self.slot == 3), None
         yield self.found.hashes, np.ones(len(self.codes), bool), None
+        yield np.where(self.open_slot == 3, _NAME, self.plain), self.open_slot == 0, None
         if item:
             opening = np.zeros(len(self.codes), bool)
             first = self.found.first[:-1]
@@ -115,7 +131,7 @@ class Tokens:
         out = []
         for j in range(at, at + k):
             word = bytes(self.low[self.found.starts[j] : self.found.ends[j]]).decode(errors="replace")
-            out.append(word if not self.slot[j] else f"{(NUMBER, UNIT, NAME)[self.slot[j] - 1]}{word}")
+            out.append(word if not self.open_slot[j] else f"{(NUMBER, UNIT, NAME)[self.open_slot[j] - 1]}{word}")
         return out
 
 

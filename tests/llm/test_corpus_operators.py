@@ -220,6 +220,61 @@ def test_items_of_placeholders_are_found_word_for_word(spark):
     assert {(r.doc_id, r.item_id) for r in decontamination.leaks(frame, items).collect()} == {(1, 1), (3, 2), (5, 3)}
 
 
+def test_names_that_open_sentences(spark):
+    items = spark.createDataFrame([(1, "Alice has 3 red apples. Bob gives Alice 4 more. How many does Alice have now?"), (2, "Alice bought 12 apples at the market today."), (3, "What is the capital of France?"), (4, "What is 3 + 4 * 5 - 6 / 7 + 8 - 9?")], "item_id long, text string")
+    rows = [
+        (1, "Mary has 5 red apples. Tom gives Mary 6 more. How many does Mary have now?"),
+        (2, "Mary bought 15 apples at the market today."),
+        (3, "Paris is the capital of France."),
+        (4, "Then: what is 3 + 4 * 5 - 6 / 7 + 8 - 9?"),
+        (5, "Mary has 5 red apples. Tom gives Susan 6 more. How many does Peter have now?"),
+        (6, "She bought 15 apples at the market today."),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(frame, items).collect()} == {(1, 1), (2, 2), (4, 4)}
+
+
+def brute_leaks(texts, items, k=8, least=13):
+    """(doc, item) where a stretch of equal lower-cased tokens holds least tokens of the item, or all of a shorter one: what must be found in any case."""
+    tokens = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").lower())
+    out = set()
+    for d, text in texts:
+        t = tokens(text)
+        for i, item in items:
+            v = tokens(item)
+            need = min(least, len(v))
+            if need >= 3 and any(t[a : a + need] == v[b : b + need] for b in range(len(v) - need + 1) for a in range(len(t) - need + 1)):
+                out.add((d, i))
+    return out
+
+
+def test_leaks_against_brute_force(spark):
+    """Texts of few words, capitals and numbers at random, so that partial passages of all lengths occur; repeated rows, ties, clashing columns."""
+    rng = random.Random(17)
+    pick = lambda: rng.choice([word(rng), word(rng).capitalize(), str(rng.randrange(50)), "Ann", "the"])
+    items = [(i, " ".join(pick() for _ in range(rng.choice([2, 3, 5, 8, 13, 14, 20, 40])))) for i in range(30)] + [(30, None), (31, "")]
+    texts = []
+    for d in range(120):
+        body = [pick() for _ in range(rng.randrange(0, 60))]
+        source = items[rng.randrange(30)][1].split()
+        a = rng.randrange(len(source))
+        at = rng.randrange(len(body) + 1)
+        body[at:at] = source[a : a + rng.randrange(1, len(source) + 1)]
+        texts.append((d, " ".join(body)))
+    texts += [texts[3], (500, None), (501, ""), (502, "x " * 30000 + items[5][1])]
+    frame = spark.createDataFrame([(d, t, "a", "b") for d, t in texts], "doc_id long, text string, key string, item string").repartition(3)
+    bench = spark.createDataFrame([(i, t, "c") for i, t in items], "item_id long, text string, h string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(frame, bench).collect()}
+    expected = brute_leaks(texts, items)
+    assert expected - got == set()
+    # what is found besides is a template: the same words but for numbers and names
+    plain = lambda t: re.sub(r"\b([A-Z]\w*|\d+)\b", "0", t or "")
+    masked = brute_leaks([(d, plain(t)) for d, t in texts], [(i, plain(t)) for i, t in items])
+    assert got - expected <= masked
+    kept = decontamination.drop_leaks(frame, bench)
+    assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == {d for d, _ in texts} - {d for d, _ in got}
+
+
 def test_benchmark_blocks(spark, monkeypatch):
     rng = random.Random(8)
     items = [(i, " ".join(word(rng) for _ in range(30))) for i in range(20)]
