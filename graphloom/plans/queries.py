@@ -71,7 +71,8 @@ surf AS (SELECT * FROM items WHERE kind <> 'renamed' AND NOT (relation = 'implem
 LOG = "log AS (SELECT user_id AS project, event_id AS seq, event_type || ':' || user_id AS id, event_id // 7 AS session, user_id % 5 AS actor, event_type AS family, props AS body FROM events)"
 _VALUES = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows)
 _WALKED = """
-ways AS (SELECT src, dst, relation, 0 AS way FROM edges UNION ALL SELECT dst, src, relation, 1 FROM edges),
+last AS (SELECT src, dst, max(relation) AS relation FROM edges GROUP BY src, dst),
+ways AS (SELECT src, dst, relation, 0 AS way FROM last UNION ALL SELECT dst, src, relation, 1 FROM last),
 pairs AS (SELECT DISTINCT src, dst FROM edges),
 deg AS (SELECT n.node_id, coalesce(c, 0) AS degree FROM nodes n LEFT JOIN (SELECT x, count(*) AS c FROM (SELECT src AS x FROM pairs UNION ALL SELECT dst FROM pairs) GROUP BY x) ON x = n.node_id),
 ordered AS (SELECT degree, row_number() OVER (ORDER BY degree) - 1 AS i, count(*) OVER () AS n FROM deg),
@@ -130,22 +131,17 @@ def bfs_hops_parent(spark, sf_dir):
 def _reach_sql(start: str, reverse: bool, depth: int, select: str) -> str:
     hop = "e.dst AS here, e.src AS nxt" if reverse else "e.src AS here, e.dst AS nxt"
     rels = "list_concat([h.relation], w.rels)" if reverse else "list_concat(w.rels, [h.relation])"
+    composed = " ".join(f"WHEN '{a} {b}' THEN '{c}'" for (a, b), c in COMPOSE.items())
     return (
         "WITH RECURSIVE {graph}, sig(relation, side, tag) AS (VALUES "
         + _VALUES([(r, s, t) for r, (a, b) in SIGNATURES.items() for s, ts in (("s", a), ("t", b)) for t in ts])
-        + "), cmp(a, b, c) AS (VALUES "
-        + _VALUES([(*k, v) for k, v in COMPOSE.items()])
         + f"""),
 good AS (SELECT DISTINCT {hop}, e.relation FROM edges e JOIN nodes a ON a.node_id = e.src JOIN nodes b ON b.node_id = e.dst
   WHERE EXISTS (SELECT 1 FROM sig WHERE sig.relation = e.relation AND side = 's' AND tag IN (a.family, a.family || '/' || a.kind)) AND EXISTS (SELECT 1 FROM sig WHERE sig.relation = e.relation AND side = 't' AND tag IN (b.family, b.family || '/' || b.kind))),
-f2 AS (SELECT a AS r1, b AS r2, c FROM cmp), f3 AS (SELECT x.r1, x.r2, y.b AS r3, y.c FROM f2 x JOIN cmp y ON y.a = x.c),
-w AS (SELECT '{start}' AS here, CAST([] AS VARCHAR[]) AS rels, ['{start}'] AS path, CAST(NULL AS VARCHAR) AS relation
+w AS (SELECT '{start}' AS here, CAST([] AS VARCHAR[]) AS rels, ['{start}'] AS path, '' AS relation
   UNION ALL
-  SELECT h.nxt, {rels}, list_append(w.path, h.nxt), CASE len(w.rels) WHEN 0 THEN h.relation WHEN 1 THEN f2.c ELSE f3.c END
-  FROM w JOIN good h ON h.here = w.here AND NOT list_contains(w.path, h.nxt)
-  LEFT JOIN f2 ON len(w.rels) = 1 AND f2.r1 = ({rels})[1] AND f2.r2 = ({rels})[2]
-  LEFT JOIN f3 ON len(w.rels) = 2 AND f3.r1 = ({rels})[1] AND f3.r2 = ({rels})[2] AND f3.r3 = ({rels})[3]
-  WHERE len(w.rels) < {depth} AND CASE len(w.rels) WHEN 0 THEN true WHEN 1 THEN f2.c IS NOT NULL ELSE f3.c IS NOT NULL END)
+  SELECT * FROM (SELECT h.nxt, {rels} AS r, list_append(w.path, h.nxt), list_reduce({rels}, lambda a, b: CASE a || ' ' || b {composed} END) AS c
+    FROM w JOIN good h ON h.here = w.here AND NOT list_contains(w.path, h.nxt) WHERE len(w.rels) < {depth}) WHERE c IS NOT NULL)
 {select}"""
     )
 
@@ -153,19 +149,19 @@ w AS (SELECT '{start}' AS here, CAST([] AS VARCHAR[]) AS rels, ['{start}'] AS pa
 _BEST = "SELECT '{s}' AS start, here AS target, relation, CASE WHEN min(len(rels)) = 1 THEN 'EXTRACTED' ELSE 'INFERRED' END AS confidence, CAST(min(len(rels)) AS INTEGER) AS depth FROM w WHERE len(rels) > 0 {where} GROUP BY here, relation"
 
 
-@query(_reach_sql(START_TASK, False, 3, _BEST.replace("{s}", START_TASK).replace("{where}", "")))
+@query(_reach_sql(START_TASK, False, 6, _BEST.replace("{s}", START_TASK).replace("{where}", "")))
 def reach_forward(spark, sf_dir):
-    return G.reach(tables.graph(spark, sf_dir), spark.createDataFrame([(START_TASK,)], "node_id string"), False, 3)
+    return G.reach(tables.graph(spark, sf_dir), spark.createDataFrame([(START_TASK,)], "node_id string"), False)
 
 
-@query(_reach_sql(START_PART, True, 3, _BEST.replace("{s}", START_PART).replace("{where}", "")))
+@query(_reach_sql(START_PART, True, 6, _BEST.replace("{s}", START_PART).replace("{where}", "")))
 def reach_reverse(spark, sf_dir):
-    return G.reach(tables.graph(spark, sf_dir), spark.createDataFrame([(START_PART,)], "node_id string"), True, 3)
+    return G.reach(tables.graph(spark, sf_dir), spark.createDataFrame([(START_PART,)], "node_id string"), True)
 
 
-@query(_reach_sql(START_PART, True, 2, _BEST.replace("{s}", START_PART).replace("{where}", "AND here IN (SELECT node_id FROM nodes WHERE family IN ('plan', 'memory', 'intent'))")))
+@query(_reach_sql(START_PART, True, 6, _BEST.replace("{s}", START_PART).replace("{where}", "AND here IN (SELECT node_id FROM nodes WHERE family IN ('plan', 'memory', 'intent'))")))
 def blast_radius(spark, sf_dir):
-    return G.blast_radius(tables.graph(spark, sf_dir), spark.createDataFrame([(START_PART,)], "node_id string"), 2)
+    return G.blast_radius(tables.graph(spark, sf_dir), spark.createDataFrame([(START_PART,)], "node_id string"))
 
 
 _CHAINS = [("implements",), ("implements", "contains"), ("implements", "contains", "calls"), ("contains", "calls"), ("implements", "calls", "contains", "calls"), ("calls", "calls", "calls"), ("serves", "contains")]
