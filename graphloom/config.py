@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
+from types import MappingProxyType
 
 
 @dataclass(frozen=True)
@@ -33,6 +35,12 @@ class Config:
     query_budget: int = 4000
     max_drift_lines: int = 4
     manifest_titles: int = 15
+    hook_budget: int = 800
+    pinned_budget: int = 800
+    obligation_share: float = 0.35
+    family_shares: Mapping[str, float] = field(default_factory=lambda: MappingProxyType({"intent": 0.25, "plan": 0.15, "structure": 0.30, "memory": 0.30}))
+    max_signal_lines: int = 200
+    max_governing: int = 60
 
 
 DEFAULTS = Config()

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# How identifiers split, what a locator looks like, alone and inside a text.
 _CAMEL = r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
 _LOCATOR = r"^(mem|int|task|plan|sym|file|module):"
+LOCATOR_IN_TEXT = r"(?:sym|int|mem|task|file|module|plan):[^\s,;()]+"
 
 
 def terms(text: Column) -> Column:
@@ -27,7 +29,7 @@ def is_locator(text: Column) -> Column:
 
 
 def explanation_ids(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?:sym|int|mem|task|file|module|plan):[^\s,;()]+"), F.lit(0))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LOCATOR_IN_TEXT), F.lit(0))
 
 
 def token_estimate(text: Column) -> Column:
@@ -40,7 +42,7 @@ def title(text: Column, width: int = 96) -> Column:
 
 def line_range(target: Column) -> Column:
     """path, first, last of file targets like path:L3-L9 or path:L3-9; no range: nulls."""
-    pattern = r"^(.*):L(\d+)-L?(\d+)$"
+    pattern = r"^(.*):L(\d+)-L?(\d+)$"  # fixed value
     hit = target.rlike(pattern)
     part = lambda k: F.regexp_extract(target, pattern, k)
     return F.struct(F.when(hit, part(1)).otherwise(target).alias("path"), F.when(hit, part(2)).try_cast("int").alias("first"), F.when(hit, part(3)).try_cast("int").alias("last"))
@@ -48,6 +50,7 @@ def line_range(target: Column) -> Column:
 
 def frontmatter(text: Column) -> Column:
     """head and body of a text that begins with a --- block; head is null for others."""
+    # fixed value
     pattern = r"(?s)\A---\n(.*?)\n---\n?(.*)\z"
     hit = text.rlike(pattern)
     return F.struct(F.when(hit, F.regexp_extract(text, pattern, 1)).alias("head"), F.when(hit, F.regexp_extract(text, pattern, 2)).otherwise(text).alias("body"))
@@ -55,6 +58,7 @@ def frontmatter(text: Column) -> Column:
 
 def task_lines(body: Column) -> Column:
     """done, num, text of lines like '- [x] {#3} text', by num."""
+    # fixed value
     pattern = r"^- \[([ xX])\]\s*\{#(\d+)\}\s*(.*)$"
     part = lambda x, k: F.regexp_extract(x, pattern, k)
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(pattern))
