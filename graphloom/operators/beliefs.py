@@ -31,6 +31,22 @@ def shared_anchor(graph: Graph, pairs: DataFrame) -> DataFrame:
     return both.groupBy("left_id", "right_id").agg(F.min("dst").alias("anchor"))
 
 
+def conflicts(graph: Graph, similar: DataFrame, nominated: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """left_id, right_id (in this order), anchor, cosine, origin of the open conflicts of live memories.
+
+    similar (left_id, right_id, anchor, cosine) come from vectors, nominated (left_id, right_id) from a reader and count where they share an anchor.
+    Pairs that an equivalence or a verdict has closed are left out.
+    """
+    none = F.lit(None).cast("double")
+    both = similar.select("left_id", "right_id", "anchor", "cosine", F.lit("similar").alias("origin")).unionByName(shared_anchor(graph, nominated).select("left_id", "right_id", "anchor", none.alias("cosine"), F.lit("nominated").alias("origin")))
+    pairs = both.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), "anchor", "cosine", "origin")
+    once = pairs.groupBy("left_id", "right_id").agg(F.min("anchor").alias("anchor"), F.max("cosine").alias("cosine"), F.array_join(F.array_sort(F.collect_set("origin")), ",").alias("origin"))
+    live = live_memories(graph).select("node_id")
+    closed = closed_pairs(graph.edges, verdicts).select(F.col("a").alias("left_id"), F.col("b").alias("right_id"))
+    held = once.join(live.withColumnRenamed("node_id", "left_id"), "left_id", "left_semi").join(live.withColumnRenamed("node_id", "right_id"), "right_id", "left_semi")
+    return held.join(closed, ["left_id", "right_id"], "left_anti").select("left_id", "right_id", "anchor", "cosine", "origin")
+
+
 def dominant(graph: Graph, pairs: DataFrame) -> DataFrame:
     """pairs (left_id, right_id) with the side of the strictly stronger provenance tier, null for equal tiers."""
     ranked = graph.nodes.select("node_id", scores.tier_rank(scores.tier(F.col("family"), F.col("kind"), F.col("grounding"), F.col("attestation"))).alias("t"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.model import Graph
@@ -113,6 +113,38 @@ def obligations(graph: Graph) -> DataFrame:
     return a.unionByName(b).unionByName(c)
 
 
+def _rank(kind) -> F.Column:
+    return F.when(kind == "conflict", 0).when(kind == "stale", 1).otherwise(2)
+
+
+def counts(found: DataFrame) -> DataFrame:
+    """kind, c: how many obligations of each kind there are, 0 too."""
+    every = found.sparkSession.createDataFrame([("conflict",), ("stale",), ("drift",)], "kind string")
+    return every.join(found.groupBy("kind").agg(F.count("*").alias("c")), "kind", "left").select("kind", F.coalesce("c", F.lit(0)).alias("c"))
+
+
+def notice(found: DataFrame, most: int) -> DataFrame:
+    """place, kind, key, more: the first obligations, conflicts before stale completions before drift, then by key, and how many there are beyond."""
+    first = found.orderBy(_rank(F.col("kind")), "key").limit(most)
+    placed = first.select(F.row_number().over(Window.orderBy(_rank(F.col("kind")), "key")).alias("place"), "kind", "key")
+    total = found.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("more"))
+    return placed.crossJoin(F.broadcast(total))  # one row
+
+
+def by_locus(graph: Graph) -> DataFrame:
+    """dst, c, sources of the places whose change makes several decisions drift."""
+    per = soft(graph).filter("relation = 'concerns'").groupBy("dst").agg(F.count("*").alias("c"), F.array_join(F.array_sort(F.collect_list("src")), ",").alias("sources"))
+    return per.filter("c > 1")
+
+
+def upheld(graph: Graph, seeds: DataFrame) -> DataFrame:
+    """node_id of the memories that concern the seeds (node_id) and have drifted on none of them."""
+    about = graph.edges.filter("relation = 'concerns'").join(seeds.select(F.col("node_id").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst").distinct()
+    off = items(graph).filter("kind <> 'renamed'").select("src", "dst").distinct()
+    drifted = about.join(off, ["src", "dst"], "left_semi").select("src").distinct()
+    return about.select("src").distinct().join(drifted, "src", "left_anti").select(F.col("src").alias("node_id"))
+
+
 def unseen(found: DataFrame, latch: DataFrame) -> DataFrame:
     """Obligations (kind, key) that a session's latch (key) has not announced."""
     return found.join(latch.select("key").distinct(), "key", "left_anti").select("kind", "key")

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from graphloom.model import Graph
+from graphloom.tables import materialize
 
 GENESIS = "0" * 64
 
@@ -56,14 +64,39 @@ def event_key(project: F.Column, id_: F.Column, body: F.Column) -> F.Column:
     return F.sha2(F.concat_ws("\0", project.cast("string"), id_, body), 256)
 
 
-def build_chain(events: DataFrame) -> DataFrame:
-    """Adds event_key, prev_hash and entry_hash along each project's events: entry = sha256(prev, 0 byte, key). The fold of a project is serial by nature."""
-    keyed = events.withColumn("event_key", event_key(F.col("project"), F.col("id"), F.col("body")))
-    per = keyed.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("seq", "id", "body", "event_key"))).alias("l"))
-    link = lambda s, e: F.array_append(s, F.sha2(F.concat(F.element_at(s, -1), F.lit("\0"), e.event_key), 256))
-    hashed = per.select("project", "l", F.aggregate("l", F.array(F.lit(GENESIS)), link).alias("h"))
-    rows = hashed.select("project", "h", F.posexplode("l").alias("i", "e"))
-    return rows.select("project", "e.*", F.get("h", F.col("i")).alias("prev_hash"), F.get("h", F.col("i") + 1).alias("entry_hash"))
+def build_chain(events: DataFrame, tails: DataFrame | None = None) -> DataFrame:
+    """project, seq, id, body, event_key, prev_hash, entry_hash along each project's events: entry = sha256(prev, 0 byte, key).
+
+    tails (project, entry_hash) are the ends of chains that these events go on; projects without one begin at GENESIS. A project's events are
+    read in order by one task, as the chain is serial by nature, which holds one hash at a time.
+    """
+    keyed = events.select("project", "seq", "id", "body", event_key(F.col("project"), F.col("id"), F.col("body")).alias("event_key"), F.lit(None).cast("string").alias("tail"))
+    if tails is not None:
+        kinds = {f.name: f.dataType for f in keyed.schema}
+        first = tails.select("project", *(F.lit(None).cast(kinds[c]).alias(c) for c in ("seq", "id", "body", "event_key")), F.col("entry_hash").alias("tail"))
+        keyed = first.unionByName(keyed)
+    ordered = keyed.repartition("project").sortWithinPartitions("project", F.desc_nulls_last("tail"), "seq", "id")
+
+    def link(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        project, last = object(), GENESIS
+        for batch in it:
+            prev, entry = [], []
+            for p, key, tail in zip(*(batch.column(c).to_pylist() for c in (0, 4, 5))):
+                if p != project:
+                    project, last = p, GENESIS
+                if tail is not None:
+                    last = tail
+                    prev.append(None)
+                    entry.append(None)
+                    continue
+                prev.append(last)
+                last = hashlib.sha256(f"{last}\0{key}".encode()).hexdigest()
+                entry.append(last)
+            made = pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(prev, pa.string()), pa.array(entry, pa.string())], names=[*batch.schema.names[:5], "prev_hash", "entry_hash"])
+            yield made.filter(pa.array([x is not None for x in entry], pa.bool_()))
+
+    kind = StructType([*keyed.schema.fields[:5], StructField("prev_hash", StringType()), StructField("entry_hash", StringType())])
+    return ordered.mapInArrow(link, kind)
 
 
 def verify_chain(chain: DataFrame) -> DataFrame:
@@ -112,45 +145,74 @@ def causal_order(assertions: DataFrame) -> DataFrame:
 
     Chains of assertions with one parent are followed to their end by pointer doubling; those with several parents take a round a level.
     """
-    edge = assertions.select("id", F.explode("parents").alias("parent")).join(assertions.select(F.col("id").alias("parent")), "parent", "left_semi").distinct().checkpoint()
+    edge = materialize(assertions.select("id", F.explode("parents").alias("parent")).join(assertions.select(F.col("id").alias("parent")), "parent", "left_semi").distinct())
     ids = assertions.select("id").distinct()
     cycle = ValueError("the parents of the assertions form a cycle")
     parents = edge.groupBy("id").agg(F.count("*").alias("n"))
-    single = edge.join(parents.filter("n = 1"), "id").select("id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("steps")).checkpoint()
+    single = materialize(edge.join(parents.filter("n = 1"), "id").select("id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("steps")))
     inner, followed, links = single.select(F.col("id").alias("up")), 1, single.count()
     while not single.join(inner, "up", "left_semi").isEmpty():
         if followed > links:
             raise cycle
         above = single.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
-        single = single.join(above, "up", "left").select("id", F.coalesce("next", "up").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")).checkpoint()
+        single = materialize(single.join(above, "up", "left").select("id", F.coalesce("next", "up").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
         followed *= 2
-    ends = ids.join(single, "id", "left").select("id", F.coalesce("up", "id").alias("up"), F.coalesce("steps", F.lit(0)).alias("steps")).checkpoint()
-    several = edge.join(parents.filter("n > 1").select("id"), "id", "left_semi").join(ends.withColumnRenamed("id", "parent"), "parent").select("id", "up", (F.col("steps") + 1).alias("steps")).checkpoint()
+    ends = materialize(ids.join(single, "id", "left").select("id", F.coalesce("up", "id").alias("up"), F.coalesce("steps", F.lit(0)).alias("steps")))
+    several = materialize(edge.join(parents.filter("n > 1").select("id"), "id", "left_semi").join(ends.withColumnRenamed("id", "parent"), "parent").select("id", "up", (F.col("steps") + 1).alias("steps")))
     depth = ends.filter("id = up").select("id", F.lit(0).cast("long").alias("depth"))
     levels = several.select("id").distinct().count()
     for level in range(levels + 1):
         higher = several.join(depth.withColumnRenamed("id", "up"), "up").groupBy("id").agg(F.max(F.col("depth") + F.col("steps")).alias("d"))
-        new = depth.join(higher, "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("depth")).checkpoint()
+        new = materialize(depth.join(higher, "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("depth")))
         if new.join(depth.withColumnRenamed("depth", "was"), "id").filter("depth <> was").isEmpty():
             return ends.join(new.withColumnRenamed("id", "up"), "up").select("id", (F.col("depth") + F.col("steps")).cast("int").alias("depth"))
         depth = new
     raise cycle
 
 
-def fold(assertions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def rewrite_parents(assertions: DataFrame) -> DataFrame:
+    """assertions (id, locator, parents, and others) with parents that are locators replaced by the ids of that locator's revisions; each parent once, in order."""
+    at = assertions.select("id", F.posexplode("parents").alias("i", "parent"))
+    revisions = assertions.filter("locator is not null").groupBy(F.col("locator").alias("parent")).agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    each = at.join(revisions, "parent", "left").select("id", F.struct("i", F.coalesce("ids", F.array("parent")).alias("ids")).alias("p"))
+    per = each.groupBy("id").agg(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p.ids))).alias("parents"))
+    rest = assertions.drop("parents").join(per, "id", "left")
+    return rest.select(*(F.coalesce("parents", F.array().cast("array<string>")).alias("parents") if c == "parents" else c for c in assertions.columns))
+
+
+def fold(assertions: DataFrame, base: Graph | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges and dangling edges of assertions (rank, id, locator, family, kind, label, edges array of (relation, target, pending)).
 
-    A node is its locator or id; a later revision of a locator wins attribute by attribute. An edge resolves to nodes of no later rank.
+    A node is its locator or id; a later revision of a locator wins attribute by attribute. An edge resolves to nodes of no later rank, and to
+    those of base, which are there from the start and lose to revisions.
     """
-    named = assertions.withColumn("node_id", F.coalesce("locator", "id"))
+    named = assertions.withColumn("node_id", F.coalesce("locator", "id")).withColumn("rank", F.col("rank").cast("long"))
+    cells = named.select("node_id", "family", "kind", "label", "rank")
+    if base is not None:
+        cells = cells.unionByName(base.nodes.select("node_id", "family", "kind", "label", F.lit(-1).cast("long").alias("rank")))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("rank"))).alias(c)
-    nodes = named.groupBy("node_id").agg(last("family"), last("kind"), last("label"), F.max("rank").alias("last_rank"))
+    nodes = cells.groupBy("node_id").agg(last("family"), last("kind"), last("label"), F.max("rank").alias("last_rank"))
     out = named.select(F.col("node_id").alias("src"), "rank", F.explode("edges").alias("e")).select("src", "rank", F.col("e.relation").alias("relation"), F.col("e.target").alias("dst"), F.col("e.pending").alias("pending"))
-    born = named.groupBy(F.col("node_id").alias("dst")).agg(F.min("rank").alias("born"))
+    born = cells.groupBy(F.col("node_id").alias("dst")).agg(F.min("rank").alias("born"))
     known = out.join(born, "dst", "left")
     return nodes, known.filter("born <= rank").drop("born"), known.filter("born is null or born > rank").select("src", "relation", F.col("dst").alias("target"), "rank")
 
 
+def project(edges: DataFrame, projections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges with projections (rank, src, dst, relation, of) that no other relation of the pair shadows, and the shadowed ones.
+
+    A projection is an edge that an assertion (of) draws between two other nodes. It is taken if its pair has no edge yet or one of the same relation;
+    of several projections of a pair the first by rank decides.
+    """
+    held = edges.groupBy("src", "dst").agg(F.collect_set("relation").alias("held"))
+    first = projections.groupBy("src", "dst").agg(F.min_by("relation", F.struct("rank", "relation")).alias("first"))
+    both = projections.join(held, ["src", "dst"], "left").join(first, ["src", "dst"])
+    free = F.when(F.col("held").isNull(), F.col("relation") == F.col("first")).otherwise(F.array_contains("held", F.col("relation")))
+    judged = both.select("src", "dst", "relation", "of", "rank", free.alias("free"))
+    new = judged.filter("free").select("src", "dst", "relation").distinct().join(edges.select("src", "dst", "relation"), ["src", "dst", "relation"], "left_anti")
+    return edges.unionByName(new, allowMissingColumns=True), judged.filter("not free").select("src", "dst", "relation", "of")
+
+
 def merge_telemetry(now: DataFrame, events: DataFrame) -> DataFrame:
     """node_id, usage, last_seen, upholds after new injections and upholds (node_id, ts, weight)."""
     added = events.groupBy("node_id").agg(F.count_if(F.col("weight").isNull()).alias("u"), F.max(F.when(F.col("weight").isNull(), F.col("ts"))).alias("l"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w"))

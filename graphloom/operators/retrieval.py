@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.config import DEFAULTS, Config
@@ -54,21 +58,27 @@ def merge_seeds(first: DataFrame, second: DataFrame) -> DataFrame:
     return once.select("node_id", (F.row_number().over(Window.orderBy("m", "node_id")) - 1).alias("place"))
 
 
+def _scaled(df: DataFrame, *values: str) -> DataFrame:
+    """df with each of values scaled to its own range; the ranges are one row."""
+    ends = df.agg(*(f(v).alias(f"{k}{i}") for i, v in enumerate(values) for k, f in (("_lo", F.min), ("_hi", F.max))))
+    both = df.crossJoin(F.broadcast(ends))  # one row
+    scaled = lambda i, v: F.when(F.col(f"_hi{i}") - F.col(f"_lo{i}") < 1e-12, 0.0).otherwise((F.col(v) - F.col(f"_lo{i}")) / (F.col(f"_hi{i}") - F.col(f"_lo{i}")))
+    return both.select(*(c for c in df.columns if c not in values), *(scaled(i, v).alias(v) for i, v in enumerate(values)))
+
+
 def combine(a: DataFrame, b: DataFrame) -> DataFrame:
     """node_id, match: the greater of two scores, each scaled to its own range over its positive values."""
-    every = Window.partitionBy(F.lit(0))
-    scaled = lambda df: df.filter("score > 0").select("node_id", scores.normalize(F.col("score"), every).alias("s"))
-    both = scaled(a).unionByName(scaled(b))
-    return both.groupBy("node_id").agg(F.max("s").alias("match"))
+    part = lambda df: _scaled(df.filter("score > 0").select("node_id", "score"), "score").withColumnRenamed("score", "s")
+    return part(a).unionByName(part(b)).groupBy("node_id").agg(F.max("s").alias("match"))
 
 
 def rank(slice_: DataFrame, c: Config = DEFAULTS) -> DataFrame:
-    """(node_id, hops, match, relevance) to (node_id, final, place); the slice is bounded by the node budget."""
-    every = Window.partitionBy(F.lit(0))
-    near = 1.0 / (1.0 + F.col("hops"))
-    final = c.alpha * scores.normalize(F.coalesce("match", F.lit(0.0)), every) + c.beta * scores.normalize(near, every) + c.gamma * scores.normalize(F.col("relevance"), every)
-    scored = slice_.select("node_id", F.round(final, 6).alias("final"))
-    return scored.select("node_id", "final", F.row_number().over(Window.orderBy(F.desc("final"), "node_id")).alias("place"))
+    """(node_id, hops, match, relevance) to (node_id, final, place): the best node_budget rows, scaled over all of them. Only those are numbered."""
+    rows = slice_.select("node_id", F.coalesce("match", F.lit(0.0)).alias("match"), (1.0 / (1.0 + F.col("hops"))).alias("near"), "relevance")
+    scaled = _scaled(rows, "match", "near", "relevance")
+    scored = scaled.select("node_id", F.round(c.alpha * F.col("match") + c.beta * F.col("near") + c.gamma * F.col("relevance"), 6).alias("final"))
+    best = scored.orderBy(F.desc("final"), "node_id").limit(c.node_budget)
+    return best.select("node_id", "final", F.row_number().over(Window.orderBy(F.desc("final"), "node_id")).alias("place"))
 
 
 def fill_budget(lines: DataFrame, budget: int) -> DataFrame:
@@ -78,21 +88,89 @@ def fill_budget(lines: DataFrame, budget: int) -> DataFrame:
     return kept.select(F.explode(F.transform("k", lambda i: F.get("l", i))).alias("x")).select("x.place", "x.node_id", "x.cost")
 
 
+#: Vectors of a packed block: a matrix product of two blocks is one step of a task.
+VECTORS = 2048
+
+
+def _pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, id, vec) rows, those of one group beside each other, to (group, ids, mat): blocks of one group of at most VECTORS rows."""
+    held: list[tuple] = []
+
+    def out() -> pa.RecordBatch:
+        mat = np.array([v for _, _, v in held], np.float64)
+        return pa.RecordBatch.from_arrays([pa.array([held[0][0]], pa.string()), pa.array([[i for _, i, _ in held]], pa.list_(pa.int64())), pa.array([mat.tobytes()], pa.binary())], ["group", "ids", "mat"])
+
+    for batch in it:
+        for row in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            if held and (row[0] != held[0][0] or len(held) >= VECTORS):
+                yield out()
+                held = []
+            held.append(row)
+    if held:
+        yield out()
+
+
+def blocks(vectors: DataFrame, group: Column) -> DataFrame:
+    """group, ids, mat of vectors (id, vec): rows of a group lie together in blocks; a group of any size is many blocks."""
+    rows = vectors.select(group.cast("string").alias("group"), F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    near = rows.repartitionByRange("group", "id").sortWithinPartitions("group", "id")
+    return near.mapInArrow(_pack, "group string, ids array<long>, mat binary")
+
+
+def _matrix(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float64).reshape(n, -1)
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query, id, cosine, place: the k nearest of each query, exact. Queries are a bounded set; each partition keeps k for each of them first."""
-    pairs = vectors.crossJoin(F.broadcast(queries)).filter("id <> query").select("query", "id", F.round(scores.cosine(F.col("vec"), F.col("qvec")), 6).alias("cosine"))
+    """query, id, cosine, place: the k nearest vectors (id, vec) of each query (query, qvec), exact; a vector is not its own neighbour.
+
+    Queries and vectors are packed into blocks. Each pair of a query block and a vector block is a matrix product that leaves k rows of each query.
+    """
+    none = F.lit("")
+    ours = blocks(vectors, none).select("ids", "mat")
+    asked = blocks(queries.select(F.col("query").alias("id"), F.col("qvec").alias("vec")), none).select(F.col("ids").alias("qids"), F.col("mat").alias("qmat"))
+
+    def best(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for ids, mat, qids, qmat in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                ids, qids = np.array(ids), np.array(qids)
+                near = np.round(_matrix(qmat, len(qids)) @ _matrix(mat, len(ids)).T, 6)
+                near[qids[:, None] == ids[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(ids, near.shape), -near), axis=1)[:, :k]
+                rows, kept = np.repeat(np.arange(len(qids)), order.shape[1]), order.ravel()
+                value = near[rows, kept]
+                ok = np.isfinite(value)
+                yield pa.RecordBatch.from_arrays([pa.array(qids[rows[ok]]), pa.array(ids[kept[ok]]), pa.array(value[ok])], ["query", "id", "cosine"])
+
+    pairs = ours.crossJoin(asked).mapInArrow(best, "query long, id long, cosine double")  # blocks of the stated query set against blocks of all rows
     key = F.struct((-F.col("cosine")).alias("d"), "id")
-    some = pairs.groupBy("query", F.spark_partition_id().alias("p")).agg(F.slice(F.array_sort(F.collect_list(key)), 1, k).alias("top"))
+    some = pairs.groupBy("query", F.pmod(F.xxhash64("id"), F.lit(64)).alias("p")).agg(F.slice(F.array_sort(F.collect_list(key)), 1, k).alias("top"))
     merged = some.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
     return merged.select("query", F.posexplode("top").alias("i", "t")).select("query", F.col("t.id").alias("id"), (-F.col("t.d")).alias("cosine"), (F.col("i") + 1).alias("place"))
 
 
 def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """anchor, left_id, right_id, cosine of vectors (id, anchor, vec) on the same anchor with at least this cosine, each pair once at its least anchor."""
-    right = vectors.select(F.col("id").alias("right_id"), "anchor", F.col("vec").alias("rvec"))
-    near = F.round(scores.cosine(F.col("vec"), F.col("rvec")), 6)
-    joined = vectors.withColumnRenamed("id", "left_id").join(right, "anchor").filter((F.col("left_id") < F.col("right_id")) & (near >= threshold))
-    return joined.groupBy("left_id", "right_id").agg(F.min("anchor").alias("anchor"), F.max(near).alias("cosine"))
+    """anchor, left_id, right_id, cosine of vectors (id, anchor, vec) on the same anchor with at least this cosine, each pair once at its least anchor.
+
+    The vectors of an anchor are packed into blocks, and pairs of blocks are compared: a crowded anchor is many tasks, and only pairs above the threshold are rows.
+    """
+    left = blocks(vectors, F.col("anchor")).filter("group is not null")
+    right = left.select("group", F.col("ids").alias("rids"), F.col("mat").alias("rmat"))
+    # of two blocks of an anchor, the one with the lower ids goes left
+    joined = left.join(right, "group").filter(F.get("ids", F.lit(0)) <= F.get("rids", F.lit(0)))
+
+    def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for group, ids, mat, rids, rmat in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                ids, rids = np.array(ids), np.array(rids)
+                value = np.round(_matrix(mat, len(ids)) @ _matrix(rmat, len(rids)).T, 6)
+                a, b = np.nonzero((value >= threshold) & (ids[:, None] != rids[None, :]))
+                if ids[0] == rids[0]:  # a block with itself has each pair twice
+                    a, b = a[ids[a] < rids[b]], b[ids[a] < rids[b]]
+                yield pa.RecordBatch.from_arrays([pa.array([group] * len(a), pa.string()), pa.array(np.minimum(ids[a], rids[b])), pa.array(np.maximum(ids[a], rids[b])), pa.array(value[a, b])], ["anchor", "left_id", "right_id", "cosine"])
+
+    pairs = joined.mapInArrow(near, "anchor string, left_id long, right_id long, cosine double")
+    return pairs.groupBy("left_id", "right_id").agg(F.min("anchor").alias("anchor"), F.max("cosine").alias("cosine"))
 
 
 def nearest_on_anchor(vectors: DataFrame, threshold: float) -> DataFrame:

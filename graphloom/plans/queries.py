@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.config import DEFAULTS
 from graphloom.functions import scores, text
 from graphloom.model import COMPOSE, SIGNATURES
-from graphloom.operators import beliefs, drift, log, retrieval
+from graphloom.operators import beliefs, context, drift, log, retrieval
 from graphloom.operators import graph as G
 from graphloom.sources import tables
 
@@ -164,13 +164,14 @@ def blast_radius(spark, sf_dir):
     return G.blast_radius(tables.graph(spark, sf_dir), spark.createDataFrame([(START_PART,)], "node_id string"))
 
 
-_CHAINS = [("implements",), ("implements", "contains"), ("implements", "contains", "calls"), ("contains", "calls"), ("implements", "calls", "contains", "calls"), ("calls", "calls", "calls"), ("serves", "contains")]
-
-
-@query("SELECT * FROM (VALUES ('implements', 'implements'), ('implements contains', 'implements'), ('implements contains calls', 'depends_on'), ('contains calls', NULL), ('implements calls contains calls', 'depends_on'), ('calls calls calls', 'calls'), ('serves contains', NULL)) AS t(chain, relation)")
+@query("WITH {graph}, cmp(a, b, c) AS (VALUES " + _VALUES([(*k, v) for k, v in COMPOSE.items()]) + """)
+SELECT x.relation AS first, y.relation AS second, c AS relation, count(*) AS paths FROM edges x JOIN edges y ON y.src = x.dst LEFT JOIN cmp ON a = x.relation AND b = y.relation GROUP BY x.relation, y.relation, c""")
 def compose_chain(spark, sf_dir):
-    rows = spark.createDataFrame([(" ".join(c),) for c in _CHAINS], "chain string")
-    return rows.select("chain", scores.compose_chain(F.split("chain", " ")).alias("relation"))
+    """The composed relation of all paths of two edges, by count."""
+    e = tables.graph(spark, sf_dir).edges
+    both = e.select("dst", F.col("relation").alias("first")).join(e.select(F.col("src").alias("dst"), F.col("relation").alias("second")), "dst")
+    counted = both.groupBy("first", "second").agg(F.count("*").alias("paths"))
+    return counted.select("first", "second", scores.compose_chain(F.array("first", "second")).alias("relation"), "paths")
 
 
 @query("WITH {drift} SELECT * FROM soft")
@@ -214,10 +215,17 @@ def open_implemented(spark, sf_dir):
     return drift.open_implemented(tables.graph(spark, sf_dir))
 
 
-@query("""WITH {drift}, sound AS (SELECT DISTINCT e.src FROM edges e WHERE e.relation = 'implements' AND NOT EXISTS (SELECT 1 FROM items i WHERE i.kind <> 'renamed' AND i.src = e.src AND i.dst = e.dst))
+@query("""WITH {drift}, even AS (SELECT 'task:o/' || o_orderkey AS src FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey % 2 = 0),
+kept AS (SELECT * FROM edges WHERE relation = 'implements' AND src NOT IN (SELECT src FROM even)),
+sound AS (SELECT DISTINCT e.src FROM kept e WHERE NOT EXISTS (SELECT 1 FROM items i WHERE i.kind <> 'renamed' AND i.src = e.src AND i.dst = e.dst))
 SELECT node_id FROM nodes WHERE family = 'intent' AND status = 'satisfied' AND node_id NOT IN (SELECT t.dst FROM edges t JOIN sound s ON s.src = t.src WHERE t.relation = 'tracks')""")
 def verified_reconcile(spark, sf_dir):
-    return drift.verified_reconcile(tables.graph(spark, sf_dir))
+    """The tasks of every other nation have lost their symbols."""
+    g = tables.graph(spark, sf_dir)
+    orders, customer = tables.read(spark, sf_dir, "orders"), tables.read(spark, sf_dir, "customer").filter("c_nationkey % 2 = 0")
+    even = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(F.concat(F.lit("task:o/"), F.col("o_orderkey").cast("string")).alias("src"))
+    lost = g.edges.filter("relation = 'implements'").join(even, "src", "left_semi").select("src", "dst", "relation")
+    return drift.verified_reconcile(G.Graph(g.nodes, g.edges.join(lost, ["src", "dst", "relation"], "left_anti"), g.dangling))
 
 
 @query("WITH {graph} SELECT src, dst FROM edges WHERE relation = 'supersedes' AND pending")
@@ -270,13 +278,16 @@ def dominant_side(spark, sf_dir):
 _NOMINATED = """SELECT DISTINCT 'mem:s' || least(a.l_suppkey, b.l_suppkey) AS l, 'mem:s' || greatest(a.l_suppkey, b.l_suppkey) AS r FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber WHERE a.l_suppkey <> b.l_suppkey"""
 
 
-@query("WITH {graph}, nom AS (" + _NOMINATED + """) SELECT l AS left_id, r AS right_id, min(x.dst) AS anchor FROM nom JOIN edges x ON x.src = l AND x.relation = 'concerns' JOIN edges y ON y.src = r AND y.relation = 'concerns' AND y.dst = x.dst GROUP BY l, r""")
-def nominated_conflicts(spark, sf_dir):
+def _nominated_pairs(spark, sf_dir):
     lines = tables.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("other"))
     mem = lambda c: F.concat(F.lit("mem:s"), c.cast("string"))
-    pairs = lines.join(after, ["l_orderkey", "l_linenumber"]).filter("l_suppkey <> other").select(mem(F.least("l_suppkey", "other")).alias("left_id"), mem(F.greatest("l_suppkey", "other")).alias("right_id")).distinct()
-    return beliefs.shared_anchor(tables.graph(spark, sf_dir), pairs)
+    return lines.join(after, ["l_orderkey", "l_linenumber"]).filter("l_suppkey <> other").select(mem(F.least("l_suppkey", "other")).alias("left_id"), mem(F.greatest("l_suppkey", "other")).alias("right_id")).distinct()
+
+
+@query("WITH {graph}, nom AS (" + _NOMINATED + """) SELECT l AS left_id, r AS right_id, min(x.dst) AS anchor FROM nom JOIN edges x ON x.src = l AND x.relation = 'concerns' JOIN edges y ON y.src = r AND y.relation = 'concerns' AND y.dst = x.dst GROUP BY l, r""")
+def nominated_conflicts(spark, sf_dir):
+    return beliefs.shared_anchor(tables.graph(spark, sf_dir), _nominated_pairs(spark, sf_dir))
 
 
 @query("""WITH {graph}, s AS (SELECT * FROM edges WHERE relation = 'supersedes' AND NOT pending), r AS (SELECT dst, count(*) AS refs FROM edges WHERE relation IN ('implements', 'tracks', 'serves', 'concerns', 'references') GROUP BY dst),
@@ -366,12 +377,12 @@ def _ranked(spark, sf_dir):
     return retrieval.rank(docs.join(_scores(spark, sf_dir).withColumnRenamed("score", "match"), "node_id", "left"))
 
 
-@query("WITH " + _FUSED + " SELECT * FROM ranked")
+@query("WITH " + _FUSED + " SELECT * FROM ranked WHERE place <= 60")
 def fusion_rank(spark, sf_dir):
     return _ranked(spark, sf_dir)
 
 
-@query("WITH RECURSIVE " + _FUSED + """, l AS (SELECT r.place, r.node_id, CAST(d.n_chars // 3 AS BIGINT) AS cost FROM ranked r JOIN documents d ON 'doc:' || d.doc_id = r.node_id),
+@query("WITH RECURSIVE " + _FUSED + """, l AS (SELECT r.place, r.node_id, CAST(d.n_chars // 3 AS BIGINT) AS cost FROM ranked r JOIN documents d ON 'doc:' || d.doc_id = r.node_id WHERE r.place <= 60),
 f AS (SELECT 0 AS i, CAST(0 AS BIGINT) AS used, false AS kept UNION ALL SELECT f.i + 1, CASE WHEN used + cost <= 4000 THEN used + cost ELSE used END, used + cost <= 4000 FROM f JOIN l ON l.place = f.i + 1)
 SELECT l.place, l.node_id, l.cost FROM f JOIN l ON l.place = f.i WHERE kept""")
 def budget_fill(spark, sf_dir):
@@ -459,9 +470,12 @@ def chain_build(spark, sf_dir):
     return log.build_chain(tables.log(spark, sf_dir)).select("project", "seq", "prev_hash", "entry_hash")
 
 
-@query("WITH {log} SELECT project, CAST(0 AS BIGINT) AS bad, CAST(NULL AS BIGINT) AS first_bad FROM log GROUP BY project")
+@query("""WITH {log}, t AS (SELECT project, seq, seq % 97 = 0 OR coalesce(lag(seq) OVER (PARTITION BY project ORDER BY seq) % 97 = 0, false) AS bad FROM log)
+SELECT project, count(*) FILTER (bad) AS bad, min(seq) FILTER (bad) AS first_bad FROM t GROUP BY project""")
 def hash_chain_verify(spark, sf_dir):
-    return log.verify_chain(log.build_chain(tables.log(spark, sf_dir)))
+    """Every 97th entry is tampered with; it and the one after it do not follow."""
+    chain = log.build_chain(tables.log(spark, sf_dir))
+    return log.verify_chain(chain.withColumn("entry_hash", F.when(F.col("seq") % 97 == 0, "tampered").otherwise(F.col("entry_hash"))))
 
 
 @query("""WITH {log}, e AS (SELECT seq, CASE WHEN seq % 11 = 0 THEN '' ELSE family END AS family, CASE WHEN seq % 13 = 0 THEN NULL ELSE actor END AS actor, session, id, CASE WHEN seq % 17 = 0 THEN 'lost:' || seq WHEN seq % 2 = 0 THEN id END AS parent FROM log)
@@ -513,3 +527,125 @@ def fold_nodes(spark, sf_dir):
     edge = F.struct(F.lit("tracks").alias("relation"), F.lit("click").alias("target"), F.lit(False).alias("pending"))
     nodes, _, _ = log.fold(e.select(F.col("seq").alias("rank"), "id", F.col("family").alias("locator"), "family", F.lit("task").alias("kind"), F.col("id").alias("label"), F.array(edge).alias("edges")))
     return nodes.select("node_id", "last_rank", "label")
+
+
+_FOLD = """, a AS (SELECT seq, id, CASE seq % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'ghost' ELSE 'purchase' END || ':' || project AS target, seq % 5 = 0 AS pending FROM log),
+born AS (SELECT id, min(seq) AS born FROM log GROUP BY id), e AS (SELECT a.*, born FROM a LEFT JOIN born ON born.id = target)"""
+
+
+def _folded(spark, sf_dir):
+    e = tables.log(spark, sf_dir)
+    kind = F.when(F.col("seq") % 3 == 0, "click").when(F.col("seq") % 3 == 1, "ghost").otherwise("purchase")
+    edge = F.struct(F.lit("tracks").alias("relation"), F.concat_ws(":", kind, F.col("project").cast("string")).alias("target"), (F.col("seq") % 5 == 0).alias("pending"))
+    return log.fold(e.select(F.col("seq").alias("rank"), "id", F.lit(None).cast("string").alias("locator"), "family", F.lit("task").alias("kind"), F.col("id").alias("label"), F.array(edge).alias("edges")))
+
+
+@query("WITH {log}" + _FOLD + " SELECT id AS src, target AS dst, 'tracks' AS relation, pending, count(*) AS c, min(seq) AS first_rank FROM e WHERE born <= seq GROUP BY ALL")
+def fold_edges(spark, sf_dir):
+    return _folded(spark, sf_dir)[1].groupBy("src", "dst", "relation", "pending").agg(F.count("*").alias("c"), F.min("rank").alias("first_rank"))
+
+
+@query("WITH {log}" + _FOLD + " SELECT id AS src, target, 'tracks' AS relation, count(*) AS c, max(seq) AS last_rank FROM e WHERE born IS NULL OR born > seq GROUP BY ALL")
+def fold_dangling(spark, sf_dir):
+    return _folded(spark, sf_dir)[2].groupBy("src", "target", "relation").agg(F.count("*").alias("c"), F.max("rank").alias("last_rank"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT doc_id, unnest(list_distinct([doc_id // 2, doc_id // 3])) AS parent FROM documents WHERE doc_id > 0),
+d AS (SELECT doc_id, 0 AS depth FROM documents WHERE doc_id = 0 UNION SELECT p.doc_id, d.depth + 1 FROM d JOIN p ON p.parent = d.doc_id)
+SELECT CAST(doc_id AS VARCHAR) AS id, CAST(max(depth) AS INTEGER) AS depth FROM d GROUP BY doc_id""")
+def causal_order(spark, sf_dir):
+    """Each document has the ones of half and of a third of its id as parents."""
+    half = lambda k: F.floor(F.col("doc_id") / k).cast("long").cast("string")
+    d = tables.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") > 0, F.array_distinct(F.array(half(2), half(3)))).otherwise(F.array().cast("array<string>")).alias("parents"))
+    return log.causal_order(d)
+
+
+@query("""WITH {graph}, o AS (SELECT src, dst, relation, 0 AS p, pending FROM edges WHERE relation = 'supersedes' UNION ALL SELECT src, dst, relation, 1, NOT pending FROM edges WHERE relation IN ('supersedes', 'serves'))
+SELECT src, dst, relation, arg_min(pending, p) AS pending FROM o GROUP BY src, dst, relation""")
+def union_merge_edges(spark, sf_dir):
+    g = tables.graph(spark, sf_dir)
+    side = lambda relations, flip: G.Graph(g.nodes.select("node_id", "label"), g.edges.filter(F.col("relation").isin(relations)).select("src", "dst", "relation", (~F.col("pending") if flip else F.col("pending")).alias("pending")), g.dangling)
+    return G.union_merge(side(["supersedes"], False), side(["supersedes", "serves"], True))[1]
+
+
+@query("WITH {graph}, " + _VEC + f""", live AS (SELECT node_id FROM nodes WHERE family = 'memory' AND status = 'active' AND node_id NOT IN (SELECT dst FROM edges WHERE relation = 'supersedes' AND NOT pending)),
+s AS (SELECT a.id AS x, b.id AS y, a.anchor, round(list_dot_product(a.vec, b.vec), 6) AS cosine, 'similar' AS origin FROM v a JOIN v b ON a.anchor = b.anchor AND a.id < b.id WHERE round(list_dot_product(a.vec, b.vec), 6) >= {SIMILAR}),
+p AS (SELECT 'mem:c' || x AS a, 'mem:c' || y AS b, anchor, cosine, origin FROM s WHERE (x + y) % 7 <> 0),
+m AS (SELECT l AS a, r AS b, min(c.dst) AS anchor, NULL AS cosine, 'nominated' AS origin FROM (SELECT DISTINCT l, r FROM (""" + _NOMINATED + """)) JOIN edges c ON c.src = l AND c.relation = 'concerns' JOIN edges d ON d.src = r AND d.relation = 'concerns' AND d.dst = c.dst GROUP BY l, r),
+u AS (SELECT least(a, b) AS left_id, greatest(a, b) AS right_id, anchor, cosine, origin FROM (SELECT * FROM p UNION ALL SELECT * FROM m))
+SELECT left_id, right_id, min(anchor) AS anchor, max(cosine) AS cosine, string_agg(DISTINCT origin, ',' ORDER BY origin) AS origin FROM u WHERE left_id IN (SELECT node_id FROM live) AND right_id IN (SELECT node_id FROM live) GROUP BY left_id, right_id""")
+def conflicts(spark, sf_dir):
+    """Similar and nominated pairs of live memories that no verdict has closed; pairs whose numbers sum to a multiple of 7 have one."""
+    g = tables.graph(spark, sf_dir)
+    mem = lambda c: F.concat(F.lit("mem:c"), F.col(c).cast("string")).alias(c)
+    raw = retrieval.similar_pairs(tables.vectors(spark, sf_dir), SIMILAR)
+    verdicts = raw.filter("(left_id + right_id) % 7 = 0").select(mem("left_id").alias("left"), mem("right_id").alias("right"), F.lit("reconcile").alias("kind"))
+    return beliefs.conflicts(g, raw.select(mem("left_id"), mem("right_id"), "anchor", "cosine"), _nominated_pairs(spark, sf_dir), verdicts)
+
+
+@query("""WITH {drift} SELECT dst, count(*) AS c, string_agg(src, ',' ORDER BY src) AS sources FROM soft WHERE relation = 'concerns' GROUP BY dst HAVING count(*) > 1""")
+def drift_by_locus(spark, sf_dir):
+    return drift.by_locus(tables.graph(spark, sf_dir))
+
+
+@query("""WITH {drift} SELECT e.src AS node_id FROM edges e WHERE e.relation = 'concerns' AND e.dst LIKE 'sym:part.py#p1%' GROUP BY e.src HAVING NOT bool_or(EXISTS (SELECT 1 FROM items i WHERE i.kind <> 'renamed' AND i.src = e.src AND i.dst = e.dst))""")
+def upheld_memories(spark, sf_dir):
+    g = tables.graph(spark, sf_dir)
+    return drift.upheld(g, g.nodes.filter("node_id like 'sym:part.py#p1%'").select("node_id"))
+
+
+@query("""WITH {drift} SELECT 'conflict' AS kind, (SELECT count(*) FROM edges WHERE relation = 'supersedes' AND pending) AS c
+UNION ALL SELECT 'stale', (SELECT count(*) FROM items WHERE kind <> 'renamed' AND relation = 'implements' AND src IN (SELECT src FROM done)) UNION ALL SELECT 'drift', (SELECT count(*) FROM surf)""")
+def obligation_counts(spark, sf_dir):
+    return drift.counts(drift.obligations(tables.graph(spark, sf_dir)))
+
+
+@query("""WITH {drift}, k AS (SELECT 0 AS r, 'conflict' AS kind, src || '|' || dst AS key FROM edges WHERE relation = 'supersedes' AND pending
+UNION ALL SELECT 1, 'stale', src || '|' || dst FROM items WHERE kind <> 'renamed' AND relation = 'implements' AND src IN (SELECT src FROM done)
+UNION ALL SELECT 2, 'drift', kind || '|' || src || '|' || dst || '|' || relation FROM surf), o AS (SELECT *, row_number() OVER (ORDER BY r, key) AS place, count(*) OVER () AS n FROM k)
+SELECT CAST(place AS INTEGER) AS place, kind, key, n - 10 AS more FROM o WHERE place <= 10""")
+def obligation_notice(spark, sf_dir):
+    return drift.notice(drift.obligations(tables.graph(spark, sf_dir)), 10)
+
+
+@query("""WITH {drift}, a AS (SELECT src, dst, relation, 'hard' AS state FROM hard0 UNION ALL SELECT e.src, e.dst, e.relation, CASE WHEN e.anchor <> n.content_hash THEN 'soft' ELSE '' END FROM edges e LEFT JOIN nodes n ON n.node_id = e.dst WHERE e.relation IN ('implements', 'concerns', 'grounded_by'))
+SELECT src, dst, relation, coalesce(state, '') AS state FROM a""".replace("WITH {drift}", "WITH {drift}, hard0 AS (SELECT src, target AS dst, relation FROM dangling)"))
+def anchor_state(spark, sf_dir):
+    return context.anchor_state(tables.graph(spark, sf_dir))
+
+
+@query("""WITH {graph}, sup AS (SELECT DISTINCT dst FROM edges WHERE relation = 'supersedes' AND NOT pending)
+SELECT node_id, CASE family WHEN 'plan' THEN coalesce(state, '') <> 'done' WHEN 'memory' THEN status = 'active' AND node_id NOT IN (SELECT dst FROM sup) WHEN 'intent' THEN status <> 'archived' ELSE true END AS reverifiable FROM nodes""")
+def reverifiable(spark, sf_dir):
+    return context.reverifiable(tables.graph(spark, sf_dir))
+
+
+@query("""WITH {graph}, hit AS (SELECT node_id FROM nodes WHERE starts_with(lower(node_id), 'mem:c1') OR starts_with(lower(node_id), 'mem:mem:c1')) SELECT node_id FROM hit WHERE node_id = 'mem:C1' OR NOT EXISTS (SELECT 1 FROM hit WHERE node_id = 'mem:C1')""")
+def resolve_prefix(spark, sf_dir):
+    return context.resolve(tables.graph(spark, sf_dir), "mem:C1")
+
+
+@query("""WITH {graph}, s AS (SELECT * FROM (VALUES ('int:n3'), ('sym:part.py#p100'), ('task:o/7')) t(node_id))
+SELECT e.src AS node_id, 'out' AS way, relation, e.dst AS other FROM edges e JOIN s ON s.node_id = e.src UNION ALL SELECT e.dst, 'in', relation, e.src FROM edges e JOIN s ON s.node_id = e.dst
+UNION ALL SELECT d.src, 'lost', relation, target FROM dangling d JOIN s ON s.node_id = d.src""")
+def neighbourhood(spark, sf_dir):
+    return context.neighbourhood(tables.graph(spark, sf_dir), spark.createDataFrame([("int:n3",), ("sym:part.py#p100",), ("task:o/7",)], "node_id string"))
+
+
+@query()
+def context_packet(spark, sf_dir):
+    """place, section, node_id, line of a topic's packet; tested on a small graph."""
+    found = context.context(tables.graph(spark, sf_dir), "customer part germany", now=NOW)
+    return spark.createDataFrame(found.rows, "place int, section string, node_id string, line string")
+
+
+@query()
+def locus_packet(spark, sf_dir):
+    found = context.context_for_locus(tables.graph(spark, sf_dir), "part.py", now=NOW)
+    return spark.createDataFrame(found.rows if found else [], "place int, section string, node_id string, line string")
+
+
+@query()
+def session_packet(spark, sf_dir):
+    found = context.session_context(tables.graph(spark, sf_dir), now=NOW)
+    return spark.createDataFrame(found.rows if found else [], "place int, section string, node_id string, line string")
