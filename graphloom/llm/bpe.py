@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import fresh
+from graphloom.llm.shared import fresh, trim
 
 #: A batch row ends at so many distinct words, or at so many bytes of texts, fewer where it carries texts or ids (a longer document is a row by itself).
 BATCH_WORDS, BATCH_BYTES, CARRY_BYTES = 1 << 19, 32 << 20, 2 << 20
@@ -284,6 +284,8 @@ def _split(batches: Iterator[pa.RecordBatch], text: int, carry: list[int], patte
             held += len(body)
         if positions:
             yield row(kept.slice(lo), seen, positions)
+        del batch, kept, texts, positions
+        trim()
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", carry: list[str] | None = None, ids: bool = False) -> DataFrame:
@@ -300,13 +302,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", carry:
 
     made = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])]
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in made]
-    source = docs.select(*carry, F.col(text).alias(fresh(docs, "_text")))
+    at = next((i for i, c in enumerate(carry) if c.lower() == text.lower()), len(carry))
+    source = docs.select(*carry, *([F.col(text).alias(fresh(docs, "_text"))] if at == len(carry) else []))
     fields = [StructField(f"c{i}", source.schema[i].dataType) for i in range(len(carry))]
     document = ArrayType(StructType([*fields, StructField("p", ArrayType(IntegerType()))]))
     arrow = to_arrow_type(document)
     wide = ids or any(isinstance(f.dataType, (StringType, BinaryType)) for f in fields)
     split = source.mapInArrow(
-        lambda it: _split(it, len(carry), list(range(len(carry))), pattern, arrow, CARRY_BYTES if wide else BATCH_BYTES),
+        lambda it: _split(it, at, list(range(len(carry))), pattern, arrow, CARRY_BYTES if wide else BATCH_BYTES),
         StructType([StructField("words", ArrayType(ArrayType(IntegerType()))), StructField("rows", document)]),
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.tables import discard, materialize, scratch, settled, small
 
-__all__ = ["batches", "discard", "fresh", "materialize", "reachable", "release", "scratch", "settled", "small", "text_column"]
+__all__ = ["batches", "discard", "fresh", "materialize", "reachable", "release", "scratch", "settled", "small", "text_column", "trim"]
 
 #: Text bytes that one pass of a NumPy kernel holds.
 SLICE_BYTES = 1 << 20
@@ -31,6 +32,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Gives memory that a Python worker no longer uses back to the machine, as workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that df does not have, compared as Spark does, without case."""
     taken = {c.lower() for c in df.columns}
