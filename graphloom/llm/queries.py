@@ -163,7 +163,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.passages(table(spark, sf_dir, "documents"), min_words=16)
+    return substring_dedup.passages(table(spark, sf_dir, "documents"), min_words=30)
 
 
 @query

@@ -6,7 +6,9 @@ that repeats a short unit has no such cuts of its own: it is cut from the unit's
 is part of its digest, so two stretches of one unit share as many chunks as the shorter one has. Chunks are
 grouped by digest over all texts; a chunk repeats where its digest first stands in another document. Neighbouring repeated chunks join to
 passages where the pair of them stands in an earlier document too, whatever documents their first places are in: pairs are counted like chunks.
-Passages of enough words are the result, in pieces whose chunks stand in the same first document at the same distance.
+Passages of enough words are the result, in pieces whose chunks stand in the same first document at the same distance. A passage begins and ends inside
+chunks that are only partly its own: each chunk carries hashes of the bytes beside it (its wings), and a piece is extended by the longest wing that it has in
+common with its first place (a wing has 16 bits, so one end in 65 536 is extended by chance, by 12 bytes).
 The first pass only counts digests. The second keeps the chunks whose digests may repeat, by a filter of bounded size, and
 joins them to the exact counts.
 """
@@ -123,6 +125,44 @@ def chunks(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return rows, starts - offsets[rows], ends - starts, digests.view(np.int64)
 
 
+#: Bytes of the wings of a chunk, to each side; NO_WING marks those that would leave the text, another number for first places than for the others.
+WINGS = (12, 24, 36, 48, 60, 72, 84, 96)
+NO_WING = {"first": 1, "own": 2}
+SIDES = ("l1", "l2", "r1", "r2")
+
+
+def wings(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray, none: int) -> list[np.ndarray]:
+    """16-bit hashes of the WINGS before and after each chunk (starts within its row), four of them in each of four numbers."""
+    hasher = kernel.Hasher(data)
+    low, high = offsets[rows], offsets[rows + 1]
+    a, b = low + starts, low + starts + sizes
+    out = []
+    for left in (True, False):
+        found = []
+        for k in WINGS:
+            ok = a - k >= low if left else b + k <= high
+            at = np.where(ok, a - k if left else b, low)
+            h = hasher.of(at, np.where(ok, at + k, at)) >> np.uint64(48)
+            found.append(np.where(ok, np.maximum(h, np.uint64(4)), np.uint64(none)))
+        out += [sum(found[i + j] << np.uint64(16 * j) for j in range(4)).view(np.int64) for i in (0, 4)]
+    return out
+
+
+def wing_words(offsets: np.ndarray, rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray, word_starts: np.ndarray) -> list[np.ndarray]:
+    """How many words begin in each of the WINGS before and after each chunk, eight bits for each."""
+    a = offsets[rows] + starts
+    b = a + sizes
+    count = lambda x, y: np.searchsorted(word_starts, y) - np.searchsorted(word_starts, x)
+    pack = lambda f: sum(np.minimum(f(k), 127).astype(np.int64) << (8 * i) for i, k in enumerate(WINGS))
+    return [pack(lambda k: count(np.maximum(a - k, 0), a)), pack(lambda k: count(b, b + k))]
+
+
+def _common(own: tuple[str, str], first: tuple[str, str]) -> F.Column:
+    """How many of the WINGS of one side are equal, from the shortest on."""
+    apart = lambda i: F.shiftright(F.col(own[i // 4]).bitwiseXOR(F.col(first[i // 4])), 16 * (i % 4)).bitwiseAND(F.lit(65535)) != 0
+    return F.coalesce(*(F.when(apart(i), i) for i in range(8)), F.lit(8))
+
+
 def pairs(rows: np.ndarray, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which chunks follow another one in their row, and the digest of each such pair."""
     second = np.flatnonzero(rows[1:] == rows[:-1]) + 1
@@ -139,26 +179,28 @@ def _counts(docs: DataFrame) -> DataFrame:
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             value = ids.fill_null(0).to_numpy()
             for lo, _, data, offsets in kernel.slices(text_column(batch, "text")):
-                rows, starts, _, digests = chunks(data, offsets)
+                rows, starts, sizes, digests = chunks(data, offsets)
                 second, both = pairs(rows, digests)
+                beside = [np.append(x, np.zeros(len(second), np.int64)) for x in wings(data, offsets, rows, starts, sizes, NO_WING["first"])]
                 rows, starts, digests = np.append(rows, rows[second]), np.append(starts, starts[second]), np.append(digests, both)
                 order = np.lexsort((starts, value[lo + rows], known[lo + rows], digests))
                 new = np.ones(len(order), bool)
                 new[1:] = np.diff(digests[order]) != 0
                 pick = order[new]
                 n = np.diff(np.append(np.flatnonzero(new), len(order)))
-                yield pa.RecordBatch.from_arrays([pa.array(digests[pick]), pa.array(n.astype(np.int64)), ids.take(pa.array(lo + rows[pick])), pa.array(starts[pick].astype(np.int64))], ["digest", "c", "id", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(digests[pick]), pa.array(n.astype(np.int64)), ids.take(pa.array(lo + rows[pick])), pa.array(starts[pick].astype(np.int64)), *(pa.array(x[pick]) for x in beside)], ["digest", "c", "id", "start", *SIDES])
 
-    found = docs.mapInArrow(run, "digest long, c long, id long, start long")
-    return found.groupBy("digest").agg(F.sum("c").alias("c"), F.min(F.struct("id", "start")).alias("first")).filter("c > 1").select("digest", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"))
+    found = docs.mapInArrow(run, "digest long, c long, id long, start long, l1 long, l2 long, r1 long, r2 long")
+    firsts = found.groupBy("digest").agg(F.sum("c").alias("c"), F.min(F.struct("id", "start", *SIDES)).alias("first")).filter("c > 1")
+    return firsts.select("digest", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start"), *(F.col(f"first.{c}").alias("f" + c) for c in SIDES))
 
 
-def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 16) -> DataFrame:
+def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 30) -> DataFrame:
     """doc_id, start, end (bytes), n_words, first_doc_id, first_start of every passage that another document has before, a row for each of its pieces.
 
     Before means with a smaller id (null is smallest). A chunk's first place keeps its text; rows of one id are one document, so repeats within it
-    (and repeated rows) are no passages. min_words counts the words of all pieces that begin in whole repeated chunks: the chunks at a passage's ends are only
-    partly its own, so 16 finds passages of over 50 words. Digests are 64-bit hashes: a false repeat would need several equal by chance in a row.
+    (and repeated rows) are no passages. min_words counts the words of all pieces that begin in whole repeated chunks and the wings that extend them: what a passage
+    has beyond its last common wing is not found, so 30 finds passages of over 50 words. Digests are 64-bit hashes: a false repeat would need several equal by chance in a row.
     Null and empty texts and empty tables have none.
     """
     return settled(lambda: _passages(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), min_words))
@@ -189,6 +231,7 @@ def _passages(source: DataFrame, min_words: int) -> DataFrame:
                 found = kernel.words(data, offsets, kernel.BLANK)
                 at = starts + offsets[rows]
                 n = np.searchsorted(found.starts, at + sizes) - np.searchsorted(found.starts, at)
+                beside = [*wings(data, offsets, rows, starts, sizes, NO_WING["own"]), *wing_words(offsets, rows, starts, sizes, found.starts)]
                 body = kernel.Hasher(data).of(offsets[:-1], offsets[1:]).view(np.int64)
                 # a pair goes as a row of its second chunk
                 of = np.append(np.arange(len(rows)), second)
@@ -196,12 +239,13 @@ def _passages(source: DataFrame, min_words: int) -> DataFrame:
                 cell = asked.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
                 keep = (held.value[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 of, pair = of[keep], np.arange(len(asked))[keep] >= len(rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + rows[of])), *(pa.array(x[of].astype(np.int64)) for x in (body[rows], starts, sizes, n)), pa.array(pair), pa.array(asked[keep])], ["id", "body", "start", "size", "n", "pair", "digest"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + rows[of])), *(pa.array(x[of].astype(np.int64)) for x in (body[rows], starts, sizes, n)), pa.array(pair), pa.array(asked[keep]), *(pa.array(np.where(pair, 0, x[of])) for x in beside)], ["id", "body", "start", "size", "n", "pair", "digest", *SIDES, "wl", "wr"])
 
-    maybe = source.mapInArrow(ask, "id long, body long, start long, size long, n long, pair boolean, digest long")
+    maybe = source.mapInArrow(ask, "id long, body long, start long, size long, n long, pair boolean, digest long, l1 long, l2 long, r1 long, r2 long, wl long, wr long")
     joined = maybe.join(repeated, "digest").filter(~F.col("id").eqNullSafe(F.col("first_id")))
     # one row of each chunk, also of repeated rows of one id and text
-    place = F.when(~F.col("pair"), F.struct("first_id", (F.col("start") - F.col("first_start")).alias("shift")))
+    reach = [_common(("l1", "l2"), ("fl1", "fl2")).alias("before"), _common(("r1", "r2"), ("fr1", "fr2")).alias("after")]
+    place = F.when(~F.col("pair"), F.struct("first_id", (F.col("start") - F.col("first_start")).alias("shift"), *reach, "wl", "wr"))
     found = joined.groupBy("id", "body", "start", "size", "n").agg(F.min(place).alias("first"), F.bool_or("pair").alias("linked")).filter("first is not null").select("id", "body", "start", "size", "n", "first.*", "linked")
     inside = Window.partitionBy("id", "body").orderBy("start")
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -209,7 +253,14 @@ def _passages(source: DataFrame, min_words: int) -> DataFrame:
     alike = beside & F.lag("first_id").over(inside).eqNullSafe(F.col("first_id")) & (F.lag("shift").over(inside) == F.col("shift"))
     marked = found.withColumn("apart", (~(alike | beside & F.col("linked"))).cast("int")).withColumn("new", (~alike).cast("int"))
     runs = marked.withColumn("passage", F.sum("apart").over(so_far)).withColumn("piece", F.sum("new").over(so_far))
-    spans = runs.groupBy("id", "body", "passage", "piece", "first_id", "shift").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum("n").alias("n_words"))
+    bytes_of = lambda c: F.get(F.array(F.lit(0), *map(F.lit, WINGS)), c)
+    words_of = lambda w, c: F.when(F.col(c) == 0, 0).otherwise(F.call_function("shiftright", F.col(w), (8 * (F.col(c) - 1)).cast("int")).bitwiseAND(F.lit(255)))
+    first, last = (lambda v: F.min_by(v, "start")), (lambda v: F.max_by(v, "start"))
+    spans = runs.groupBy("id", "body", "passage", "piece", "first_id", "shift").agg(
+        (F.min("start") - first(bytes_of(F.col("before")))).alias("start"),
+        (F.max(F.col("start") + F.col("size")) + last(bytes_of(F.col("after")))).alias("end"),
+        (F.sum("n") + first(words_of("wl", "before")) + last(words_of("wr", "after"))).alias("n_words"),
+    )
     long = spans.withColumn("all_words", F.sum("n_words").over(Window.partitionBy("id", "body", "passage"))).filter(F.col("all_words") >= min_words)
     return long.select(F.col("id").alias("doc_id"), "start", "end", "n_words", F.col("first_id").alias("first_doc_id"), (F.col("start") - F.col("shift")).alias("first_start")).distinct()
 
