@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import quality_rules
+from graphloom.llm.shared import fresh
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Inputs of the rules; shares are 0 for texts without words.
@@ -23,27 +24,33 @@ FEATURES = ["words", "word_length", "symbols", "dup_lines", "repeats", "capitals
 Rule = tuple[tuple[int, bool, float], ...]
 
 
-def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the FEATURES as doubles, in one struct column `features` of that order. A null text is an empty one."""
-    names = {c: "_" + c for c in quality_rules.STATISTICS}
+def features(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The columns carry of docs (all by default) with the FEATURES as doubles, in one struct column `features` of that order. A null text is an empty one.
+
+    What Spark counts in a text is counted before the text goes to Python, so only carried columns come back.
+    """
+    carry = docs.columns if carry is None else carry
+    names = {c: fresh(docs, "_" + c) for c in quality_rules.STATISTICS}
     body = F.coalesce(F.col(text), F.lit(""))
     length = F.length(body)
     without = lambda chars: length - F.length(F.translate(body, chars, ""))
     per = lambda x, n: F.when(n > 0, x / n).otherwise(0.0)
-    found = quality_rules.statistics(docs, text, names)
-    words = F.col("_n_words")
+    counts = {fresh(docs, n): v for n, v in (("_capitals", without(UPPER)), ("_digits", without("0123456789")), ("_marks", without("!?")), ("_lines", without("\n")), ("_length", length))}
+    capitals, digits, marks, lines, chars = map(F.col, counts)
+    found = quality_rules.statistics(docs.select("*", *(v.alias(n) for n, v in counts.items())), text, names, [*carry, *counts])
+    words = F.col(names["n_words"])
     values = [
         words.cast("double"),
-        per(F.col("_word_chars"), words),
-        per(F.col("_n_symbols"), words),
-        per(F.col("_n_dup_lines"), words),
-        per(F.col("_n_repeat_words"), words),
-        per(without(UPPER), length),
-        per(without("0123456789"), length),
-        per(without("!?"), words),
-        per(without("\n"), words),
+        per(F.col(names["word_chars"]), words),
+        per(F.col(names["n_symbols"]), words),
+        per(F.col(names["n_dup_lines"]), words),
+        per(F.col(names["n_repeat_words"]), words),
+        per(capitals, chars),
+        per(digits, chars),
+        per(marks, words),
+        per(lines, words),
     ]
-    return found.select(*docs.columns, F.struct(*(v.alias(n) for v, n in zip(values, FEATURES))).alias("features"))
+    return found.select(*carry, F.struct(*(v.alias(n) for v, n in zip(values, FEATURES))).alias("features"))
 
 
 @dataclass
@@ -156,12 +163,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     use = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col(label).alias("_y"))
     use = use.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
     rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(use), "_id")
-    got = features(rows.select("_id", "_y", "_text"), "_text").select("_id", "_y", *(F.col("features")[n].alias(n) for n in FEATURES)).orderBy(F.xxhash64("_id"), "_id", "_y", *FEATURES).limit(sample).toPandas()
+    got = features(rows.select("_id", "_y", "_text"), "_text", ["_id", "_y"]).select("_id", "_y", *(F.col("features")[n].alias(n) for n in FEATURES)).orderBy(F.xxhash64("_id"), "_id", "_y", *FEATURES).limit(sample).toPandas()
     return fit(got[FEATURES].to_numpy(np.float64).reshape(-1, len(FEATURES)), got["_y"].to_numpy(np.float64))
 
 
 def score(docs: DataFrame, rules: Rules, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; null and empty texts are scored by features that are all 0."""
-    out = features(docs.select("doc_id", "text"), "text")
+    out = features(docs.select("doc_id", "text"), "text", ["doc_id"])
     scored = out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), rules.column().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
