@@ -120,6 +120,51 @@ def test_passages_are_found_and_clean_texts_left(spark, empty):
     assert substring_dedup.passages(empty).count() == 0
 
 
+def repeated_bytes(rows, least):
+    """Byte places of each later document that lie in a stretch of at least `least` bytes which an earlier document has, by brute force."""
+    seen, out = set(), defaultdict(set)
+    for d, text in sorted(rows):
+        raw = text.encode()
+        windows = [raw[a : a + least] for a in range(len(raw) - least + 1)]
+        for a, w in enumerate(windows):
+            if w in seen:
+                out[d].update(range(a, a + least))
+        seen.update(windows)
+    return out
+
+
+def test_passages_against_brute_force(spark):
+    """Share of the bytes of repeated stretches that are reported, and that nothing else is."""
+    rng = random.Random(21)
+    words = lambda n: " ".join(word(rng) for _ in range(n))
+    shared = [words(rng.randrange(55, 140)) for _ in range(12)]
+    rows = [(i, " ".join([words(rng.randrange(20, 120)), *(rng.choice(shared) for _ in range(rng.randrange(3))), words(rng.randrange(20, 120))])) for i in range(160)]
+    rows += [(1000, rows[7][1]), (1001, shared[0])]
+    frame = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, digest int").repartition(5)
+    spans = substring_dedup.passages(frame).collect()
+    found = defaultdict(set)
+    for s in spans:
+        found[s.doc_id].update(range(s.start, s.end))
+    true = repeated_bytes(rows, 250)  # over 50 words of five bytes
+    whole = sum(map(len, true.values()))
+    assert sum(len(found[d] & p) for d, p in true.items()) >= 0.93 * whole
+    assert {d for d in found if found[d]} <= set(repeated_bytes(rows, 60))
+    some = repeated_bytes(rows, 20)
+    assert all(found[d] <= some[d] for d in found)
+
+
+def test_passages_of_odd_rows(spark):
+    rng = random.Random(22)
+    text = " ".join(word(rng) for _ in range(90))
+    rows = [(1, None), (2, ""), (3, text), (3, text), (None, text), (4, " ".join(word(rng) for _ in range(40000)) + " " + text)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = substring_dedup.passages(frame).collect()
+    # a null id is the smallest; a repeated row is the same document
+    assert {s.doc_id for s in spans} == {3, 4} and {s.first_doc_id for s in spans} == {None}
+    back = substring_dedup.remove(frame, spark.createDataFrame(spans, "doc_id long, start long, end long, n_words long, first_doc_id long, first_start long"))
+    assert sorted((r.doc_id or 0, len(r.text or "")) for r in back.collect())[:3] == [(0, len(text)), (1, 0), (2, 0)]
+
+
 def test_repeated_units_are_found(spark):
     rng = random.Random(12)
     around = lambda: " ".join(word(rng) for _ in range(rng.randrange(40, 90)))
@@ -302,3 +347,33 @@ def test_classifier(spark, docs, empty):
     nothing = quality_classifier.train(frame, labels.limit(0))
     assert {r.score for r in quality_classifier.score(docs, nothing).collect()} == {0.5}
     assert quality_classifier.score(empty, rules).count() == 0
+
+
+def test_scores_against_plain_python(spark, docs):
+    """Features and rule sums of every row, worked out again; ties, repeated rows, long texts and clashing columns among them."""
+    import math
+    import zlib
+    from collections import Counter as C
+
+    rules = quality_classifier.Rules(0.3, [1.5, -2.0, 0.7, 0.25, -0.4], [((0, False, 5.0),), ((5, False, 0.1), (1, True, 6.0)), ((8, False, 0.0),), ((4, True, 0.2), (3, True, 0.0), (2, True, 0.0)), ((6, False, 0.05), (7, True, 0.5))])
+
+    def values(text):
+        t = text or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        grams = C(zip(w, w[1:], w[2:]))
+        covered = {p for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for p in (i, i + 1, i + 2)}
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        per = lambda x, n: x / n if n else 0.0
+        count = lambda chars, n: per(sum(c in chars for c in t), n)
+        return [float(len(w)), per(sum(map(len, w)), len(w)), per(sum(c in "#*$%&|<>" for c in t), len(w)), per(len(lines) - len(set(lines)), len(w)), per(len(covered), len(w)), count(quality_classifier.UPPER, len(t)), count("0123456789", len(t)), count("!?", len(w)), count("\n", len(w))]
+
+    expected = C()
+    for r in docs.collect():
+        x = values(r.text)
+        total = rules.intercept + sum(w for w, rule in zip(rules.weights, rules.rules) if all((x[f] <= limit) == below for f, below, limit in rule))
+        score = 1 / (1 + math.exp(-total))
+        held = zlib.crc32(str(r.doc_id).encode() if r.doc_id is not None else b"") % 5 == 0
+        expected[(r.doc_id, held, round(score, 12), int(score >= 0.3))] += 1
+    got = C((r.doc_id, r.held_out, round(r.score, 12), r.predicted) for r in quality_classifier.score(docs, rules).collect())
+    assert got == expected
+    assert quality_classifier.features(docs).columns == [*docs.columns, "features"]

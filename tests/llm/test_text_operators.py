@@ -152,6 +152,63 @@ def test_cuckoo_filter():
     assert all(k in again for k in keys[2500:])
 
 
+def store_of(store):
+    """Counts by key and what the filters hold, as plain values."""
+    counts = {bytes(r.key): r.documents for r in store.counts.collect()}
+    held = {r.shard: line_dedup.Cuckoo.from_bytes(bytes(r.cells)) for r in store.filters.collect()}
+    shard = lambda k: int.from_bytes(k[12:14], "big") % store.shards
+    return counts, {k for k in counts if shard(k) in held and k in held[shard(k)]}
+
+
+def test_store_takes_documents_in_and_out(spark):
+    """Insertions beyond a filter's growth and deletions, against counts made anew."""
+    make = lambda lo, hi: spark.createDataFrame([(i, "\n".join(f"line {j}" for j in range(i % 7, 400, 1 + i % 3))) for i in range(lo, hi)], "doc_id long, text string")
+    start = line_dedup.Store.of(make(0, 6), min_documents=4, shards=3)
+    more = start.insert(make(6, 30))
+    less = more.delete(make(6, 20))
+    for store, docs in ((start, make(0, 6)), (more, make(0, 30)), (less, make(0, 6).unionAll(make(20, 30))), (less.delete(make(20, 30)), make(0, 6))):
+        counts, held = store_of(store)
+        expected = Counter(line_dedup.digest(k) for r in docs.collect() for k in {line_dedup.line_key(x.encode()) for x in r.text.split("\n")})
+        assert counts == dict(expected)
+        frequent = {k for k, c in expected.items() if c >= 4}
+        assert frequent <= held and len(held - frequent) <= 3
+        kept = Counter((r.doc_id, r.text, r.n_dropped) for r in line_dedup.drop_lines(docs, store=store).collect())
+        assert kept == Counter((d, t, n - len(t.split("\n")) if t else n) for d, t, n in ((r.doc_id, "\n".join(x for x in r.text.split("\n") if expected[line_dedup.digest(x.encode())] < 4), len(r.text.split("\n"))) for r in docs.collect()))
+    assert store_of(less.delete(make(0, 6)).delete(make(20, 30)))[0] == {}
+
+
+def test_columns_may_have_any_names(spark, coder):
+    from pyspark.sql import functions as F
+
+    names = ["_copies", "_bucket", "_n", "_before", "_within", "_copy", "_number", "_total", "_place", "_row", "_drop", "_host", "_bad", "_key", "c0", "p", "words", "rows", "tables", "key", "row"]
+    frame = spark.createDataFrame([(i, f"some words {i % 2}\nline", "h") for i in range(12)], "doc_id long, text string, source string").select("*", *(F.lit("x").alias(n) for n in names))
+    assert {r.shard for r in sharding.shard(frame, 3).collect()} == {0, 1, 2}
+    assert quality_rules.judge(frame).columns[:24] == frame.columns
+    for limit in (64 << 20, 0):
+        assert {r.text for r in line_dedup.drop_lines(frame, broadcast_bytes=limit).collect()} == {"some words 0", "some words 1"}
+    assert {tuple(r.ids) for r in bpe.encode(frame, PATH, public.PATTERN, ids=True).collect()} == {tuple(coder.encode_ordinary(f"some words {i}\nline")) for i in (0, 1)}
+
+
+def test_written_shards(spark, tmp_path, docs):
+    sharding.write_shards(docs, f"{tmp_path}/s", 5)
+    back = spark.read.parquet(f"{tmp_path}/s")
+    assert back.count() == docs.count() and {r.shard for r in back.select("shard").distinct().collect()} == set(range(5))
+
+
+def test_sharding_against_plain_python(spark):
+    """Sizes and checksums of the query, and each slot from the row number by the permutation."""
+    import zlib
+
+    from graphloom.llm import queries
+
+    rows = [(i, t) for i, t in enumerate(["a", "", None, "é漢", "x" * 70000, "a", "a"])]
+    got = sorted(tuple(r) for r in (lambda d: sharding.shard(d, 3).collect())(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sorted((p, s) for *_, p, s in got) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (2, 0), (2, 1)]
+    for r in queries.QUERIES["op1_sharding"](spark, "/root/testdata/sf0.001").join(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), "doc_id").collect():
+        raw = (r.text or "").encode()
+        assert r.size == len(raw) + 16 and r.text_crc32 == zlib.crc32(raw)
+
+
 def test_license_scan(docs, spark, empty):
     more = spark.createDataFrame([(1, "MIT license, mit LICENSE cc by; cc by-nc Apache  License mit"), (2, "é GNU general. public license"), (3, None), (3, None), (None, "Licensed under the new apache license version 2 0")], "doc_id long, text string")
     for frame in (docs.select("doc_id", "text"), more):
