@@ -39,8 +39,9 @@ def test_same_rows(spark, duck, name):
     assert Counter(tuple(plain(r[c]) for c in names) for r in frame.collect()) == expected
 
 
-def test_without_the_optional_folders(tmp_path):
-    """The entry point works when the training-data folders are gone."""
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_without_the_optional_folders(tmp_path, pipeline):
+    """The entry point works when the training-data folders are gone, whether or not the pipeline's file is."""
     import shutil
     import subprocess
     import sys
@@ -48,5 +49,20 @@ def test_without_the_optional_folders(tmp_path):
     root = Path(__file__).resolve().parents[1]
     shutil.copytree(root / "graphloom", tmp_path / "graphloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
+    if pipeline and (root / "corpus_pipeline.py").exists():
+        shutil.copy(root / "corpus_pipeline.py", tmp_path)
     code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) > 40 and set(s) <= set(q) and not any(n.startswith('op') and n[2].isdigit() for n in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path)})
+
+
+def test_a_broken_import_is_no_missing_folder(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "graphloom", tmp_path / "graphloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    (tmp_path / "corpus_pipeline.py").write_text("import graphloom.nothing_of_this_name\n")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path)}, capture_output=True)
+    assert done.returncode != 0
