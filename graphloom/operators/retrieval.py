@@ -92,8 +92,8 @@ def fill_budget(lines: DataFrame, budget: int) -> DataFrame:
 VECTORS = 2048
 
 
-def _pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(group, id, vec) rows, those of one group beside each other, to (group, ids, mat): blocks of one group of at most VECTORS rows."""
+def _pack(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(group, id, vec) rows, those of one group beside each other, to (group, ids, mat): blocks of one group of at most size rows."""
     held: list[tuple] = []
 
     def out() -> pa.RecordBatch:
@@ -102,7 +102,7 @@ def _pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in it:
         for row in zip(*(batch.column(c).to_pylist() for c in range(3))):
-            if held and (row[0] != held[0][0] or len(held) >= VECTORS):
+            if held and (row[0] != held[0][0] or len(held) >= size):
                 yield out()
                 held = []
             held.append(row)
@@ -114,7 +114,8 @@ def blocks(vectors: DataFrame, group: Column) -> DataFrame:
     """group, ids, mat of vectors (id, vec): rows of a group lie together in blocks; a group of any size is many blocks."""
     rows = vectors.select(group.cast("string").alias("group"), F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
     near = rows.repartitionByRange("group", "id").sortWithinPartitions("group", "id")
-    return near.mapInArrow(_pack, "group string, ids array<long>, mat binary")
+    size = VECTORS
+    return near.mapInArrow(lambda it: _pack(it, size), "group string, ids array<long>, mat binary")
 
 
 def _matrix(raw: bytes, n: int) -> np.ndarray:
