@@ -201,9 +201,9 @@ def structure(rows: DataFrame) -> Graph:
 
 
 def govern(code: Graph, nodes: DataFrame, links: DataFrame) -> Graph:
-    """A code graph with other nodes and their links (src, relation, target, anchor): a link whose target is no node of either dangles."""
+    """A code graph with other nodes and their links (src, relation, target, anchor, and pending): a link whose target is no node of either dangles."""
     every = code.nodes.unionByName(nodes, allowMissingColumns=True)
     ids = every.select(F.col("node_id").alias("target"))
-    found = links.join(ids, "target", "left_semi").select("src", F.col("target").alias("dst"), "relation", F.lit("EXTRACTED").alias("confidence"), "anchor", F.lit(False).alias("pending"))
+    found = links.join(ids, "target", "left_semi").select("src", F.col("target").alias("dst"), "relation", F.lit("EXTRACTED").alias("confidence"), "anchor", (F.col("pending") if "pending" in links.columns else F.lit(False)).alias("pending"))
     lost = links.join(ids, "target", "left_anti").select("src", "relation", "target", "anchor")
     return Graph(every, code.edges.unionByName(found), code.dangling.unionByName(lost))
