@@ -70,3 +70,23 @@ def source_block(text: Column, first: Column, last: Column, most: int) -> Column
     lines = F.slice(F.split(text, "\n"), first + 1, F.least(last - first + 1, F.lit(most)))
     width = F.length((last + 1).cast("string"))
     return F.array_join(F.transform(lines, lambda x, i: F.concat(F.lpad((first + i + 1).cast("string"), width, " "), F.lit("  "), x)), "\n")
+
+
+def version_key(version: Column) -> Column:
+    """The numbers of a version like v1.10.2, which compare as versions do; text after them does not count, and a version without numbers is empty."""
+    head = F.regexp_extract(F.coalesce(version, F.lit("")), r"^v?(\d+(?:\.\d+)*)", 1)
+    return F.transform(F.filter(F.split(head, r"\."), lambda x: x != ""), lambda x: x.cast("int"))
+
+
+def normal_path(path: Column) -> Column:
+    """A path in lower case with forward slashes, without . and with .. worked out; .. above the start stay."""
+    parts = F.filter(F.split(F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), "/"), lambda x: (x != "") & (x != "."))
+    step = lambda kept, x: F.when((x == "..") & (F.size(kept) > 0) & (F.element_at(kept, -1) != ".."), F.slice(kept, 1, F.size(kept) - 1)).otherwise(F.array_append(kept, x))
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+
+
+def enforced(text: Column, needed: list[str], banned: list[str]) -> Column:
+    """hits, breaks, enforced of a text: how many of the needed patterns it has, how many of the banned ones, and whether it has all of the one and none of the other."""
+    count = lambda patterns: sum((F.when(text.rlike(p), 1).otherwise(0) for p in patterns), F.lit(0))
+    hits, breaks = count(needed), count(banned)
+    return F.struct(hits.alias("hits"), breaks.alias("breaks"), ((hits == len(needed)) & (breaks == 0)).alias("enforced"))

@@ -133,6 +133,31 @@ def assign(conflicts: DataFrame, landed: DataFrame) -> DataFrame:
     return both.select("left_id", "right_id", F.coalesce(F.when(later, F.col("right_actor")).otherwise(F.col("left_actor")), F.lit("unattributed")).alias("owner"))
 
 
+def owner_tally(owned: DataFrame) -> DataFrame:
+    """owner, c: how many answers each owes."""
+    return owned.groupBy("owner").agg(F.count("*").alias("c"))
+
+
+def head_distance(ids: DataFrame, commits: DataFrame) -> DataFrame:
+    """node_id, survival of ids (node_id, path): commits after the one that brought the path in, by commits (pos, path), pos 0 being the newest; 0 if unknown."""
+    born = commits.groupBy("path").agg(F.max("pos").alias("pos"))
+    return ids.join(born, "path", "left").select("node_id", F.coalesce("pos", F.lit(0)).cast("long").alias("survival"))
+
+
+def verify_delta(delta: DataFrame, cursor: DataFrame) -> DataFrame:
+    """project, ok, head_seq, head_hash of a pulled delta (project, seq, event_key, prev_hash, entry_hash) against cursors (project, seq, entry_hash).
+
+    A delta is sound if its first entry follows from the cursor (or from GENESIS), every other one from the one before, and no seq is at or below the cursor's.
+    """
+    at = cursor.select("project", F.col("seq").alias("seen"), F.col("entry_hash").alias("held"))
+    both = delta.join(at, "project", "left")
+    order = Window.partitionBy("project").orderBy("seq")
+    prev = F.coalesce(F.lag("entry_hash").over(order), "held", F.lit(GENESIS))
+    good = (F.col("prev_hash") == prev) & (F.col("entry_hash") == F.sha2(F.concat(prev, F.lit("\0"), F.col("event_key")), 256)) & (F.col("seq") > F.coalesce("seen", F.lit(-1)))
+    judged = both.select("project", "seq", "entry_hash", F.coalesce(good, F.lit(False)).alias("good"))
+    return judged.groupBy("project").agg(F.bool_and("good").alias("ok"), F.max("seq").alias("head_seq"), F.max_by("entry_hash", "seq").alias("head_hash"))
+
+
 def history(claims: DataFrame, live: DataFrame) -> DataFrame:
     """id: divergent claims (id, locator, actor, seq) all of which are older than the live revision of their locator and actor."""
     now = live.groupBy("locator", "actor").agg(F.max("seq").alias("live_seq"))

@@ -649,3 +649,36 @@ def locus_packet(spark, sf_dir):
 def session_packet(spark, sf_dir):
     found = context.session_context(tables.graph(spark, sf_dir), now=NOW)
     return spark.createDataFrame(found.rows if found else [], "place int, section string, node_id string, line string")
+
+
+@query("""WITH {log}, l AS (SELECT id, min(seq) AS seq, CAST(arg_min(actor, seq) AS VARCHAR) AS actor FROM log GROUP BY id),
+c AS (SELECT DISTINCT 'click:' || user_id AS left_id, 'purchase:' || user_id AS right_id FROM events),
+o AS (SELECT coalesce(CASE WHEN coalesce(r.seq, -1) > coalesce(a.seq, -1) THEN r.actor ELSE a.actor END, 'unattributed') AS owner FROM c LEFT JOIN l a ON a.id = left_id LEFT JOIN l r ON r.id = right_id)
+SELECT owner, count(*) AS c FROM o GROUP BY owner""")
+def owner_tally(spark, sf_dir):
+    return log.owner_tally(assign_responsibility(spark, sf_dir))
+
+
+@query("""WITH {log}, c AS (SELECT id AS path, seq, max(seq) OVER () - seq AS pos FROM log), b AS (SELECT path, max(pos) AS pos FROM c WHERE path NOT LIKE 'click:%' GROUP BY path)
+SELECT l.id AS node_id, coalesce(max(pos), 0) AS survival FROM (SELECT DISTINCT id FROM log) l LEFT JOIN b ON path = l.id GROUP BY l.id""")
+def head_distance(spark, sf_dir):
+    e = tables.log(spark, sf_dir)
+    last = e.agg(F.max("seq").alias("last"))
+    commits = e.filter("id not like 'click:%'").crossJoin(F.broadcast(last)).select(F.col("id").alias("path"), (F.col("last") - F.col("seq")).alias("pos"))  # one row
+    return log.head_distance(e.select(F.col("id").alias("node_id"), F.col("id").alias("path")).distinct(), commits)
+
+
+@query("""WITH {log}, m AS (SELECT project, max(seq) FILTER (seq <= 5000) AS seen, max(seq) AS head, bool_or(seq > 5000 AND seq % 499 = 0) AS bad FROM log GROUP BY project)
+SELECT project, NOT bad AS ok, head AS head_seq FROM m WHERE head > 5000""")
+def sync_verify(spark, sf_dir):
+    """What came after seq 5000, against the chain's ends there; in some deltas a body was changed on the way."""
+    chain = log.build_chain(tables.log(spark, sf_dir))
+    tails = chain.filter("seq <= 5000").groupBy("project").agg(F.max("seq").alias("seq"), F.max_by("entry_hash", "seq").alias("entry_hash"))
+    delta = chain.filter("seq > 5000").withColumn("event_key", F.when(F.col("seq") % 499 == 0, "changed").otherwise(F.col("event_key")))
+    return log.verify_delta(delta, tails).select("project", "ok", "head_seq")
+
+
+@query(r"""SELECT page_id, list_transform(list_filter(string_split(regexp_extract(url, '([0-9]+(?:\.[0-9]+)*)', 1), '.'), lambda x: x <> ''), lambda x: CAST(x AS INTEGER)) AS version FROM pages""".replace(r"\\.", r"\."))
+def version_keys(spark, sf_dir):
+    found = F.regexp_extract("url", r"([0-9]+(?:\.[0-9]+)*)", 1)
+    return tables.read(spark, sf_dir, "pages").select("page_id", text.version_key(found).alias("version"))

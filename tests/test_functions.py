@@ -73,3 +73,42 @@ def test_maturity(spark):
     assert say("proposed", 0.5, 0, 9) == "proposed"
     assert say("working", 3.0, 0, 9) == "settled"
     assert say("working", 3.0, 1, 9) == "working"
+
+
+def test_ids_and_signatures(spark):
+    import hashlib
+    import hmac
+    import json
+
+    from graphloom.functions import ids
+
+    rows = [("node", '{"b": [3, 1, 2], "a": {"y": 1, "x": ["q", "p"]}}'), ("node", '{"a": {"x": ["p", "q"], "y": 1}, "b": [1, 2, 3]}'), ("edge", '{"b": [1]}'), ("node", None)]
+    frame = spark.createDataFrame(rows, "kind string, body string")
+    got = [r.i for r in frame.select(ids.assertion_id(F.col("kind"), F.col("body")).alias("i")).collect()]
+    payload = {"algo": "assertid-v1", "kind": "node", "body": {"a": {"x": ["p", "q"], "y": 1}, "b": [1, 2, 3]}}
+    assert got[0] == got[1] == hashlib.sha256(json.dumps(payload, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:16]
+    assert got[2] != got[0] and got[3] is None
+    record = {"actor": "a", "source": "review", "sig": "old"}
+    signed = spark.createDataFrame([(json.dumps(record),), (None,)], "r string").select(ids.signature(F.col("r"), "key").alias("s"), ids.landing_maturity(F.col("r"), ["review"]).alias("m")).collect()
+    assert signed[0].s == hmac.new(b"key", json.dumps({"actor": "a", "source": "review"}, sort_keys=True).encode(), hashlib.sha256).hexdigest()
+    assert [r.m for r in signed] == ["proposed", "working"] and signed[1].s is None
+
+
+def test_paths_and_versions(spark):
+    frame = spark.createDataFrame([("A\\b/./C.py", "v1.10.2-rc"), ("x/../../y", "none"), ("a/b/../c", "2")], "p string, v string")
+    got = frame.select(text.normal_path(F.col("p")).alias("p"), text.version_key(F.col("v")).alias("v")).collect()
+    assert [(r.p, r.v) for r in got] == [("a/b/c.py", [1, 10, 2]), ("../y", []), ("a/c", [2])]
+    one = frame.limit(1).select(text.enforced(F.lit("uses salt, no md5"), ["salt"], ["md5"]).alias("e"), text.enforced(F.lit("uses salt"), ["salt"], ["md5"]).alias("f")).first()
+    assert (one.e.hits, one.e.breaks, one.e.enforced) == (1, 1, False) and one.f.enforced
+
+
+def test_functions_in_sql(spark):
+    from graphloom.functions import register
+    from graphloom.operators import log
+
+    assert len(register.register(spark)) == 6
+    frame = spark.createDataFrame([("validateToken HTTPServer2", 86400 * 14, "a"), (None, 0, "b"), ("sym:a b", None, None), ("mem:x", 5, "")], "t string, seen bigint, b string")
+    frame.createOrReplaceTempView("sql_functions")
+    got = spark.sql("SELECT graph_terms(t) a, graph_is_locator(t) b, graph_token_estimate(t) c, graph_recency(seen, 86400 * 28, 14.0D) d, graph_event_key('1', t, b) e, graph_slug(t) f FROM sql_functions").collect()
+    expected = frame.select(text.terms(F.col("t")), text.is_locator(F.col("t")), text.token_estimate(F.col("t")), scores.recency(F.col("seen"), F.lit(86400 * 28)), log.event_key(F.lit("1"), F.col("t"), F.col("b")), text.slugify(F.col("t"))).collect()
+    assert list(map(tuple, got)) == list(map(tuple, expected))
