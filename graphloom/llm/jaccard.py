@@ -186,7 +186,11 @@ class _Join:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs)
         self.tested = pairs if self.tested is None else self.tested.union(pairs)
-        near = materialize(self.bounded(pairs))
+        # the parity bits leave few pairs, so that only their sets' prefixes are moved
+        light = lambda side, n, bits: self.classes.select(F.col("cid").alias(side), F.col("n").alias(n), F.col("bits").alias(bits))
+        close = materialize(pairs.join(light("a", "n", "bits"), "a").join(light("b", "n2", "bits2"), "b").filter(self.differ_little()).select("a", "b"))
+        near = materialize(self.bounded(close))
+        discard(close)
         release(self.docs.sparkSession)
         if near.isEmpty():
             return
@@ -206,7 +210,9 @@ class _Join:
     def bounded(self, pairs: DataFrame) -> DataFrame:
         """Pairs that can still link by their prefixes alone: up to the rarity where the shorter prefix ends all common shingles are known, and
         beyond it there are at most as many as the set with fewer left."""
-        side = lambda k: self.classes.select(F.col("cid").alias(k), F.col("n").alias("n" + k), F.col("prefix").alias("p" + k))
+        asked = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+        some = self.classes.join(asked, "cid", "left_semi")
+        side = lambda k: some.select(F.col("cid").alias(k), F.col("n").alias("n" + k), F.col("prefix").alias("p" + k))
         both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("cut", F.least(F.element_at("pa", -1), F.element_at("pb", -1)))
         beyond = lambda k: F.col("n" + k) - F.size(F.filter("p" + k, lambda x: x <= F.col("cut")))
         most = F.size(F.array_intersect("pa", "pb")) + F.least(beyond("a"), beyond("b"))
