@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, decontamination, jaccard, license_scan, line_dedup, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
+from graphloom.llm import bpe, conversation_trie, decontamination, jaccard, license_scan, line_dedup, quality_classifier, quality_rules, sharding, source_divergence, substring_dedup, token_counts
 from graphloom.llm.shared import reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +175,58 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"), min_documents=3, most_terms=200)
+
+
+SQL["op11_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+t AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT d.lang, d.source, coalesce(any_value(s.n), 0) AS total FROM d LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source) s ON s.lang = d.lang AND s.source = d.source GROUP BY d.lang, d.source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // (CAST(g.total AS HUGEINT) + v.v) AS p
+  FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+l AS (SELECT lang, CAST(sum(total) AS HUGEINT) AS total FROM g GROUP BY lang),
+q AS (SELECT x.lang, x.term, 1 + CAST(1000000000 AS HUGEINT) * (x.n + 1) // (l.total + v.v) AS q FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term) x JOIN l ON l.lang = x.lang JOIN v ON v.lang = x.lang),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY a.lang, a.source, b.source),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+term AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, CAST((p.p - q.q) * (p.p - q.q) // q.q AS BIGINT) AS value FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rebuilt = conversation_trie.rebuild(conversation_trie.turns(table(spark, sf_dir, "conversations")), span=100, most=6)
+    return conversation_trie.trie(rebuilt)
+
+
+#: crc32 of the digits of conv_id, a bit at a time.
+_CRC = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ord(d) AS BIGINT))), lambda r, d: list_reduce(list_prepend(xor(r, d), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"
+SQL["op13_conversation_trie"] = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {crc} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS part, o.pos, role, text FROM c JOIN o ON o.conv_id = c.base AND o.pos <= c.h
+  UNION ALL SELECT c.conv_id, 1, o.pos, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND o.pos > c.h),
+s AS (SELECT conv_id, row_number() OVER w AS depth, length(text) AS size, string_agg(sha256(length(role) || ':' || role || text), '') OVER w AS node FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)),
+p AS (SELECT conv_id, depth, size, node, coalesce(lag(node) OVER (PARTITION BY conv_id ORDER BY depth), '') AS above FROM s UNION ALL SELECT conv_id, 0, 0, '', NULL FROM c),
+n AS (SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size, any_value(above) AS above FROM p GROUP BY depth, node),
+k AS (SELECT depth - 1 AS depth, above AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY depth, above),
+m AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k ON k.depth = n.depth AND k.node = n.node),
+u AS (SELECT p.depth, p.node, sum((m.n_convs - 1) * m.size) AS saved_tokens, count(*) FILTER (m.n_children = 0) AS n_leaves FROM m JOIN p ON p.conv_id = m.conv_id AND p.depth <= m.depth GROUP BY p.depth, p.node),
+z AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id),
+e AS (SELECT p.depth, p.node, string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id) AS ids FROM p JOIN z ON z.conv_id = p.conv_id AND z.depth = p.depth GROUP BY p.depth, p.node)
+SELECT m.conv_id, m.depth, up.conv_id AS parent_conv_id, m.n_convs, m.n_children, u.n_leaves, CAST(u.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM m JOIN u ON u.depth = m.depth AND u.node = m.node LEFT JOIN e ON e.depth = m.depth AND e.node = m.node LEFT JOIN m up ON up.depth = m.depth - 1 AND up.node = m.above
+""".replace("{crc}", _CRC)
