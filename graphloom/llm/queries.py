@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, conversation_trie, decontamination, jaccard, license_scan, line_dedup, quality_classifier, quality_rules, sharding, source_divergence, substring_dedup, token_counts
+from graphloom.llm import bpe, conversation_trie, decontamination, jaccard, license_scan, line_dedup, quality_classifier, quality_rules, secret_scan, sharding, source_divergence, substring_dedup, token_counts
 from graphloom.llm.shared import reachable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -230,3 +230,37 @@ e AS (SELECT p.depth, p.node, string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER B
 SELECT m.conv_id, m.depth, up.conv_id AS parent_conv_id, m.n_convs, m.n_children, u.n_leaves, CAST(u.saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
 FROM m JOIN u ON u.depth = m.depth AND u.node = m.node LEFT JOIN e ON e.depth = m.depth AND e.node = m.node LEFT JOIN m up ON up.depth = m.depth - 1 AND up.node = m.above
 """.replace("{crc}", _CRC)
+
+
+@query
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda x: x["kind"] != secret_scan.KIND)
+    return found.select("doc_id", *(count(kind) for kind in secret_scan.RULES), F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"))
+
+
+#: Matches of a pattern in the texts of d, as (rid, start, end, value).
+_HITS = """SELECT rid, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS s,
+  list_sum(list_transform(gaps[1:i], lambda x: length(x))) + list_sum(list_transform(hits[1:i], lambda x: length(x))) AS e, vals[i] AS value
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT rid, regexp_extract_all(text, '{p}') AS hits, regexp_split_to_array(text, '{p}') AS gaps, regexp_extract_all(text, '{p}', {g}) AS vals FROM d))"""
+_ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+SQL["op12_secret_scan"] = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT 0 AS k, 'assign' AS kind, * FROM ({assign}) WHERE length(value) >= 6
+  UNION ALL SELECT 1, 'access', * FROM ({access}) WHERE length(value) >= 20
+  UNION ALL SELECT 2, 'hex', * FROM ({hex}) WHERE length(value) >= 24),
+c AS ({candidate}),
+smp AS (SELECT DISTINCT rid, value, true AS random FROM m UNION ALL SELECT DISTINCT rid, value, false FROM c WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.rid = c.rid AND m.value = c.value)),
+ch AS (SELECT random, value, unnest(range(1, length(value))) AS i FROM smp),
+pr AS (SELECT value[i] AS a, value[i + 1] AS b, count(*) FILTER (random) AS r, count(*) FILTER (NOT random) AS o FROM ch GROUP BY 1, 2),
+fi AS (SELECT a, sum(r) AS fr, sum(o) AS fo FROM pr GROUP BY a),
+llr AS (SELECT pr.a, pr.b, CAST(floor((ln((r + 1) / CAST(fr + 68 AS DOUBLE)) - ln((o + 1) / CAST(fo + 68 AS DOUBLE))) * 1000 + 0.5) AS BIGINT) AS score FROM pr JOIN fi ON fi.a = pr.a),
+cc AS (SELECT rid, s, e, value, unnest(range(1, length(value))) AS i FROM c),
+sc AS (SELECT rid, s, e FROM cc JOIN llr ON llr.a = value[i] AND llr.b = value[i + 1] GROUP BY rid, s, e HAVING sum(score) >= 10000),
+al AS (SELECT k, kind, rid, s, e FROM m UNION ALL SELECT 3, 'markov', rid, s, e FROM sc),
+g AS (SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM al GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g ON g.rid = d.rid
+""".replace("{assign}", _HITS.format(p=_ASSIGN, g=2)).replace("{access}", _HITS.format(p="AKIA[A-Z0-9]+", g=0)).replace("{hex}", _HITS.format(p="[0-9a-f]+", g=0)).replace("{candidate}", _HITS.format(p=secret_scan.CANDIDATE, g=0))
