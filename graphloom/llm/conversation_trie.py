@@ -101,15 +101,15 @@ def nodes(path: DataFrame) -> DataFrame:
     return inside.select(*shown).unionByName(begins.select(*shown))
 
 
-def _pieces(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (NODE, conv_id) to (NODE, at, piece): runs of at most PIECE ids of a node, joined by commas."""
+def _pieces(it: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Sorted (NODE, conv_id) to (NODE, at, piece): runs of at most so many ids of a node, joined by commas."""
     schema = pa.schema([*((c, pa.int64()) for c in NODE), ("at", pa.int64()), ("piece", pa.string())])
     for batch in it:
         rows: list[tuple] = []
         held: list[int] = []
         now: tuple | None = None
         for *node, conv in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if tuple(node) != now or len(held) == PIECE:
+            if tuple(node) != now or len(held) == most:
                 if held:
                     rows.append((*now, held[0], ",".join(map(str, held))))
                 now, held = tuple(node), []
@@ -140,7 +140,7 @@ def _digests(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pack([(*now, held.hexdigest())])
 
 
-def ends(path: DataFrame) -> DataFrame:
+def ends(path: DataFrame, piece: int = PIECE) -> DataFrame:
     """NODE, ends_sha256 of the nodes where conversations end: SHA-256 of their ids in order, joined by commas.
 
     A hash is serial, but only its bytes are: ids are sorted by range and joined into pieces by many tasks, and a node's pieces, a row for
@@ -149,11 +149,11 @@ def ends(path: DataFrame) -> DataFrame:
     order = [*NODE, "conv_id"]
     sorted_ = path.filter("depth = last").select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
     kind = ", ".join(f"{c} long" for c in [*NODE, "at"])
-    pieces = sorted_.mapInArrow(_pieces, f"{kind}, piece string")
+    pieces = sorted_.mapInArrow(lambda it: _pieces(it, piece), f"{kind}, piece string")
     return pieces.repartition(*NODE).sortWithinPartitions(*NODE, "at").mapInArrow(_digests, ", ".join(f"{c} long" for c in NODE) + ", ends_sha256 string")
 
 
-def trie(rebuilt: DataFrame) -> DataFrame:
+def trie(rebuilt: DataFrame, piece: int = PIECE) -> DataFrame:
     """conv_id (smallest member), depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 of every node.
 
     n_leaves counts the subtree's childless nodes, saved_tokens sums (n_convs - 1) times the code points of the last text over the subtree; both
@@ -163,7 +163,7 @@ def trie(rebuilt: DataFrame) -> DataFrame:
 
     def make() -> DataFrame:
         path = materialize(paths(rebuilt))
-        found = nodes(path).join(ends(path), NODE, "left")
+        found = nodes(path).join(ends(path, piece), NODE, "left")
         return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(hashlib.sha256().hexdigest())).alias("ends_sha256"))
 
     return settled(make)

@@ -58,7 +58,7 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trim()
 
 
-def _chunks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunks(it: Iterator[pa.RecordBatch], most_terms: int, cells: int) -> Iterator[pa.RecordBatch]:
     """(lang, term, source, n), sorted by lang and term, to chunks: whole terms of one lang with all their counts."""
     names = ["lang", "term", "source", "n"]
     empty = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("n", pa.int64())]).empty_table()
@@ -83,14 +83,14 @@ def _chunks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stop = starts[k]
             open_ = k == len(starts) - 1 and not last
             change = stop < rows.num_rows and lang[stop] != lang[stop - 1]
-            if not open_ and (change or k - first >= TERMS or stop - begin >= CELLS or (last and k == len(starts) - 1)):
+            if not open_ and (change or k - first >= most_terms or stop - begin >= cells or (last and k == len(starts) - 1)):
                 made.append(chunk(rows.slice(begin, stop - begin)))
                 begin, first = stop, k
         return made, rows.slice(begin)
 
     for batch in it:
         held = pa.concat_tables([held, pa.Table.from_batches([batch]).select(names)])
-        if held.num_rows >= CELLS:
+        if held.num_rows >= cells:
             made, held = whole(held, False)
             yield from made
     if held.num_rows:
@@ -106,7 +106,7 @@ def shares(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
     return out + 1
 
 
-def _compare(most: int):
+def _compare(most: int, block: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Chunks with all sources of their lang (names, sums) and its number of terms to parts of sums (pair) and best terms of the chunk (term)."""
         pairs: dict[str, tuple[list[str], np.ndarray]] = {}
@@ -140,7 +140,7 @@ def _compare(most: int):
                 src, n = where[get("src").values.to_numpy()], get("n").values.to_numpy()
                 own, all_ = (sums + size)[:, None], sums.sum() + size
                 best: list[list[tuple]] = [[] for _ in names]
-                width = max(1, BLOCK // s)
+                width = max(1, block // s)
                 for low in range(0, len(terms), width):
                     high = min(low + width, len(terms))
                     inside = (ids >= low) & (ids < high)
@@ -166,13 +166,14 @@ def _compare(most: int):
     return run
 
 
-def divergence(docs: DataFrame, min_documents: int = 3, most_terms: int = 200, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
+def divergence(docs: DataFrame, min_documents: int = 3, most_terms: int = 200, lang: str = "lang", source: str = "source", text: str = "text", terms: int = TERMS, cells: int = CELLS, block: int = BLOCK) -> DataFrame:
     """lang, source, part, item, value, rank: part `pair` has every other source of the lang, part `term` the most_terms terms that the source uses beyond its lang.
 
     Null lang, source and text are empty ones. A lang keeps the terms that min_documents of its rows have; repeated rows count as often as they stand. A
     group without kept terms has all shares from the smoothing alone; a lang without kept terms has pairs of value 0 and no terms; an empty table has no
     rows. Ties of value go by the item's UTF-8 bytes. A text's words are held at once, texts of a batch one after the other. The result has the square of
-    a lang's number of sources in pairs, which is its meaning; a task holds the names of one lang's sources.
+    a lang's number of sources in pairs, which is its meaning; a task holds the names of one lang's sources. terms, cells and block bound what a
+    task holds of a chunk (whole terms in any case) and change no result.
     """
     blank = lambda c, name: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name)
     read = docs.select(blank(lang, "lang"), blank(source, "source"), F.col(text).alias("text"))
@@ -180,7 +181,7 @@ def divergence(docs: DataFrame, min_documents: int = 3, most_terms: int = 200, l
     def make() -> DataFrame:
         counted = read.mapInArrow(_count, "lang string, source string, term string, n long, docs long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
         within = counted.withColumn("df", F.sum("docs").over(Window.partitionBy("lang", "term"))).filter(F.col("df") >= min_documents)
-        chunks = materialize(within.select("lang", "term", "source", "n").sortWithinPartitions("lang", "term").mapInArrow(_chunks, _CHUNK))
+        chunks = materialize(within.select("lang", "term", "source", "n").sortWithinPartitions("lang", "term").mapInArrow(lambda it: _chunks(it, terms, cells), _CHUNK))
         totals = chunks.select("lang", F.explode(F.arrays_zip("sources", "totals")).alias("x")).groupBy("lang", F.col("x.sources").alias("source")).agg(F.sum("x.totals").alias("total"))
         groups = read.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"))
         each = groups.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", "total"))).alias("g"))
@@ -191,7 +192,7 @@ def divergence(docs: DataFrame, min_documents: int = 3, most_terms: int = 200, l
         none = [F.array().cast(kind).alias(name) for name, kind in (c.split() for c in _CHUNK.split(", ")[1:])]
         work = chunks.unionByName(langs.select("lang", *none)).withColumn("salt", F.pmod(F.xxhash64("terms"), F.lit(salts)).cast("int"))
         told = work.join(langs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["lang", "salt"])
-        found = materialize(told.select("lang", "terms", "sources", "src", "term", "n", "names", "sums", "size").mapInArrow(_compare(most_terms), _FOUND))
+        found = materialize(told.select("lang", "terms", "sources", "src", "term", "n", "names", "sums", "size").mapInArrow(_compare(most_terms, block), _FOUND))
         rank = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
         pair = found.filter("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value")).withColumn("rank", F.row_number().over(rank))
         term = found.filter("part = 'term'").withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= most_terms)
