@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from graphloom.model import Graph
-from graphloom.tables import materialize
 
 GENESIS = "0" * 64
 
@@ -165,36 +164,6 @@ def history(claims: DataFrame, live: DataFrame) -> DataFrame:
     return judged.groupBy("id").agg(F.bool_and("old").alias("old")).filter("old").select("id")
 
 
-def causal_order(assertions: DataFrame) -> DataFrame:
-    """id, depth: the longest chain of known parents below each assertion (id, parents); (depth, id) is a causal order. Cycles raise an error.
-
-    Chains of assertions with one parent are followed to their end by pointer doubling; those with several parents take a round a level.
-    """
-    edge = materialize(assertions.select("id", F.explode("parents").alias("parent")).join(assertions.select(F.col("id").alias("parent")), "parent", "left_semi").distinct())
-    ids = assertions.select("id").distinct()
-    cycle = ValueError("the parents of the assertions form a cycle")
-    parents = edge.groupBy("id").agg(F.count("*").alias("n"))
-    single = materialize(edge.join(parents.filter("n = 1"), "id").select("id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("steps")))
-    inner, followed, links = single.select(F.col("id").alias("up")), 1, single.count()
-    while not single.join(inner, "up", "left_semi").isEmpty():
-        if followed > links:
-            raise cycle
-        above = single.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
-        single = materialize(single.join(above, "up", "left").select("id", F.coalesce("next", "up").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
-        followed *= 2
-    ends = materialize(ids.join(single, "id", "left").select("id", F.coalesce("up", "id").alias("up"), F.coalesce("steps", F.lit(0)).alias("steps")))
-    several = materialize(edge.join(parents.filter("n > 1").select("id"), "id", "left_semi").join(ends.withColumnRenamed("id", "parent"), "parent").select("id", "up", (F.col("steps") + 1).alias("steps")))
-    depth = ends.filter("id = up").select("id", F.lit(0).cast("long").alias("depth"))
-    levels = several.select("id").distinct().count()
-    for level in range(levels + 1):
-        higher = several.join(depth.withColumnRenamed("id", "up"), "up").groupBy("id").agg(F.max(F.col("depth") + F.col("steps")).alias("d"))
-        new = materialize(depth.join(higher, "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("depth")))
-        if new.join(depth.withColumnRenamed("depth", "was"), "id").filter("depth <> was").isEmpty():
-            return ends.join(new.withColumnRenamed("id", "up"), "up").select("id", (F.col("depth") + F.col("steps")).cast("int").alias("depth"))
-        depth = new
-    raise cycle
-
-
 def rewrite_parents(assertions: DataFrame) -> DataFrame:
     """assertions (id, locator, parents, and others) with parents that are locators replaced by the ids of that locator's revisions; each parent once, in order."""
     at = assertions.select("id", F.posexplode("parents").alias("i", "parent"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.config import DEFAULTS
 from graphloom.functions import scores, text
 from graphloom.model import COMPOSE, SIGNATURES
+from graphloom.operators import assertions as A
 from graphloom.operators import beliefs, context, drift, log, retrieval
 from graphloom.operators import graph as G
 from graphloom.sources import tables
@@ -550,14 +551,87 @@ def fold_dangling(spark, sf_dir):
     return _folded(spark, sf_dir)[2].groupBy("src", "target", "relation").agg(F.count("*").alias("c"), F.max("rank").alias("last_rank"))
 
 
-@query("""WITH RECURSIVE p AS (SELECT doc_id, unnest(list_distinct([doc_id // 2, doc_id // 3])) AS parent FROM documents WHERE doc_id > 0),
-d AS (SELECT doc_id, 0 AS depth FROM documents WHERE doc_id = 0 UNION SELECT p.doc_id, d.depth + 1 FROM d JOIN p ON p.parent = d.doc_id)
-SELECT CAST(doc_id AS VARCHAR) AS id, CAST(max(depth) AS INTEGER) AS depth FROM d GROUP BY doc_id""")
+#: The documents as assertions, as tables.assertions has them.
+_ASSERTED = """asr AS (SELECT doc_id, substr(sha256('a' || doc_id), 1, 12) AS id, CASE WHEN doc_id % 3 = 0 THEN 'int:l' || (doc_id % 40) END AS locator,
+  CASE doc_id % 3 WHEN 0 THEN 'intent' WHEN 1 THEN 'memory' ELSE 'resolution' END AS family, source AS label, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang,
+  CASE WHEN doc_id > 0 THEN CASE WHEN doc_id // 2 % 3 = 0 THEN 'int:l' || (doc_id // 2 % 40) ELSE substr(sha256('a' || (doc_id // 2)), 1, 12) END END AS target, doc_id % 5 = 0 AS pending,
+  CASE WHEN doc_id % 97 = 50 THEN doc_id + 1 WHEN doc_id % 97 = 51 THEN doc_id - 1 WHEN doc_id > 0 AND doc_id % 4 <> 3 THEN doc_id // 2 END AS p1, CASE WHEN doc_id % 97 NOT IN (50, 51) AND doc_id > 0 AND doc_id % 4 <> 3 THEN doc_id // 3 END AS p2 FROM documents)"""
+
+
+def _placed(name: str, where: str = "true") -> str:
+    """SQL of (id, place, cyclic) for the assertions of a part: the least ready id is taken again and again, a bit for each that is."""
+    return f"""{name}_n AS (SELECT *, CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS i FROM asr WHERE {where}),
+{name}_p AS (SELECT n.i, a.i AS p, b.i AS q FROM {name}_n n LEFT JOIN {name}_n a ON a.doc_id = n.p1 LEFT JOIN {name}_n b ON b.doc_id = n.p2),
+{name}_s(k, done, i) AS (SELECT 0, bitstring('0', CAST((SELECT count(*) + 1 FROM {name}_n) AS INTEGER)), CAST(NULL AS INTEGER)
+  UNION ALL (SELECT k + 1, set_bit(done, m, 1), m FROM (SELECT s.k, s.done, min(x.i) AS m FROM {name}_s s JOIN {name}_p x ON get_bit(s.done, x.i) = 0 AND (x.p IS NULL OR get_bit(s.done, x.p) = 1) AND (x.q IS NULL OR get_bit(s.done, x.q) = 1) GROUP BY s.k, s.done) t)),
+{name}_o AS (SELECT n.*, s.k IS NULL AS cyclic, CAST(row_number() OVER (ORDER BY s.k IS NULL, s.k, n.id) - 1 AS BIGINT) AS place FROM {name}_n n LEFT JOIN {name}_s s ON s.i = n.i)"""
+
+
+def _fold(name: str) -> str:
+    """SQL of the nodes that a placed part folds to."""
+    return f"""{name}_r AS (SELECT *, coalesce(locator, id) AS node FROM {name}_o),
+{name}_b AS (SELECT node, min(place) AS born, max(place) AS last FROM {name}_r GROUP BY node),
+{name}_e AS (SELECT r.node AS src, r.target AS dst, r.place, r.pending, t.born <= r.place AS found, NOT r.pending AND t.last <= r.place AS hits, s.last = r.place AS newest FROM {name}_r r JOIN {name}_b s ON s.node = r.node LEFT JOIN {name}_b t ON t.node = r.target WHERE r.target IS NOT NULL),
+{name}_f AS (SELECT r.node AS node_id, arg_max(family, place) AS family, arg_max(label, place) AS label, arg_max(lang, place) FILTER (lang IS NOT NULL) AS lang,
+  (SELECT count(*) FROM {name}_e e WHERE e.dst = r.node AND found AND hits) AS superseded_in, (SELECT count(*) FROM {name}_e e WHERE e.src = r.node AND found AND NOT pending AND newest) AS supersedes_out FROM {name}_r r GROUP BY r.node)"""
+
+
+@query("WITH RECURSIVE " + _ASSERTED + ", " + _placed("l") + " SELECT id, place, cyclic FROM l_o")
 def causal_order(spark, sf_dir):
-    """Each document has the ones of half and of a third of its id as parents."""
-    half = lambda k: F.floor(F.col("doc_id") / k).cast("long").cast("string")
-    d = tables.read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("doc_id") > 0, F.array_distinct(F.array(half(2), half(3)))).otherwise(F.array().cast("array<string>")).alias("parents"))
-    return log.causal_order(d)
+    return A.causal_order(tables.assertions(spark, sf_dir))
+
+
+@query("WITH RECURSIVE " + _ASSERTED + ", " + _placed("l") + ", " + _fold("l") + " SELECT *, superseded_in = 0 AS accepted FROM l_f")
+def fold_revisions(spark, sf_dir):
+    """Revisions of locators, folded in causal order."""
+    return A.fold(tables.assertions(spark, sf_dir).drop("doc_id")).nodes.select("node_id", "family", F.col("attrs")["label"].alias("label"), F.col("attrs")["lang"].alias("lang"), "superseded_in", "supersedes_out", "accepted")
+
+
+@query("WITH RECURSIVE " + _ASSERTED + ", " + _placed("l") + ", " + _fold("l") + " SELECT src, dst, arg_max(pending, place) AS pending FROM l_e WHERE found GROUP BY src, dst")
+def fold_revision_edges(spark, sf_dir):
+    return A.fold(tables.assertions(spark, sf_dir).drop("doc_id")).edges.select("src", "dst", "pending")
+
+
+def _replicated(spark, sf_dir):
+    """Documents of even numbers are the workspace's, those whose number leaves no 1 by 3 the replica's; some are both."""
+    every = tables.assertions(spark, sf_dir)
+    local = every.filter("doc_id % 2 = 0")
+    events = every.filter("doc_id % 3 <> 1").select("id", "locator", (F.col("doc_id") % 4).cast("string").alias("actor"), F.col("doc_id").alias("seq"))
+    return A.replica_fold(A.fold(local.drop("doc_id")), every.filter("doc_id % 3 <> 1").drop("doc_id"), events, local.select("id"))
+
+
+# every family of these assertions gives way to the workspace, so of a node that only the replica has the first assertion is taken
+_REPLICA = "WITH RECURSIVE " + _ASSERTED + ", " + _placed("l", "doc_id % 2 = 0") + ", " + _fold("l") + ", " + _placed("r", "doc_id % 3 <> 1") + """,
+r_r AS (SELECT *, coalesce(locator, id) AS node, row_number() OVER (PARTITION BY coalesce(locator, id) ORDER BY place) AS nth FROM r_o),
+kept AS (SELECT * FROM r_r WHERE nth = 1 AND node NOT IN (SELECT node_id FROM l_f)),
+hit AS (SELECT k.target FROM kept k WHERE NOT k.pending AND (k.target IN (SELECT node_id FROM l_f) OR EXISTS (SELECT 1 FROM kept t WHERE t.node = k.target AND t.place <= k.place))),
+fin AS (SELECT node_id, label, superseded_in FROM l_f UNION ALL SELECT node, label, 0 FROM kept),
+live AS (SELECT locator, doc_id % 4 AS actor, max(doc_id) AS seq FROM asr WHERE doc_id % 6 = 0 GROUP BY ALL)"""
+
+
+@query(_REPLICA + " SELECT node_id, label, superseded_in + (SELECT count(*) FROM hit WHERE target = node_id) AS superseded_in FROM fin")
+def replica_fold(spark, sf_dir):
+    return _replicated(spark, sf_dir)[0].nodes.select("node_id", F.col("attrs")["label"].alias("label"), "superseded_in")
+
+
+@query(_REPLICA + " SELECT id FROM r_r EXCEPT SELECT id FROM kept")
+def replica_declined(spark, sf_dir):
+    return _replicated(spark, sf_dir)[0].declined.select("id")
+
+
+@query(_REPLICA + """ SELECT DISTINCT r.locator FROM r_r r WHERE r.locator IS NOT NULL AND r.doc_id % 2 = 1 AND r.id NOT IN (SELECT id FROM kept)
+AND NOT EXISTS (SELECT 1 FROM live v WHERE v.locator = r.locator AND v.actor = r.doc_id % 4 AND v.seq > r.doc_id)""")
+def replica_diverged(spark, sf_dir):
+    return _replicated(spark, sf_dir)[1]
+
+
+@query("""WITH {log}, r AS (SELECT id, family, 'view:' || project AS p, actor || ':' || session % 3 AS v, 's' || seq % 4 AS s FROM log)
+SELECT id, family, list(DISTINCT p ORDER BY p) AS parents, list(DISTINCT v ORDER BY v) AS provenance, list(DISTINCT s ORDER BY s) AS scope FROM r GROUP BY id, family""")
+def merge_assertions(spark, sf_dir):
+    """The events as records of assertions that several writers made."""
+    e = tables.log(spark, sf_dir)
+    said = e.select("id", "family", F.array(F.concat(F.lit("view:"), F.col("project").cast("string"))).alias("parents"), F.array(F.concat_ws(":", F.col("actor").cast("string"), (F.col("session") % 3).cast("string"))).alias("provenance"), F.array(F.concat(F.lit("s"), (F.col("seq") % 4).cast("string"))).alias("scope"))
+    return A.merge(said)
 
 
 @query("""WITH {graph}, o AS (SELECT src, dst, relation, 0 AS p, pending FROM edges WHERE relation = 'supersedes' UNION ALL SELECT src, dst, relation, 1, NOT pending FROM edges WHERE relation IN ('supersedes', 'serves'))

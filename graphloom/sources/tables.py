@@ -91,5 +91,28 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as assertions with hashed ids: parents are the documents of half and of a third of the number, some pairs have each other, every fourth
+    has none; every third document revises one of 40 locators, and each supersedes the node of half its number."""
+    n = F.col("doc_id")
+    named = lambda x: F.substring(F.sha2(F.concat(F.lit("a"), x.cast("string")), 256), 1, 12)
+    at = lambda x: F.when(x % 3 == 0, F.concat(F.lit("int:l"), (x % 40).cast("string")))
+    part = lambda k: F.floor(n / k).cast("long")
+    edge = F.struct(F.lit("supersedes").alias("relation"), F.coalesce(at(part(2)), named(part(2))).alias("target"), (n % 5 == 0).alias("pending"))
+    label, lang = F.struct(F.lit("label").alias("key"), F.col("source").alias("value")), F.struct(F.lit("lang").alias("key"), F.col("lang").alias("value"))
+    none = F.array().cast("array<string>")
+    return read(spark, sf_dir, "documents").select(
+        "doc_id",
+        named(n).alias("id"),
+        at(n).alias("locator"),
+        F.when(n % 3 == 0, "intent").when(n % 3 == 1, "memory").otherwise("resolution").alias("family"),
+        F.map_from_entries(F.when(n % 2 == 0, F.array(label, lang)).otherwise(F.array(label))).alias("attrs"),
+        none.alias("provenance"),
+        none.alias("scope"),
+        F.when(n > 0, F.array(edge)).alias("edges"),
+        F.when(n % 97 == 50, F.array(named(n + 1))).when(n % 97 == 51, F.array(named(n - 1))).when((n > 0) & (n % 4 != 3), F.array(named(part(2)), named(part(3)))).otherwise(none).alias("parents"),
+    )
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("anchor"), F.col("embedding").alias("vec"))

@@ -1,6 +1,5 @@
 import hashlib
 
-import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import log, retrieval
@@ -31,22 +30,6 @@ def test_chain(spark):
     assert log.verify_chain(broken).first().first_bad == 3
 
 
-def test_causal_order(spark):
-    rows = [("a", []), ("b", ["a"]), ("c", ["b", "gone"]), ("d", ["a"])]
-    got = {r.id: r.depth for r in log.causal_order(spark.createDataFrame(rows, "id string, parents array<string>")).collect()}
-    assert got == {"a": 0, "b": 1, "c": 2, "d": 1}
-
-
-def test_causal_order_of_long_chains_and_cycles(spark):
-    rows = [("c000", [])] + [(f"c{i:03}", [f"c{i - 1:03}"]) for i in range(1, 150)] + [("m", ["c149", "c010"]), ("n", ["m", "c149"]), ("a", ["n"])]
-    frame = spark.createDataFrame(rows, "id string, parents array<string>")
-    got = {r.id: r.depth for r in log.causal_order(frame).collect()}
-    assert got == {**{f"c{i:03}": i for i in range(150)}, "m": 150, "n": 151, "a": 152}
-    for cycle in ([("x", ["y"]), ("y", ["x"])], [("x", ["y", "c001"]), ("y", ["x", "c000"])], [("x", ["x"])]):
-        with pytest.raises(ValueError):
-            log.causal_order(frame.unionByName(spark.createDataFrame(cycle, frame.schema)))
-
-
 def test_fold_resolves_earlier_nodes_only(spark):
     e = "rank int, id string, locator string, family string, kind string, label string, edges array<struct<relation:string,target:string,pending:boolean>>"
     rows = [(1, "i1", "mem:a", "memory", "decision", "one", [("concerns", "mem:b", False)]), (2, "i2", "mem:b", "memory", "decision", "two", [("supersedes", "mem:a", False)]), (3, "i3", "mem:a", "memory", None, "three", [])]
