@@ -65,6 +65,47 @@ def task_lines(body: Column) -> Column:
     return F.array_sort(F.transform(lines, lambda x: F.struct(part(x, 2).cast("int").alias("num"), (F.lower(part(x, 1)) == "x").alias("done"), part(x, 3).alias("text"))))
 
 
+def strip(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def trimmed_lines(body: Column) -> Column:
+    return F.array_join(F.transform(F.split(body, "\n"), strip), "\n")
+
+
+def _below(body: Column) -> Column:
+    """heading and text of each part below a ## heading."""
+    parts = F.split(F.concat(F.lit("\n"), body), r"\n##[ \t]+", -1)
+    cut = lambda x: F.struct(strip(F.substring_index(x, "\n", 1)).alias("heading"), F.regexp_extract(x, r"(?s)^[^\n]*\n?(.*)$", 1).alias("text"))
+    return F.transform(F.slice(parts, F.lit(2), F.size(parts)), cut)
+
+
+def section(body: Column, name: str) -> Column:
+    """The text below headings of that name, without letter case and without what stands in brackets after it; empty if there is none."""
+    mine = F.filter(_below(body), lambda x: F.lower(strip(F.substring_index(x.heading, "(", 1))) == name)
+    return strip(F.array_join(F.transform(mine, lambda x: strip(x.text)), "\n"))
+
+
+def first_heading(body: Column) -> Column:
+    return F.get(F.filter(F.transform(_below(body), lambda x: x.heading), lambda x: x != ""), 0)
+
+
+def first_title(body: Column) -> Column:
+    """The text of the first line that begins with '# '."""
+    return strip(F.substring(F.get(F.filter(F.split(body, "\n"), lambda x: x.startswith("# ")), 0), 3, 1 << 20))
+
+
+def bullets(text: Column) -> Column:
+    return F.transform(F.filter(F.transform(F.split(text, "\n"), F.ltrim), lambda x: x.startswith("- ")), lambda x: strip(F.substring(x, 3, 1 << 20)))
+
+
+def marked(body: Column, word: str) -> Column:
+    """What follows **word:** on the last line that begins so."""
+    lines = F.filter(F.transform(F.split(body, "\n"), strip), lambda x: x.startswith(f"**{word}:**"))
+    return F.when(F.size(lines) > 0, strip(F.substring(F.get(lines, F.size(lines) - 1), len(word) + 6, 1 << 20)))
+
+
 def source_block(text: Column, first: Column, last: Column, most: int) -> Column:
     """Lines first to last (0-based) with right-justified numbers from 1, `most` lines at most."""
     lines = F.slice(F.split(text, "\n"), first + 1, F.least(last - first + 1, F.lit(most)))
