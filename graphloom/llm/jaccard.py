@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import kernel
-from graphloom.llm.components import connected
-from graphloom.llm.shared import discard, fresh, materialize, release, settled, text_column
+from graphloom.llm.shared import discard, fresh, materialize, release, settled, small, text_column
+from graphloom.operators.components import connected
 
 SKETCH_BITS, BLOCK_BITS = 20, 12
 #: Levels of splitting at most; what is left then compares all pairs across components.
@@ -34,6 +34,8 @@ LEAF_PAIRS, LEAF_EACH = 4096, 1024
 #: 64-bit numbers of a set's parity bits. A bit says whether an odd number of the set's shingles falls on it, so two sets differ in
 #: at least as many shingles as their bits differ: a bound that keeps most pairs of a leaf cell from leaving its join.
 PARITY = 8
+#: Ids of compared classes that are broadcast at most.
+ASKED = 1 << 20
 #: Cells of the filter that picks the texts whose sets are needed.
 NEED_BITS = 21
 
@@ -55,12 +57,17 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """PARITY numbers: bit b is set where an odd number of the hashes in s fall on b."""
-    odd = np.bincount((s % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+def parity(s: np.ndarray, numbers: int = PARITY) -> np.ndarray:
+    """So many numbers: bit b is set where an odd number of the hashes in s fall on b."""
+    odd = np.bincount((s % np.uint64(64 * numbers)).astype(np.int64), minlength=64 * numbers) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_parity(s: np.ndarray) -> np.ndarray:
+    """Parity bits, a power of two and one at least for each hash, so that they tell long sets apart as well as short ones."""
+    return parity(s, PARITY << max(0, int(np.ceil(np.log2(max(1, len(s)) / (64 * PARITY))))))
+
+
 def _sketch(docs: DataFrame, k: int) -> np.ndarray:
     """Level of each cell: how many doublings its count is above the mean. 2**20 bytes."""
 
@@ -99,7 +106,7 @@ def _min_overlap(n, num: int, den: int):
 
 
 def _profiles(docs: DataFrame, levels: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """id, n, digest of the set (null for none), bits: its parity, prefix: the rarest shingles, in order, that the window needs.
+    """id, n, digest of the set (null for none), bits and wide: its parity, prefix: the rarest shingles, in order, that the window needs.
 
     A shingle stands in prefix as its level in the upper bits over 57 bits of its hash, so numbers compare as rarities do.
     """
@@ -108,23 +115,23 @@ def _profiles(docs: DataFrame, levels: np.ndarray, k: int, num: int, den: int) -
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for lo, hi, data, offsets in kernel.slices(text_column(batch, "text")):
-                sizes, digests, bits, prefixes = [], [], [], []
+                sizes, digests, bits, wide, prefixes = [], [], [], [], []
                 for s in sets_of(data, offsets, k):
                     n = len(s)
                     sizes.append(n)
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
                     bits.append(parity(s))
+                    wide.append(wide_parity(s))
                     if n:
                         level = held.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
                         ranked = np.sort((level << np.uint64(57)) | (s >> np.uint64(7)))
                         prefixes.append(ranked[: n - _min_overlap(n, num, den) + 1 + DEPTH].view(np.int64))
                     else:
                         prefixes.append(np.zeros(0, np.int64))
-                flat = pa.array(np.concatenate(prefixes))
-                ends = np.append(0, np.cumsum([len(p) for p in prefixes])).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(PARITY * np.arange(len(sizes) + 1, dtype=np.int32)), pa.array(np.concatenate(bits))), pa.ListArray.from_arrays(pa.array(ends), flat)], ["id", "n", "digest", "bits", "prefix"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(p) for p in parts])).astype(np.int32)), pa.array(np.concatenate(parts))) for parts in (bits, wide, prefixes)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *lists], ["id", "n", "digest", "bits", "wide", "prefix"])
 
-    return docs.mapInArrow(run, "id long, n long, digest binary, bits array<long>, prefix array<long>")
+    return docs.mapInArrow(run, "id long, n long, digest binary, bits array<long>, wide array<long>, prefix array<long>")
 
 
 def _need_cell(digest: bytes, doc: int | None) -> int:
@@ -179,6 +186,17 @@ class _Join:
         apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(PARITY)), F.lit(0))
         return apart * (self.num + self.den) <= (self.den - self.num) * (F.col("n") + F.col("n2"))
 
+    def apart(self, wide, wide2):
+        """How many of the bits of two sets differ, those of a set of twice as many folded once. Linked sets differ in size by less than two."""
+        half = lambda x: F.shiftright(F.size(x), 1)
+        fold = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), lambda a, b: a.bitwiseXOR(b))
+        even = lambda x, y: F.when(F.size(x) > F.size(y), fold(x)).otherwise(x)
+        return F.aggregate(F.zip_with(even(wide, wide2), even(wide2, wide), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, x: acc + x)
+
+    def some_of(self, asked: DataFrame, *columns: str) -> DataFrame:
+        """Columns of the asked classes (cid). Ids of a checked number go to the classes; only more of them make the classes move."""
+        return self.classes.select("cid", *columns).join(F.broadcast(asked) if small(asked, ASKED) else asked, "cid", "left_semi")
+
     def verify(self, pairs: DataFrame) -> None:
         """Compares pairs (a, b) exactly and adds the linked ones to links."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -187,17 +205,26 @@ class _Join:
         pairs = materialize(pairs)
         self.tested = pairs if self.tested is None else self.tested.union(pairs)
         # the parity bits leave few pairs, so that only their sets' prefixes are moved
-        light = lambda side, n, bits: self.classes.select(F.col("cid").alias(side), F.col("n").alias(n), F.col("bits").alias(bits))
-        close = materialize(pairs.join(light("a", "n", "bits"), "a").join(light("b", "n2", "bits2"), "b").filter(self.differ_little()).select("a", "b"))
+        asked = materialize(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
+        some = self.some_of(asked, "n", "wide").repartition("cid")
+        light = lambda side, n, wide: some.select(F.col("cid").alias(side), F.col("n").alias(n), F.col("wide").alias(wide))
+        both = pairs.join(light("a", "n", "wide"), "a").join(light("b", "n2", "wide2"), "b")
+        few = (self.num + self.den) * self.apart(F.col("wide"), F.col("wide2")) <= (self.den - self.num) * (F.col("n") + F.col("n2"))
+        # sets of sizes too far apart do not link, and their bits are of no like number
+        sizes = self.den * F.least("n", "n2") >= self.num * F.greatest("n", "n2")
+        # where linked sets may differ in size by more than two, bits would have to be folded more often: there all pairs go on
+        close = materialize(both.filter(F.when(sizes, few if 2 * self.num >= self.den else F.lit(True)).otherwise(False)).select("a", "b"))
         near = materialize(self.bounded(close))
         discard(close)
         release(self.docs.sparkSession)
         if near.isEmpty():
             return
         wanted = near.select("a").union(near.select("b")).distinct().withColumnRenamed("a", "cid")
-        found = materialize(_needed_sets(self.docs, self.classes.join(wanted, "cid"), self.k))
-        key = lambda side: self.classes.select(F.col("cid").alias(side), F.col("digest").alias(side + "d"))
-        sets = lambda side: found.select(F.col("digest").alias(side + "d"), F.col("shingles").alias(side + "s"))
+        keys = materialize(self.some_of(materialize(wanted), "digest", "id"))
+        found = materialize(_needed_sets(self.docs, keys, self.k))
+        key = lambda side: keys.select(F.col("cid").alias(side), F.col("digest").alias(side + "d"))
+        dealt = found.repartition("digest")  # one shuffle of the sets for both sides
+        sets = lambda side: dealt.select(F.col("digest").alias(side + "d"), F.col("shingles").alias(side + "s"))
         joined = near.join(key("a"), "a").join(key("b"), "b").join(sets("a"), "ad").select("a", "b", "bd", "as").join(sets("b"), "bd")
         common = F.size(F.array_intersect("as", "bs")).cast("long")
         linked = joined.filter((self.num + self.den) * common >= self.num * (F.size("as") + F.size("bs"))).select("a", "b").distinct()
@@ -210,8 +237,8 @@ class _Join:
     def bounded(self, pairs: DataFrame) -> DataFrame:
         """Pairs that can still link by their prefixes alone: up to the rarity where the shorter prefix ends all common shingles are known, and
         beyond it there are at most as many as the set with fewer left."""
-        asked = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-        some = self.classes.join(asked, "cid", "left_semi")
+        asked = materialize(pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct())
+        some = self.some_of(asked, "n", "prefix").repartition("cid")
         side = lambda k: some.select(F.col("cid").alias(k), F.col("n").alias("n" + k), F.col("prefix").alias("p" + k))
         both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("cut", F.least(F.element_at("pa", -1), F.element_at("pb", -1)))
         beyond = lambda k: F.col("n" + k) - F.size(F.filter("p" + k, lambda x: x <= F.col("cut")))
@@ -249,9 +276,10 @@ class _Join:
             return None
         discard(members)
         last = level + 1 >= DEPTH
-        small = (rest if last else rest.filter(~F.col("large"))).join(self.classes.select("cid", "bits"), "cid")
-        other = small.select("region", F.col("cid").alias("cid2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("root2"), F.col("bits").alias("bits2"))
-        pairs = small.join(other, "region").filter((F.col("cid") < F.col("cid2")) & (F.col("root") != F.col("root2")) & self.can_link(level) & self.differ_little())
+        # dealt out by region once for both sides of the join
+        few = (rest if last else rest.filter(~F.col("large"))).join(self.classes.select("cid", "bits"), "cid").select("region", "cid", "n", "pos", "root", "bits").repartition("region")
+        other = few.select("region", F.col("cid").alias("cid2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("root2"), F.col("bits").alias("bits2"))
+        pairs = few.join(other, "region").filter((F.col("cid") < F.col("cid2")) & (F.col("root") != F.col("root2")) & self.can_link(level) & self.differ_little())
         self.verify(pairs.select(F.col("cid").alias("a"), F.col("cid2").alias("b")))
         if last:
             return None
@@ -279,7 +307,7 @@ class _Join:
     def run(self) -> DataFrame:
         levels = _sketch(self.docs, self.k)
         rows = materialize(_profiles(self.docs, levels, self.k, self.num, self.den))
-        grouped = rows.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+        grouped = rows.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.first("prefix").alias("prefix"))
         self.classes = materialize(grouped.withColumn("cid", F.monotonically_increasing_id()))
         narrow = materialize(rows.select("id", "n", "digest"))
         discard(rows)
