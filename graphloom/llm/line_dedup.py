@@ -133,6 +133,19 @@ class Cuckoo:
         return out
 
 
+#: Frequent keys of a shard, on the average: what one task holds when it builds a filter.
+SHARD_KEYS = 1 << 19
+
+
+def shards_for(keys: int) -> int:
+    return max(16, min(1 << 16, -(-keys // SHARD_KEYS)))
+
+
+def long_enough(key: bytes, min_chars: int) -> bool:
+    """Whether a key has at least min_chars code points; shorter ones are in no count and asked of no filter."""
+    return len(key) >= min_chars and (min_chars <= 1 or len(key.decode()) >= min_chars)
+
+
 def reference_counts(docs: DataFrame, text: str = "text", min_chars: int = 1) -> DataFrame:
     """key (16 bytes), documents: in how many rows each line key of at least min_chars code points stands. A null text is one empty line."""
 
@@ -141,7 +154,7 @@ def reference_counts(docs: DataFrame, text: str = "text", min_chars: int = 1) ->
             counts: dict[bytes, int] = {}
             for body in _texts(batch, "_text"):
                 for key in {line_key(x) for x in body.split(b"\n")}:
-                    if len(key) >= min_chars and (min_chars <= 1 or len(key.decode()) >= min_chars):
+                    if long_enough(key, min_chars):
                         counts[key] = counts.get(key, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([digest(k) for k in counts], pa.binary()), pa.array(list(counts.values()), pa.int64())], ["key", "documents"])
 
@@ -180,8 +193,9 @@ class Store:
     shards: int = 16
 
     @classmethod
-    def of(cls, docs: DataFrame, text: str = "text", min_documents: int = 10, min_chars: int = 1, shards: int = 16) -> Store:
+    def of(cls, docs: DataFrame, text: str = "text", min_documents: int = 10, min_chars: int = 1, shards: int | None = None) -> Store:
         counts = materialize(reference_counts(docs, text, min_chars))
+        shards = shards or shards_for(counts.filter(F.col("documents") >= min_documents).count())
         return cls(counts, materialize(filters(counts, min_documents, shards)), min_documents, min_chars, shards)
 
     def insert(self, docs: DataFrame, text: str = "text") -> Store:
@@ -234,13 +248,14 @@ def drop_lines(
     min_documents: int = 10,
     min_chars: int = 1,
     text: str = "text",
-    shards: int = 16,
+    shards: int | None = None,
     broadcast_bytes: int = 64 << 20,
     store: Store | None = None,
 ) -> DataFrame:
     """Drops the lines whose keys stand in at least min_documents documents, all of them in every document.
 
-    Documents are counted among docs themselves, or taken as counted in counts, or in a store with its filters and its parameters.
+    Documents are counted among docs themselves, or taken as counted in counts, or in a store with its filters and its parameters. Keys of fewer
+    than min_chars code points are not counted and their lines all stay. Filters have as many shards as their keys ask for, if no number is given.
     Returns the columns of docs, with the text of the lines that stay (joined by newlines; null and empty texts are one
     empty line and become empty), and n_lines, n_dropped, kept_sha256; input columns of these names are replaced, all other names are free.
     Documents are rows: repeated rows and null ids count one by one. An empty table gives an empty one.
@@ -250,14 +265,16 @@ def drop_lines(
     docs = docs.select(*(c for c in docs.columns if c.lower() not in made))
     given = counts is not None or store is not None
     if store is not None:
-        counts, min_documents, shards = store.counts, store.min_documents, store.shards
+        counts, min_documents, min_chars, shards = store.counts, store.min_documents, store.min_chars, store.shards
     else:
         counts = materialize(counts if given else reference_counts(docs, text, min_chars))
     frequent = counts.filter(F.col("documents") >= min_documents)
+    many = frequent.count()
+    shards = shards or shards_for(many)
     kept = store.filters if store is not None else filters(counts, min_documents, shards)
     #: A filter takes at most about 8 bytes a key: 2 bytes, at least 3/8 full after rounding up, and a doubling.
-    if frequent.count() * 8 > broadcast_bytes:
-        return _sharded(docs, frequent, kept, text, shards)
+    if many * 8 > broadcast_bytes:
+        return _sharded(docs, frequent, kept, text, shards, min_chars)
     built = {r.shard: Cuckoo.from_bytes(bytes(r.cells)) for r in kept.collect()}
     held = spark.sparkContext.broadcast(built)
 
@@ -269,11 +286,11 @@ def drop_lines(
 
     rare = counts.filter(F.col("documents") < min_documents).select("key")
     if given:  # the lines of docs may be missing from these counts
-        rare = rare.unionByName(reference_counts(docs, text, 1).select("key").join(frequent.select("key"), "key", "left_anti")).distinct()
+        rare = rare.unionByName(reference_counts(docs, text, min_chars).select("key").join(frequent.select("key"), "key", "left_anti")).distinct()
     wrong = rare.mapInArrow(errors, "key binary") if built else counts.limit(0).select("key")
     wrong = materialize(wrong)
     if wrong.count() * 64 > broadcast_bytes:
-        return _sharded(docs, frequent, kept, text, shards)
+        return _sharded(docs, frequent, kept, text, shards, min_chars)
     excepted = spark.sparkContext.broadcast({bytes(r.key) for r in wrong.collect()})
     discard(wrong)
     if store is None:
@@ -287,7 +304,7 @@ def drop_lines(
             seen: dict[bytes, bool] = {}
             split = [x.split(b"\n") for x in _texts(batch, batch.schema.names[body])]
             keys = [[line_key(x) for x in lines] for lines in split]
-            fresh_keys = list({k for ks in keys for k in ks if k})
+            fresh_keys = list({k for ks in keys for k in ks if k and long_enough(k, min_chars)})
             if fresh_keys and built_any:
                 found = [digest(k) for k in fresh_keys]
                 seen = {k: True for k, d, hit in zip(fresh_keys, found, _ask(held.value, found, shards)) if hit and d not in excepted.value}
@@ -305,7 +322,7 @@ def drop_lines(
 COPIES = 8
 
 
-def _sharded(docs: DataFrame, frequent: DataFrame, stored: DataFrame, text: str, shards: int) -> DataFrame:
+def _sharded(docs: DataFrame, frequent: DataFrame, stored: DataFrame, text: str, shards: int, min_chars: int) -> DataFrame:
     """The same for filters that are too large to broadcast: each task streams the keys of a shard's lines past that shard's filter."""
     row = fresh(docs, "_row")
     # a row's number must not change between the uses below, so it is written
@@ -314,7 +331,7 @@ def _sharded(docs: DataFrame, frequent: DataFrame, stored: DataFrame, text: str,
     def keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for n, body in zip(batch.column(0).to_pylist(), _texts(batch, "_text")):
-                found = [digest(k) for k in {line_key(x) for x in body.split(b"\n")} if k]
+                found = [digest(k) for k in {line_key(x) for x in body.split(b"\n")} if k and long_enough(k, min_chars)]
                 yield pa.RecordBatch.from_arrays([pa.array([n] * len(found), pa.int64()), pa.array(found, pa.binary())], ["row", "key"])
 
     lines = numbered.select(F.col(row), F.col(text).alias("_text")).mapInArrow(keys, "row long, key binary")

@@ -182,3 +182,26 @@ def test_trie_against_plain_python(spark, piece):
 def test_trie_of_nothing(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert conversation_trie.trie(conversation_trie.rebuild(conversation_trie.turns(none))).count() == 0
+
+
+# short lines, on every path
+
+
+def test_short_lines_stay_on_every_path(spark):
+    """Lines below min_chars are in no filter, so no chance hit may take them; broadcast and sharded filters drop the same lines."""
+    from graphloom.llm import line_dedup
+
+    frequent = [f"line number {i}" for i in range(1500)]
+    short = "\n".join(f"{a}{b}{c}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "0123456789é" for c in "0123456789")
+    rows = [(i, "\n".join(frequent)) for i in range(12)] + [(100, short), (101, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    paths = {
+        "broadcast": line_dedup.drop_lines(docs, min_chars=4),
+        "sharded": line_dedup.drop_lines(docs, min_chars=4, broadcast_bytes=1),
+        "shards": line_dedup.drop_lines(docs, min_chars=4, shards=3),
+        "store": line_dedup.drop_lines(docs, store=line_dedup.Store.of(docs, min_chars=4)),
+        "counts": line_dedup.drop_lines(docs, line_dedup.reference_counts(docs, min_chars=4), min_chars=4),
+    }
+    found = {name: {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in df.collect()} for name, df in paths.items()}
+    assert found["broadcast"][100][1] == 0 and found["broadcast"][0][1] == 1500
+    assert all(rows == found["broadcast"] for rows in found.values())
