@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,8 @@ from graphloom.operators import assertions as A
 from graphloom.operators import beliefs, context, drift, log, retrieval
 from graphloom.operators import graph as G
 from graphloom.sources import tables
+from graphloom.streaming import state
+from graphloom.tables import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -756,3 +759,26 @@ def sync_verify(spark, sf_dir):
 def version_keys(spark, sf_dir):
     found = F.regexp_extract("url", r"([0-9]+(?:\.[0-9]+)*)", 1)
     return tables.read(spark, sf_dir, "pages").select("page_id", text.version_key(found).alias("version"))
+
+
+@query("""WITH RECURSIVE {log}, f AS (SELECT *, row_number() OVER (PARTITION BY project, id, body ORDER BY seq) AS nth FROM log),
+k AS (SELECT *, sha256(project || chr(0) || id || chr(0) || body) AS event_key, row_number() OVER (PARTITION BY project ORDER BY seq) AS i FROM f WHERE nth = 1),
+c AS (SELECT DISTINCT project, 0 AS i, CAST(NULL AS VARCHAR) AS id, repeat('0', 64) AS entry_hash FROM log UNION ALL (SELECT k.project, k.i, k.id, sha256(c.entry_hash || chr(0) || k.event_key) FROM c JOIN k ON k.project = c.project AND k.i = c.i + 1))
+SELECT project, CAST(i AS BIGINT) AS seq, id, entry_hash FROM c WHERE i > 0""")
+def chain_stream(spark, sf_dir):
+    """The chain of each project as a stream makes it, with its own numbers; repeated events are passed over."""
+    where = f"{checkpoint_dir(spark)}/graphloom-{uuid.uuid4().hex}"
+    # a stream reads folders
+    events = spark.readStream.schema(tables.read(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    state.run(state.chained(tables.as_log(events)), f"{where}/log", f"{where}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{where}/log").select("project", "seq", "id", "entry_hash")
+
+
+@query("""WITH r AS (SELECT user_id % 7 AS project, 's' || (user_id % 20) AS session, event_id AS t, list_distinct([event_type, 'k' || (event_id % 4), 'u' || (user_id % 3)]) AS keys FROM events),
+b AS (SELECT *, lag(keys) OVER (PARTITION BY project, session ORDER BY t) AS was FROM r), x AS (SELECT project, session, t, unnest(keys) AS key, was FROM b)
+SELECT project, session, t AS "at", key FROM x WHERE NOT coalesce(list_contains(was, key), false)""")
+def session_announcements(spark, sf_dir):
+    """Each event reports three open keys; a session is told of those that its report before did not have."""
+    user = F.col("user_id").cast("string")
+    reports = tables.read(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("project"), F.concat(F.lit("s"), (F.col("user_id") % 20).cast("string")).alias("session"), F.col("event_id").alias("at"), F.array_distinct(F.array("event_type", F.concat(F.lit("k"), (F.col("event_id") % 4).cast("string")), F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string")))).alias("keys"))
+    return state.announcements(reports)

@@ -80,7 +80,11 @@ def build(spark: SparkSession, sf_dir: str) -> Graph:
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as stored assertions; each user is a project of its own for the hash chain."""
-    return read(spark, sf_dir, "events").select(
+    return as_log(read(spark, sf_dir, "events"))
+
+
+def as_log(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("user_id").alias("project"),
         F.col("event_id").alias("seq"),
         F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("id"),
