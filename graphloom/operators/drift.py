@@ -30,6 +30,15 @@ def renames(graph: Graph) -> DataFrame:
     return lost.join(by_hash, "anchor").select("src", "relation", F.col("target").alias("was"), "now")
 
 
+def reanchor(graph: Graph) -> Graph:
+    """The graph with the edges of renamed targets drawn to what they are called now."""
+    moved = renames(graph)
+    lost = graph.dangling.join(moved.select("src", "relation", F.col("was").alias("target")), ["src", "relation", "target"], "left_anti").select(*graph.dangling.columns)
+    held = graph.dangling.join(moved.withColumnRenamed("was", "target"), ["src", "relation", "target"])
+    new = held.select("src", F.col("now").alias("dst"), "relation", F.lit("EXTRACTED").alias("confidence"), "anchor", F.lit(False).alias("pending")).distinct()
+    return Graph(graph.nodes, graph.edges.unionByName(new, allowMissingColumns=True), lost)
+
+
 def hard(graph: Graph) -> DataFrame:
     """Dangling drifting edges that no rename explains."""
     lost = graph.dangling.filter(F.col("relation").isin(DRIFTING))

@@ -13,16 +13,30 @@ from graphloom.functions import text
 
 
 def scan(spark: SparkSession, root: str, suffixes: list[str], ignore: list[str]) -> DataFrame:
-    """relpath, sha, content of files below root with one of the suffixes; a segment that equals a name of ignore leaves a file out."""
+    """relpath, sha, content of files below root with one of the suffixes. A name in ignore leaves out what lies below a folder of that name, a path in it what lies below that path."""
+    return _found(spark, root, suffixes, ignore).select("relpath", F.sha2("content", 256).alias("sha"), "content")
+
+
+def listed(spark: SparkSession, root: str, suffixes: list[str], ignore: list[str]) -> DataFrame:
+    """relpath, length, modified of the same files; their contents are not read."""
+    return _found(spark, root, suffixes, ignore).select("relpath", "length", F.col("modificationTime").alias("modified"))
+
+
+def _found(spark: SparkSession, root: str, suffixes: list[str], ignore: list[str]) -> DataFrame:
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split("://")[-1]
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + base.replace(".", r"\.") + "/", "")
-    rows = found.select(path.alias("relpath"), F.sha2("content", 256).alias("sha"), "content")
+    rows = found.withColumn("relpath", path)
     parents = F.slice(F.split("relpath", "/"), 1, F.size(F.split("relpath", "/")) - 1)
     ends = F.lit(False)
     for s in suffixes:
         ends = ends | F.endswith(F.col("relpath"), F.lit(s))
-    return rows.filter(ends & ~F.arrays_overlap(parents, F.array(*map(F.lit, ignore or [""]))))
+    below = F.lit(False)
+    for p in ignore:
+        if "/" in p.strip("/"):
+            below = below | F.startswith(F.col("relpath"), F.lit(p.strip("/") + "/"))
+    names = [p.strip("/") for p in ignore if "/" not in p.strip("/")]
+    return rows.filter(ends & ~below & ~F.arrays_overlap(parents, F.array(*map(F.lit, names or [""]))))
 
 
 def changed(files: DataFrame, cache: DataFrame) -> DataFrame:

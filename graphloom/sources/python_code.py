@@ -18,7 +18,9 @@ from graphloom.model import Graph
 from graphloom.tables import materialize
 
 #: Rows of a file: what is node, edge, import (a = file, b = module as written) or base (a = class, b = module, empty for the own file, c = name).
-ROWS = "relpath string, sha string, what string, a string, b string, c string, kind string, label string, first long, last long, hash string"
+ROWS = "relpath string, sha string, what string, a string, b string, c string, kind string, label string, first long, last long, hash string, recipe string"
+#: Names how hashes and rows are made: rows of another recipe are void, and hashes of two recipes are not comparable.
+RECIPE = "py-tokens-1"
 _SCHEMA = pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.string()) for c in ROWS.split(", ")])
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 
@@ -37,6 +39,22 @@ class _Bare(ast.NodeTransformer):
         return self.generic_visit(node)
 
 
+def _tokens(node: object) -> Iterator[str]:
+    """What a tree says, in order. Fields that are empty do not count, so a syntax tree of another version that has more of them says the same."""
+    if isinstance(node, ast.AST):
+        yield f"({type(node).__name__}"
+        for name, value in ast.iter_fields(node):
+            if value is not None and value != [] and name not in ("ctx", "type_comment", "kind"):
+                yield name
+                yield from _tokens(value)
+        yield ")"
+    elif isinstance(node, list):
+        for part in node:
+            yield from _tokens(part)
+    else:
+        yield f"{type(node).__name__}:{node!r}"
+
+
 def content_hash(tree: ast.AST, inside: dict[ast.AST, str]) -> str:
     """Hash of what a symbol does: comments, layout, quotes, docstrings and its own name do not count, symbols inside it only by name. The tree is used up."""
     bare = _Bare(inside).generic_visit(tree) if not isinstance(tree, ast.Module) else _Bare(inside).visit(tree)
@@ -44,7 +62,7 @@ def content_hash(tree: ast.AST, inside: dict[ast.AST, str]) -> str:
         bare.name = ""
         if bare.body and isinstance(bare.body[0], ast.Expr) and isinstance(bare.body[0].value, ast.Constant) and isinstance(bare.body[0].value.value, str):
             bare.body = bare.body[1:]
-    return hashlib.sha256(ast.dump(bare, annotate_fields=False).encode("utf-8", "surrogatepass")).hexdigest()
+    return hashlib.sha256("\0".join(_tokens(bare)).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def _calls(node: ast.AST, inside: set[ast.AST]) -> Iterator[ast.Call]:
@@ -140,19 +158,24 @@ def rows_of(relpath: str, sha: str, content: bytes) -> list[tuple]:
     return out
 
 
+def unread(files: DataFrame, kept: DataFrame | None) -> DataFrame:
+    """The files (relpath, sha, content) that kept has no rows of by this recipe."""
+    return files if kept is None else files.join(kept.filter(F.col("recipe") == RECIPE).select("relpath", "sha").distinct(), ["relpath", "sha"], "left_anti")
+
+
 def project(files: DataFrame, kept: DataFrame | None = None) -> DataFrame:
-    """ROWS of all files (relpath, sha, content), written. Rows of kept whose path and content are still there are taken over and only the other files are read."""
-    new = files if kept is None else files.join(kept.select("relpath", "sha").distinct(), ["relpath", "sha"], "left_anti")
+    """ROWS of all files (relpath, sha, content), written. Rows of kept whose path, content and recipe are the same are taken over and only the other files are read."""
+    new, recipe = unread(files, kept), RECIPE
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for path, sha, content in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                columns = zip(*rows_of(path, sha, content or b""))
+                columns = zip(*(row + (recipe,) for row in rows_of(path, sha, content or b"")))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _SCHEMA)], schema=_SCHEMA)
 
     read = new.select("relpath", "sha", "content").mapInArrow(run, ROWS)
     if kept is not None:
-        read = read.unionByName(kept.join(files.select("relpath", "sha"), ["relpath", "sha"], "left_semi"))
+        read = read.unionByName(kept.filter(F.col("recipe") == recipe).join(files.select("relpath", "sha"), ["relpath", "sha"], "left_semi"))
     return materialize(read)
 
 
