@@ -12,7 +12,7 @@ from graphloom.config import DEFAULTS
 from graphloom.functions import scores, text
 from graphloom.model import COMPOSE, SIGNATURES
 from graphloom.operators import assertions as A
-from graphloom.operators import beliefs, context, drift, log, retrieval
+from graphloom.operators import beliefs, context, drift, exchange, log, retrieval
 from graphloom.operators import graph as G
 from graphloom.sources import tables
 from graphloom.streaming import state
@@ -782,3 +782,22 @@ def session_announcements(spark, sf_dir):
     user = F.col("user_id").cast("string")
     reports = tables.read(spark, sf_dir, "events").select((F.col("user_id") % 7).alias("project"), F.concat(F.lit("s"), (F.col("user_id") % 20).cast("string")).alias("session"), F.col("event_id").alias("at"), F.array_distinct(F.array("event_type", F.concat(F.lit("k"), (F.col("event_id") % 4).cast("string")), F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string")))).alias("keys"))
     return state.announcements(reports)
+
+
+@query("""WITH e AS (SELECT user_id % 5 AS project, event_id, substr(sha256(event_type || ':' || user_id || ':' || props), 1, 16) AS id, user_id % 3 AS actor FROM events)
+SELECT project, count(DISTINCT id || '/' || actor) AS events, count(DISTINCT id || '/' || actor) AS highest, true AS alike FROM e WHERE event_id % 2 = 0 OR event_id % 3 = 0 GROUP BY project""")
+def sync_converge(spark, sf_dir):
+    """Two workspaces, with the events of even numbers and of multiples of 3, exchange over a shared log; each project's events, its last number, and whether both replicas are like the log."""
+    e = tables.read(spark, sf_dir, "events")
+    user = F.col("user_id").cast("string")
+    said = e.select("event_id", (F.col("user_id") % 5).alias("project"), F.substring(F.sha2(F.concat_ws(":", "event_type", user, "props"), 256), 1, 16).alias("id"), F.array().cast("array<string>").alias("parents"), F.to_json(F.struct(F.col("event_type").alias("family"))).alias("body"), (F.col("user_id") % 3).cast("string").alias("actor"), F.lit("s").alias("session"))
+    where = f"{checkpoint_dir(spark)}/graphloom-{uuid.uuid4().hex}"
+    remote = exchange.Log(spark, f"{where}/log")
+    replicas = [exchange.Replica(spark, f"{where}/{n}") for n in "ab"]
+    for n, replica in ((2, replicas[0]), (3, replicas[1])):
+        exchange.exchange(said.filter(F.col("event_id") % n == 0).drop("event_id"), replica, remote)
+    replicas[0].sync(remote)
+    print_ = lambda df, name: df.groupBy("project").agg(F.count("*").alias("n" + name), F.bit_xor(F.xxhash64("seq", "id", "event_key", "entry_hash")).alias("x" + name))
+    both = print_(replicas[0].events(), "a").join(print_(replicas[1].events(), "b"), "project")
+    held = remote.events().groupBy("project").agg(F.count("*").alias("events"), F.max("seq").alias("highest"), F.bit_xor(F.xxhash64("seq", "id", "event_key", "entry_hash")).alias("x"))
+    return held.join(both, "project").select("project", "events", "highest", ((F.col("xa") == F.col("x")) & (F.col("xb") == F.col("x")) & (F.col("na") == F.col("events")) & (F.col("nb") == F.col("events"))).alias("alike"))

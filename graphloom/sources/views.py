@@ -1,14 +1,11 @@
-"""Stored views of a repository's graph: versions in folders of their own, of which one that is complete counts.
+"""Stored views of a repository's graph, in committed versions.
 
-A version is written as a whole and then committed by one small file that holds what it was made from. Readers take the greatest committed version, so
-a write that fails leaves the one before, and a reader keeps what it reads while the next version is made. If the files' paths, sizes and times and the recipe
-are those of the view, it is loaded and no file is opened; else only files whose contents changed are read anew.
+If the files' paths, sizes and times and the recipe are those of the last version, it is loaded and no file is opened; else only files whose contents
+changed are read anew. Empty files are no files here, as Spark's readers pass them over.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,12 +14,12 @@ from pyspark.sql import functions as F
 from graphloom.model import Graph
 from graphloom.operators import drift
 from graphloom.sources import artifacts, files, python_code
+from graphloom.versions import Versions
 
 PARTS = ["nodes", "edges", "dangling", "code", "problems"]
 #: Changes with the columns of a stored view; views of another schema are built anew.
 SCHEMA = "view-1"
 SKIP = [".git", ".venv", "node_modules", "__pycache__"]
-_COMMIT = "commit.json"
 
 
 @dataclass(frozen=True)
@@ -36,60 +33,6 @@ class View:
     built: bool
 
 
-class Store:
-    """Versions below a folder of any file system that Spark writes to."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._jvm = spark.sparkContext._jvm
-        self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _at(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-
-    def _folders(self) -> dict[str, int]:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._at(""))] if self._fs.exists(self._at("")) else []
-        return {n: int(n.split("-")[1]) for n in names if n.startswith("v-")}
-
-    def meta(self, folder: str) -> dict | None:
-        """What a version was made from; None if it is not committed."""
-        at = self._at(f"{folder}/{_COMMIT}")
-        if not self._fs.exists(at):
-            return None
-        stream = self._fs.open(at)
-        try:
-            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        except ValueError:  # the commit itself was cut off
-            return None
-        finally:
-            stream.close()
-
-    def head(self) -> tuple[str, dict] | None:
-        """The greatest committed version and what it was made from."""
-        for folder, _ in sorted(self._folders().items(), key=lambda x: (x[1], x[0]), reverse=True):
-            found = self.meta(folder)
-            if found is not None:
-                return folder, found
-        return None
-
-    def read(self, folder: str, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{folder}/{name}")
-
-    def write(self, parts: dict[str, DataFrame], meta: dict) -> str:
-        """A new version; what lies behind the one before it is removed after the commit."""
-        before = self._folders()
-        folder = f"v-{max(before.values(), default=0) + 1}-{uuid.uuid4().hex[:8]}"
-        for name, df in parts.items():
-            df.write.parquet(f"{self.path}/{folder}/{name}")
-        stream = self._fs.create(self._at(f"{folder}/{_COMMIT}"), False)
-        stream.write(bytearray(json.dumps(meta).encode()))
-        stream.close()
-        held = [f for f in sorted(before, key=before.get) if self.meta(f) is not None][-1:]
-        for old in before.keys() - set(held):
-            self._fs.delete(self._at(old), True)
-        return folder
-
-
 def fingerprint(spark: SparkSession, root: str, ignore: list[str]) -> str:
     """Of the paths, sizes and times of a repository's files."""
     rows = files.listed(spark, root, [".py", ".md"], ignore)
@@ -103,7 +46,7 @@ def recipe() -> str:
 
 def load_or_build(spark: SparkSession, root: str, path: str, ignore: list[str] | None = None) -> View:
     """The view of a repository below path: the stored one if nothing changed, else a new version of it, in which links to renamed symbols go to their new names."""
-    store, skip = Store(spark, path), ignore or SKIP
+    store, skip = Versions(spark, path), ignore or SKIP
     made_from = {"recipe": recipe(), "files": fingerprint(spark, root, skip), "ignore": sorted(skip)}
     head = store.head()
     if head and head[1] == made_from:
@@ -115,6 +58,6 @@ def load_or_build(spark: SparkSession, root: str, path: str, ignore: list[str] |
     return _view(store, folder, True)
 
 
-def _view(store: Store, folder: str, built: bool) -> View:
+def _view(store: Versions, folder: str, built: bool) -> View:
     nodes, edges, dangling, code, problems = (store.read(folder, name) for name in PARTS)
     return View(Graph(nodes, edges, dangling), code, problems, int(folder.split("-")[1]), built)

@@ -4,6 +4,7 @@ import pytest
 
 from graphloom.operators import drift
 from graphloom.sources import artifacts, files, python_code, views
+from graphloom.versions import Versions
 
 CODE = {"src/a.py": "def login(x):\n    return x\n", "src/b.py": "def other():\n    return 2\n"}
 
@@ -46,7 +47,7 @@ def test_a_view_over_its_life(spark, tmp_path, monkeypatch):
         m.setattr(drift, "reanchor", lambda g: type(g)(g.nodes, g.edges, g.dangling.selectExpr("raise_error('broken') as src", "relation", "target", "anchor")))
         with pytest.raises(Exception, match="broken"):
             views.load_or_build(spark, str(root), path)
-    store = views.Store(spark, path)
+    store = Versions(spark, path)
     assert store.head()[0].startswith("v-2-") and len(store._folders()) == 3
     assert second.graph.nodes.count() > 0
     third = views.load_or_build(spark, str(root), path)
