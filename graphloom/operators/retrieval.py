@@ -94,18 +94,28 @@ VECTORS = 2048
 
 def _pack(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """(group, id, vec) rows, those of one group beside each other, to (group, ids, mat): blocks of one group of at most size rows."""
-    held: list[tuple] = []
+    held: list[pa.RecordBatch] = []
+    count, now = 0, None
 
     def out() -> pa.RecordBatch:
-        mat = np.array([v for _, _, v in held], np.float64)
-        return pa.RecordBatch.from_arrays([pa.array([held[0][0]], pa.string()), pa.array([[i for _, i, _ in held]], pa.list_(pa.int64())), pa.array([mat.tobytes()], pa.binary())], ["group", "ids", "mat"])
+        table = pa.Table.from_batches(held).combine_chunks()
+        mat = table.column(2).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        ids = table.column(1).combine_chunks()
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.string()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([mat.tobytes()], pa.binary())], ["group", "ids", "mat"])
 
     for batch in it:
-        for row in zip(*(batch.column(c).to_pylist() for c in range(3))):
-            if held and (row[0] != held[0][0] or len(held) >= size):
-                yield out()
-                held = []
-            held.append(row)
+        codes = batch.column(0).dictionary_encode()
+        numbers = codes.indices.fill_null(-1).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+        for begin, end in zip(cuts[:-1], cuts[1:]):
+            while begin < end:
+                group = batch.column(0)[begin].as_py()
+                if held and (group != now or count >= size):
+                    yield out()
+                    held, count = [], 0
+                part = batch.slice(begin, min(end - begin, size - count))
+                held.append(part)
+                now, count, begin = group, count + part.num_rows, begin + part.num_rows
     if held:
         yield out()
 

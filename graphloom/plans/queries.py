@@ -12,7 +12,7 @@ from graphloom.config import DEFAULTS
 from graphloom.functions import scores, text
 from graphloom.model import COMPOSE, SIGNATURES
 from graphloom.operators import assertions as A
-from graphloom.operators import beliefs, context, drift, exchange, log, retrieval
+from graphloom.operators import beliefs, context, drift, exchange, log, retrieval, vector_index
 from graphloom.operators import graph as G
 from graphloom.sources import tables
 from graphloom.streaming import state
@@ -801,3 +801,29 @@ def sync_converge(spark, sf_dir):
     both = print_(replicas[0].events(), "a").join(print_(replicas[1].events(), "b"), "project")
     held = remote.events().groupBy("project").agg(F.count("*").alias("events"), F.max("seq").alias("highest"), F.bit_xor(F.xxhash64("seq", "id", "event_key", "entry_hash")).alias("x"))
     return held.join(both, "project").select("project", "events", "highest", ((F.col("xa") == F.col("x")) & (F.col("xb") == F.col("x")) & (F.col("na") == F.col("events")) & (F.col("nb") == F.col("events"))).alias("alike"))
+
+
+def _index(spark, sf_dir):
+    """An index of the embeddings that took two refreshes: two thirds of the vectors first, and then all, of which those divisible by 7 were others at first."""
+    v = tables.vectors(spark, sf_dir).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("id"), F.col("anchor").alias("text"), F.col("vec").cast("array<double>").alias("vec"), F.col("id").alias("n"))
+    index = vector_index.Index(spark, f"{checkpoint_dir(spark)}/graphloom-{uuid.uuid4().hex}", size=256)
+    before = v.filter("n % 3 <> 0").select("id", F.when(F.col("n") % 7 == 0, "old").otherwise(F.col("text")).alias("text"), F.when(F.col("n") % 7 == 0, F.reverse("vec")).otherwise(F.col("vec")).alias("vec"))
+    index.refresh(before)
+    index.refresh(v.drop("n"))
+    return index, v
+
+
+_UNIT = "u AS (SELECT 'v' || vec_id AS id, vec_id AS n, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings), w AS (SELECT *, sqrt(list_dot_product(vec, vec)) AS len FROM u)"
+
+
+@query("WITH " + _UNIT + """, c AS (SELECT q.id AS query, w.id, round(list_dot_product(w.vec, q.vec) / (w.len * q.len), 6) AS cosine FROM w, w q WHERE q.n % 50 = 0 AND w.id <> q.id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY cosine DESC, id) AS INTEGER) AS place FROM c) SELECT * FROM r WHERE place <= 10""")
+def index_topk(spark, sf_dir):
+    index, v = _index(spark, sf_dir)
+    return index.topk(v.filter("n % 50 = 0").select(F.col("id").alias("query"), F.col("vec").alias("qvec")), 10)
+
+
+@query("WITH " + _UNIT + " SELECT w.id, round(list_dot_product(w.vec, q.vec) / (w.len * q.len), 6) AS cosine FROM w, w q WHERE q.id = (SELECT min(id) FROM w)")
+def semantic_scores(spark, sf_dir):
+    index, v = _index(spark, sf_dir)
+    return index.scores(v.orderBy("id").select("vec").first().vec)
