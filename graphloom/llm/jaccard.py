@@ -34,8 +34,8 @@ LEAF_PAIRS, LEAF_EACH = 4096, 1024
 #: 64-bit numbers of a set's parity bits. A bit says whether an odd number of the set's shingles falls on it, so two sets differ in
 #: at least as many shingles as their bits differ: a bound that keeps most pairs of a leaf cell from leaving its join.
 PARITY = 8
-#: Ids of compared classes that are broadcast at most.
-ASKED = 1 << 20
+#: Ids of compared classes, and of rows that go, that are broadcast at most: numbers of 8 bytes.
+ASKED, DROPPED = 1 << 20, 1 << 22
 #: Cells of the filter that picks the texts whose sets are needed.
 NEED_BITS = 21
 
@@ -343,5 +343,6 @@ def keep_one(docs: DataFrame, text: str = "text", k: int = 5, similarity: tuple[
     row = fresh(docs, "_row")
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
     found = components(numbered, row, text, k, similarity)
-    kept = found.filter("id = component_id").select(F.col("id").alias(row))
-    return numbered.join(kept, row, "left_semi").drop(row)
+    gone = materialize(found.filter("id <> component_id").select(F.col("id").alias(row)))
+    # rows of a checked number go to the texts; only more of them make the texts move
+    return numbered.join(F.broadcast(gone) if small(gone, DROPPED) else gone, row, "left_anti").drop(row)
