@@ -53,7 +53,8 @@ def survival(events: DataFrame) -> DataFrame:
     later = Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
     after_block = per.select("b", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("beyond"))
     inside = Window.partitionBy("b").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
-    own = Window.partitionBy("session").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    # events without a session count none of their own, so they need not meet
+    own = Window.partitionBy("session", F.when(F.col("session").isNull(), F.xxhash64("seq"))).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     ranked = events.select("id", "seq", "session", block.alias("b")).withColumn("w", F.count("*").over(inside)).withColumn("o", F.when(F.col("session").isNull(), 0).otherwise(F.count("*").over(own)))
     each = ranked.join(after_block, "b").select("id", "seq", (F.col("w") + F.col("beyond") - F.col("o")).alias("survival"))
     return each.groupBy("id").agg(F.min_by("survival", "seq").alias("survival"))

@@ -12,7 +12,7 @@ from graphloom.config import DEFAULTS
 from graphloom.functions import scores, text
 from graphloom.model import COMPOSE, SIGNATURES
 from graphloom.operators import assertions as A
-from graphloom.operators import beliefs, context, drift, exchange, log, retrieval, vector_index
+from graphloom.operators import beliefs, context, drift, exchange, log, overlay, retrieval, suggest, vector_index
 from graphloom.operators import graph as G
 from graphloom.sources import tables
 from graphloom.streaming import state
@@ -827,3 +827,31 @@ def index_topk(spark, sf_dir):
 def semantic_scores(spark, sf_dir):
     index, v = _index(spark, sf_dir)
     return index.scores(v.orderBy("id").select("vec").first().vec)
+
+
+_COUNTED = """e AS (SELECT 'mem:c' || (user_id % 150) AS node_id, event_id AS ts, event_id % 2 = 0 AS even FROM events),
+k AS (SELECT node_id, ts, count(*) OVER w AS usage, sum(CASE WHEN even THEN 0.25 ELSE 0 END) OVER w AS upholds FROM e WINDOW w AS (PARTITION BY node_id ORDER BY ts))"""
+
+
+@query("WITH {graph}, " + _COUNTED + """, s AS (SELECT n.node_id, maturity AS was, (SELECT count(*) FROM edges x WHERE x.dst = n.node_id AND x.relation = 'supersedes' AND NOT x.pending) AS superseded_in FROM nodes n WHERE family = 'memory'),
+l AS (SELECT node_id, max(ts) AS ts FROM k WHERE ts <= 6000 GROUP BY node_id),
+o AS (SELECT s.*, coalesce(k.usage, 0) AS usage, k.ts AS last_seen, CAST(coalesce(k.upholds, 0) AS DOUBLE) AS upholds, greatest(length(s.node_id) % 4, coalesce(6000 - (SELECT min(ts) FROM k x WHERE x.node_id = s.node_id), 0)) AS survival FROM s LEFT JOIN l ON l.node_id = s.node_id LEFT JOIN k ON k.node_id = l.node_id AND k.ts = l.ts)
+SELECT node_id, usage, last_seen, upholds, survival, was, CASE WHEN was = 'proposed' AND upholds < 1 THEN 'proposed' WHEN upholds >= 3 AND superseded_in = 0 THEN 'settled' ELSE 'working' END AS maturity FROM o""")
+def telemetry_overlay(spark, sf_dir):
+    """Memories as read at 6000: counters that events moved on until then, the greater of two clocks, and the maturity."""
+    g = tables.graph(spark, sf_dir)
+    e = tables.read(spark, sf_dir, "events").select(F.concat(F.lit("mem:c"), (F.col("user_id") % 150).cast("string")).alias("node_id"), F.col("event_id").alias("ts"))
+    so_far = Window.partitionBy("node_id").orderBy("ts")
+    counters = e.select("node_id", "ts", F.count("*").over(so_far).alias("usage"), F.col("ts").alias("last_seen"), F.sum(F.when(F.col("ts") % 2 == 0, 0.25).otherwise(0.0)).over(so_far).alias("upholds"))
+    memories = g.nodes.filter("family = 'memory'").select("node_id", "maturity").join(G.supersession(g).select("node_id", "superseded_in"), "node_id")
+    commits = memories.select("node_id", (F.length("node_id") % 4).alias("survival"))
+    clocks = overlay.survival(memories, commits, e.groupBy("node_id").agg((6000 - F.min("ts")).alias("survival")))
+    return overlay.overlay(memories, counters, clocks, 6000)
+
+
+@query()
+def suggestions(spark, sf_dir):
+    """Parts' names without their third character, against all names; tested against all pairs."""
+    names = tables.read(spark, sf_dir, "part").select(F.col("p_name").alias("id"))
+    wrong = tables.read(spark, sf_dir, "part").filter("p_partkey % 50 = 0").select(F.concat(F.substring("p_name", 1, 2), F.substring("p_name", 4, 200)).alias("asked"))
+    return suggest.suggest(wrong, names)
