@@ -12,7 +12,7 @@ from graphloom.config import DEFAULTS
 from graphloom.functions import scores, text
 from graphloom.model import COMPOSE, SIGNATURES
 from graphloom.operators import assertions as A
-from graphloom.operators import beliefs, context, drift, exchange, log, overlay, retrieval, suggest, vector_index
+from graphloom.operators import beliefs, context, drift, exchange, log, nesting, overlay, retrieval, suggest, vector_index
 from graphloom.operators import graph as G
 from graphloom.sources import tables
 from graphloom.streaming import state
@@ -855,3 +855,17 @@ def suggestions(spark, sf_dir):
     names = tables.read(spark, sf_dir, "part").select(F.col("p_name").alias("id"))
     wrong = tables.read(spark, sf_dir, "part").filter("p_partkey % 50 = 0").select(F.concat(F.substring("p_name", 1, 2), F.substring("p_name", 4, 200)).alias("asked"))
     return suggest.suggest(wrong, names)
+
+
+@query("""WITH RECURSIVE s AS (SELECT 'f' || (o_custkey % 40) AS file, o_orderkey % 97 AS first, o_orderkey % 97 + o_orderkey % 31 AS last, min('n' || (o_orderkey % 5)) AS name FROM orders GROUP BY 1, 2, 3),
+h AS (SELECT a.file, a.first, a.last, arg_min(CAST([b.first, b.last] AS BIGINT[]), [-b.first, b.last]) AS up FROM s a JOIN s b ON b.file = a.file AND b.first <= a.first AND b.last >= a.last AND (b.first <> a.first OR b.last <> a.last) GROUP BY a.file, a.first, a.last),
+t AS (SELECT s.*, up FROM s LEFT JOIN h ON h.file = s.file AND h.first = s.first AND h.last = s.last),
+q AS (SELECT file, first, last, name, CAST(NULL AS VARCHAR) AS container, name AS qualname FROM t WHERE up IS NULL
+  UNION ALL SELECT t.file, t.first, t.last, t.name, q.qualname, q.qualname || '.' || t.name FROM t JOIN q ON q.file = t.file AND q.first = t.up[1] AND q.last = t.up[2]),
+r AS (SELECT *, row_number() OVER (PARTITION BY file, qualname ORDER BY first, last DESC) AS i FROM q)
+SELECT file, first, last, name, container, qualname FROM r WHERE i = 1""")
+def containment(spark, sf_dir):
+    """Orders as definitions on spans of lines."""
+    o, key = tables.read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    spans = o.select(F.concat(F.lit("f"), (F.col("o_custkey") % 40).cast("string")).alias("file"), (key % 97).alias("first"), (key % 97 + key % 31).alias("last"), F.concat(F.lit("n"), (key % 5).cast("string")).alias("name"), F.lit("function").alias("kind"))
+    return nesting.nest(spans).drop("kind")
