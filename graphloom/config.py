@@ -38,6 +38,7 @@ class Config:
     hook_budget: int = 800
     pinned_budget: int = 800
     obligation_share: float = 0.35
+    signal_share: float = 0.5
     family_shares: Mapping[str, float] = field(default_factory=lambda: MappingProxyType({"intent": 0.25, "plan": 0.15, "structure": 0.30, "memory": 0.30}))
     max_signal_lines: int = 200
     max_governing: int = 60

@@ -225,7 +225,7 @@ def session_context(graph: Graph, budget: int | None = None, preamble: str = "",
     aims = graph.nodes.filter("family = 'intent'").select("node_id").unionByName(open_plans(graph))
     hops = G.traverse(graph, aims.orderBy("node_id").limit(c.node_budget).withColumn("place", F.col("node_id")), c)
     ranked = [r for r in _ranked(graph, hops, None, now, c) if not (r["kind"] == "task" and r["state"] == "done")]
-    blocks = signals(graph, None, ["conflict", "drift", "stale", "reconcile", "capture", "task"], c)
+    blocks = render.bounded(signals(graph, None, ["conflict", "drift", "stale", "reconcile", "capture", "task"], c), int(c.signal_share * room))
     pinned: list[str] = []
     pins: list[str] = []
     if "pinned" in graph.nodes.columns:

@@ -140,3 +140,14 @@ def test_over_the_tables(spark):
     g = tables.graph(spark, "/root/testdata/sf0.001")
     found = C.context(g, "Customer#000000013 germany", now=0, c=Config(node_budget=20))
     assert found.rendered and found.tokens <= 4000 + 100
+
+
+def test_signals_leave_room():
+    """Lines go in by turns of the kinds; what is cut is counted, and a count that is there stays."""
+    blocks = {"conflict": ["a" * 9] * 3, "drift": ["b" * 9] * 50 + ["  … +7 more drifted."], "stale": [], "task": ["c" * 300]}
+    got = render.bounded(blocks, 200)
+    assert got["conflict"] == blocks["conflict"] and got["stale"] == [] and got["task"] == ["  … +1 more that do not fit here."]
+    shown = [x for x in got["drift"] if x.startswith("b")]
+    assert 0 < len(shown) < 50 and got["drift"][-2:] == [f"  … +{50 - len(shown)} more that do not fit here.", "  … +7 more drifted."]
+    assert sum(len(x) + 1 for lines in got.values() for x in lines) <= 200 + 40
+    assert render.bounded(blocks, 10_000) == blocks
