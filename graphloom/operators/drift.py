@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.model import Graph
+from graphloom.tables import materialize, small
 
 DRIFTING = ["implements", "concerns", "grounded_by"]
+#: Anchors that are no longer their target's content, up to which they are broadcast to the edges (about 150 bytes each).
+STALE_BROADCAST = 400_000
 
 
 def superseded_sources(graph: Graph) -> DataFrame:
@@ -16,10 +19,15 @@ def superseded_sources(graph: Graph) -> DataFrame:
 
 
 def soft(graph: Graph) -> DataFrame:
-    """Anchored edges whose target's content is not what the anchor says."""
+    """Anchored edges whose target's content is not what the anchor says.
+
+    Each target's different anchors meet its content, not its edges; the few that are stale go to the edges.
+    """
     now = graph.nodes.filter(F.col("content_hash").isNotNull()).select(F.col("node_id").alias("dst"), "content_hash")
     anchored = graph.edges.filter(F.col("relation").isin(DRIFTING) & F.col("anchor").isNotNull())
-    stale = anchored.join(now, "dst").filter(F.col("anchor") != F.col("content_hash"))
+    borne = anchored.select("dst", "anchor").distinct()
+    off = materialize(borne.join(now.hint("merge"), "dst").filter(F.col("anchor") != F.col("content_hash")).select("dst", "anchor"))
+    stale = anchored.join(F.broadcast(off) if small(off, STALE_BROADCAST) else off.hint("merge"), ["dst", "anchor"])
     return stale.join(superseded_sources(graph), "src", "left_anti").select("src", "dst", "relation")
 
 
@@ -39,37 +47,40 @@ def reanchor(graph: Graph) -> Graph:
     return Graph(graph.nodes, graph.edges.unionByName(new, allowMissingColumns=True), lost)
 
 
-def hard(graph: Graph) -> DataFrame:
-    """Dangling drifting edges that no rename explains."""
+def hard(graph: Graph, moved: DataFrame | None = None) -> DataFrame:
+    """Dangling drifting edges that no rename (moved, where they are known) explains."""
     lost = graph.dangling.filter(F.col("relation").isin(DRIFTING))
-    left = lost.join(renames(graph).select("src", "relation", F.col("was").alias("target")), ["src", "relation", "target"], "left_anti")
+    left = lost.join((renames(graph) if moved is None else moved).select("src", "relation", F.col("was").alias("target")), ["src", "relation", "target"], "left_anti")
     return left.join(superseded_sources(graph), "src", "left_anti").select("src", F.col("target").alias("dst"), "relation")
 
 
 def items(graph: Graph) -> DataFrame:
-    """src, dst, relation, kind: soft, hard and renamed."""
+    """src, dst, relation, kind: soft, hard and renamed. A written table, as reports read it several times and it is small beside the edges."""
     kind = lambda df, k: df.withColumn("kind", F.lit(k))
-    moved = renames(graph).select("src", F.col("now").alias("dst"), "relation")
-    return kind(soft(graph), "soft").unionByName(kind(hard(graph), "hard")).unionByName(kind(moved, "renamed"))
+    moved = materialize(renames(graph))
+    now = moved.select("src", F.col("now").alias("dst"), "relation")
+    return materialize(kind(soft(graph), "soft").unionByName(kind(hard(graph, moved), "hard")).unionByName(kind(now, "renamed")))
 
 
 def done_tasks(graph: Graph) -> DataFrame:
     return graph.nodes.filter((F.col("family") == "plan") & (F.col("state") == "done")).select(F.col("node_id").alias("src"))
 
 
-def surfaced(graph: Graph) -> DataFrame:
-    """Soft and hard items, without what done tasks implement."""
-    found = items(graph).filter("kind <> 'renamed'")
-    quiet = found.filter("relation = 'implements'").join(done_tasks(graph), "src", "left_semi").select("src", "dst", "relation", "kind")
-    return found.join(quiet, ["src", "dst", "relation", "kind"], "left_anti")
+def surfaced(graph: Graph, found: DataFrame | None = None) -> DataFrame:
+    """Soft and hard items (found, where they are known), without what done tasks implement."""
+    off = (items(graph) if found is None else found).filter("kind <> 'renamed'").select("src", "dst", "relation", "kind")
+    open_ = off.filter("relation = 'implements'").join(done_tasks(graph), "src", "left_anti")
+    return off.filter("relation <> 'implements'").unionByName(open_)
 
 
-def stale_completions(graph: Graph) -> DataFrame:
-    return items(graph).filter("kind <> 'renamed' and relation = 'implements'").join(done_tasks(graph), "src", "left_semi").select("src", "dst", "kind")
+def stale_completions(graph: Graph, found: DataFrame | None = None) -> DataFrame:
+    off = (items(graph) if found is None else found).filter("kind <> 'renamed' and relation = 'implements'")
+    return off.join(done_tasks(graph), "src", "left_semi").select("src", "dst", "kind")
 
 
 def capped(lines: DataFrame, most: int) -> DataFrame:
     """The first lines (hard before soft, then by src and dst) and how many more there are, in one row."""
+    lines = materialize(lines)
     order = F.struct(F.when(F.col("kind") == "hard", 0).otherwise(1).alias("k"), "src", "dst", "relation")
     first = lines.orderBy(order).limit(most)
     shown = first.agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: F.concat_ws(" ", x.src, x.dst)).alias("shown"))
@@ -83,18 +94,18 @@ def capture_gaps(graph: Graph) -> DataFrame:
     return done_tasks(graph).join(have, "src", "left_anti").select(F.col("src").alias("node_id"))
 
 
-def open_implemented(graph: Graph) -> DataFrame:
+def open_implemented(graph: Graph, found: DataFrame | None = None) -> DataFrame:
     """Tasks not done that implement something, with no drift on it."""
     tasks = graph.nodes.filter("family = 'plan' and kind = 'task' and state <> 'done'").select(F.col("node_id").alias("src"))
     built = graph.edges.filter("relation = 'implements'").select("src").distinct()
-    drifted = items(graph).filter("relation = 'implements' and kind <> 'renamed'").select("src").distinct()
+    drifted = (items(graph) if found is None else found).filter("relation = 'implements' and kind <> 'renamed'").select("src").distinct()
     return tasks.join(built, "src", "left_semi").join(drifted, "src", "left_anti").select(F.col("src").alias("node_id"))
 
 
-def verified_reconcile(graph: Graph) -> DataFrame:
+def verified_reconcile(graph: Graph, found: DataFrame | None = None) -> DataFrame:
     """Satisfied intents none of whose tracking tasks still has an implements edge without drift."""
     tracked = graph.edges.filter("relation = 'tracks'").select("src", F.col("dst").alias("intent"))
-    drifted = items(graph).filter("kind <> 'renamed'").select("src", "dst").distinct()
+    drifted = (items(graph) if found is None else found).filter("kind <> 'renamed'").select("src", "dst").distinct()
     sound = graph.edges.filter("relation = 'implements'").select("src", "dst").join(drifted, ["src", "dst"], "left_anti").select("src").distinct()
     held = tracked.join(sound, "src", "left_semi").select(F.col("intent").alias("node_id")).distinct()
     return graph.nodes.filter("family = 'intent' and status = 'satisfied'").select("node_id").join(held, "node_id", "left_anti")
@@ -117,8 +128,9 @@ def obligations(graph: Graph) -> DataFrame:
     """kind, key: pending conflicts, stale completions and drift, each under a key that does not change."""
     key = lambda *c: F.concat_ws("|", *c)
     a = pending_conflicts(graph).select(F.lit("conflict").alias("kind"), key("src", "dst").alias("key"))
-    b = stale_completions(graph).select(F.lit("stale").alias("kind"), key("src", "dst").alias("key"))
-    c = surfaced(graph).select(F.lit("drift").alias("kind"), key("kind", "src", "dst", "relation").alias("key"))
+    found = items(graph)
+    b = stale_completions(graph, found).select(F.lit("stale").alias("kind"), key("src", "dst").alias("key"))
+    c = surfaced(graph, found).select(F.lit("drift").alias("kind"), key("kind", "src", "dst", "relation").alias("key"))
     return a.unionByName(b).unionByName(c)
 
 
@@ -134,6 +146,7 @@ def counts(found: DataFrame) -> DataFrame:
 
 def notice(found: DataFrame, most: int) -> DataFrame:
     """place, kind, key, more: the first obligations, conflicts before stale completions before drift, then by key, and how many there are beyond."""
+    found = materialize(found)
     first = found.orderBy(_rank(F.col("kind")), "key").limit(most)
     placed = first.select(F.row_number().over(Window.orderBy(_rank(F.col("kind")), "key")).alias("place"), "kind", "key")
     total = found.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("more"))
@@ -177,7 +190,8 @@ def status(graph: Graph, counters: DataFrame) -> DataFrame:
         n("family = 'plan' and kind = 'task' and state <> 'done'", "open_tasks"),
         n("family = 'memory' and coalesce(status, 'active') = 'active' and superseded_in = 0", "decisions"),
     )
-    drift = surfaced(graph).agg(F.count("*").alias("drift"))
-    stale = stale_completions(graph).agg(F.count("*").alias("stale"))
+    found = items(graph)
+    drift = surfaced(graph, found).agg(F.count("*").alias("drift"))
+    stale = stale_completions(graph, found).agg(F.count("*").alias("stale"))
     conflicts = pending_conflicts(graph).agg(F.count("*").alias("conflicts"))
     return counts.crossJoin(drift).crossJoin(stale).crossJoin(conflicts)  # one row each

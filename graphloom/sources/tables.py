@@ -27,7 +27,8 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _VIEWS:
         built = build(spark, sf_dir)
-        _VIEWS[key] = Graph(built.nodes.persist(), built.edges.persist(), built.dangling.persist())
+        # sizes of files and of packed columns say little of rows, so Spark is not to broadcast what comes from the view by them
+        _VIEWS[key] = Graph(*(df.persist().hint("merge") for df in (built.nodes, built.edges, built.dangling)))
     return _VIEWS[key]
 
 
@@ -36,6 +37,7 @@ def build(spark: SparkSession, sf_dir: str) -> Graph:
     key = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
     none = F.lit(None).cast("string")
     parts = part_hashes(spark, sf_dir)
+    apart = parts.hint("merge")  # lines come out by part, so a part's hash is near-by; a table that grows is not broadcast however well its file is compressed
 
     def nodes(df: DataFrame, node_id, family, kind, label, status=none, state=none, maturity=none, grounding=none, attestation=none, content=none) -> DataFrame:
         return df.select(node_id.alias("node_id"), F.lit(family).alias("family"), F.lit(kind).alias("kind"), label.alias("label"), status.alias("status"), state.alias("state"), maturity.alias("maturity"), grounding.alias("grounding"), attestation.alias("attestation"), content.alias("content_hash"))
@@ -53,8 +55,8 @@ def build(spark: SparkSession, sf_dir: str) -> Graph:
     edge = lambda df, relation, src, dst, anchor=none, pending=F.lit(False): df.select(src.alias("src"), dst.alias("dst"), F.lit(relation).alias("relation"), F.lit("EXTRACTED").alias("confidence"), anchor.alias("anchor"), pending.alias("pending"))
     stale = F.when((F.col("p_partkey") % 50).isin(5, 8), F.sha2(F.concat(F.lit("stale"), F.col("p_partkey").cast("string")), 256)).otherwise(F.col("content_hash"))
     lines = t("lineitem")
-    built = lines.select("l_orderkey", F.col("l_partkey").alias("p_partkey")).distinct().join(parts, "p_partkey")
-    held = lines.filter("l_partkey % 4 = 0").select("l_suppkey", F.col("l_partkey").alias("p_partkey")).distinct().join(parts, "p_partkey")
+    built = lines.select("l_orderkey", F.col("l_partkey").alias("p_partkey")).distinct().join(apart, "p_partkey")
+    held = lines.filter("l_partkey % 4 = 0").select("l_suppkey", F.col("l_partkey").alias("p_partkey")).distinct().join(apart, "p_partkey")
     orders, customer = t("orders"), t("customer")
     total = parts.agg(F.count("*").alias("n"))
     with_n = parts.select("p_partkey").crossJoin(F.broadcast(total))  # one row
@@ -62,17 +64,17 @@ def build(spark: SparkSession, sf_dir: str) -> Graph:
     prev_customer = customer.select((F.col("c_custkey") + 1).alias("c_custkey"))
     all_edges = [
         edge(built, "implements", key("task:o/", "l_orderkey"), key("sym:part.py#p", "p_partkey"), stale),
-        edge(orders.join(customer, F.col("o_custkey") == F.col("c_custkey")), "tracks", key("task:o/", "o_orderkey"), key("int:n", "c_nationkey")),
+        edge(orders.join(customer.hint("merge"), F.col("o_custkey") == F.col("c_custkey")), "tracks", key("task:o/", "o_orderkey"), key("int:n", "c_nationkey")),
         edge(customer, "serves", key("mem:c", "c_custkey"), key("int:n", "c_nationkey")),
         edge(t("nation"), "serves", key("int:n", "n_nationkey"), key("int:r", "n_regionkey")),
         edge(held, "concerns", key("mem:s", "l_suppkey"), key("sym:part.py#p", "p_partkey"), stale),
         edge(with_n.filter("p_partkey <> (p_partkey * 7 + 1) % n"), "calls", key("sym:part.py#p", "p_partkey"), F.concat(F.lit("sym:part.py#p"), F.expr("cast((p_partkey * 7 + 1) % n as string)"))),
         edge(parts.filter("p_partkey % 10 <> 0"), "contains", F.concat(F.lit("sym:part.py#p"), F.expr("cast(p_partkey div 10 * 10 as string)")), key("sym:part.py#p", "p_partkey")),
-        edge(orders.filter("o_orderkey % 5 = 0").join(next_order, "o_orderkey", "left_semi"), "requires", key("task:o/", "o_orderkey"), F.concat(F.lit("task:o/"), F.expr("cast(o_orderkey + 1 as string)"))),
-        edge(customer.filter("c_custkey % 10 = 3").join(prev_customer, "c_custkey", "left_semi"), "supersedes", key("mem:c", "c_custkey"), F.concat(F.lit("mem:c"), F.expr("cast(c_custkey - 1 as string)")), pending=F.col("c_custkey") % 20 == 13),
+        edge(orders.filter("o_orderkey % 5 = 0").join(next_order.hint("merge"), "o_orderkey", "left_semi"), "requires", key("task:o/", "o_orderkey"), F.concat(F.lit("task:o/"), F.expr("cast(o_orderkey + 1 as string)"))),
+        edge(customer.filter("c_custkey % 10 = 3").join(prev_customer.hint("merge"), "c_custkey", "left_semi"), "supersedes", key("mem:c", "c_custkey"), F.concat(F.lit("mem:c"), F.expr("cast(c_custkey - 1 as string)")), pending=F.col("c_custkey") % 20 == 13),
     ]
     lost = orders.filter("o_orderkey % 100 in (7, 8, 9)").crossJoin(F.broadcast(total))
-    lost = lost.withColumn("p_partkey", F.expr("case when o_orderkey % 100 = 7 then (o_orderkey % n) div 3 * 3 else o_orderkey % n end")).join(parts, "p_partkey", "left")
+    lost = lost.withColumn("p_partkey", F.expr("case when o_orderkey % 100 = 7 then (o_orderkey % n) div 3 * 3 else o_orderkey % n end")).join(apart, "p_partkey", "left")
     dangling = lost.select(key("task:o/", "o_orderkey").alias("src"), F.lit("implements").alias("relation"), key("sym:old.py#p", "o_orderkey").alias("target"), F.when(F.col("o_orderkey") % 100 == 8, F.sha2(F.lit("gone"), 256)).otherwise(F.col("content_hash")).alias("anchor"))
     union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
     return Graph(union(all_nodes), union(all_edges), dangling)
