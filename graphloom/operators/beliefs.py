@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from graphloom.functions import scores
 from graphloom.model import Graph
 from graphloom.operators import graph as G
+from graphloom.tables import materialize
+
+#: Sources of an anchor up to which all pairs of them are made.
+CROWD = 300
 
 
 def live_memories(graph: Graph) -> DataFrame:
@@ -23,11 +27,23 @@ def closed_pairs(edges: DataFrame, verdicts: DataFrame | None = None) -> DataFra
     return out.distinct()
 
 
-def shared_anchor(graph: Graph, pairs: DataFrame) -> DataFrame:
-    """pairs (left_id, right_id) with their least common concerns target."""
+def shared_anchor(graph: Graph, pairs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """pairs (left_id, right_id) with their least common concerns target.
+
+    An anchor of up to crowd sources offers the pairs of its sources, which are far fewer than all anchors of every asked pair. An anchor of more sources
+    is looked up for the pairs; of those there can only be few.
+    """
     aims = graph.edges.filter("relation = 'concerns'").select("src", "dst")
-    left = pairs.join(aims.select(F.col("src").alias("left_id"), "dst"), "left_id")
-    both = left.join(aims.select(F.col("src").alias("right_id"), "dst"), ["right_id", "dst"])
+    busy = materialize(aims.groupBy("dst").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("dst"))
+    crowded = not busy.isEmpty()
+    quiet = aims.join(busy, "dst", "left_anti") if crowded else aims
+    offered = quiet.select(F.col("src").alias("a"), "dst").join(quiet.select(F.col("src").alias("b"), "dst"), "dst").filter("a <= b").select("a", "b", "dst")
+    asked = pairs.select("left_id", "right_id", F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b")).filter("left_id is not null and right_id is not null")
+    both = asked.join(offered, ["a", "b"]).select("left_id", "right_id", "dst")
+    if crowded:
+        known = aims.join(busy, "dst", "left_semi")
+        left = pairs.join(known.select(F.col("src").alias("left_id"), "dst"), "left_id")
+        both = both.unionByName(left.join(known.select(F.col("src").alias("right_id"), "dst"), ["right_id", "dst"]).select("left_id", "right_id", "dst"))
     return both.groupBy("left_id", "right_id").agg(F.min("dst").alias("anchor"))
 
 

@@ -286,7 +286,8 @@ def _nominated_pairs(spark, sf_dir):
     lines = tables.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("other"))
     mem = lambda c: F.concat(F.lit("mem:s"), c.cast("string"))
-    return lines.join(after, ["l_orderkey", "l_linenumber"]).filter("l_suppkey <> other").select(mem(F.least("l_suppkey", "other")).alias("left_id"), mem(F.greatest("l_suppkey", "other")).alias("right_id")).distinct()
+    pairs = lines.join(after, ["l_orderkey", "l_linenumber"]).filter("l_suppkey <> other").select(F.least("l_suppkey", "other").alias("a"), F.greatest("l_suppkey", "other").alias("b")).distinct()
+    return pairs.select(mem(F.col("a")).alias("left_id"), mem(F.col("b")).alias("right_id"))
 
 
 @query("WITH {graph}, nom AS (" + _NOMINATED + """) SELECT l AS left_id, r AS right_id, min(x.dst) AS anchor FROM nom JOIN edges x ON x.src = l AND x.relation = 'concerns' JOIN edges y ON y.src = r AND y.relation = 'concerns' AND y.dst = x.dst GROUP BY l, r""")
