@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from graphloom.model import Graph
 from graphloom.operators import log
 from graphloom.operators.components import connected
-from graphloom.tables import discard, materialize, settled, small
+from graphloom.tables import apart, discard, settled, small
+from graphloom.tables import materialize as written
 
 # Attributes that only a fold may set, and families whose truth is a file of the local workspace.
 DERIVED = ["accepted", "superseded_in", "supersedes_out"]
@@ -31,6 +32,11 @@ BODY = ["locator", "family", "attrs", "edges"]
 QUEUE = 200_000
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """A written table that is not broadcast: a history's tables grow with it, and there are several a round."""
+    return apart(written(df))
+
+
 def merge(assertions: DataFrame) -> DataFrame:
     """One row of each id: parents, provenance and scope are the sorted unions of those of its rows, equal entries once.
 
@@ -56,9 +62,9 @@ def merge(assertions: DataFrame) -> DataFrame:
 
 
 def _queue(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(component, id, parents), sorted by component and id, to (id, top, at, cyclic); one component is held at a time."""
+    """(component, id, parents), sorted by component and id, to (id, top, at, cyclic); one component is held at a time, small ones leave together."""
 
-    def order(ids: list[str], parents: list[list[str]]) -> pa.RecordBatch:
+    def order(ids: list[str], parents: list[list[str]]) -> None:
         number = {x: i for i, x in enumerate(ids)}
         waits, after = [0] * len(ids), [[] for _ in ids]
         for i, above in enumerate(parents):
@@ -78,20 +84,32 @@ def _queue(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not waits[j]:
                     heapq.heappush(ready, j)
         cyclic = [t is None for t in top]
-        columns = [pa.array(ids), pa.array([t if t is not None else x for t, x in zip(top, ids)]), pa.array(at, pa.int64()), pa.array(cyclic)]
-        return pa.RecordBatch.from_arrays(columns, names=["id", "top", "at", "cyclic"])
+        for column, values in zip(done, (ids, [t if t is not None else x for t, x in zip(top, ids)], at, cyclic)):
+            column.extend(values)
+
+    def flushed() -> pa.RecordBatch:
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.bool_())
+        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(done, kinds)], names=["id", "top", "at", "cyclic"])
+        for column in done:
+            column.clear()
+        return out
 
+    done: tuple[list, ...] = ([], [], [], [])
     now, ids, parents = None, [], []
     for batch in it:
         for component, id_, above in zip(*(batch.column(i).to_pylist() for i in range(3))):
             if component != now and ids:
-                yield order(ids, parents)
+                order(ids, parents)
                 ids, parents = [], []
+                if len(done[0]) >= 10_000:
+                    yield flushed()
             now = component
             ids.append(id_)
             parents.append(above or [])
     if ids:
-        yield order(ids, parents)
+        order(ids, parents)
+    if done[0]:
+        yield flushed()
 
 
 def _then(key: Column, more: Column) -> Column:
@@ -157,13 +175,16 @@ def causal_order(assertions: DataFrame, most: int = QUEUE) -> DataFrame:
             last = F.max(F.when(~F.col("cyclic"), F.col("at"))).over(Window.partitionBy(F.lit(0)))
             flushed = F.coalesce(last, F.lit(-1)) + F.row_number().over(Window.partitionBy("cyclic").orderBy("id"))
             return alone.select("id", F.when(F.col("cyclic"), flushed).otherwise(F.col("at")).cast("long").alias("place"), "cyclic")
-        roots = connected(edge.select(F.col("id").alias("a"), F.col("parent").alias("b")))
-        placed = materialize(ids.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("component")))
+        none = F.array().cast("array<string>")
+        roots = connected(edge.select(F.col("id").alias("a"), F.col("parent").alias("b")), few=False)
+        every = materialize(ids.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.col("root").alias("component")))
+        placed = every.filter("component is not null")
+        # what has no other id before or after it needs no queue; its only parent can be itself
+        lone = every.filter("component is null").join(above, "id", "left").select("id", F.col("id").alias("top"), none.alias("key"), F.lit(0).cast("long").alias("at"), F.col("parents").isNotNull().alias("cyclic"))
         large = materialize(placed.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("component"))
         small_ = placed.join(large, "component", "left_anti").join(above, "id", "left").select("component", "id", "parents")
         queued = small_.repartition("component").sortWithinPartitions("component", "id").mapInArrow(_queue, queued_as)
-        none = F.array().cast("array<string>")
-        keyed = queued.select("id", "top", none.alias("key"), "at", "cyclic")
+        keyed = lone.unionByName(queued.select("id", "top", none.alias("key"), "at", "cyclic"))
         if not large.isEmpty():
             hub = materialize(placed.join(large, "component", "left_semi").select("id"))
             level = _levels(materialize(edge.join(hub, "id", "left_semi")), hub)
@@ -220,7 +241,7 @@ def fold(assertions: DataFrame, base: Folded | None = None, defer: Iterable[str]
 
     Families in defer give way to a node that is there already, in base or by an earlier assertion: such assertions are declined whole.
     """
-    rank = assertions if "rank" in assertions.columns else assertions.join(causal_order(assertions).select("id", F.col("place").alias("rank")), "id")
+    rank = assertions if "rank" in assertions.columns else assertions.join(apart(causal_order(assertions)).select("id", F.col("place").alias("rank")), "id")
     named = rank.withColumn("node_id", F.coalesce("locator", "id")).withColumn("rank", F.col("rank").cast("long"))
     held = base.nodes.select("node_id", F.lit(True).alias("held")) if base else None
     first = named.groupBy("node_id").agg(F.min("rank").alias("first"))
@@ -274,6 +295,7 @@ def replica_fold(local: Folded, replica: DataFrame, events: DataFrame, local_ids
     disagreement unless the workspace authored the same id (local_ids), or every actor who claimed it in events (id, locator, actor, seq) has
     replaced it by a later revision that is live here. Nodes that only the replica has are folded as any other.
     """
+    local_ids = local_ids.hint("merge")
     both = fold(replica, local, families)
     live = events.join(local_ids, "id", "left_semi")
     # a claim without a locator or an actor says nothing

@@ -37,9 +37,11 @@ class Chain(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         held = self.tail.get() if self.tail.exists() else None
         seq, last = (held[0], held[1]) if held else (0, log.GENESIS)
+        now = set()  # a chain that begins here is asked for no key: all that it has came with these rows
         for r in sorted(rows, key=lambda r: (r.seq, r.id, r.event_key)):
-            if self.known.containsKey((r.event_key,)):
+            if r.event_key in now or (held and self.known.containsKey((r.event_key,))):
                 continue
+            now.add(r.event_key)
             seq += 1
             entry = hashlib.sha256(f"{last}\0{r.event_key}".encode()).hexdigest()
             self.known.updateValue((r.event_key,), (seq,))

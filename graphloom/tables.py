@@ -71,3 +71,10 @@ def discard(df: DataFrame) -> None:
 def small(df: DataFrame, most: int) -> bool:
     """Whether a written table has at most so many rows, which is what allows a broadcast."""
     return df.limit(most + 1).count() <= most
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """df, which joins of it do not broadcast by the size of its files: packed files of a growing table are many times larger as rows."""
+    out = df.hint("merge")
+    out._graphloom_path = getattr(df, "_graphloom_path", None)
+    return out

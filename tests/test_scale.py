@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.model import Graph
-from graphloom.operators import beliefs, context, drift
+from graphloom.operators import assertions, beliefs, context, drift
 from graphloom.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -62,3 +62,25 @@ def test_shared_anchor_of_quiet_and_busy_anchors(spark, crowd):
     pairs = spark.createDataFrame([("mem:2", "mem:3"), ("mem:3", "mem:2"), ("mem:1", "mem:3"), ("mem:4", "mem:1"), ("mem:4", "mem:4"), ("mem:1", "mem:9")], "left_id string, right_id string")
     found = {tuple(r) for r in beliefs.shared_anchor(graph, pairs, crowd).collect()}
     assert found == {("mem:2", "mem:3", "sym:b"), ("mem:3", "mem:2", "sym:b"), ("mem:1", "mem:3", "sym:c"), ("mem:4", "mem:1", "sym:d"), ("mem:4", "mem:4", "sym:a")}
+
+
+def test_lone_ids_need_no_queue(spark):
+    """A log beyond the size of one queue: one that is its own parent comes last."""
+    rows = [("c", []), ("a", ["ghost"]), ("b", ["b"]), ("d", None), ("x", ["y"]), ("y", [])]
+    found = assertions.causal_order(spark.createDataFrame(rows, "id string, parents array<string>"), 2)
+    assert [(r.id, r.cyclic) for r in found.orderBy("place").collect()] == [("a", False), ("c", False), ("d", False), ("y", False), ("x", False), ("b", True)]
+    assert found.select("place").distinct().count() == 6
+
+
+def test_queue_puts_small_components_together():
+    import pyarrow as pa
+
+    n = 25_000
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{i:06}" for i in range(n)]), pa.array([f"{i:06}" for i in range(n)]), pa.array([[]] * n, pa.list_(pa.string()))], names=["component", "id", "parents"])
+    out = list(assertions._queue(iter([batch])))
+    assert len(out) == 3 and sum(len(b) for b in out) == n
+
+
+def test_written_tables_of_a_history_are_not_broadcast(spark):
+    said = tables.assertions(spark, SF).drop("doc_id")
+    assert "BroadcastHashJoin" not in plan(assertions.fold(said).nodes)
