@@ -18,6 +18,10 @@ from graphloom.functions import scores, text
 from graphloom.model import Graph
 from graphloom.operators import beliefs, drift, render, retrieval
 from graphloom.operators import graph as G
+from graphloom.tables import apart, materialize
+
+#: Ids of a slice: a list of up to node_budget, or a table (node_id) of more, which the seeds of a large file can be.
+Ids = list[str] | DataFrame
 
 
 def _col(df: DataFrame, name: str, kind: str = "string") -> Column:
@@ -50,15 +54,32 @@ def low_confidence(semantic: DataFrame | None, query: str, c: Config = DEFAULTS)
     return None if best is None or best >= c.relevance_floor else f'  ⚠ low confidence — no memory/intent node strongly matches "{query}" (best {best:.2f} < {c.relevance_floor}); showing lexical/proximity results.'
 
 
-def _slice(graph: Graph, hops: DataFrame) -> tuple[DataFrame, list[str]]:
+def _ids(nodes: DataFrame, c: Config) -> Ids:
+    first = [r.node_id for r in nodes.select("node_id").limit(c.node_budget + 1).collect()]
+    return first if len(first) <= c.node_budget else apart(materialize(nodes.select("node_id").distinct()))
+
+
+def _within(df: DataFrame, ids: Ids, *cols: str) -> DataFrame:
+    """The rows of df of which one of cols is among ids."""
+    if isinstance(ids, list):
+        return df.filter(reduce(Column.__or__, (F.col(x).isin(ids) for x in cols))) if ids else df.limit(0)
+    if len(cols) == 1:
+        return df.join(ids.withColumnRenamed("node_id", cols[0]), cols[0], "left_semi").select(*df.columns)
+    marked = df
+    for x in cols:
+        marked = marked.join(ids.select(F.col("node_id").alias(x), F.lit(True).alias("_in_" + x)), x, "left")
+    return marked.filter(reduce(Column.__or__, (F.col("_in_" + x).isNotNull() for x in cols))).select(*df.columns)
+
+
+def _slice(graph: Graph, hops: DataFrame, c: Config) -> tuple[DataFrame, Ids]:
     """The walked nodes with their attributes, and their ids."""
-    ids = [r.node_id for r in hops.select("node_id").collect()]  # node_budget, or the seeds of a session
-    return graph.nodes.filter(F.col("node_id").isin(ids)), ids
+    ids = _ids(hops, c)
+    return _within(graph.nodes, ids, "node_id"), ids
 
 
-def _relevance(graph: Graph, nodes: DataFrame, ids: list[str], now: int, c: Config) -> DataFrame:
+def _relevance(graph: Graph, nodes: DataFrame, ids: Ids, now: int, c: Config) -> DataFrame:
     """node_id, superseded_in, relevance of a slice: only its own edges are counted."""
-    into = graph.edges.filter(F.col("dst").isin(ids))
+    into = _within(graph.edges, ids, "dst")
     refs = into.filter(F.col("relation").isin(G.REFERRING)).groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("refs"))
     over = into.filter((F.col("relation") == "supersedes") & ~F.col("pending")).groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("superseded_in"))
     both = nodes.join(refs, "node_id", "left").join(over, "node_id", "left")
@@ -69,15 +90,17 @@ def _relevance(graph: Graph, nodes: DataFrame, ids: list[str], now: int, c: Conf
 
 def _ranked(graph: Graph, hops: DataFrame, match: DataFrame | None, now: int, c: Config) -> list[dict]:
     """The slice as attribute rows with their lines, best first."""
-    nodes, ids = _slice(graph, hops)
-    if not ids:
+    nodes, ids = _slice(graph, hops, c)
+    if isinstance(ids, list) and not ids:
         return []
     prior = _relevance(graph, nodes, ids, now, c)
     scored = hops.join(prior, "node_id")
     scored = scored.join(match, "node_id", "left") if match is not None else scored.withColumn("match", F.lit(0.0))
-    final = retrieval.rank(scored.select("node_id", "hops", "match", "relevance"), c)
+    final = materialize(retrieval.rank(scored.select("node_id", "hops", "match", "relevance"), c))
+    best = [r.node_id for r in final.select("node_id").collect()]  # node_budget
+    nodes, prior, hops = (df.filter(F.col("node_id").isin(best)) for df in (nodes, prior, hops))
     out: dict[str, dict[str, list[str]]] = {}
-    for e in graph.edges.filter(F.col("src").isin(ids)).select("src", "relation", "dst").distinct().collect():  # the edges out of the slice
+    for e in graph.edges.filter(F.col("src").isin(best)).select("src", "relation", "dst").distinct().collect():  # the edges out of what is ranked
         out.setdefault(e.src, {}).setdefault(e.relation, []).append(e.dst)
     rows = [r.asDict() for r in nodes.join(final, "node_id").join(prior.select("node_id", "superseded_in"), "node_id").join(hops.select("node_id", "parent", F.col("relation").alias("by")), "node_id").orderBy("place").collect()]
     shown = {r["node_id"] for r in rows if r["kind"] not in render.HIDDEN_KINDS and r["family"] not in render.HIDDEN_FAMILIES}
@@ -88,36 +111,36 @@ def _ranked(graph: Graph, hops: DataFrame, match: DataFrame | None, now: int, c:
 
 def _lines(df: DataFrame, order: list, make, most: int, tail: str) -> list[str]:
     """The first rows of a report as lines, and how many more there are."""
+    df = materialize(df)
     first = [make(r) for r in df.orderBy(*order).limit(most).collect()]
     more = df.count() - len(first) if len(first) == most else 0
     return first + ([f"  … +{more} more {tail}."] if more > 0 else [])
 
 
-def signals(graph: Graph, scope: list[str] | None, kinds: list[str], c: Config = DEFAULTS) -> dict[str, list[str]]:
+def signals(graph: Graph, scope: Ids | None, kinds: list[str], c: Config = DEFAULTS) -> dict[str, list[str]]:
     """Signal lines by kind, of the whole graph or of what touches the nodes of scope; verified intents are always those of the whole graph."""
     def near(df: DataFrame, *cols: str) -> DataFrame:
-        if scope is None:
-            return df
-        return df.filter(reduce(Column.__or__, (F.col(x).isin(scope) for x in cols))) if scope else df.limit(0)
+        return df if scope is None else _within(df, scope, *cols)
 
+    found = drift.items(graph) if {"drift", "stale", "reconcile", "task"} & set(kinds) else None
     hard_first = F.when(F.col("kind") == "hard", 0).otherwise(1)
     out: dict[str, list[str]] = {}
     if "conflict" in kinds:
         rows = near(drift.pending_conflicts(graph), "src", "dst")
         out["conflict"] = _lines(rows, ["src", "dst"], lambda r: f"  ⚠ {r.src} pending-supersedes human-attested {r.dst} — {r.dst} still holds; resolve by attesting {r.src} (human) to apply, or discard {r.src}.", c.max_signal_lines, "pending conflict(s)")
     if "drift" in kinds:
-        rows = near(drift.surfaced(graph), "src", "dst")
+        rows = near(drift.surfaced(graph, found), "src", "dst")
         out["drift"] = _lines(rows, [hard_first, "src", "dst", "relation"], lambda r: render.drift_line(r.src, r.dst, r.relation, r.kind), c.max_drift_lines, "drifted")
     if "stale" in kinds:
-        rows = near(drift.stale_completions(graph), "src", "dst")
+        rows = near(drift.stale_completions(graph, found), "src", "dst")
         out["stale"] = _lines(rows, [hard_first, "src", "dst"], lambda r: render.stale_line(r.src, r.dst, r.kind), c.max_drift_lines, "stale completion(s)")
     if "reconcile" in kinds:
-        out["reconcile"] = _lines(drift.verified_reconcile(graph), ["node_id"], lambda r: f"  ⚠ {r.node_id} is satisfied but not verified (no live implementing link, or it drifted)", c.max_signal_lines, "satisfied intent(s)")
+        out["reconcile"] = _lines(drift.verified_reconcile(graph, found), ["node_id"], lambda r: f"  ⚠ {r.node_id} is satisfied but not verified (no live implementing link, or it drifted)", c.max_signal_lines, "satisfied intent(s)")
     if "capture" in kinds:
         rows = near(drift.capture_gaps(graph), "node_id")
         out["capture"] = _lines(rows, ["node_id"], lambda r: f"  ⚠ {r.node_id} is done but names no implementing symbol", c.max_signal_lines, "done task(s)")
     if "task" in kinds:
-        rows = near(drift.open_implemented(graph), "node_id")
+        rows = near(drift.open_implemented(graph, found), "node_id")
         out["task"] = _lines(rows, ["node_id"], lambda r: f"  ⚠ {r.node_id} is open but its implementing symbol(s) exist and are current — if the work is done, check its box.", c.max_signal_lines, "open task(s)")
     return out
 
@@ -133,18 +156,18 @@ def context(graph: Graph, query: str, semantic: DataFrame | None = None, family:
 
     family keeps one family's nodes, grounding one tier of memories (other families stay). Nothing found: an empty slice with the graph's verified intents.
     """
-    match = lexical(graph, query)
+    match = materialize(lexical(graph, query))
     first = retrieval.seeds(match, c)
     if semantic is not None:
         first = retrieval.merge_seeds(first, retrieval.seeds(semantic, c))
     hops = G.traverse(graph, first.select("node_id", "place"), c)
-    held, ids = _slice(graph, hops)
+    held, ids = _slice(graph, hops, c)
     if family or grounding:
         wanted = held.filter(F.col("family") == family) if family else held
         wanted = wanted.filter((F.col("family") != "memory") | F.col("grounding").eqNullSafe(grounding)) if grounding else wanted
-        ids = [r.node_id for r in wanted.select("node_id").collect()]
-        hops = hops.filter(F.col("node_id").isin(ids)) if ids else hops.limit(0)
-    near = lambda df: df.filter(F.col("node_id").isin(ids)) if ids else df.limit(0)
+        ids = _ids(wanted, c)
+        hops = _within(hops, ids, "node_id")
+    near = lambda df: _within(df, ids, "node_id")
     both = retrieval.combine(near(match), near(semantic) if semantic is not None else near(match).limit(0))
     ranked = _ranked(graph, hops, both, int(time.time()) if now is None else now, c)
     blocks = signals(graph, ids, ["conflict", "drift", "stale", "reconcile", "capture", "task"], c)
@@ -173,7 +196,7 @@ def context_for_locus(graph: Graph, path: str, budget: int | None = None, now: i
     if not seeds:
         return None
     hops = G.traverse(graph, first, c)
-    ids = [r.node_id for r in hops.select("node_id").collect()]
+    ids = _ids(hops, c)
     blocks = signals(graph, ids, ["drift", "reconcile"], c)
     governed = graph.edges.filter(F.col("relation").isin("implements", "tracks", "concerns")).join(first.select(F.col("node_id").alias("dst")), "dst", "left_semi")
     if not blocks["drift"] and governed.isEmpty():

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.config import DEFAULTS, Config
 from graphloom.functions import scores
 from graphloom.model import COMPOSE, CONFIDENCE, Graph
+from graphloom.operators.assertions import _numbered
 from graphloom.tables import discard, materialize, small
 
 # Relations that count as references, and families that an impact query returns.
@@ -91,7 +92,7 @@ def traverse(graph: Graph, seeds: DataFrame, c: Config = DEFAULTS) -> DataFrame:
     first = once.orderBy("seed", "node_id").limit(c.node_budget)
     inside = {r.node_id: (0, None, None) for r in first.collect()}  # in order of entry
     if len(inside) >= c.node_budget:
-        numbered = once.select("node_id", (F.row_number().over(Window.orderBy("seed", "node_id")) - 1).cast("long").alias("place"))
+        numbered = materialize(_numbered(once, ["seed", "node_id"], "place").select("node_id", "place"))
         return numbered.select("node_id", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("relation"), "place")
     front, cut = list(inside), None
     for depth in range(1, c.max_hops + 1):

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.config import Config
 from graphloom.model import Graph
 from graphloom.operators import assertions, beliefs, context, drift
 from graphloom.sources import tables
@@ -84,3 +85,12 @@ def test_queue_puts_small_components_together():
 def test_written_tables_of_a_history_are_not_broadcast(spark):
     said = tables.assertions(spark, SF).drop("doc_id")
     assert "BroadcastHashJoin" not in plan(assertions.fold(said).nodes)
+
+
+def test_ids_beyond_a_slice_are_a_table(small_graph):
+    many, few = context._ids(small_graph.nodes, Config(node_budget=2)), context._ids(small_graph.nodes, Config(node_budget=5))
+    assert isinstance(few, list) and not isinstance(many, list)
+    only = many.filter("node_id in ('task:1', 'sym:b')")
+    for cols in (["src"], ["src", "dst"]):
+        rows = lambda ids: sorted(map(tuple, context._within(small_graph.edges.select("src", "dst"), ids, *cols).collect()))
+        assert rows(only) == rows(["task:1", "sym:b"]) and rows(many) == sorted(map(tuple, small_graph.edges.select("src", "dst").collect()))
