@@ -21,14 +21,16 @@ def superseded_sources(graph: Graph) -> DataFrame:
 def soft(graph: Graph) -> DataFrame:
     """Anchored edges whose target's content is not what the anchor says.
 
-    Each target's different anchors meet its content, not its edges; the few that are stale go to the edges.
+    Each target's different anchors meet its content, not its edges; the few that are stale go to the edges, and only stale edges to what is superseded.
     """
     now = graph.nodes.filter(F.col("content_hash").isNotNull()).select(F.col("node_id").alias("dst"), "content_hash")
     anchored = graph.edges.filter(F.col("relation").isin(DRIFTING) & F.col("anchor").isNotNull())
     borne = anchored.select("dst", "anchor").distinct()
     off = materialize(borne.join(now.hint("merge"), "dst").filter(F.col("anchor") != F.col("content_hash")).select("dst", "anchor"))
     stale = anchored.join(F.broadcast(off) if small(off, STALE_BROADCAST) else off.hint("merge"), ["dst", "anchor"])
-    return stale.join(superseded_sources(graph), "src", "left_anti").select("src", "dst", "relation")
+    # no anti join: Spark would take one below the join before it, to all anchored edges
+    old = superseded_sources(graph).withColumn("old", F.lit(True))
+    return stale.join(old.hint("merge"), "src", "left").filter("old is null").select("src", "dst", "relation")
 
 
 def renames(graph: Graph) -> DataFrame:
@@ -103,12 +105,17 @@ def open_implemented(graph: Graph, found: DataFrame | None = None) -> DataFrame:
 
 
 def verified_reconcile(graph: Graph, found: DataFrame | None = None) -> DataFrame:
-    """Satisfied intents none of whose tracking tasks still has an implements edge without drift."""
-    tracked = graph.edges.filter("relation = 'tracks'").select("src", F.col("dst").alias("intent"))
-    drifted = (items(graph) if found is None else found).filter("kind <> 'renamed'").select("src", "dst").distinct()
-    sound = graph.edges.filter("relation = 'implements'").select("src", "dst").join(drifted, ["src", "dst"], "left_anti").select("src").distinct()
-    held = tracked.join(sound, "src", "left_semi").select(F.col("intent").alias("node_id")).distinct()
-    return graph.nodes.filter("family = 'intent' and status = 'satisfied'").select("node_id").join(held, "node_id", "left_anti")
+    """Satisfied intents none of whose tracking tasks still has an implements edge without drift.
+
+    Only tasks that track a satisfied intent, and of their edges only the ends, go on to the drift.
+    """
+    goals = materialize(graph.nodes.filter("family = 'intent' and status = 'satisfied'").select("node_id"))
+    tracked = graph.edges.filter("relation = 'tracks'").select("src", F.col("dst").alias("node_id")).join(F.broadcast(goals) if small(goals, STALE_BROADCAST) else goals.hint("merge"), "node_id", "left_semi")
+    drifted = (items(graph) if found is None else found).filter("kind <> 'renamed'").select("src", "dst")
+    built = graph.edges.filter("relation = 'implements'").select("src", "dst").join(tracked.select("src").hint("merge"), "src", "left_semi")
+    sound = built.join(drifted.hint("merge"), ["src", "dst"], "left_anti").select("src")
+    held = tracked.join(sound.hint("merge"), "src", "left_semi").select("node_id").distinct()
+    return goals.join(held, "node_id", "left_anti")
 
 
 def pending_conflicts(graph: Graph) -> DataFrame:

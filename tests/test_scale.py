@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.config import Config
 from graphloom.model import Graph
 from graphloom.operators import assertions, beliefs, context, drift
+from graphloom.plans import queries
 from graphloom.sources import tables
 
 SF = "/root/testdata/sf0.001"
@@ -47,6 +48,28 @@ def test_drift_with_and_without_broadcast(small_graph, monkeypatch, most):
     assert {(r.kind, r.key) for r in drift.obligations(small_graph).collect()} == {("stale", "task:1|sym:a"), ("stale", "task:1|sym:lost"), ("drift", "soft|task:2|sym:a|implements")}
 
 
+def test_only_stale_edges_meet_what_is_superseded(spark, small_graph):
+    """The anti join does not sink to all anchored edges."""
+    assert "LeftAnti" not in plan(drift.soft(small_graph))
+    over = spark.createDataFrame([("task:9", "task:2", "supersedes", "EXTRACTED", None, True), ("task:8", "task:2", "supersedes", "EXTRACTED", None, False)], EDGE)
+    assert [tuple(r) for r in drift.soft(Graph(small_graph.nodes, small_graph.edges.unionByName(over), small_graph.dangling)).collect()] == [("task:1", "sym:a", "implements")]
+
+
+@pytest.mark.parametrize("most", [0, 10])
+def test_reconcile_of_satisfied_intents(spark, small_graph, monkeypatch, most):
+    """int:1 has a task without drift, int:2 and int:5 only ones that drift or have no edge, int:3 has no task, int:4 is not satisfied."""
+    monkeypatch.setattr(drift, "STALE_BROADCAST", most)
+    goals = spark.createDataFrame([(f"int:{i}", "intent", "goal", "g", "active" if i == 4 else "satisfied", *[None] * 5) for i in range(1, 6)], NODE)
+    aims = spark.createDataFrame([(f"task:{t}", f"int:{i}", "tracks", "EXTRACTED", None, False) for t, i in ((3, 1), (1, 1), (2, 2), (1, 2), (4, 5), (1, 4))], EDGE)
+    graph = Graph(small_graph.nodes.unionByName(goals), small_graph.edges.unionByName(aims), small_graph.dangling)
+    assert sorted(r.node_id for r in drift.verified_reconcile(graph).collect()) == ["int:2", "int:3", "int:5"]
+    assert sorted(r.node_id for r in drift.verified_reconcile(Graph(graph.nodes, graph.edges.filter("src <> 'task:3'"), graph.dangling), drift.items(graph)).collect()) == ["int:1", "int:2", "int:3", "int:5"]
+
+
+def test_reconcile_moves_only_ends_of_built_edges(spark):
+    assert not re.search(r"hashpartitioning\(src#\d+, dst#\d+, relation#", plan(queries.verified_reconcile(spark, SF)))
+
+
 @pytest.mark.parametrize("read", [context.reverifiable, context.anchor_state, drift.done_tasks])
 def test_the_view_is_not_broadcast(spark, read):
     found = read(tables.graph(spark, SF))
