@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import scores
 from graphloom.model import Graph
 from graphloom.operators import graph as G
-from graphloom.tables import materialize
+from graphloom.tables import apart, materialize
 
 #: Sources of an anchor up to which all pairs of them are made.
 CROWD = 300
 
 
 def live_memories(graph: Graph) -> DataFrame:
-    counters = G.supersession(graph).select("node_id", "superseded_in")
-    return graph.nodes.filter("family = 'memory' and coalesce(status, 'active') = 'active'").join(counters, "node_id").filter("superseded_in = 0")
+    """Active memories that nothing supersedes but pending edges; superseded_in is 0."""
+    over = graph.edges.filter((F.col("relation") == "supersedes") & ~F.col("pending")).select(F.col("dst").alias("node_id"))
+    active = graph.nodes.filter("family = 'memory' and coalesce(status, 'active') = 'active'")
+    return active.join(over, "node_id", "left_anti").withColumn("superseded_in", F.lit(0).cast("long"))
 
 
 def closed_pairs(edges: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
@@ -28,39 +30,52 @@ def closed_pairs(edges: DataFrame, verdicts: DataFrame | None = None) -> DataFra
 
 
 def shared_anchor(graph: Graph, pairs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """pairs (left_id, right_id) with their least common concerns target.
+    """pairs (left_id, right_id) with their least common concerns target."""
+    asked = pairs.filter("left_id is not null and right_id is not null").select(*_ordered("left_id", "right_id"), (F.col("left_id") > F.col("right_id")).alias("turned"))
+    least = _shared(graph.edges.filter("relation = 'concerns'").select("src", "dst"), asked, crowd).groupBy("a", "b", "turned").agg(F.min("dst").alias("anchor"))
+    return least.select(F.when(F.col("turned"), F.col("b")).otherwise(F.col("a")).alias("left_id"), F.when(F.col("turned"), F.col("a")).otherwise(F.col("b")).alias("right_id"), "anchor")
+
+
+def _ordered(left: str, right: str) -> list[Column]:
+    return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
+
+
+def _shared(aims: DataFrame, asked: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """asked pairs (a, b, more; a <= b) with each dst of aims (src, dst) that both have, dealt by a and b unless an anchor is crowded.
 
     An anchor of up to crowd sources offers the pairs of its sources, which are far fewer than all anchors of every asked pair. An anchor of more sources
     is looked up for the pairs; of those there can only be few.
     """
-    aims = graph.edges.filter("relation = 'concerns'").select("src", "dst")
     busy = materialize(aims.groupBy("dst").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("dst"))
     crowded = not busy.isEmpty()
     quiet = aims.join(busy, "dst", "left_anti") if crowded else aims
     offered = quiet.select(F.col("src").alias("a"), "dst").join(quiet.select(F.col("src").alias("b"), "dst"), "dst").filter("a <= b").select("a", "b", "dst")
-    asked = pairs.select("left_id", "right_id", F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b")).filter("left_id is not null and right_id is not null")
-    both = asked.join(offered, ["a", "b"]).select("left_id", "right_id", "dst")
+    both = asked.join(offered, ["a", "b"])
     if crowded:
         known = aims.join(busy, "dst", "left_semi")
-        left = pairs.join(known.select(F.col("src").alias("left_id"), "dst"), "left_id")
-        both = both.unionByName(left.join(known.select(F.col("src").alias("right_id"), "dst"), ["right_id", "dst"]).select("left_id", "right_id", "dst"))
-    return both.groupBy("left_id", "right_id").agg(F.min("dst").alias("anchor"))
+        left = asked.join(known.select(F.col("src").alias("a"), "dst"), "a")
+        both = both.unionByName(left.join(known.select(F.col("src").alias("b"), "dst"), ["b", "dst"]))
+    return both
 
 
-def conflicts(graph: Graph, similar: DataFrame, nominated: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+def conflicts(graph: Graph, similar: DataFrame, nominated: DataFrame, verdicts: DataFrame | None = None, live: DataFrame | None = None) -> DataFrame:
     """left_id, right_id (in this order), anchor, cosine, origin of the open conflicts of live memories.
 
-    similar (left_id, right_id, anchor, cosine) come from vectors, nominated (left_id, right_id) from a reader and count where they share an anchor.
-    Pairs that an equivalence or a verdict has closed are left out.
+    similar (left_id, right_id, anchor, cosine; a pair may come more than once) come from vectors, nominated (left_id, right_id) from a reader and count
+    where they share an anchor. Pairs that an equivalence or a verdict has closed are left out. live (node_id): the live memories, where similar has no
+    pairs of others. Pairs of either origin move once, by both ends; nominated ones are live as their anchors are those of live memories.
     """
-    none = F.lit(None).cast("double")
-    both = similar.select("left_id", "right_id", "anchor", "cosine", F.lit("similar").alias("origin")).unionByName(shared_anchor(graph, nominated).select("left_id", "right_id", "anchor", none.alias("cosine"), F.lit("nominated").alias("origin")))
-    pairs = both.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), "anchor", "cosine", "origin")
-    once = pairs.groupBy("left_id", "right_id").agg(F.min("anchor").alias("anchor"), F.max("cosine").alias("cosine"), F.array_join(F.array_sort(F.collect_set("origin")), ",").alias("origin"))
-    live = live_memories(graph).select("node_id")
-    closed = closed_pairs(graph.edges, verdicts).select(F.col("a").alias("left_id"), F.col("b").alias("right_id"))
-    held = once.join(live.withColumnRenamed("node_id", "left_id"), "left_id", "left_semi").join(live.withColumnRenamed("node_id", "right_id"), "right_id", "left_semi")
-    return held.join(closed, ["left_id", "right_id"], "left_anti").select("left_id", "right_id", "anchor", "cosine", "origin")
+    near = similar.select(*_ordered("left_id", "right_id"), "anchor", "cosine")
+    if live is None:
+        live = apart(materialize(live_memories(graph).select("node_id")))
+        near = near.join(live.withColumnRenamed("node_id", "a"), "a", "left_semi").join(live.withColumnRenamed("node_id", "b"), "b", "left_semi")
+    aims = graph.edges.filter("relation = 'concerns'").select("src", "dst").join(live.withColumnRenamed("node_id", "src"), "src", "left_semi")
+    asked = nominated.filter("left_id is not null and right_id is not null").select(*_ordered("left_id", "right_id"))
+    closed = closed_pairs(graph.edges, verdicts)
+    near = near.join(closed, ["a", "b"], "left_anti").groupBy("a", "b").agg(F.min("anchor").alias("near"), F.max("cosine").alias("cosine")).withColumn("similar", F.lit("similar"))
+    named = _shared(apart(materialize(aims)), asked).join(closed, ["a", "b"], "left_anti").groupBy("a", "b").agg(F.min("dst").alias("anchor")).withColumn("nominated", F.lit("nominated"))
+    both = named.join(near, ["a", "b"], "full")
+    return both.select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), F.least("anchor", "near").alias("anchor"), "cosine", F.concat_ws(",", "nominated", "similar").alias("origin"))
 
 
 def dominant(graph: Graph, pairs: DataFrame) -> DataFrame:

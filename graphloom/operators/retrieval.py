@@ -161,7 +161,12 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
-    """anchor, left_id, right_id, cosine of vectors (id, anchor, vec) on the same anchor with at least this cosine, each pair once at its least anchor.
+    """anchor, left_id, right_id, cosine of vectors (id, anchor, vec) on the same anchor with at least this cosine, each pair once at its least anchor."""
+    return near_pairs(vectors, threshold).groupBy("left_id", "right_id").agg(F.min("anchor").alias("anchor"), F.max("cosine").alias("cosine"))
+
+
+def near_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
+    """The similar pairs, once for each anchor that both vectors lie on: they have not moved yet.
 
     The vectors of an anchor are packed into blocks, and pairs of blocks are compared: a crowded anchor is many tasks, and only pairs above the threshold are rows.
     """
@@ -180,8 +185,7 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
                     a, b = a[ids[a] < rids[b]], b[ids[a] < rids[b]]
                 yield pa.RecordBatch.from_arrays([pa.array([group] * len(a), pa.string()), pa.array(np.minimum(ids[a], rids[b])), pa.array(np.maximum(ids[a], rids[b])), pa.array(value[a, b])], ["anchor", "left_id", "right_id", "cosine"])
 
-    pairs = joined.mapInArrow(near, "anchor string, left_id long, right_id long, cosine double")
-    return pairs.groupBy("left_id", "right_id").agg(F.min("anchor").alias("anchor"), F.max("cosine").alias("cosine"))
+    return joined.mapInArrow(near, "anchor string, left_id long, right_id long, cosine double")
 
 
 def nearest_on_anchor(vectors: DataFrame, threshold: float) -> DataFrame:

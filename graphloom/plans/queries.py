@@ -16,7 +16,7 @@ from graphloom.operators import beliefs, context, drift, exchange, log, nesting,
 from graphloom.operators import graph as G
 from graphloom.sources import tables
 from graphloom.streaming import state
-from graphloom.tables import checkpoint_dir
+from graphloom.tables import apart, checkpoint_dir, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -657,9 +657,11 @@ def conflicts(spark, sf_dir):
     """Similar and nominated pairs of live memories that no verdict has closed; pairs whose numbers sum to a multiple of 7 have one."""
     g = tables.graph(spark, sf_dir)
     mem = lambda c: F.concat(F.lit("mem:c"), F.col(c).cast("string")).alias(c)
-    raw = retrieval.similar_pairs(tables.vectors(spark, sf_dir), SIMILAR)
+    live = apart(materialize(beliefs.live_memories(g).select("node_id")))
+    vectors = tables.vectors(spark, sf_dir).join(live, F.concat(F.lit("mem:c"), F.col("id").cast("string")) == F.col("node_id"), "left_semi")
+    raw = retrieval.near_pairs(vectors, SIMILAR)
     verdicts = raw.filter("(left_id + right_id) % 7 = 0").select(mem("left_id").alias("left"), mem("right_id").alias("right"), F.lit("reconcile").alias("kind"))
-    return beliefs.conflicts(g, raw.select(mem("left_id"), mem("right_id"), "anchor", "cosine"), _nominated_pairs(spark, sf_dir), verdicts)
+    return beliefs.conflicts(g, raw.select(mem("left_id"), mem("right_id"), "anchor", "cosine"), _nominated_pairs(spark, sf_dir), verdicts, live)
 
 
 @query("""WITH {drift} SELECT dst, count(*) AS c, string_agg(src, ',' ORDER BY src) AS sources FROM soft WHERE relation = 'concerns' GROUP BY dst HAVING count(*) > 1""")

@@ -88,6 +88,38 @@ def test_shared_anchor_of_quiet_and_busy_anchors(spark, crowd):
     assert found == {("mem:2", "mem:3", "sym:b"), ("mem:3", "mem:2", "sym:b"), ("mem:1", "mem:3", "sym:c"), ("mem:4", "mem:1", "sym:d"), ("mem:4", "mem:4", "sym:a")}
 
 
+@pytest.fixture(scope="module")
+def disputed(spark):
+    """Memories 1 to 6 on one part, 1 and 2 also on another; 4 is retired, 5 superseded, 6 only pending so; 9 is no node."""
+    status = {4: "retired"}
+    nodes = [(f"mem:{i}", "memory", "decision", "m", status.get(i, "active"), *[None] * 5) for i in range(1, 8)]
+    edges = [(f"mem:{i}", "sym:b", "concerns", "EXTRACTED", None, False) for i in range(1, 7)] + [(f"mem:{i}", "sym:a", "concerns", "EXTRACTED", None, False) for i in (1, 2)]
+    edges += [("mem:7", "mem:5", "supersedes", "EXTRACTED", None, False), ("mem:7", "mem:6", "supersedes", "EXTRACTED", None, True), ("mem:6", "mem:1", "equivalent_to", "EXTRACTED", None, False)]
+    pair = "left_id string, right_id string"
+    similar = spark.createDataFrame([("mem:2", "mem:1", "9", 0.5), ("mem:1", "mem:2", "8", 0.5), ("mem:1", "mem:7", "3", 0.4), ("mem:2", "mem:7", "3", 0.4), ("mem:1", "mem:4", "3", 0.4), ("mem:9", "mem:1", "3", 0.4), ("mem:6", "mem:1", "3", 0.9)], pair + ", anchor string, cosine double")
+    nominated = spark.createDataFrame([("mem:2", "mem:1"), ("mem:3", "mem:2"), ("mem:2", "mem:3"), ("mem:1", "mem:3"), ("mem:1", "mem:4"), ("mem:5", "mem:2"), ("mem:1", "mem:6"), ("mem:1", "mem:7"), (None, "mem:1")], pair)
+    verdicts = spark.createDataFrame([("mem:3", "mem:1", "supersede"), ("mem:7", "mem:2", "reconcile"), ("mem:1", "mem:2", "dispute")], "left string, right string, kind string")
+    return Graph(spark.createDataFrame(nodes, NODE), spark.createDataFrame(edges, EDGE), None), similar, nominated, verdicts
+
+
+@pytest.mark.parametrize("known", [False, True])
+def test_conflicts_of_both_origins(spark, disputed, known):
+    graph, similar, nominated, verdicts = disputed
+    live = beliefs.live_memories(graph).select("node_id")
+    if known:
+        similar = similar.filter("left_id <> 'mem:9' and right_id <> 'mem:4'")
+    found = {tuple(r) for r in beliefs.conflicts(graph, similar, nominated, verdicts, live if known else None).collect()}
+    assert found == {("mem:1", "mem:2", "8", 0.5, "nominated,similar"), ("mem:2", "mem:3", "sym:b", None, "nominated"), ("mem:1", "mem:7", "3", 0.4, "similar")}
+    assert {r.node_id for r in live.collect()} == {"mem:1", "mem:2", "mem:3", "mem:6", "mem:7"}
+
+
+def test_pairs_of_conflicts_move_once(spark):
+    """Pairs of either origin are dealt by both ends only; liveness is asked of vectors and anchors, not of each end of a pair."""
+    steps = plan(queries.conflicts(spark, SF))
+    assert not re.search(r"(left_id|right_id|\ba|\bb)#\d+\], \[\w+#\d+\], LeftSemi", steps)
+    assert not re.search(r"hashpartitioning\((left|right)_id#\d+", steps)
+
+
 def test_lone_ids_need_no_queue(spark):
     """A log beyond the size of one queue: one that is its own parent comes last."""
     rows = [("c", []), ("a", ["ghost"]), ("b", ["b"]), ("d", None), ("x", ["y"]), ("y", [])]
